@@ -1,0 +1,151 @@
+import base64
+import hashlib
+import json
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from crowdspark.llm import exact_dedup, language_id, quality_rules, resharding, secret_scan
+from crowdspark.llm.common import run_dir
+
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+BASE = (
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+)
+
+
+def base_spans(text):
+    found = []
+    for order, (kind, pattern, fits) in enumerate(BASE):
+        flags = re.IGNORECASE | re.ASCII if order == 0 else 0
+        found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, flags) if fits(m)]
+    return [s for *_, s in sorted(found)], Counter(o for _, o, _ in found)
+
+
+def test_secrets_base(docs, rows, empty):
+    got = {(r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secret_scan.scan_secrets(docs).collect()}
+    want = set()
+    for doc, text, _ in rows:
+        spans, n = base_spans(text or "")
+        want.add((doc, hashlib.sha256(",".join(spans).encode()).hexdigest(), n[0], n[1], n[2]))
+    assert got == want
+    assert secret_scan.scan_secrets(docs).count() == len(rows)
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_secrets_confirmed():
+    encode = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = ".".join([encode({"alg": "HS256", "typ": "JWT"}), encode({"sub": "1"}), "c2lnbmF0dXJl"])
+    fake = ".".join([encode({"no": 1}), encode({"sub": "1"}), "c2lnbmF0dXJl"])
+    number = lambda n: b"\x02" + bytes([n]) + b"\x11" * n
+    inner = number(1) + number(20) + number(30)
+    der = b"\x30" + bytes([len(inner)]) + inner
+    broken = b"\x30" + bytes([len(inner) + 1]) + inner
+    pem = lambda d: "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(d).decode() + "\n-----END PRIVATE KEY-----"
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(field(b"ssh-ed25519") + field(b"\x07" * 32)).decode()
+    kinds = lambda text: [s.split(":")[0] for *_, s in secret_scan.scan(text)[1] if s.split(":")[0] not in ("assign", "access", "hex")]
+    assert kinds("x " + token) == ["signed_token"] and kinds("x " + fake) == []
+    assert kinds(pem(der)) == ["pem_key"] and kinds(pem(broken)) == []
+    assert kinds("k " + base64.b64encode(der).decode()) == ["der_key"] and kinds("k " + base64.b64encode(broken).decode()) == []
+    assert kinds("k " + der.hex().upper()) == ["hex_der_key"]
+    assert kinds("k " + ssh) == ["ssh_key"] and kinds("k AAAA" + "B" * 60) == []
+    deep = b"\x30\x80" * 40
+    assert secret_scan.tlv_exact(deep) == 0
+
+
+def brute_groups(rows):
+    groups = defaultdict(list)
+    for doc, text, _ in rows:
+        groups[SPACE.sub("", text or "")].append((-len(text or ""), doc is None, doc or 0, doc))
+    return {k: sorted(v) for k, v in groups.items()}
+
+
+def test_exact_dedup(spark, docs, rows, empty):
+    got = exact_dedup.exact_duplicates(docs, run_dir(spark, "t4")).collect()
+    assert len(got) == len(rows)
+    groups = brute_groups(rows)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    assert sum(g.kept for g in got) == len(groups)
+    for g in got:
+        group = by_sha[g.text_sha256]
+        assert g.group_size == len(group) and g.keep_id == group[0][3] and (not g.kept or g.doc_id == g.keep_id)
+    assert exact_dedup.exact_duplicates(empty, run_dir(spark, "t4")).count() == 0
+
+
+def test_exact_dedup_over_partitions(spark):
+    """One group over many partitions, its edges joined up."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot  text").otherwise(F.concat(F.lit("t "), F.col("id"))).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_dedup.exact_duplicates(rows, run_dir(spark, "t4")).where("group_size > 1").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    n = sum(i % 3 < 2 for i in range(4000))
+    assert len(got) == n and {(g.keep_id, g.group_size) for g in got} == {(0, n)} and [g.doc_id for g in got if g.kept] == [0]
+
+
+def test_language(spark, docs, rows, empty):
+    got = language_id.language_id(docs).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        text = next(t for d, t, _ in rows if d == g.doc_id)
+        assert (g.lang_pred == "und") == (not any(c.isalpha() for c in text or "")) and 0 <= g.score <= 1
+    assert language_id.language_id(empty).count() == 0
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.language_id(docs).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out AND n >= 60").collect()
+    assert sum(g.lang_pred == g.lang for g in got) >= 0.97 * len(got)
+
+
+def brute_statistics(text):
+    words = [w for w in SPACE.sub(" ", text).split(" ") if w]
+    lines = [x for x in text.split("\n") if SPACE.sub("", x)]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics(docs, rows, empty):
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.text_statistics(docs).collect()}
+    assert got == {(d, *brute_statistics(t or "")) for d, t, _ in rows}
+    assert quality_rules.text_statistics(empty).count() == 0
+
+
+def test_rules(spark, docs, empty):
+    base = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat(if(id % 4 = 0 AND i % 2 = 0, '###', 'word'), id, 'x', i))) AS text")
+    labels = base.selectExpr("doc_id", "CAST(doc_id % 4 <> 0 AS INT) AS quality", "0 AS toxic")
+    got = quality_rules.quality_rules(base, labels, run_dir(spark, "t8")).collect()
+    assert all(g.kept == (g.doc_id % 4 != 0) for g in got) and not any(g.base_failed for g in got)
+    none = labels.limit(0)
+    kept = quality_rules.quality_rules(docs, none, run_dir(spark, "t8"))
+    assert kept.where("kept = base_failed").count() == 0
+    assert quality_rules.quality_rules(empty, labels, run_dir(spark, "t8")).count() == 0
+
+
+def test_reshard(spark, docs, rows, empty):
+    got = resharding.reshard(docs, F.pmod("doc_id", F.lit(3)), 4, run_dir(spark, "t9")).collect()
+    assert Counter((g.doc_id, g.text) for g in got) == Counter((d, t) for d, t, _ in rows)
+    for shard in {g.shard for g in got}:
+        slots = sorted(g.slot for g in got if g.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert all(g.size == len((g.text or "").encode()) + 16 for g in got)
+    assert resharding.reshard(empty, F.lit(0), 4, run_dir(spark, "t9")).count() == 0
+
+
+def test_flow_moves_least():
+    flow = resharding.min_cost_flow([10, 0, 2], [4, 4, 4], lambda i, j: int(i != j))
+    assert sum(x for (i, j), x in flow.items() if i != j) == 6 and sum(flow.values()) == 12
+    blocks = [(o, b, 10 + (o * 7 + b * 3) % 5) for o in range(5) for b in range(40 if o else 120)]
+    placed = resharding.plan_blocks(blocks, 8)
+    load = Counter()
+    for o, b, size in blocks:
+        load[placed[o, b]] += size
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= 2
