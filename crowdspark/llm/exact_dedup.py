@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -94,8 +94,22 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that share text and doc_id the one with the least columns."""
-    found = exact_duplicates(docs, out)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    lone = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return lone
+    """The rows of ``docs`` that stay, all columns.
+
+    Texts are shuffled for the sort only; dropped rows leave by an anti join on doc_id and digest. Of rows that
+    share both, where one of them stays, the longest original does, then the first by text.
+    """
+    found = materialize(exact_duplicates(docs, f"{out}/runs").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), f"{out}/keys")
+    sha = F.sha2(F.translate(text_or_empty(), SPACES, "").cast("binary"), 256)
+
+    def by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+        return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
+
+    lone = by_key(docs, found, "left_anti")
+    repeated = found.where("kept")
+    if repeated.isEmpty():
+        return lone
+    order = Window.partitionBy("doc_id", "_key").orderBy(F.desc(F.length(text_or_empty())), "text")
+    rows = by_key(docs, repeated, "left_semi").withColumn("_key", sha).withColumn("_order", F.row_number().over(order))
+    return lone.unionByName(rows.where("_order = 1").drop("_key", "_order"))

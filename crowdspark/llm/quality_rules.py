@@ -16,8 +16,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and statistics of ``text`` for each row, by built-in functions only.
+def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id) and statistics of ``text`` for each row, by built-in functions only.
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word that equal an earlier line), n_repeat_words
     (words in runs of eight that occur twice or more, each word once), n_lines, n_upper (A-Z), n_marks (! and ?).
@@ -26,7 +26,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """
     text = text_or_empty()
     words = F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
-    staged = docs.select("doc_id", text.alias("text")).withColumn("words", words)
+    kept = F.struct(*(docs[c] for c in keep or ["doc_id"])).alias("kept_columns")
+    staged = docs.select(kept, text.alias("text")).withColumn("words", words)
     staged = staged.withColumn("windows", F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(f"[^{SPACE_CLASS}]"))
     staged = staged.withColumn("lines", lines).withColumn("recurs", F.size(F.array_distinct("windows")) < F.size("windows"))
@@ -48,7 +49,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     without = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     return staged.select(
-        "doc_id",
+        "kept_columns.*",
         count(F.size("words")).alias("n_words"),
         count(F.length(F.regexp_replace("text", f"[{SPACE_CLASS}]+", ""))).alias("word_chars"),
         count(without(SYMBOLS)).alias("n_symbols"),
@@ -172,6 +173,23 @@ def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int =
     return DecisionList([[(n, side, cuts[n][k - 1]) for n, side, k in rule] for rule in rules])
 
 
+def _taught(statistics: DataFrame, labels: DataFrame) -> DataFrame:
+    one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return statistics.where(~base_failed()).join(one, "doc_id")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
+    """The rows of ``docs`` that pass the base limits and the rules, all columns, without a shuffle of texts.
+
+    Only labelled rows are looked at for learning; then each row is judged where it is read.
+    """
+    named = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rules = learn_rules(_taught(materialize(text_statistics(named), f"{work}/statistics"), labels), f"{work}/bins")
+    own = "all_columns"
+    whole = docs.select(F.struct(*docs.columns).alias(own), "text")
+    return text_statistics(whole, [own]).where(~base_failed() & F.coalesce(rules.verdict(), F.lit(True))).select(f"{own}.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """Statistics, base_failed and kept for each row of ``docs(doc_id, text)``, by rules learned from ``labels``.
 
@@ -179,7 +197,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     document, and documents without a label, teach nothing. ``work`` gets the statistics, computed once.
     """
     statistics = materialize(text_statistics(docs), f"{work}/statistics")
-    taught = statistics.where(~base_failed()).join(labels.select("doc_id", "quality").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id")
-    rules = learn_rules(taught, f"{work}/bins")
+    rules = learn_rules(_taught(statistics, labels), f"{work}/bins")
     verdict = F.coalesce(rules.verdict(), F.lit(True))
     return statistics.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"))

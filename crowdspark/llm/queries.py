@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality_rules, resharding, secret_scan, token_files
-from .common import read_table, run_dir, text_or_empty
+from . import exact_dedup, kneser_ney, language_id, mixing, near_dedup, packing, quality_rules, resharding, secret_scan, token_files
+from .common import id_bucket, read_table, run_dir, text_or_empty
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,16 @@ def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language_id.language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op6_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), run_dir(spark, "op6"))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fitted = mixing.fit_mixture(docs, read_table(spark, sf_dir, "labels"), mixing.WEIGHTS, run_dir(spark, "op7"))
+    return mixing.mixing_rates(docs, fitted)
+
+
 def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), run_dir(spark, "op8"))
 
@@ -47,6 +57,14 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 7) == 2
+    model = kneser_ney.train(docs.where(~held_out), run_dir(spark, "op10"))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -55,8 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_structural_secrets,
         op4_content_sort,
         op5_hyperdimensional_language,
+        op6_coordinate_join,
+        op7_soft_mixing,
         op8_decision_list_quality,
         op9_flow_resharding,
+        op10_kneser_ney,
     )
 }
 
@@ -70,4 +91,21 @@ ORACLE_SQL = {
                row_number() OVER w = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)""",
+    "op6_coordinate_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+        one AS (SELECT min(doc_id) AS rep, g FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+        same AS (SELECT s.doc_id, one.rep FROM s JOIN one ON list_sort(s.g) = one.g WHERE len(s.g) > 0),
+        e AS (SELECT rep, len(g) AS n, unnest(g) AS h FROM one),
+        c AS (SELECT a.rep AS x, b.rep AS y, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep
+              WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
+        l AS (SELECT x, y FROM c WHERE 100 * k >= 75 * (n + m - k) UNION SELECT y, x FROM c WHERE 100 * k >= 75 * (n + m - k)),
+        r AS (SELECT rep AS a, rep AS b FROM one UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+        k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, len(g) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id,
+               s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+        FROM s LEFT JOIN same ON s.doc_id = same.doc_id LEFT JOIN k ON same.rep = k.a""",
 }
