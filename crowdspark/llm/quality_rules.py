@@ -185,9 +185,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """
     named = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     rules = learn_rules(_taught(materialize(text_statistics(named), f"{work}/statistics"), labels), f"{work}/bins")
-    own = "all_columns"
-    whole = docs.select(F.struct(*docs.columns).alias(own), "text")
-    return text_statistics(whole, [own]).where(~base_failed() & F.coalesce(rules.verdict(), F.lit(True))).select(f"{own}.*")
+    whole = docs.select(F.struct(*docs.columns).alias("all_columns"), "text")
+    judged = text_statistics(whole, ["all_columns"])
+    # As rows of a generator the statistics are computed once; a filter would repeat them for each test.
+    judged = judged.select("all_columns", F.inline(F.array(F.struct(*judged.columns[1:]))))
+    return judged.where(~base_failed() & F.coalesce(rules.verdict(), F.lit(True))).select("all_columns.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
