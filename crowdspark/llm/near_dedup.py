@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, out: str) -> DataFrame:
     asked = asked.select("node", "label", "chunk", "ask", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
     asked = materialize(asked, f"{out}/asked")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    work = asked.join(texts, texts["doc_id"].eqNullSafe(asked["ask"])).select("label", "ci", "cj", "chunk", "node", "text")
+    # By a shuffle at every size: the texts asked for grow with the table.
+    work = asked.hint("merge").join(texts, texts["doc_id"].eqNullSafe(asked["ask"])).select("label", "ci", "cj", "chunk", "node", "text")
 
     def confirm(table: pa.Table) -> pa.Table:
         links = link_block(table.column("text").combine_chunks(), table.column("node").to_pylist(), table.column("chunk").to_pylist())
