@@ -237,7 +237,7 @@ def time_series(spark, sf):
     return rounded(metrics.time_series(_sessions(spark, sf), pos, events, "L1"), 4, "capture")
 
 
-@query(_EVENTS + _DUR + """, k0 AS (SELECT session, duration, epoch(origin_ts) // 1 - 18000 AS o FROM ses), k1 AS (SELECT *, unnest(range(CAST(floor(o / 3600) AS BIGINT), CAST(floor((o + duration) / 3600) AS BIGINT) + 1)) AS h FROM k0),
+@query(_EVENTS + _DUR + """, k0 AS (SELECT session, duration, floor(epoch(origin_ts)) - 18000 AS o FROM ses), k1 AS (SELECT *, unnest(range(CAST(floor(o / 3600) AS BIGINT), CAST(floor((o + duration) / 3600) AS BIGINT) + 1)) AS h FROM k0),
         k2 AS (SELECT session, local_id, CAST(floor((o + start_s) / 3600) AS BIGINT) AS h, count(DISTINCT CASE WHEN event_type = 'EXPOSURE' THEN person_id END) AS exposure, count(DISTINCT CASE WHEN event_type = 'ENTER' THEN person_id END) AS visits FROM ev JOIN k0 USING (session) WHERE local_id IS NOT NULL GROUP BY ALL)
         SELECT k1.session, 'L1' AS local_id, CAST(make_timestamp(k1.h * 3600000000) AS DATE) AS date, CAST(k1.h % 24 AS INT) AS hour, coalesce(exposure, 0) AS exposure, coalesce(visits, 0) AS visits, round(greatest(0, least(k1.o + duration, (k1.h + 1) * 3600) - greatest(k1.o, k1.h * 3600)), 3) AS coverage_s
         FROM k1 LEFT JOIN k2 ON k1.session = k2.session AND k1.h = k2.h""", dates=("date",))
