@@ -84,9 +84,9 @@ def dashboard_totals(spark, sf):
 _REL = _B + """, re AS (SELECT dataset, business_id, date, hour, session, entries, amount, CASE WHEN entries > 0 THEN 100e0 * transactions / entries END AS conversion, CASE WHEN entries > 0 THEN amount / entries END AS per_visit FROM traffic JOIN sal USING (dataset, business_id, date, hour) WHERE coverage >= 3300)"""
 
 
-@query(_REL + " SELECT dataset, business_id, date, hour, session, entries, round(amount, 2) AS amount, round(conversion, 3) AS conversion, round(per_visit, 1) AS per_visit FROM re", dates=("date",))
+@query(_REL + " SELECT dataset, business_id, date, hour, session, entries, round(amount, 2) AS amount, round(conversion, 3) AS conversion FROM re", dates=("date",))
 def sales_relation(spark, sf):
-    return rounded(rounded(C.sales_relation(_traffic(spark, sf), _sales(spark, sf)), 2, "amount"), 3, "conversion").withColumn("per_visit", F.round("per_visit", 1))
+    return rounded(rounded(C.sales_relation(_traffic(spark, sf), _sales(spark, sf)), 2, "amount"), 3, "conversion").drop("per_visit")
 
 
 @query(_REL + """, rk AS (SELECT dataset, business_id, entries, amount, row_number() OVER (PARTITION BY dataset, business_id ORDER BY entries, date, hour, session) AS a, row_number() OVER (PARTITION BY dataset, business_id ORDER BY round(amount, 2), date, hour, session) AS b FROM re)
