@@ -42,3 +42,21 @@ def sample_confidence(zones: DataFrame) -> DataFrame:
     """Low under five visits, high from half of the most visited on, partial between."""
     most = F.max("visits").over(Window.partitionBy("session"))
     return zones.withColumn("confidence", F.when(F.col("visits") < 5, "low").when(2 * F.col("visits") >= most, "high").otherwise("partial"))
+
+
+def report_access_events(crossings: DataFrame, order: list[str]) -> DataFrame:
+    """Crossing log of each session, numbered in order."""
+    return crossings.withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy(*order)))
+
+
+def session_report(sessions: DataFrame, series: DataFrame) -> DataFrame:
+    """Totals of each session that is not running: last time, peak, samples, and the final number of people where there is one."""
+    sums = series.groupBy("session").agg(F.max("t").alias("last_t"), F.max("count").alias("peak"), F.count("*").alias("samples"))
+    rows = sessions.where("status <> 'running'").join(sums, "session")
+    return rows.select("session", "status", "last_t", "peak", "samples", F.coalesce("final_people", "peak").alias("people"))
+
+
+def stale_observations(sessions: DataFrame, observations: DataFrame, version: int = 2) -> DataFrame:
+    """Observations of finished sessions whose maps are older than ``version``, to make them anew from."""
+    old = sessions.where(F.col("status").isin("done", "error") & (F.coalesce("version", F.lit(0)) < version)).select("session")
+    return observations.join(old, "session", "left_semi")

@@ -85,7 +85,7 @@ def thin_samples(spark, sf):
     return S.thin_samples(e, 12, 4).select("session", "event_id", "i", "step", "keep_full")
 
 
-@query(", f AS (SELECT p_partkey AS feature_id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'retail' WHEN p_size % 3 = 1 THEN 'food_and_drink' ELSE 'other' END AS class, p_retailprice % 100e0 AS x, p_size * 1e0 AS y FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CAST(feature_id AS VARCHAR)) AS i, count(*) OVER (PARTITION BY name) AS c FROM f WHERE class <> 'other' AND trim(name) <> '') SELECT concat('lap-', CAST(CAST(floor(x) AS INT) AS VARCHAR), '-', CAST(feature_id AS VARCHAR)) AS business_id, CASE WHEN c > 1 THEN concat(name, ' (local ', CAST(i AS VARCHAR), ')') ELSE name END AS name, feature_id, round(x, 3) AS x, y FROM n WHERE feature_id % 10 <> 0")
+@query(", f AS (SELECT p_partkey AS feature_id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'retail' WHEN p_size % 3 = 1 THEN 'food_and_drink' ELSE 'other' END AS class, p_retailprice % 100e0 AS x, p_size * 1e0 AS y FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CAST(feature_id AS VARCHAR)) AS i, count(*) OVER (PARTITION BY name) AS c FROM f WHERE class <> 'other' AND trim(name) <> '') SELECT concat('map-', CAST(CAST(floor(x) AS INT) AS VARCHAR), '-', CAST(feature_id AS VARCHAR)) AS business_id, CASE WHEN c > 1 THEN concat(name, ' (local ', CAST(i AS VARCHAR), ')') ELSE name END AS name, feature_id, round(x, 3) AS x, y FROM n WHERE feature_id % 10 <> 0")
 def map_catalog_to_businesses(spark, sf):
     kind = F.when(F.col("p_size") % 3 == 0, "retail").when(F.col("p_size") % 3 == 1, "food_and_drink").otherwise("other")
     f = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"), kind.alias("class"), (F.col("p_retailprice") % 100).alias("x"), F.col("p_size").cast("double").alias("y"))
@@ -174,3 +174,23 @@ def report_sectors(spark, sf):
 def report_cameras(spark, sf):
     crossings = A.derive(spark, sf, "legs", "pos").where("tick % 50 = 0").select("session", "camera", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"))
     return R.report_cameras(K.camera_counting(_counts(spark, sf), 1.0), crossings).select("session", "camera", "count", "peak", "entries", "exits")
+
+
+@query(" SELECT session, camera, event_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, row_number() OVER (PARTITION BY session ORDER BY tick, event_id, person_id) AS nth FROM pos WHERE tick % 50 = 0", "legs")
+def report_access_events(spark, sf):
+    rows = A.derive(spark, sf, "legs", "pos").where("tick % 50 = 0").withColumn("direction", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit"))
+    return R.report_access_events(rows, ["tick", "event_id", "person_id"]).select("session", "camera", "event_id", "direction", "nth")
+
+
+@query(_CNT + ", x AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS count FROM cnt GROUP BY session, t), f AS (SELECT session, round(max(t), 3) AS last_t, max(count) AS peak, count(*) AS samples FROM x GROUP BY session) SELECT session, CASE WHEN right(session, 1) = '7' THEN 'running' ELSE 'done' END AS status, last_t, peak, samples, CASE WHEN right(session, 1) = '4' THEN 9 ELSE peak END AS people FROM f WHERE right(session, 1) <> '7'", "legs")
+def session_report(spark, sf):
+    series = _counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count"))
+    sessions = series.select("session").distinct().select("session", F.when(F.col("session").endswith("7"), "running").otherwise("done").alias("status"), F.when(F.col("session").endswith("4"), 9).cast("long").alias("final_people"))
+    return rounded(R.session_report(sessions, series), 3, "last_t")
+
+
+@query(", he AS (SELECT session, CAST(floor(x) AS INT) AS cx, CAST(floor(y) AS INT) AS cy, count(*) AS samples FROM pos WHERE tick % 5 = 0 AND right(session, 1) IN ('1', '2') GROUP BY ALL) SELECT * FROM he", "legs")
+def rebuild_maps(spark, sf):
+    pos = A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0")
+    sessions = pos.select("session").distinct().select("session", F.when(F.col("session").endswith("2"), "error").otherwise("done").alias("status"), F.when(F.col("session").rlike("[12]$"), 1).otherwise(2).alias("version"))
+    return R.stale_observations(sessions, pos).groupBy("session", F.floor("x").cast("int").alias("cx"), F.floor("y").cast("int").alias("cy")).agg(F.count("*").alias("samples"))

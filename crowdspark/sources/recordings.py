@@ -72,7 +72,7 @@ def thin_samples(samples: DataFrame, full: int = 300, slack: int = 100) -> DataF
     return rows.withColumn("step", step).withColumn("keep_full", (F.col("i") % F.col("step") == 0) | (F.col("i") == F.col("n") - 1))
 
 
-def map_catalog_to_businesses(features: DataFrame, references: DataFrame) -> DataFrame:
+def map_catalog_to_businesses(features: DataFrame, references: DataFrame, prefix: str = "map") -> DataFrame:
     """Named shops and restaurants of a map (feature_id, name, class, x, y) that have no reference yet.
 
     Names that recur get `` (local i)``, i by feature_id as text.
@@ -81,7 +81,7 @@ def map_catalog_to_businesses(features: DataFrame, references: DataFrame) -> Dat
     own = Window.partitionBy("name")
     i = F.row_number().over(own.orderBy(F.col("feature_id").cast("string")))
     rows = named.withColumn("label", F.when(F.count("*").over(own) > 1, F.format_string("%s (local %d)", "name", i)).otherwise(F.col("name")))
-    return rows.join(references, "feature_id", "left_anti").select(F.format_string("lap-%d-%s", F.floor("x").cast("int"), F.col("feature_id").cast("string")).alias("business_id"), F.col("label").alias("name"), "feature_id", "x", "y")
+    return rows.join(references, "feature_id", "left_anti").select(F.format_string(f"{prefix}-%d-%s", F.floor("x").cast("int"), F.col("feature_id").cast("string")).alias("business_id"), F.col("label").alias("name"), "feature_id", "x", "y")
 
 
 def rewrite_final_ids(obs: DataFrame, numbers: DataFrame) -> DataFrame:
