@@ -96,7 +96,7 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """The rows of ``docs`` that stay, all columns.
 
-    Texts are shuffled for the sort only; dropped rows leave by an anti join on doc_id and digest. Of rows that
+    Dropped rows leave by an anti join on doc_id and digest, a shuffle at every size: their list grows with the table. Of rows that
     share both, where one of them stays, the longest original does, then the first by text.
     """
     found = materialize(exact_duplicates(docs, f"{out}/runs").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), f"{out}/keys")
@@ -104,7 +104,7 @@ def drop_exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
 
     def by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
+        return rows.join(keys.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
 
     lone = by_key(docs, found, "left_anti")
     repeated = found.where("kept")

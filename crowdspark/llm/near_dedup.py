@@ -174,4 +174,4 @@ def drop_near_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id heads its component, all columns; rows that share a doc_id stay or go together."""
     found = near_duplicates(docs, out).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
     dropped = materialize(found.select(F.col("doc_id").alias("_id")), f"{out}/dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")

@@ -181,10 +181,10 @@ def _taught(statistics: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """The rows of ``docs`` that pass the base limits and the rules, all columns, without a shuffle of texts.
 
-    Only labelled rows are looked at for learning; then each row is judged where it is read.
+    Statistics are written once to learn from and computed again where each row is judged: counting twice is less
+    than moving every text to its verdict.
     """
-    named = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn_rules(_taught(materialize(text_statistics(named), f"{work}/statistics"), labels), f"{work}/bins")
+    rules = learn_rules(_taught(materialize(text_statistics(docs), f"{work}/statistics"), labels), f"{work}/bins")
     whole = docs.select(F.struct(*docs.columns).alias("all_columns"), "text")
     judged = text_statistics(whole, ["all_columns"])
     # As rows of a generator the statistics are computed once; a filter would repeat them for each test.
