@@ -24,11 +24,11 @@ def _members(docs: DataFrame, out: str) -> DataFrame:
                 for at in range(0, part.num_rows, MAX_TEXTS):
                     piece = part.slice(at, MAX_TEXTS)
                     values, offsets = shingle_sets(piece.column("text"))
-                    sign = signatures(values, offsets, COORDINATES).view(np.int32)
+                    sign = signatures(values, offsets, COORDINATES).view(np.int64)
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sign.size + 1, COORDINATES, dtype=np.int32)), pa.array(sign.ravel()))
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests(values, offsets).view(np.int64)), flat], names=["doc_id", "n_shingles", "node", "signature"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, signature array<int>"), out)
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, signature array<long>"), out)
 
 
 def components(edges: DataFrame, out: str) -> DataFrame:
@@ -83,7 +83,7 @@ def link_block(texts: pa.Array, nodes: list[int], chunks: list[int]) -> list[tup
             values, offsets = shingle_sets(part.column("text").slice(at, MAX_TEXTS))
             sets += [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             made += digests(values, offsets).view(np.int64).tolist()
-            signed.append(signatures(values, offsets, COORDINATES))
+            signed.append((signatures(values, offsets, COORDINATES) >> np.uint64(32)).astype(np.uint32))  # half will do within a block
     sign, n = np.concatenate(signed), len(sets)
     seen: dict[int, int] = {}
     fit = [made[i] == nodes[i] and seen.setdefault(nodes[i], i) == i for i in range(n)]  # rows that share a doc_id come with each other's texts
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, out: str) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
     classes = members.where("n_shingles > 0").groupBy("node").agg(least.alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes, f"{out}/classes")
-    posted = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
+    posted = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token"))
     shared = posted.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     by_class = Window.partitionBy("node")
     ranked = shared.withColumn("k", F.row_number().over(by_class.orderBy("df", "token"))).withColumn("n", F.count("*").over(by_class))

@@ -49,15 +49,19 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, size: int, seed: int = 77) -> np.ndarray:
-    """MinHash signatures (texts x size, 32 bits); rows of empty sets are all ones."""
+    """MinHash signatures (texts x size, 64 bits); rows of empty sets are all ones.
+
+    The whole value is kept: a minimum over a long text is small, so its upper half alone would be shared by
+    unlike texts once there are millions of them, and their postings would run together.
+    """
     make = np.random.default_rng(seed)
     flips = make.integers(0, 1 << 63, size, dtype=np.uint64)
     factors = make.integers(0, 1 << 63, size, dtype=np.uint64) * _U(2) + _U(1)
-    out = np.full((len(offsets) - 1, size), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(offsets) - 1, size), 0xFFFFFFFFFFFFFFFF, np.uint64)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         for i in range(size):
-            out[full, i] = np.minimum.reduceat(((values ^ flips[i]) * factors[i]) >> _U(32), offsets[:-1][full])
+            out[full, i] = np.minimum.reduceat((values ^ flips[i]) * factors[i], offsets[:-1][full])
     return out
 
 

@@ -3,16 +3,23 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from crowdspark.llm import kneser_ney, mixing, near_dedup
+from crowdspark.llm import kneser_ney, mixing, near_dedup, shingles as shingle_sets
 from crowdspark.llm.common import id_bucket, run_dir
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def test_unlike_texts_share_no_coordinate():
+    values = np.sort(np.random.default_rng(5).integers(0, 1 << 52, (3000, 500), dtype=np.uint64), axis=1)
+    sign = shingle_sets.signatures(values.ravel(), np.arange(0, 500 * 3000 + 1, 500), 64)
+    assert all(len(np.unique(column)) == len(column) for column in sign.T)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
 
