@@ -19,16 +19,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so a shorter run hol
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "hex_der_key", "ssh_key")
 
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")  # line ends as such or escaped, as JSON has them
+# A key name and '=' may stand straight before a value. Standard and URL-safe runs are looked for apart: dashes also rule lines off.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+_URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9a-f]{46,}|30[0-9A-F]{46,})(?![0-9A-Fa-f])")
-_SSH = re.compile(r"(?<![A-Za-z0-9+/=])AAAA[A-Za-z0-9+/]{36,}={0,2}")
+_SSH = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{36,}={0,2}")
+_SSH_URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])(?:AAAA|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9_-]{36,}={0,2}")
 _SSH_MAGIC = b"openssh-key-v1\0"
+_SSH_SEALED = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")  # 16 bytes of tag after the last field
 
 
 def decode_base64(text: str) -> bytes | None:
-    """Bytes of standard or URL-safe base64, padded or not; None if it is neither."""
-    text = re.sub(r"\s", "", text).rstrip("=")
+    """Bytes of standard or URL-safe base64, padded or not, over lines or not; None if it is neither."""
+    text = re.sub(r"\s|\\+[nr]", "", text).rstrip("=")
     try:
         return base64.b64decode(text.replace("-", "+").replace("_", "/") + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -70,19 +74,43 @@ def is_der_key(data: bytes | None) -> bool:
     return bool(data) and len(data) >= 24 and data[0] == 0x30 and tlv_exact(data) >= 3 and (b"\x02" in data[2:8] or b"\x06" in data[2:12] or b"\x30" in data[2:6])
 
 
-def is_ssh_blob(data: bytes | None) -> bool:
-    """Length-prefixed fields that fill the data exactly, the first of which names a key type."""
-    if not data:
-        return False
-    if data.startswith(_SSH_MAGIC):
-        return True
+def ssh_fields(data: bytes) -> list[bytes] | None:
+    """The length-prefixed fields of ``data``; None if they don't fill it exactly."""
     at, fields = 0, []
     while at < len(data):
         size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return fields
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """The magic, then cipher, derivation and its options, the number of keys, so many public keys, and the private part, to the last byte."""
+    at, fields = len(_SSH_MAGIC), []
+    count = 1
+    while len(fields) < 3 + count + 1:
+        if len(fields) == 3 and at + 4 <= len(data):
+            count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            if not 1 <= count <= len(data):
+                return False
+        size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return False
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
+    tag = 16 if fields[0] in _SSH_SEALED else 0
+    return bool(fields[0] and fields[1] and fields[-1]) and all(ssh_fields(f) for f in fields[3:-1]) and at + tag == len(data)
+
+
+def is_ssh_blob(data: bytes | None) -> bool:
+    """Length-prefixed fields that fill the data exactly, the first of which names a key type; or a whole private key file."""
+    if not data:
+        return False
+    if data.startswith(_SSH_MAGIC):
+        return is_openssh_key(data)
+    fields = ssh_fields(data) or []
     return len(fields) >= 2 and re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-[a-z0-9]+)(@[a-z.]+)?", fields[0]) is not None
 
 
@@ -108,10 +136,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             if is_der_key(data) or is_ssh_blob(data):
                 more.append((m.start(), m.end(), 4))
     inside = [(a, b) for a, b, k in more if k == 4]
-    for kind, pattern, decode, fits in ((5, _BASE64, decode_base64, is_der_key), (6, _HEX_ANY, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None, is_der_key), (7, _SSH, decode_base64, is_ssh_blob)):
+    hex_bytes = lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None
+    for kind, pattern, decode, fits in ((5, _BASE64, decode_base64, is_der_key), (5, _URL_SAFE, decode_base64, is_der_key), (6, _HEX_ANY, hex_bytes, is_der_key), (7, _SSH, decode_base64, is_ssh_blob), (7, _SSH_URL_SAFE, decode_base64, is_ssh_blob)):
         more += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if not any(a <= m.start() < b for a, b in inside) and fits(decode(m[0]))]
     order = lambda spans: sorted((a, k, f"{KINDS[k]}:{a}:{b}") for a, b, k in spans)
-    return order(base), order(base + more)
+    return order(base), order(base + list(dict.fromkeys(more)))  # a run of letters and digits alone is of both alphabets
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
@@ -122,7 +151,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then in the order of KINDS. A base
     span is one that its pattern matches; a confirmed span also decodes to what its kind says: a signed token
-    with a JSON header, a PEM block, base64 or hex run that is one exactly nested key encoding, a key blob of
+    with a JSON header, a PEM block, base64 (standard or URL-safe) or hex run that is one exactly nested key encoding, a key blob of
     length-prefixed fields. Null text counts as empty and has no span; repeated rows give repeated rows.
     """
 

@@ -57,6 +57,31 @@ def test_secrets_confirmed():
     assert secret_scan.tlv_exact(deep) == 0
 
 
+def test_secrets_forms():
+    """Keys straight after '=', with escaped line ends, in the URL-safe alphabet, and openssh files whose lengths fit."""
+    kinds = lambda text: [s.split(":")[0] for *_, s in secret_scan.scan(text)[1] if s.split(":")[0] not in ("assign", "access", "hex")]
+    number = lambda n, b: b"\x02" + bytes([n]) + b * n
+    inner = number(1, b"\x00") + number(32, b"\x7f") + number(36, b"\x7b") + b"\x04\x06" + b"\xfb\xff\xbe\xff\xef\xff"
+    der = b"\x30" + bytes([len(inner)]) + inner
+    plain, safe = base64.b64encode(der).decode(), base64.urlsafe_b64encode(der).decode()
+    assert set("-_") & set(safe)
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(b"\xfb\xff" * 16)
+    assert kinds("PRIVATE_KEY=" + plain) == ["der_key"] and kinds("PRIVATE_KEY= " + plain) == ["der_key"]
+    assert kinds("PRIVATE_KEY=" + safe.rstrip("=")) == ["der_key"] and kinds("k " + safe) == ["der_key"]
+    assert kinds("key=" + base64.b64encode(public).decode()) == ["ssh_key"]
+    assert kinds("key=" + base64.urlsafe_b64encode(public).decode()) == ["ssh_key"]
+    lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    for end in ("\\n", "\\r\\n", "\\\\n", "\r\n"):
+        assert kinds('{"private_key": "' + end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"]) + end + '"}') == ["pem_key"]
+    head = lambda cipher: b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public)
+    whole = head(b"none") + field(b"\x07" * 64)
+    pem = lambda d: "-----BEGIN OPENSSH PRIVATE KEY-----\n" + base64.b64encode(d).decode() + "\n-----END OPENSSH PRIVATE KEY-----"
+    assert kinds(pem(whole)) == ["pem_key"] and kinds("KEY=" + base64.b64encode(whole).decode()) == ["ssh_key"]
+    assert kinds(pem(head(b"aes256-gcm@openssh.com") + field(b"\x07" * 64) + b"\x01" * 16)) == ["pem_key"]
+    assert kinds(pem(whole[:-1])) == [] and kinds(pem(whole + b"\x07")) == [] and kinds(pem(b"openssh-key-v1\0" + b"any text at all")) == []
+
+
 def brute_groups(rows):
     groups = defaultdict(list)
     for doc, text, _ in rows:
