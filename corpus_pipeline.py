@@ -28,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of domains draws them: at most once here."""
+    """Documents as often as the mixture of domains draws them: those of a domain below its weight repeat."""
     fitted = mixing.fit_mixture(docs, read_table(spark, sf_dir, "labels"), mixing.WEIGHTS, run_dir(spark, "pipeline-mix"))
     return mixing.mix_documents(docs, fitted)
 

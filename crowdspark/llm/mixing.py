@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -124,29 +124,39 @@ class Mixture:
     """Rates r, from 1 on: r - p.v held between 0 and ``most``, for one step vector v an iteration of the descent.
 
     A rate within 0.02 of a whole number is taken as that, so that no document is drawn by chance for a trace of
-    another domain.
+    another domain. Rates without a bound are divided by ``scale``, which leaves the shares of domains as they are. ``target`` has the tokens that each domain is to have, ``reached`` those that it is expected to have at these rates.
     """
 
     classifier: Classifier
     steps: list
-    most: float = 1.0
+    most: float = np.inf
+    scale: float = 1.0
+    target: dict = field(default_factory=dict)
+    reached: dict = field(default_factory=dict)
+
+    def shortfall(self) -> dict:
+        """Tokens that a domain lacks to its target, for those that lack any."""
+        return {k: t - self.reached[k] for k, t in self.target.items() if t > self.reached[k]}
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for v in self.steps:
             r = np.clip(r - p @ v, 0.0, self.most)
+        r = r / self.scale
         return np.where(np.abs(r - np.rint(r)) < 0.02, np.rint(r), r)
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], out: str, max_repeats: float = 1.0, iterations: int = 40, tolerance: float = 1e-3) -> Mixture:
+def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], out: str, max_repeats: float | None = None, iterations: int = 40, tolerance: float = 1e-3) -> Mixture:
     """Projected-gradient least squares for nonnegative document rates whose expected domain tokens meet the targets.
 
     A document's tokens (words) belong to domains by its posteriors p. Targets are ``weights`` of the total at
-    which the domain of the largest weight keeps all it has; a domain too small for its weight gives what it has
-    ``max_repeats`` times. Each step is one distributed sum
-    of expected domain tokens and of the posteriors' products over documents with a rate above 0 (a few numbers
-    reach the driver), then r - p.v, held between 0 and the larger of 1 and ``max_repeats``, for all documents, where v is the misfit scaled by those
-    products. It ends within ``tolerance`` of the total; where targets can't be met it comes to rest near them.
+    which the domain of the largest weight keeps all it has. Rates are bounded by 0 only, so documents of a domain
+    too small for its weight repeat; ``max_repeats`` holds them at that (1 at least), and targets stay what they
+    are. Each step is one distributed sum of expected domain tokens and of the posteriors' products over documents
+    with a rate above 0 (a few numbers reach the driver), then r - p.v, held at the bounds, for all documents,
+    where v is the misfit scaled by those products. Weights are shares, so rates without ``max_repeats`` are then
+    divided by the median one of the largest weight's documents: these are drawn once each, as nearly as may be. It ends within ``tolerance`` of the total; where targets can't
+    be met it comes to rest near them, and the mixture tells what is reached.
     """
     classifier, names = learn_domains(docs, labels), list(DOMAINS)
 
@@ -160,8 +170,9 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], o
     table = materialize(docs.select("text").mapInArrow(guess, "n long, " + ", ".join(f"p{k} double" for k in range(len(names)))).where("n > 0"), out)
     p = [F.col(f"p{k}") for k in range(len(names))]
     goal = np.array([weights[k] for k in names], float) / sum(weights.values())
-    target, steps, best, most = None, [], (np.inf, 0), max(1.0, max_repeats)
-    rate = F.lit(1.0)
+    target, steps, best, most = None, [], (np.inf, 0), np.inf if max_repeats is None else max(1.0, max_repeats)
+    anchor, rate = int(np.argmax(goal)), F.lit(1.0)
+    rates = [rate]
     for _ in range(iterations):
         live = F.when(F.col("r") > 0, F.col("n")).otherwise(0)
         sums = [F.sum(F.col("r") * F.col("n") * p[k]).alias(f"s{k}") for k in range(len(names))] + [F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
@@ -170,8 +181,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], o
             return Mixture(classifier, [], most)
         have = np.array([row[f"s{k}"] for k in range(len(names))])
         if target is None:
-            anchor = int(np.argmax(goal))
-            target = np.minimum(goal * have[anchor] / goal[anchor], np.maximum(max_repeats, np.arange(len(goal)) == anchor) * have)
+            target = goal * have[anchor] / goal[anchor]
         miss = float(np.abs(have - target).sum() / max(target.sum(), 1))
         if miss < best[0]:
             best = (miss, len(steps))
@@ -181,7 +191,15 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], o
         v = np.linalg.solve(gram + np.eye(len(names)) * (1e-3 * np.trace(gram) + 1e-9), have - target)
         steps.append(v)
         rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((p[k] * float(v[k]) for k in range(1, len(names))), p[0] * float(v[0]))))
-    return Mixture(classifier, steps[: best[1]], most)
+        rates.append(rate)
+    rate, scale = rates[best[1]], 1.0
+    if np.isinf(most):
+        own = table.where(p[anchor] > 0.5).agg(F.percentile_approx(rate, 0.5, 10_000)).first()[0]
+        scale = own or 1.0
+    rate = rate / scale
+    drawn = F.when(F.abs(rate - F.rint(rate)) < 0.02, F.rint(rate)).otherwise(rate)
+    row = table.withColumn("r", drawn).agg(*(F.sum(F.col("r") * F.col("n") * p[k]) for k in range(len(names)))).first()
+    return Mixture(classifier, steps[: best[1]], most, scale, dict(zip(names, (target / scale).tolist())), dict(zip(names, row)))
 
 
 def _draws(batch: pa.RecordBatch, mixture: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,6 +236,11 @@ def mix_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 copies = _draws(part, mixture)[3]
-                yield part.take(pa.array(np.repeat(np.arange(part.num_rows), copies)))
+                # A rate has no bound, so copies are given out a few megabytes at a time.
+                size = np.diff(text_bytes(part.column("text"))[1]) + 1
+                ends = np.cumsum(copies)
+                total, step = int(ends[-1]) if len(ends) else 0, max(1, (1 << 22) // int(size.max(initial=1)))
+                for at in range(0, max(total, 1), step):
+                    yield part.take(pa.array(np.searchsorted(ends, np.arange(at, min(at + step, total)), "right")))
 
     return docs.mapInArrow(run, docs.schema)

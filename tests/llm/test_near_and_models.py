@@ -203,6 +203,30 @@ def test_mixing_meets_targets(spark, small):
     assert all(abs(have[k] / sum(have.values()) - w) < 0.02 for k, w in weights.items())
 
 
+def test_mixing_short_domain(spark, small):
+    """A domain below its weight repeats until it has it; under a cap the target stays and the shortfall is told."""
+    documents, labels = small
+    few = documents.join(labels.where("quality = 1 OR toxic = 1 OR doc_id % 9 = 0").select("doc_id"), "doc_id", "left_semi")
+    total = lambda rows, k: sum(r.rate * r.n_words * r[f"p_{k}"] for r in rows)
+    fitted = mixing.fit_mixture(few, labels, mixing.WEIGHTS, run_dir(spark, "t7"))
+    rows = mixing.mixing_rates(few, fitted).collect()
+    plain = {k: sum(r.n_words * r[f"p_{k}"] for r in rows) for k in mixing.WEIGHTS}
+    assert plain["rough"] < plain["clean"] / 9
+    have = {k: total(rows, k) for k in mixing.WEIGHTS}
+    assert all(abs(have[k] / sum(have.values()) - w) < 0.02 for k, w in mixing.WEIGHTS.items())
+    assert max(r.rate for r in rows) > 1.5 and all(math.isclose(fitted.reached[k], have[k], rel_tol=1e-6, abs_tol=1) for k in have)
+    assert mixing.mix_documents(few, fitted).count() == sum(r.copies for r in rows)
+    capped = mixing.fit_mixture(few, labels, mixing.WEIGHTS, run_dir(spark, "t7"), max_repeats=1.0)
+    assert all(r.rate <= 1 for r in mixing.mixing_rates(few, capped).collect())
+    assert math.isclose(capped.target["rough"], plain["clean"] / 9, rel_tol=1e-6) and capped.shortfall()["rough"] > 0
+
+
+def test_mixing_many_copies(spark):
+    text = spark.createDataFrame([(1, "a b c"), (2, "x " * 300_000)], "doc_id long, text string")
+    heavy = mixing.Mixture(mixing.Classifier(np.full(1 << 16, -1), np.zeros((6, 3))), [np.full(3, -40.0)])
+    assert mixing.mix_documents(text, heavy).groupBy("doc_id").count().collect() and mixing.mix_documents(text, heavy).count() == 82
+
+
 def test_mixing_edges(spark, docs, empty, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     fitted = mixing.fit_mixture(docs, labels, mixing.WEIGHTS, run_dir(spark, "t7"))
