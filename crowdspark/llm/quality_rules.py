@@ -111,34 +111,47 @@ class DecisionList:
         return "\n".join("reject if " + " and ".join(f"{n} {s} {t:g}" for n, s, t in rule) for rule in self.rules) or "keep all"
 
 
-def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int = 8, max_clauses: int = 4, min_precision: float = 0.95, min_support: int = 5) -> DecisionList:
+def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int | None = None, max_clauses: int | None = None, min_precision: float = 0.95, min_support: int = 5) -> DecisionList:
     """Sequential covering over ``labelled`` (doc_id, the statistics, quality 0/1): rules for quality 0.
 
-    Thresholds are the quantiles of each feature. Two of three rows grow a rule, a clause at a time by FOIL's
-    gain, until it covers no good text; the third prunes it from its end for the best (p - n) / (p + n). A rule
-    stays if its precision on the pruning rows is ``min_precision`` and it covers ``min_support`` of them; rows
-    that a rule covers leave the table for the next. Every step is one aggregate over binned rows that sends
-    ``features * bins`` counts to the driver, whatever the number of rows. No usable label gives an empty list.
+    Thresholds are the quantiles of each feature over all rows, finer at both ends, and those over the bad rows and
+    over the values that are not 0, so that what few rows have can be told apart. Two of three rows grow a rule, a
+    clause at a time by FOIL's gain, until it covers no good text; the third prunes it from its end for the best
+    (p - n) / (p + n). A rule stays if its precision on the pruning rows is ``min_precision`` and it covers
+    ``min_support`` of them; rows that a rule covers leave the table for the next. If it fails, the feature and
+    side that it opened with open no further rule, and the next best opening is tried, until none is left. Every
+    step is one aggregate over binned rows that sends ``features * cuts`` counts to the driver, whatever the number
+    of rows. No usable label gives an empty list. ``max_rules`` and ``max_clauses`` bound the list where they are set.
     """
     names = list(FEATURES)
     values = labelled.where("quality IN (0, 1)").select((F.col("quality") == 0).alias("bad"), (id_bucket("doc_id", 3) != 0).alias("grow"), *(feature(n).alias(n) for n in names))
     shares = [i / bins for i in range(1, bins)]
-    cut_row = values.agg(*(F.percentile_approx(n, F.array(*map(F.lit, shares)), 10_000).alias(n) for n in names), *(F.min(n).alias(f"{n}_low") for n in names)).first()
-    if cut_row is None or cut_row[names[0]] is None:
+    tails = [1 / (bins << k) for k in range(1, 6)]
+    fine = sorted({0.0, *shares, *tails, *(1 - x for x in tails), 1.0})
+    at = lambda c, q: F.percentile_approx(c, F.array(*map(F.lit, q)), 10_000)
+    asked = [(f"{n}_{i}", c) for n in names for i, c in enumerate((at(F.col(n), fine), at(F.when(F.col("bad"), F.col(n)), fine), at(F.when(F.col(n) != 0, F.col(n)), fine), F.min(n)))]
+    cut_row = values.agg(*(c.alias(a) for a, c in asked)).first()
+    if cut_row is None or cut_row[f"{names[0]}_0"] is None:
         return DecisionList([])
-    cuts = {n: sorted({c for c in cut_row[n] if c > cut_row[f"{n}_low"]}) for n in names}
-    binned = [reduce(lambda a, c: a + (F.col(n) >= c).cast("int"), cuts[n], F.lit(0)).alias(n) for n in names]
+    cuts = {n: sorted({c for i in range(3) for c in cut_row[f"{n}_{i}"] or [] if c > cut_row[f"{n}_3"]}) for n in names}
+    # By a literal array: as a sum of comparisons so many cuts are too large a method to compile.
+    below = lambda x, at: F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c <= x)) if at else F.lit(0)
+    binned = [below(F.col(n), cuts[n]).alias(n) for n in names]
     rows = materialize(values.select("bad", "grow", *binned).groupBy("bad", "grow", *names).count(), work)
     fits = lambda c: (F.col(c[0]) >= c[2]) if c[1] == ">=" else (F.col(c[0]) < c[2])
     all_of = lambda clauses: reduce(lambda a, b: a & b, map(fits, clauses), F.lit(True))
     rules: list[list[tuple[str, str, int]]] = []
-    left = rows
-    while len(rules) < max_rules:
+    left, failed, opening = rows, set(), None
+    while max_rules is None or len(rules) < max_rules:
         rule: list[tuple[str, str, int]] = []
-        while len(rule) < max_clauses:
+        while max_clauses is None or len(rule) < max_clauses:
             seen = left.where("grow").where(all_of(rule))
             pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in names)))
-            counts = seen.select("bad", "count", pairs.alias("f")).groupBy("f.name", "f.bin").agg(F.sum(F.when(F.col("bad"), F.col("count")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("count"))).alias("n")).collect()
+            if rule or opening is None:  # after a failure the table is as it was
+                counts = seen.select("bad", "count", pairs.alias("f")).groupBy("f.name", "f.bin").agg(F.sum(F.when(F.col("bad"), F.col("count")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("count"))).alias("n")).collect()
+                opening = opening if rule else counts
+            else:
+                counts = opening
             by = {n: {} for n in names}
             for r in counts:
                 by[r["name"]][r["bin"]] = (r.p, r.n)
@@ -149,6 +162,8 @@ def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int =
             for n in names:
                 for k in range(1, len(cuts[n]) + 1):
                     for side in (">=", "<"):
+                        if not rule and (n, side) in failed:
+                            continue
                         inside = [x for b, x in by[n].items() if (b >= k) == (side == ">=")]
                         p, m = sum(x[0] for x in inside), sum(x[1] for x in inside)
                         if p >= min_support:
@@ -167,8 +182,10 @@ def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int =
         keep = max(range(1, len(rule) + 1), key=lambda k: (round(score(k), 9), -k))
         p, n = told[f"p{keep}"] or 0, told[f"n{keep}"] or 0
         if p < min_support or p < min_precision * (p + n):
-            break
+            failed.add(rule[0][:2])
+            continue
         rules.append(rule[:keep])
+        opening = None
         left = left.where(~all_of(rule[:keep]))
     return DecisionList([[(n, side, cuts[n][k - 1]) for n, side, k in rule] for rule in rules])
 

@@ -174,3 +174,20 @@ def test_flow_moves_least():
     for o, b, size in blocks:
         load[placed[o, b]] += size
     assert len(load) == 8 and max(load.values()) - min(load.values()) <= 2
+
+
+def test_rules_rare_and_many(spark):
+    """Junk in 1% of rows gets a threshold, in a feature that is mostly 0 and at an end, and covering goes on past eight rules."""
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, quality int"
+    plain = lambda i: [i, 100 + i % 50, 500, 0, 0, 0, 10, 20, 0, 1]
+    rare = [plain(i) for i in range(5000)]
+    for i in range(0, 5000, 100):
+        rare[i][4], rare[i][9] = 3, 0
+        rare[i + 1][2], rare[i + 1][9] = 150 + i % 7, 0
+    bands = [[i, 100 * (i % 21) + 50, 500 * (i % 21), 0, 0, 0, 10, 20, 0, 1 - i % 21 % 2] for i in range(4200)]
+    for rows, least in ((rare, 1), (bands, 9)):
+        df = spark.createDataFrame([tuple(r) for r in rows], schema)
+        found = quality_rules.learn_rules(df, run_dir(spark, "t8"))
+        told = df.select("quality", found.verdict().alias("kept")).groupBy("quality", "kept").count().collect()
+        count = {(r.quality, r.kept): r["count"] for r in told}
+        assert len(found.rules) >= least and not count.get((0, True)) and not count.get((1, False)), (str(found), count)
