@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdspark.functions import geometry as G
-from crowdspark.operators import annotations, commerce, counters, density, identity, metrics, stays, trajectories
+from crowdspark.operators import annotations, commerce, counters, density, identity, metrics, plans, stays, trajectories
 from crowdspark.sources import recordings, sales
 
 SQUARE = [(0, 0), (4, 0), (4, 4), (0, 4)]
@@ -203,3 +203,30 @@ def test_audit_edges(spark):
 @pytest.mark.parametrize("times,keep", [([0, 0.5, 1.0, 1.9, 2.1], [True, False, True, False, True])])
 def test_spaced(times, keep):
     assert counters.spaced(times, 1.0) == keep
+
+
+def test_visit_matching_long(spark):
+    """A business's visits in many batches and parts: as matched one by one, and no call takes them all."""
+    v = lambda i: [math.cos(i), math.sin(i)]
+    visits = [("s", b, 50.0 * i + (9000.0 if i >= 150 else 0.0), "entry", v(i * 0.9), i % 2 == 0) for b in "xy" for i in range(300)]
+    visits += [(s, b, t + 601.0, "exit", vector, True) for s, b, t, _, vector, _ in visits if t % 100 == 0]
+    want = set()
+    for b in "xy":
+        held = []
+        for s, _, t, kind, vector, bag in sorted((r for r in visits if r[1] == b), key=lambda r: (r[2], r[3])):
+            if kind == "entry":
+                held.append((t, vector, bag))
+                continue
+            near = sorted(((vector[0] * e[1][0] + vector[1] * e[1][1], i) for i, e in enumerate(held) if 2 <= t - e[0] <= 900), reverse=True)
+            ok = bool(near) and near[0][0] >= 0.94 and (len(near) < 2 or near[0][0] - near[1][0] >= 0.01)
+            entry = held.pop(near[0][1]) if ok else None
+            want.add((b, t, ok, bool(ok and not entry[2])))
+    df = spark.createDataFrame(visits, "session string, business_id string, t double, kind string, vector array<double>, bag boolean").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = plans.visit_matching(df, 900.0, 0.94, 0.01)
+        got = set(rows(found, "business_id", "t", "matched", "changed"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and {True, False} == {w[2] for w in want}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
