@@ -230,3 +230,17 @@ def test_visit_matching_long(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and {True, False} == {w[2] for w in want}
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_regroup_evidence(spark):
+    """Positions join and part people whatever they look like, rivals join nobody, live ids join alike ones, and brief groups have no number."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    far = [("s", 1, "A", 10, 0.0, 9.0, 9, a), ("s", 2, "B", 11, 0.0, 9.0, 9, b), ("s", 3, "A", 12, 20.0, 29.0, 9, [0.0, 0.0, 1.0]), ("s", 4, "B", 13, 20.0, 29.0, 9, [0.0, 0.0, 1.0])]
+    live = [("l", 1, "A", 7, 0.0, 9.0, 9, a), ("l", 2, "A", 7, 20.0, 29.0, 9, [0.6, 0.8, 0.0]), ("l", 3, "A", 8, 40.0, 41.0, 9, b), ("l", 4, "A", 9, 50.0, 59.0, 1, [0.0, 0.0, 1.0])]
+    rival = [("r", 1, "A", 1, 0.0, 9.0, 9, a), ("r", 2, "B", 2, 0.0, 9.0, 9, b), ("r", 3, "B", 3, 10.0, 19.0, 9, [0.0, 0.0, 1.0])]
+    tracks = spark.createDataFrame(far + live + rival, "session string, uid long, camera string, gid long, start_s double, end_s double, views int, prototype array<double>")
+    pairs = spark.createDataFrame([("s", 1, 2, 20, 0.1, "together"), ("s", 3, 4, 20, 9.0, "conflict"), ("r", 1, 2, 20, 0.5, "together"), ("r", 1, 3, 8, 0.6, "unclear")], "session string, a long, b long, ticks long, median double, kind string")
+    got = {(r.session, r.uid): r.public_id for r in identity.regroup_people(tracks, identity.conflict_pairs(tracks), 0.9, pairs).collect()}
+    assert {k[1]: n for k, n in got.items() if k[0] == "s"} == {1: 1, 2: 1, 3: 2, 4: 3}
+    assert {k[1]: n for k, n in got.items() if k[0] == "l"} == {1: 1, 2: 1, 3: None, 4: None}
+    assert {k[1]: n for k, n in got.items() if k[0] == "r"} == {1: 1, 2: 2, 3: 3}
