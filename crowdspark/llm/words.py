@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_STEP = _U(0x9E3779B97F4A7C15)
+#: Keeps the first k of eight bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
@@ -26,20 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the n+1 offsets of the texts; null counts as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -66,15 +52,81 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+class Words:
+    """Words of a text buffer as numbers: their first eight bytes, length, further bytes in blocks of eight, and hash.
+
+    The hash has no structure that equal-looking words could share: every block is mixed with its place before
+    blocks are added up. ``equal`` compares the bytes themselves.
+    """
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True):
+        padded = np.concatenate([_LOWER[raw] if lower else raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+        self.size = ends - starts
+        self.head = eight[starts] & _MASK[np.minimum(self.size, 8)]
+        blocks = np.maximum(self.size - 1, 0) // 8
+        self.at = np.concatenate([[0], np.cumsum(blocks)])
+        place = np.arange(self.at[-1]) - np.repeat(self.at[:-1], blocks) + 1
+        where = np.repeat(starts, blocks) + 8 * place
+        self.tail = eight[where] & _MASK[np.minimum(np.repeat(ends, blocks) - where, 8)]
+        self.hashes = self.hash(place)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def hash(self, place: np.ndarray) -> np.ndarray:
+        h = mix(self.head + self.size.astype(np.uint64) * _STEP)
+        long = np.flatnonzero(self.at[:-1] < self.at[1:])
+        if len(long):
+            h[long] += np.add.reduceat(mix(self.tail ^ mix(place.astype(np.uint64) * _STEP)), self.at[long])
+        return mix(h)
+
+    def take(self, rows: np.ndarray) -> Words:
+        """The same of some of the words."""
+        found = object.__new__(Words)
+        blocks = np.diff(self.at)[rows]
+        found.size, found.head, found.hashes = self.size[rows], self.head[rows], self.hashes[rows]
+        found.at = np.concatenate([[0], np.cumsum(blocks)])
+        found.tail = self.tail[np.repeat(self.at[:-1][rows] - found.at[:-1], blocks) + np.arange(found.at[-1])]
+        return found
+
+    def equal(self, other: Words) -> np.ndarray:
+        """Whether each word has the bytes of the other's word of the same number."""
+        same = (self.size == other.size) & (self.head == other.head)
+        rows = np.flatnonzero(same & (self.at[:-1] < self.at[1:]))
+        if len(rows):
+            a, b = self.take(rows), other.take(rows)
+            same[rows] = ~np.logical_or.reduceat(a.tail != b.tail, a.at[:-1])
+        return same
+
+    @staticmethod
+    def merge(a: Words, b: Words, order: np.ndarray) -> Words:
+        """Both one after the other, then in the given order."""
+        both = object.__new__(Words)
+        for name in ("size", "head", "hashes", "tail"):
+            setattr(both, name, np.concatenate([getattr(a, name), getattr(b, name)]))
+        both.at = np.concatenate([a.at, a.at[-1] + b.at[1:]])
+        return both.take(order)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word; with ``lower`` A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(raw))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_TABLE[_LOWER[raw] if lower else raw] * power[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word; with ``lower`` A-Z count as a-z. Any two of n distinct words share one with odds of n * n / 2**65."""
+    return Words(raw, starts, ends, lower).hashes
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct word, number of every word among them), told apart by their bytes."""
+    _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~words.equal(words.take(first[inverse])))
+    if len(odd):  # equal hashes, other bytes
+        seen: dict[tuple, int] = {}
+        for i in odd.tolist():
+            key = (int(words.size[i]), int(words.head[i]), words.tail[words.at[i] : words.at[i + 1]].tobytes())
+            inverse[i] = seen.setdefault(key, len(first) + len(seen))
+        new = np.zeros(len(seen), np.int64)
+        new[inverse[odd][::-1] - len(first)] = odd[::-1]
+        first = np.concatenate([first, new])
+    return first, inverse
 
 
 #: Single pieces for the splitter: letters, then punctuation that can only be one piece of its own.
@@ -86,8 +138,8 @@ class Encoder:
     """Token ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     Holds for tokenizers that lower-case, drop white space and never join across it (their file says so); the
-    ids of a text are then those of its words in order. Any other file is applied to whole texts. The table of
-    words is bounded: beyond ``limit`` words it starts anew.
+    ids of a text are then those of its words in order. Any other file is applied to whole texts. Words are found
+    by hash and confirmed by their bytes. The table is bounded: beyond ``limit`` words it starts anew.
     """
 
     def __init__(self, path: str, limit: int = 1_500_000):
@@ -108,9 +160,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.int64)
+        self.known = Words(np.zeros(0, np.uint8), nothing, nothing)  # by hash
+        self.start, self.length = nothing, nothing
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
@@ -158,34 +210,43 @@ class Encoder:
         raw, offsets = text_bytes(texts)
         data = raw.tobytes()
         lower = b"<|" not in data  # a special token's text is told from others by its case
-        starts, ends, words = word_bounds(raw, offsets)
-        hashes, first, inverse = np.unique(word_hashes(raw, starts, ends, lower), return_index=True, return_inverse=True)
-        if not len(hashes):
-            return np.zeros(0, self.dtype), words
-        if len(self.keys) > self.limit:
+        starts, ends, bounds = word_bounds(raw, offsets)
+        if not len(starts):
+            return np.zeros(0, self.dtype), bounds
+        words = Words(raw, starts, ends, lower)
+        first, inverse = distinct(words)
+        own = words.take(first)
+        if self.used > 8 * self.limit or len(self.known) > self.limit:
             self._clear()
-        at = np.searchsorted(self.keys, hashes)
-        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        start, length = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        free, hit = np.ones(len(own), bool), np.zeros(len(own), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known.hashes, own.hashes), len(self.known) - 1)
+            free = self.known.hashes[at] != own.hashes
+            hit = own.equal(self.known.take(at)) & ~free
+            start[hit], length[hit] = self.start[at[hit]], self.length[at[hit]]
         if not hit.all():
             new = np.flatnonzero(~hit)
             s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
             text = data.lower() if lower else data
             found = self._new_words([text[a:b].decode() for a, b in zip(s, e)])
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(length.sum())
+            length[new] = np.fromiter(map(len, found), np.int64, len(found))
+            total = int(length[new].sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.dtype, total)
-            start = self.used + np.cumsum(length) - length
+            start[new] = self.used + np.cumsum(length[new]) - length[new]
             self.used += total
-            self.keys = np.insert(self.keys, at[new], hashes[new])
-            self.start = np.insert(self.start, at[new], start)
-            self.length = np.insert(self.length, at[new], length)
-            at = np.searchsorted(self.keys, hashes)
-        length = self.length[at][inverse]
+            keep = new[free[new]]  # a word whose hash another has is encoded each time
+            keep = keep[np.unique(own.hashes[keep], return_index=True)[1]]
+            order = np.argsort(np.concatenate([self.known.hashes, own.hashes[keep]]), kind="stable")
+            self.known = Words.merge(self.known, own.take(keep), order)
+            self.start = np.concatenate([self.start, start[keep]])[order]
+            self.length = np.concatenate([self.length, length[keep]])[order]
+        length = length[inverse]
         after = np.concatenate([[0], np.cumsum(length)])
-        where = np.repeat(self.start[at][inverse] - after[:-1], length) + np.arange(after[-1])
-        return self.flat[where], after[words]
+        where = np.repeat(start[inverse] - after[:-1], length) + np.arange(after[-1])
+        return self.flat[where], after[bounds]
 
 
 @functools.lru_cache(maxsize=2)

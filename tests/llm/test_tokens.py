@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 
 from crowdspark.llm import packing, token_files
 from crowdspark.llm.common import run_dir
-from crowdspark.llm.words import Encoder
+from crowdspark.llm import words as words_module
+from crowdspark.llm.words import Encoder, Words, distinct
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +39,32 @@ def test_words_give_the_ids_of_whole_texts(plain):
             assert ids[a:b].tolist() == plain(t), t
 
 
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_alike_to_polynomial_hashes(plain):
+    a, b = thue_morse(1024)
+    ids, offsets = Encoder(PATH).encode(pa.array([a, b, a]))
+    assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [plain(a), plain(b), plain(a)]
+
+
+def test_words_of_one_hash_are_told_apart(plain, monkeypatch):
+    """Hashes only find words; their bytes decide."""
+    monkeypatch.setattr(Words, "hash", lambda self, place: self.size.astype(np.uint64) % np.uint64(3))
+    texts = ["the cat the dog", "a cat, another dog", "internationalisation internationalizations the", "interna internationalisatiom a\0 a", "dog cat the"]
+    coder = Encoder(PATH)
+    for part in (texts, texts[::-1]):
+        ids, offsets = coder.encode(pa.array(part))
+        assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [plain(t) for t in part]
+    raw, offsets = words_module.text_bytes(pa.array(texts))
+    starts, ends, _ = words_module.word_bounds(raw, offsets)
+    first, inverse = distinct(Words(raw, starts, ends))
+    names = [bytes(raw[a:b]) for a, b in zip(starts, ends)]
+    assert len(first) == len(set(names)) and [names[first[i]] for i in inverse] == names
+
+
 def test_token_files(spark, docs, rows, empty, plain):
     out = run_dir(spark, "t1")
     files = token_files.write_token_files(docs, out, PATH, 2)
@@ -82,7 +109,7 @@ def test_packing(docs, rows, plain, length):
 def test_sum_of_squares_rule():
     """Each placement leaves the least sum of squared level counts among all levels it could take."""
     pick = random.Random(3)
-    packer = packing.SquarePacker(16)
+    packer = packing.SquarePacker(16, most=10**6)
     for i in range(2000):
         size = pick.randrange(1, 16)
         before = packer.counts.copy()
@@ -98,5 +125,39 @@ def test_sum_of_squares_rule():
         assert int((packer.counts[1:16] ** 2).sum()) == min(options)
 
 
+def test_bounded_windows_lose_nothing():
+    """With few windows allowed, items are cut to close one; all ids come out once, in order, in full or power-of-two windows."""
+    pick = random.Random(8)
+    for most in (1, 3, 40):
+        packer = packing.SquarePacker(32, most)
+        sizes = [pick.randrange(1, 32) for _ in range(500)]
+        windows = []
+        for i, size in enumerate(sizes):
+            windows += packer.put((i, 0, np.arange(size), size))
+            assert packer.held == packer.counts.sum() <= most
+        windows += packer.rest()
+        fills = [sum(len(p[2]) for p in w.pieces) for w in windows]
+        assert all(f == 32 or f & (f - 1) == 0 for f in fills) and sum(fills) == sum(sizes)
+        seen = {}
+        for doc, start, ids, _ in (p for w in windows for p in w.pieces):
+            assert ids[0] == start
+            seen.setdefault(doc, []).extend(ids.tolist())
+        assert all(sorted(seen[i]) == list(range(n)) for i, n in enumerate(sizes))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_the_rule_places_nearly_all(spark, sf, parts):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").repartition(parts)
+    pieces = packing.pack_documents(docs, PATH).collect()
+    short = [p for p in pieces if p.length < 2048]
+    fill = {}
+    for p in pieces:
+        fill[p.sequence_id] = fill.get(p.sequence_id, 0) + p.length
+    total = sum(fill.values())
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in fill.values())
+    assert padded < 0.02 * total and sum(p.length for p in short if p.placed) >= 0.9 * sum(p.length for p in short)
+
+
 def test_packing_empty(empty):
     assert packing.pack_documents(empty, PATH).count() == 0
