@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset a fresh local one."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Where that is unset, a fresh one on a single machine; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
@@ -42,10 +44,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system and path for a URI (``file:/x`` as Hadoop writes it included)."""
+    """pyarrow's file system and path for a URI, as Hadoop writes it too: ``file:/x``, ``s3a://`` and ``s3n://``."""
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
-    return pafs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
 
 
 def write_atomic(uri: str, chunks) -> None:
@@ -59,16 +62,34 @@ def write_atomic(uri: str, chunks) -> None:
     fs.move(temporary, path)
 
 
-@functools.lru_cache(maxsize=None)
-def local_path(uri: str) -> str:
-    """A path that can be memory-mapped: the file itself on a mounted folder, else a copy fetched once a worker."""
+class _Fetched(dict):
+    """Local copies of remote files, by URI; the oldest go beyond ``limit`` bytes (what is mapped from them stays mapped)."""
+
+    limit = 2 << 30
+
+    def add(self, uri: str, path: str) -> None:
+        self[uri] = path
+        while len(self) > 1 and sum(os.path.getsize(p) for p in self.values()) > self.limit:
+            os.unlink(self.pop(next(iter(self))))
+
+
+_fetched = _Fetched()
+
+
+def local_path(uri: str) -> str | None:
+    """A path that can be memory-mapped: the file itself on a mounted folder, else a copy fetched by the worker; None if there is no such file."""
+    if uri in _fetched:
+        return _fetched[uri]
     fs, path = filesystem(uri)
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return None
     if isinstance(fs, pafs.LocalFileSystem):
         return path
     target = os.path.join(tempfile.mkdtemp(prefix="fetched-"), os.path.basename(path))
     with fs.open_input_stream(path) as source, open(target, "wb") as out:
         while block := source.read(1 << 24):
             out.write(block)
+    _fetched.add(uri, target)
     return target
 
 
@@ -84,8 +105,6 @@ def id_bucket(column: str, n: int) -> Column:
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
     """Cut a batch into runs of rows whose texts take about ``most`` bytes together (one row at least)."""
     size = batch.column(column).fill_null("").cast(pa.large_string())
-    import numpy as np
-
     ends = np.frombuffer(size.buffers()[1], np.int64)[size.offset + 1 : size.offset + 1 + len(size)]
     base = np.frombuffer(size.buffers()[1], np.int64)[size.offset] if len(size) else 0
     at = 0

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -82,7 +82,7 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
         .where("n > 1")
         .select("text_sha256", F.lit(True).alias("edge"), "total", F.col("best.keep_id").alias("first_id"), F.col("best.run").alias("first_run"))
     )
-    both = found.join(F.broadcast(joined), ["text_sha256", "edge"], "left")
+    both = found.join(joined, ["text_sha256", "edge"], "left")
     split = F.col("total").isNotNull()
     return both.select(
         "doc_id",
@@ -93,6 +93,10 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     )
 
 
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def drop_exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """The rows of ``docs`` that stay, all columns.
 
@@ -100,16 +104,18 @@ def drop_exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     share both, where one of them stays, the longest original does, then the first by text.
     """
     found = materialize(exact_duplicates(docs, f"{out}/runs").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), f"{out}/keys")
-    sha = F.sha2(F.translate(text_or_empty(), SPACES, "").cast("binary"), 256)
+    sha = lambda c: F.sha2(F.translate(text_or_empty(c), SPACES, "").cast("binary"), 256)
 
     def by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        return rows.join(keys.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
+        """By names with an alias, for the table may have columns of any name."""
+        on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (sha("d.text") == F.col("k.text_sha256"))
+        return rows.alias("d").join(keys.select("doc_id", "text_sha256").hint("merge").alias("k"), on, how)
 
     lone = by_key(docs, found, "left_anti")
     repeated = found.where("kept")
     if repeated.isEmpty():
         return lone
-    order = Window.partitionBy("doc_id", "_key").orderBy(F.desc(F.length(text_or_empty())), "text")
-    rows = by_key(docs, repeated, "left_semi").withColumn("_key", sha).withColumn("_order", F.row_number().over(order))
-    return lone.unionByName(rows.where("_order = 1").drop("_key", "_order"))
+    rows = by_key(docs, repeated, "left_semi").select(F.struct(*map(_quoted, docs.columns)).alias("row"), "doc_id", "text", sha("text").alias("key"))
+    order = Window.partitionBy("doc_id", "key").orderBy(F.desc(F.length(text_or_empty())), "text")
+    rows = rows.withColumn("place", F.row_number().over(order))
+    return lone.unionByName(rows.where("place = 1").select("row.*"))

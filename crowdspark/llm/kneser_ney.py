@@ -217,13 +217,13 @@ def train(docs: DataFrame, out: str, bucket_size: int = BUCKET) -> Model:
     return model
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=256)
 def _gram_file(path: str) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.fromfile(path, "<i8", 1)[0])
     return np.memmap(path, np.uint64, "r", 8, (n,)), np.memmap(path, np.uint32, "r", 8 + 8 * n, (n,))
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=256)
 def _word_file(path: str) -> tuple[np.ndarray, ...]:
     n = int(np.fromfile(path, "<i8", 1)[0])
     return tuple(np.memmap(path, t, "r", 8 + 8 * n * i, (n,)) for i, t in enumerate((np.uint64, np.int64, np.float64, np.float64)))
@@ -234,12 +234,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _exists(path: str) -> bool:
-    import os
-
-    return os.path.exists(path)
-
-
 def look_up_words(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, discounted mass, share) of ascending distinct words."""
     total, mass, share = np.zeros(len(words), np.int64), np.zeros(len(words)), np.full(len(words), model.unseen)
@@ -263,7 +257,7 @@ def look_up_pairs(model: Model, context: np.ndarray, token: np.ndarray) -> np.nd
     edges = np.flatnonzero(np.concatenate([[True], sorted_bucket[1:] != sorted_bucket[:-1], [True]])) if len(order) else []
     for a, b in zip(edges, edges[1:]):
         path = local_path(f"{model.out}/grams-{sorted_bucket[a]}.bin")
-        if _exists(path):  # a bucket that no bigram fell into has no file
+        if path:  # a bucket that no bigram fell into has no file
             keys, counts = _gram_file(path)
             at, ok = _find(keys, key[order[a:b]])
             count[order[a:b][ok]] = counts[at[ok]]

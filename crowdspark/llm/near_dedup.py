@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -14,21 +14,30 @@ COORDINATES = 64
 #: Coordinates that must agree. A pair at similarity 0.75 agrees in 48 on average, with a deviation of 3.5.
 MATCHES = 31
 PERCENT = 75
-_CHUNK_TEXTS, _CHUNK_SHINGLES = 2000, 2_000_000
+#: Rounds in which a posting list is counted against one of its classes.
+ROUNDS = 2
+#: Posting lists up to this length are paired by a join, longer ones in tiles of two chunks.
+SHORT, CHUNK = 64, 4096
+#: Confirmations against one class that a task takes in a run.
+RUN = 512
 
 
 def _members(docs: DataFrame, out: str) -> DataFrame:
+    """(doc_id, body, n_shingles, node, postings): ``body`` is the text's hash, ``node`` its set's digest, a posting a coordinate with its value."""
+    salts = np.random.default_rng(21).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 for at in range(0, part.num_rows, MAX_TEXTS):
                     piece = part.slice(at, MAX_TEXTS)
                     values, offsets = shingle_sets(piece.column("text"))
-                    sign = signatures(values, offsets, COORDINATES).view(np.int64)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sign.size + 1, COORDINATES, dtype=np.int32)), pa.array(sign.ravel()))
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests(values, offsets).view(np.int64)), flat], names=["doc_id", "n_shingles", "node", "signature"])
+                    posts = (signatures(values, offsets, COORDINATES) ^ salts).view(np.int64)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, posts.size + 1, COORDINATES, dtype=np.int32)), pa.array(posts.ravel()))
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("body"), pa.array(np.diff(offsets)), pa.array(digests(values, offsets).view(np.int64)), flat], names=["doc_id", "body", "n_shingles", "node", "postings"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, signature array<long>"), out)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
+    return materialize(rows.mapInArrow(run, "doc_id long, body long, n_shingles long, node long, postings array<long>"), out)
 
 
 def components(edges: DataFrame, out: str) -> DataFrame:
@@ -57,113 +66,186 @@ def components(edges: DataFrame, out: str) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def prefix_postings(classes: DataFrame) -> DataFrame:
+    """(token, node, n_shingles) of ``classes(node, n_shingles, postings)``: the inverted lists that a match can't avoid.
+
+    Postings that one class only has drop out, and so do classes with fewer than MATCHES shared ones. Of the others
+    each class is posted under all but its MATCHES - 1 most frequent, in one order for all (frequency, then token):
+    two classes that agree in MATCHES coordinates share one of these.
+    """
+    posted = classes.select("node", "n_shingles", F.explode("postings").alias("token"))
+    frequency = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = posted.join(frequency, "token")
+    by_class = Window.partitionBy("node")  # COORDINATES rows
+    ranked = shared.withColumn("k", F.row_number().over(by_class.orderBy("df", "token"))).withColumn("n", F.count("*").over(by_class))
+    return ranked.where(F.col("k") <= F.col("n") - (MATCHES - 1)).select("token", "node", "n_shingles")
+
+
+def _alike_in_size(a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return lists.withColumn("label", F.col("node"))
+    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each list's class of the least hash in this turn against the list's others; those joined to it are skipped."""
+    pick = F.min(F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"), F.col("n_shingles"))).alias("hub")
+    hubs = lists.groupBy("token").agg(pick).select("token", F.col("hub.node").alias("a"), F.col("hub.label").alias("la"), F.col("hub.n_shingles").alias("na"))
+    rows = lists.join(hubs, "token").where((F.col("label") != F.col("la")) & _alike_in_size(F.col("n_shingles"), F.col("na")))
+    return rows.select("a", F.col("node").alias("b")).distinct()
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
+def _tile(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of one list's two chunks that agree in MATCHES postings and aren't joined yet."""
+    node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
+    posts = table.column("postings").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    mine = table.column("chunk").to_numpy() == key[1].as_py()
+    rows = np.flatnonzero(mine)
+    others = rows if key[1].as_py() == key[2].as_py() else np.flatnonzero(~mine)
+    a, b = [], []
+    for i in rows.tolist():
+        open_ = others[(label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= PERCENT * np.maximum(size[others], size[i]))]
+        hit = open_[(posts[open_] == posts[i]).sum(axis=1) >= MATCHES]
+        if len(hit):
+            a.append(np.minimum(node[hit], node[i]))
+            b.append(np.maximum(node[hit], node[i]))
+    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+    return pa.table({"a": join(a), "b": join(b)})
 
-def link_block(texts: pa.Array, nodes: list[int], chunks: list[int]) -> list[tuple[int, int]]:
-    """Confirmed links within a block that join up all its similar texts, as few as do.
 
-    With two chunks only pairs across them are looked at. Collisions of coordinates are counted for all texts
-    against one at a time; pairs with MATCHES or more are confirmed on full shingle sets, those that agree most
-    first, and pairs that earlier links already join are skipped.
+def open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a list's classes that aren't joined and are alike in size; long lists are counted at once.
+
+    Lists that are joined up whole are skipped. A short list is joined with itself. A long one is cut into chunks,
+    and any two of them meet in one task with their postings, where only pairs that match are given out: its work
+    is quadratic in the list only as far as its classes stay unjoined.
     """
-    sets: list[np.ndarray] = []
-    signed, made = [], []
-    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    for part in slices(batch, "text"):
-        for at in range(0, part.num_rows, MAX_TEXTS):
-            values, offsets = shingle_sets(part.column("text").slice(at, MAX_TEXTS))
-            sets += [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            made += digests(values, offsets).view(np.int64).tolist()
-            signed.append((signatures(values, offsets, COORDINATES) >> np.uint64(32)).astype(np.uint32))  # half will do within a block
-    sign, n = np.concatenate(signed), len(sets)
-    seen: dict[int, int] = {}
-    fit = [made[i] == nodes[i] and seen.setdefault(nodes[i], i) == i for i in range(n)]  # rows that share a doc_id come with each other's texts
-    order = [i for i in range(n) if fit[i]]
-    size = np.array([len(sets[i]) for i in order])
-    sign, chunk = sign[order], np.array([chunks[i] for i in order])
-    across = len(set(chunk.tolist())) > 1
-    found = []
-    for i in range(len(order) - 1):
-        agree = (sign[i + 1 :] == sign[i]).sum(axis=1)
-        ok = (agree >= MATCHES) & (100 * np.minimum(size[i], size[i + 1 :]) >= PERCENT * np.maximum(size[i], size[i + 1 :]))
-        if across:
-            ok &= chunk[i + 1 :] != chunk[i]
-        j = np.flatnonzero(ok)
-        if len(j):
-            found.append(np.stack([np.full(len(j), i, np.int32), (j + i + 1).astype(np.int32), agree[j].astype(np.int32)]))
-    if not found:
-        return []
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
-    union, links = _Union(len(order)), []
-    at, step = 0, 512
-    while at < pairs.shape[1]:
-        for i, j in zip(pairs[0, at : at + step].tolist(), pairs[1, at : at + step].tolist()):
-            a, b = union.find(i), union.find(j)
-            if a != b and similar(sets[order[i]], sets[order[j]], PERCENT):
-                union.up[max(a, b)] = min(a, b)
-                links.append((nodes[order[i]], nodes[order[j]]))
-        at += step
-        if at < pairs.shape[1] and at % (64 * step) == 0:  # drop the pairs that are joined by now
-            root = np.array([union.find(k) for k in range(len(order))])
-            rest = pairs[:, at:]
-            pairs, at = rest[:, root[rest[0]] != root[rest[1]]], 0
-    return links
-
-
-def near_duplicates(docs: DataFrame, out: str) -> DataFrame:
+    spread = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
+    rows = lists.join(spread, "token")
+    left = rows.where(F.col("m") <= SHORT).select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"))
+    right = left.select("token", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
+    short = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size(F.col("na"), F.col("nb"))).select("a", "b")
+    chunks = F.ceil(F.col("m") / CHUNK).cast("long")
+    long = rows.where(F.col("m") > SHORT).select("token", "node", "label", "n_shingles", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
+    long = long.join(classes.select("node", "postings"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    long = long.select("token", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "node", "label", "n_shingles", "postings")
+    return short.union(long.groupBy("token", "ci", "cj").applyInArrow(_tile, "a long, b long")).distinct()
+
+
+def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, agree) of the pairs that agree in MATCHES postings or more, counted by merging both classes' lists of them."""
+    own = classes.select("node", "postings")
+    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("postings").alias("pa")), "a").join(own.select(F.col("node").alias("b"), F.col("postings").alias("pb")), "b")
+    return rows.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("agree")).where(F.col("agree") >= MATCHES)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar.
+
+    Pairs go to where ``a``'s set is, RUN of them a run, each run led by that set: a task holds one leading set
+    and a batch of others, and a class of very many pairs is spread over as many runs as it takes.
+    """
+    many = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    runs = pairs.join(many, "a").withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / RUN).cast("long")))
+    lead = runs.select("a", "run").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "values")
+    rest = runs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "values")
+    rows = lead.union(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
+
+    def check(batches):
+        leading = np.zeros(0, np.int64)
+        for batch in batches:
+            nodes, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            values = batch.column("values")
+            flat, edge = values.values.to_numpy(), values.offsets.to_numpy()
+            a, b = [], []
+            for i, (x, y) in enumerate(zip(nodes, others)):
+                own = flat[edge[i] : edge[i + 1]]
+                if y is None:
+                    leading = own.copy()
+                elif similar(leading, own, PERCENT):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def shingle_table(docs: DataFrame, classes: DataFrame, lists: DataFrame, out: str) -> DataFrame:
+    """(node, values): the full set of each class on a list, from the text of the row that stands for the class."""
+    asked = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.body")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).where("text IS NOT NULL")
+    # By a shuffle at every size: the texts asked for grow with the table.
+    on = F.col("t.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("t.body") == F.col("q.body"))
+    found = asked.hint("merge").alias("q").join(texts.alias("t"), on).select("node", "text")
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            fresh = np.concatenate([[nodes[0] != last] if len(nodes) else [], nodes[1:] != nodes[:-1]]).astype(bool)  # equal rows come one after the other
+            last = nodes[-1] if len(nodes) else last
+            for part in slices(batch.filter(pa.array(fresh)), "text"):
+                for at in range(0, part.num_rows, MAX_TEXTS):
+                    piece = part.slice(at, MAX_TEXTS)
+                    values, offsets = shingle_sets(piece.column("text"))
+                    yield pa.RecordBatch.from_arrays([piece.column("node"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))], names=["node", "values"])
+
+    return materialize(found.mapInArrow(run, "node long, values array<long>"), out)
+
+
+def near_duplicates(docs: DataFrame, out: str, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
-    Texts with equal shingle sets are one class at once. Classes are posted under their 64 (coordinate, value)
-    pairs. Pairs that only one class has drop out, and so do classes with fewer than MATCHES shared ones; of the
-    others each class is posted under all but its MATCHES - 1 most frequent, for two classes that agree in
-    MATCHES of 64 share one of these. Classes that share a posting form blocks; a block's texts meet in one task
-    (a large block in tasks of two chunks each, so no task holds more than two chunks), where collisions are
-    counted and links confirmed on full sets. A pair at the threshold is missed with a chance of about 1e-6;
-    there is no cap on partners. Null text and text without words link with nothing and have 0 shingles; rows
-    that share a doc_id share a component only through their texts; a null doc_id is last in every order.
+    Texts with equal shingle sets are one class at once. Classes are posted under their coordinates' values
+    (``prefix_postings``). For ``rounds`` rounds each list is counted against one of its classes; then all pairs
+    that are still not joined are counted, the best one between any two groups first. Counting merges the postings
+    of two classes; pairs with MATCHES or more are confirmed on full sets, and what is joined already is skipped in
+    every step, so a group of alike texts takes about one confirmation a text. A pair at the threshold is missed
+    with a chance of about 1e-6; there is no cap on partners. Sets are fingerprints of 52 bits (two different
+    shingles of two texts of 1,000 words pass for one with odds of 2e-10) and their digests have 64 bits.
+
+    Null text and text without words link with nothing and have 0 shingles; rows that share a doc_id share a
+    component only through their texts; a null doc_id is last in every order.
     """
     members = _members(docs, f"{out}/members")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
-    classes = members.where("n_shingles > 0").groupBy("node").agg(least.alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("first")
+    classes = members.where("n_shingles > 0").groupBy("node").agg(first, F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.first("postings").alias("postings"))
     classes = materialize(classes, f"{out}/classes")
-    posted = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token"))
-    shared = posted.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    by_class = Window.partitionBy("node")
-    ranked = shared.withColumn("k", F.row_number().over(by_class.orderBy("df", "token"))).withColumn("n", F.count("*").over(by_class))
-    prefix = ranked.where(F.col("k") <= F.col("n") - (MATCHES - 1))
-    stars = prefix.select("node", F.min("node").over(Window.partitionBy("token")).alias("hub")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    blocks = components(stars, f"{out}/blocks")
-    inside = classes.drop("signature").join(blocks, "node")
-    sizes = inside.groupBy("label").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("shingles"))
-    chunks = F.ceil(F.greatest(F.col("texts") / _CHUNK_TEXTS, F.col("shingles") / _CHUNK_SHINGLES)).cast("long")
-    placed = inside.join(sizes.where("texts > 1").select("label", chunks.alias("chunks")), "label").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    asked = placed.select("node", "label", "chunk", F.col("first").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    asked = asked.select("node", "label", "chunk", "ask", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
-    asked = materialize(asked, f"{out}/asked")
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    # By a shuffle at every size: the texts asked for grow with the table.
-    work = asked.hint("merge").join(texts, texts["doc_id"].eqNullSafe(asked["ask"])).select("label", "ci", "cj", "chunk", "node", "text")
-
-    def confirm(table: pa.Table) -> pa.Table:
-        links = link_block(table.column("text").combine_chunks(), table.column("node").to_pylist(), table.column("chunk").to_pylist())
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = materialize(work.groupBy("label", "ci", "cj").applyInArrow(confirm, "a long, b long"), f"{out}/links")
-    joined = components(links, f"{out}/joined")
-    both = classes.where("n > 1").select("node", "first").join(joined, "node", "full")
-    both = both.join(classes.select("node", F.col("first").alias("own")), "node").select("node", "own", F.coalesce("label", "node").alias("label"))
-    heads = both.groupBy("label").agg(F.min(F.struct(F.col("own").isNull(), "own"))["own"].alias("component_id"))
+    lists = materialize(prefix_postings(classes), f"{out}/lists")
+    # A list of one class, or of one that is joined, has nothing to tell.
+    sets = shingle_table(docs, classes, lists, f"{out}/sets")
+    links, labels = None, None
+
+    def link(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        found = materialize(confirmed(pairs, sets), f"{out}/links-{name}")
+        every = found if links is None else links.union(found)
+        return every, components(every, f"{out}/joined-{name}")
+
+    for turn in range(rounds):
+        stars = materialize(matching(star_pairs(_labelled(lists, labels), turn), classes), f"{out}/stars-{turn}")
+        if stars.isEmpty():
+            break
+        links, labels = link(stars, f"stars-{turn}")
+    left = materialize(matching(open_pairs(_labelled(lists, labels), classes), classes), f"{out}/open")
+    for name in ("best", "rest"):
+        sides = left if labels is None else left.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        la, lb = (F.col("a"), F.col("b")) if labels is None else (F.coalesce("la", "a"), F.coalesce("lb", "b"))
+        sides = sides.select("a", "b", "agree", F.least(la, lb).alias("x"), F.greatest(la, lb).alias("y")).where("x <> y")
+        if name == "best":
+            sides = sides.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = materialize(sides.select("a", "b"), f"{out}/pairs-{name}")
+        if pairs.isEmpty():
+            break
+        links, labels = link(pairs, name)
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("label")).where(F.lit(False))
+    both = classes.where("n > 1").select("node").join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    both = both.join(classes.select("node", F.struct("first.col1", "first.doc_id").alias("own")), "node")
+    heads = both.groupBy("label").agg(F.min("own")["doc_id"].alias("component_id"))
     found = both.join(heads, "label").select("node", "component_id")
     result = members.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -173,5 +255,5 @@ def near_duplicates(docs: DataFrame, out: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id heads its component, all columns; rows that share a doc_id stay or go together."""
     found = near_duplicates(docs, out).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
-    dropped = materialize(found.select(F.col("doc_id").alias("_id")), f"{out}/dropped")
-    return docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    dropped = materialize(found.select("doc_id"), f"{out}/dropped")
+    return docs.alias("d").join(dropped.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_anti")

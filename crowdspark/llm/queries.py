@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, kneser_ney, language_id, mixing, near_dedup, packing, quality_rules, resharding, secret_scan, token_files
 from .common import id_bucket, read_table, run_dir, text_or_empty
 
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+def word_bpe() -> str:
+    """Path of the tokenizer file; looked up when a query asks for it, so that the other queries do without."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_dir(spark, "op1")
-    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), out, WORD_BPE, 2)
+    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), out, word_bpe(), 2)
     return token_files.read_token_files(spark, out, files)
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, 2048, 1)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe(), 2048, 1)
 
 
 def op3_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,11 +63,14 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [2000, 10])
-def test_near_duplicates(spark, copies, monkeypatch, chunk):
-    monkeypatch.setattr(near_dedup, "_CHUNK_TEXTS", chunk)
+@pytest.mark.parametrize("rounds, short, chunk", [(2, 64, 4096), (0, 64, 4096), (0, 2, 7), (1, 2, 50)])
+def test_near_duplicates(spark, copies, monkeypatch, rounds, short, chunk):
+    """The same groups whether stars, joins of short lists or tiles of long ones find the pairs."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "RUN", 5)
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    got = near_dedup.near_duplicates(df, run_dir(spark, "t6")).collect()
+    got = near_dedup.near_duplicates(df, run_dir(spark, "t6"), rounds).collect()
     want = brute_components(copies)
     text = dict(copies)
     assert len(got) == len(copies)
