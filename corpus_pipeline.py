@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crowdspark.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from crowdspark.llm.common import materialize, read_table, run_dir
-from crowdspark.llm.queries import WORD_BPE
+from crowdspark.llm.queries import word_bpe
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, WORD_BPE, 2048, 1)
+    return packing.pack_documents(docs, word_bpe(), 2048, 1)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
