@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,8 +66,8 @@ def plan_blocks(blocks: list[tuple[int, int, int]], n_new: int) -> dict[tuple[in
     """New shard of each block (old shard, block, bytes): near-equal shards that keep as many bytes as they can.
 
     The flow says how many bytes each old shard sends where; an old shard's home is the new shard of the same
-    number. Blocks then fill those amounts, largest first, and single blocks move from the fullest to the
-    emptiest shard as long as that brings the two closer together.
+    number. Blocks then fill those amounts in order, so that what stays fills whole files, and single blocks move
+    or change places between the fullest and the emptiest shard as long as that brings the two closer together.
     """
     total = sum(b[2] for b in blocks)
     capacity = [total * (j + 1) // n_new - total * j // n_new for j in range(n_new)]
@@ -77,14 +79,15 @@ def plan_blocks(blocks: list[tuple[int, int, int]], n_new: int) -> dict[tuple[in
     for (o, j) in need:
         by_old[o].append(j)
     placed, held, load = {}, defaultdict(list), [0] * n_new
-    for o, b, size in sorted(blocks, key=lambda x: (-x[2], x[0], x[1])):
-        j = max(by_old[o], key=lambda j: (need[o, j], j == o, -j)) if by_old[o] else min(range(n_new), key=lambda j: (load[j], j))
+    for o, b, size in sorted(blocks, key=lambda x: (x[0], x[1])):
+        home = (o, o) in need and 2 * need[o, o] >= size
+        j = o if home else max(by_old[o], key=lambda j: (need[o, j], -j)) if by_old[o] else min(range(n_new), key=lambda j: (load[j], j))
         if by_old[o]:
             need[o, j] -= size
         placed[o, b] = j
         load[j] += size
         held[j].append((size, o, b))
-    for _ in range(4 * len(blocks)):
+    for _ in range(min(4 * len(blocks), 20_000)):
         high, low = max(range(n_new), key=lambda j: load[j]), min(range(n_new), key=lambda j: load[j])
         gap = load[high] - load[low]
         best = None
@@ -117,39 +120,52 @@ def plan_blocks(blocks: list[tuple[int, int, int]], n_new: int) -> dict[tuple[in
 
 
 def _place(ordered: list[tuple[int, int, int]], size: float) -> int:
-    from bisect import bisect_left
-
     return bisect_left(ordered, (size,))
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_new: int, out: str, blocks_per_shard: int = 128) -> DataFrame:
-    """Move ``docs(doc_id, text)`` from the shards in ``old_shard`` to ``n_new`` of near-equal bytes; files under ``out``.
+def _own_names(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot", "moved")]
+
+
+def reshard(docs: DataFrame, old_shard: Callable[[Column], Column], n_new: int, out: str, blocks_per_shard: int = 128) -> DataFrame:
+    """Move a table of Parquet files, ``docs`` as read from them, from its shards to ``n_new`` of near-equal bytes.
+
+    ``old_shard`` makes of the path of a row's file the number of its shard, so a file is of one shard. A block is a stretch of rows of one
+    file, about 1/``blocks_per_shard`` of a new shard or a whole small file; the plan works on block sizes (about
+    ``n_new * blocks_per_shard`` numbers and one more a file, however large the table) and moves the fewest bytes
+    that even the shards out. Files of which no block leaves its shard stay as they are; of the others the rows are
+    written anew under ``out``, in their shard's folder. A row's slot follows from its block's base and its place in
+    the file, so nothing is sorted or shuffled, and equal rows are told apart.
 
-    Each old shard is cut by a hash into blocks of about 1/``blocks_per_shard`` of a new shard; the plan works on
-    their sizes (``n_new * blocks_per_shard`` numbers and one more a shard, however large the table). Rows then go
-    to their shard's folder, a block at a time, with a slot number that has no gap; the files are read back and
-    returned with their columns and ``size``, ``shard``, ``slot``, ``moved``. Size is the text's bytes and 16 for
-    the row. Null text, doc_id and old shard keep their rows; equal rows get slots of their own; an empty table gives none.
+    Returns all columns of ``docs`` (but for those named like the new ones) with ``size`` (bytes of ``text`` and 16
+    for the row), ``shard``, ``slot`` (gapless from 0) and ``moved``. Null text has no bytes; null doc_ids and
+    repeated rows stay; a null old shard counts as one of its own; an empty table gives none.
     """
+    spark, meta = docs.sparkSession, docs.metadataColumn("_metadata")
     size = (F.octet_length(text_or_empty()) + 16).cast("long")
-    rows = docs.select("doc_id", "text", F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"), size.alias("size"), F.xxhash64("doc_id", "text").alias("spread"))
-    meta = materialize(rows.select("old_shard", "size", "spread"), f"{out}/sizes")
-    shards = meta.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()
-    total = sum(s.bytes for s in shards) or 1
-    parts = docs.sparkSession.createDataFrame([(s.old_shard, max(1, -(-s.bytes * n_new * blocks_per_shard // total))) for s in shards], "old_shard int, parts long")
-    block = F.pmod("spread", "parts")
-    sizes = meta.join(F.broadcast(parts), "old_shard").groupBy("old_shard", block.alias("block")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    placed = plan_blocks([(s.old_shard, s.block, s.bytes) for s in sizes], n_new) if sizes else {}
-    base, before = {}, defaultdict(int)
-    for s in sorted(sizes, key=lambda s: (s.old_shard, s.block)):
-        j = placed[s.old_shard, s.block]
-        base[s.old_shard, s.block] = before[j]
-        before[j] += s.n
-    plan = docs.sparkSession.createDataFrame([(s.old_shard, s.block, placed[s.old_shard, s.block], base[s.old_shard, s.block]) for s in sizes], "old_shard int, block long, shard int, base long")
-    dealt = rows.join(F.broadcast(parts), "old_shard").withColumn("block", block).join(F.broadcast(plan), ["old_shard", "block"])
-    dealt = dealt.repartitionByRange("shard", "old_shard", "block")
-    within = Window.partitionBy("shard", "old_shard", "block").orderBy(F.asc_nulls_last("doc_id"), "text")
-    slots = dealt.select("doc_id", "text", "shard", (F.col("base") + F.row_number().over(within) - 1).alias("slot"), (F.col("shard") != F.col("old_shard")).alias("moved"))
-    slots.write.partitionBy("shard").parquet(f"{out}/shards")
-    back = docs.sparkSession.read.schema("doc_id long, text string, slot long, moved boolean, shard int").parquet(f"{out}/shards")
-    return back.select("doc_id", "text", size.alias("size"), "shard", "slot", "moved")
+    named = docs.select(F.struct(*_own_names(docs)).alias("row"), size.alias("size"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"), F.coalesce(old_shard(meta["file_path"]).cast("int"), F.lit(-1)).alias("old_shard"))
+    sizes = materialize(named.select("file", "at", "size", "old_shard"), f"{out}/sizes")
+    files = sizes.groupBy("file", "old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    share = F.greatest(F.lit(1), F.ceil(F.col("bytes") * n_new * blocks_per_shard / F.lit(max(total, 1)))).cast("long")
+    files = materialize(files.select("file", "old_shard", F.ceil(F.col("n") / share).cast("long").alias("rows")), f"{out}/files")
+    block = F.floor(F.col("at") / F.col("rows")).cast("long").alias("block")
+    blocks = sizes.join(files.drop("old_shard"), "file").groupBy("old_shard", "file", block).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    blocks = materialize(blocks, f"{out}/blocks")
+    listed = blocks.select("old_shard", "file", "block", "bytes").collect()
+    placed = plan_blocks([(b.old_shard, (b.file, b.block), b.bytes) for b in listed], n_new) if listed else {}
+    plan = spark.createDataFrame([(key[0], key[1], j) for (_, key), j in placed.items()], "file long, block long, shard int")
+    before = Window.partitionBy("shard").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placement = blocks.join(plan, ["file", "block"]).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placement = placement.withColumn("affected", F.max(F.col("shard") != F.col("old_shard")).over(Window.partitionBy("file")))
+    placement = materialize(placement.select("file", "block", "shard", "base", "affected"), f"{out}/placement")
+    slot = F.col("base") + F.col("at") - F.col("block") * F.col("rows")
+    moved = F.col("shard") != F.col("old_shard")
+    rows = named.join(files.drop("old_shard"), "file").withColumn("block", block).join(placement, ["file", "block"])
+    final = lambda df: df.select("row.*", "size", "shard", slot.alias("slot"), moved.alias("moved"))
+    anew = final(rows.where("affected"))
+    anew.write.partitionBy("shard").parquet(f"{out}/shards")
+    back = spark.read.schema(anew.schema).parquet(f"{out}/shards").select(*anew.columns)
+    if placement.where("NOT affected").isEmpty():
+        return back
+    return back.unionByName(final(rows.where("NOT affected")))
