@@ -14,6 +14,8 @@ from .common import id_bucket, slices
 DIMENSIONS = 1024
 _SLICE = 1 << 20
 _TABLE_LIMIT = 1 << 16
+#: Texts and trigrams that are bundled at once, and characters of a text; the rest follows and adds up.
+_TEXTS, _GRAMS, _PIECE = 512, 4096, 1 << 20
 
 
 @functools.cache
@@ -57,25 +59,16 @@ class Profiler:
             at[i] = row
         return self.table[at].astype(np.float32)
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(trigram codes, counts by text and trigram, letters by text)."""
-        padded = [f" {t.lower()} " for t in texts]
-        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.fromiter(map(len, padded), np.int64, len(padded))
-        doc = np.repeat(np.arange(len(padded)), length)
-        letter = _letters()[points]
-        begin = np.zeros(len(points), bool)
-        begin[np.cumsum(length) - length] = True
-        keep = letter | begin
-        keep[1:] |= letter[:-1] & ~begin[1:]
-        doc, symbols = doc[keep], np.where(letter, points, 32)[keep]
+    def add(self, symbols: np.ndarray, owner: np.ndarray, into: np.ndarray) -> None:
+        """Add the trigrams of symbols, none across two owners' ends, to the rows of ``into`` that ``owner`` names."""
+        inside = owner[:-2] == owner[2:]
+        if not inside.any():
+            return
         present = np.flatnonzero(np.bincount(symbols, minlength=33))
         number = np.zeros(present[-1] + 1, np.int64)
         number[present] = np.arange(len(present))
         s, n = number[symbols], len(present)
-        inside = doc[:-2] == doc[2:]
         code = (s[:-2] * n * n + s[1:-1] * n + s[2:])[inside]
-        doc = doc[:-2][inside]
         if n**3 <= 1 << 24:
             found = np.flatnonzero(np.bincount(code, minlength=1))
             place = np.zeros(n**3, np.int64)
@@ -83,10 +76,56 @@ class Profiler:
             code = place[code]
         else:
             found, code = np.unique(code, return_inverse=True)
-        table = np.bincount(doc * len(found) + code, minlength=len(texts) * len(found)).reshape(len(texts), len(found))
         a, b, c = (present[x].astype(np.int64) for x in (found // (n * n), found // n % n, found % n))
-        letters = np.add.reduceat(letter, np.cumsum(length) - length, dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
-        return (a << 42) | (b << 21) | c, table.astype(np.float32), letters
+        grams = (a << 42) | (b << 21) | c
+        rows, own = np.unique(owner[:-2][inside], return_inverse=True)
+        key = np.sort(code * len(rows) + own)  # by trigram
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, count = key[first], np.diff(np.append(first, len(key)))
+        for at in range(0, len(grams), _GRAMS):
+            lo, hi = np.searchsorted(key, [at * len(rows), (at + _GRAMS) * len(rows)])
+            own_grams = grams[at : at + _GRAMS]
+            table = np.zeros((len(rows), len(own_grams)), np.float32)
+            table[key[lo:hi] % len(rows), key[lo:hi] // len(rows) - at] = count[lo:hi]
+            into[rows] += table @ self.vectors(own_grams)
+
+    def bundles(self, texts: list[str], group: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bundle of each of n groups, letters of each text). What is held at once is bounded beside the texts and the bundles."""
+        into, letters = np.zeros((n, self.dimensions)), np.zeros(len(texts), np.int64)
+        short = [i for i, t in enumerate(texts) if len(t) <= _PIECE]
+        for at in range(0, len(short), _TEXTS):
+            own = short[at : at + _TEXTS]
+            padded = [f" {texts[i].lower()} " for i in own]
+            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+            length = np.fromiter(map(len, padded), np.int64, len(padded))
+            edge = np.cumsum(length) - length
+            letter = _letters()[points]
+            begin = np.zeros(len(points), bool)
+            begin[edge] = True
+            keep = letter | begin
+            keep[1:] |= letter[:-1] & ~begin[1:]
+            letters[own] = np.add.reduceat(letter, edge, dtype=np.int64)
+            doc = np.repeat(np.arange(len(own)), length)[keep]
+            symbols = np.where(letter, points, 32)[keep]
+            # Within a text first, then by group: two texts of a group have no trigram across them.
+            one = np.zeros((len(own), self.dimensions))
+            self.add(symbols, doc, one)
+            np.add.at(into, [group[i] for i in own], one)
+        for i in (i for i, t in enumerate(texts) if len(t) > _PIECE):
+            low, tail, one = texts[i].lower(), np.array([32], np.uint32), np.zeros((1, self.dimensions))
+            for at in range(0, len(low) + 1, _PIECE):
+                piece = low[at : at + _PIECE] + ("" if at + _PIECE < len(low) + 1 else " ")
+                points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+                letter = _letters()[points]
+                letters[i] += int(letter.sum())
+                keep = letter.copy()
+                keep[1:] |= letter[:-1]
+                keep[:1] |= tail[-1] != 32
+                symbols = np.concatenate([tail, np.where(letter, points, 32)[keep]])
+                self.add(symbols, np.zeros(len(symbols), np.int64), one)
+                tail = symbols[-2:]
+            into[group[i]] += one[0]
+        return into, letters
 
 
 @functools.cache
@@ -106,12 +145,11 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, max_languages:
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 langs = part.column("lang").to_pylist()
-                codes, table, _ = own.counts(part.column("text").to_pylist())
                 names = sorted(set(langs))
-                pick = np.array([[x == name for x in langs] for name in names], np.float32)
-                vectors = (pick @ table) @ own.vectors(codes)
+                number = {name: k for k, name in enumerate(names)}
+                vectors, _ = own.bundles(part.column("text").to_pylist(), [number[x] for x in langs], len(names))
                 for name, v in zip(names, vectors):
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
+                    sums[name] = sums.get(name, 0) + v
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], names=["lang", "dim", "value"])
 
@@ -132,17 +170,16 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     Text without a letter, null text, or no profile at all gives ``und`` and 0. Ties go to the first name.
     """
     names = list(profiles)
-    matrix = np.array([profiles[n] for n in names], np.float32).reshape(len(names), dimensions).T
+    matrix = np.array([profiles[n] for n in names]).reshape(len(names), dimensions).T
 
     def run(batches):
         own = profiler(dimensions)
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                codes, table, letters = own.counts(texts)
+                bundle, letters = own.bundles(texts, list(range(len(texts))), len(texts))
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
                 if names:
-                    bundle = table @ own.vectors(codes)
                     cosine = (bundle @ matrix) / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
                     best = np.argmax(cosine, axis=1)
                     known = letters > 0
