@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +19,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so a shorter run hol
 #: Order in which kinds are listed where spans start alike.
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "hex_der_key", "ssh_key")
 
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")  # line ends as such or escaped, as JSON has them
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\+[nr])+")  # line ends as such or escaped, as JSON has them
+_PEM_HEADER = re.compile(r"(?:\s|\\+[nr])*([A-Za-z][A-Za-z0-9-]*): ?([^\n\\]*)(?:\n|\\+[nr])")
 # A key name and '=' may stand straight before a value. Standard and URL-safe runs are looked for apart: dashes also rule lines off.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
@@ -114,9 +117,8 @@ def is_ssh_blob(data: bytes | None) -> bool:
     return len(fields) >= 2 and re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-[a-z0-9]+)(@[a-z.]+)?", fields[0]) is not None
 
 
-def is_signed_token(text: str) -> bool:
+def is_signed_token(head: str, claims: str) -> bool:
     """Header is a JSON object that names an algorithm, claims are a JSON object."""
-    head, claims, _ = text.split(".")
     try:
         first, second = (json.loads(decode_base64(x) or b"") for x in (head, claims))
     except (ValueError, UnicodeDecodeError, RecursionError):
@@ -124,21 +126,59 @@ def is_signed_token(text: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
 
 
+def signed_tokens(text: str):
+    """(start, end) of the signed tokens: runs of the token alphabet are cut at dots, so the text is read once.
+
+    A header starts at the first or the last ``eyJ`` between two dots; claims and, if it has one, signature follow.
+    """
+    for run in _DOTTED.finditer(text) if "eyJ" in text else ():
+        if "eyJ" not in run[0]:
+            continue
+        parts, at = run[0].split("."), run.start()
+        starts = [at]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        i = 0
+        while i + 2 < len(parts):
+            found = next((k for k in dict.fromkeys((parts[i].find("eyJ"), parts[i].rfind("eyJ"))) if k >= 0 and parts[i + 1] and is_signed_token(parts[i][k:], parts[i + 1])), None)
+            if found is not None:
+                yield starts[i] + found, starts[i + 3] - 1
+                i += 2
+            i += 1
+
+
+def pem_keys(text: str):
+    """(start, end) of the PEM blocks whose body decodes to a key, or, where headers tell how it is sealed, to whole cipher blocks."""
+    for m in _PEM_BEGIN.finditer(text) if "-----BEGIN " in text else ():
+        at, headers = m.end(), {}
+        while h := _PEM_HEADER.match(text, at):
+            headers[h[1]], at = h[2].strip(), h.end()
+        body = _PEM_BODY.match(text, at)
+        close = f"-----END {m[1]}-----"
+        if not body or not text.startswith(close, body.end()):
+            continue
+        data = decode_base64(body[0])
+        sealed = headers.get("DEK-Info", "").partition(",")[2]
+        if headers.get("Proc-Type", "").endswith("ENCRYPTED"):
+            good = bool(data) and re.fullmatch(r"[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32}", sealed) is not None and len(data) % (len(sealed) // 2) == 0
+        else:
+            good = is_der_key(data) or is_ssh_blob(data)
+        if good:
+            yield m.start(), body.end() + len(close)
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, confirmed spans) of a text as (start, order of kind, span), sorted."""
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    more = [(m.start(), m.end(), 3) for m in _TOKEN.finditer(text) if is_signed_token(m[0])] if "eyJ" in text else []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = decode_base64(m[2])
-            if is_der_key(data) or is_ssh_blob(data):
-                more.append((m.start(), m.end(), 4))
+    more = [(a, b, 3) for a, b in signed_tokens(text)] + [(a, b, 4) for a, b in pem_keys(text)]
     inside = [(a, b) for a, b, k in more if k == 4]
+    first = [a for a, _ in inside]
+    covered = lambda at: bool(first) and (k := bisect_right(first, at)) > 0 and at < inside[k - 1][1]
     hex_bytes = lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None
     for kind, pattern, decode, fits in ((5, _BASE64, decode_base64, is_der_key), (5, _URL_SAFE, decode_base64, is_der_key), (6, _HEX_ANY, hex_bytes, is_der_key), (7, _SSH, decode_base64, is_ssh_blob), (7, _SSH_URL_SAFE, decode_base64, is_ssh_blob)):
-        more += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if not any(a <= m.start() < b for a, b in inside) and fits(decode(m[0]))]
+        more += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if not covered(m.start()) and fits(decode(m[0]))]
     order = lambda spans: sorted((a, k, f"{KINDS[k]}:{a}:{b}") for a, b, k in spans)
     return order(base), order(base + list(dict.fromkeys(more)))  # a run of letters and digits alone is of both alphabets
 
@@ -151,8 +191,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then in the order of KINDS. A base
     span is one that its pattern matches; a confirmed span also decodes to what its kind says: a signed token
-    with a JSON header, a PEM block, base64 (standard or URL-safe) or hex run that is one exactly nested key encoding, a key blob of
-    length-prefixed fields. Null text counts as empty and has no span; repeated rows give repeated rows.
+    with a JSON header, a PEM block with headers or not, base64 (standard or URL-safe) or hex run that is one exactly nested key encoding, a key blob of
+    length-prefixed fields. Texts of any length are read in linear time. Null text counts as empty and has no span; repeated rows give repeated rows.
     """
 
     def run(batches):
