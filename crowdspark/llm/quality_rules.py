@@ -14,6 +14,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
+#: Bound of the learner's sample: labelled documents, taken by the hash of their id.
+SAMPLE_ROWS = 20_000
 
 
 def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -190,19 +192,26 @@ def learn_rules(labelled: DataFrame, work: str, bins: int = 32, max_rules: int |
     return DecisionList([[(n, side, cuts[n][k - 1]) for n, side, k in rule] for rule in rules])
 
 
-def _taught(statistics: DataFrame, labels: DataFrame) -> DataFrame:
-    one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return statistics.where(~base_failed()).join(one, "doc_id")
+def labelled_sample(labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, quality) of at most ``most`` labelled documents, the least quality where labels differ."""
+    one = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def _taught(statistics: DataFrame, sample: DataFrame) -> DataFrame:
+    return statistics.where(~base_failed()).join(F.broadcast(sample), "doc_id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """The rows of ``docs`` that pass the base limits and the rules, all columns, without a shuffle of texts.
 
-    Statistics are written once to learn from and computed again where each row is judged: counting twice is less
-    than moving every text to its verdict.
+    Rules are learned from SAMPLE_ROWS labelled rows, whose statistics alone are written; every row is then judged
+    where it is read.
     """
-    rules = learn_rules(_taught(materialize(text_statistics(docs), f"{work}/statistics"), labels), f"{work}/bins")
-    whole = docs.select(F.struct(*docs.columns).alias("all_columns"), "text")
+    sample = materialize(labelled_sample(labels), f"{work}/sample")
+    named = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    rules = learn_rules(_taught(materialize(text_statistics(named), f"{work}/statistics"), sample), f"{work}/bins")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all_columns"), "text")
     judged = text_statistics(whole, ["all_columns"])
     # As rows of a generator the statistics are computed once; a filter would repeat them for each test.
     judged = judged.select("all_columns", F.inline(F.array(F.struct(*judged.columns[1:]))))
@@ -212,10 +221,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """Statistics, base_failed and kept for each row of ``docs(doc_id, text)``, by rules learned from ``labels``.
 
-    ``labels(doc_id, quality)`` teach through the rows they name that pass the base limits; labels without a
-    document, and documents without a label, teach nothing. ``work`` gets the statistics, computed once.
+    ``labels(doc_id, quality)`` teach through the rows they name that pass the base limits, SAMPLE_ROWS of them at
+    most; labels without a document, and documents without a label, teach nothing. ``work`` gets the statistics,
+    computed once.
     """
     statistics = materialize(text_statistics(docs), f"{work}/statistics")
-    rules = learn_rules(_taught(statistics, labels), f"{work}/bins")
+    rules = learn_rules(_taught(statistics, materialize(labelled_sample(labels), f"{work}/sample")), f"{work}/bins")
     verdict = F.coalesce(rules.verdict(), F.lit(True))
     return statistics.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"))
