@@ -1,9 +1,13 @@
 import base64
 import hashlib
 import json
+import itertools
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from crowdspark.llm import exact_dedup, language_id, quality_rules, resharding, secret_scan
@@ -82,6 +86,22 @@ def test_secrets_forms():
     assert kinds(pem(whole[:-1])) == [] and kinds(pem(whole + b"\x07")) == [] and kinds(pem(b"openssh-key-v1\0" + b"any text at all")) == []
 
 
+def test_secrets_linear_and_headers():
+    """Adversarial texts of 5 MB in seconds; sealed PEM blocks by their headers; tokens in any run of dots."""
+    began = time.time()
+    for text in ("eyJ" * 1_700_000, "eyJ." * 1_250_000, "-----BEGIN A-----\n" * 290_000, "A" * 5_000_000, "password" * 600_000, "30" * 2_500_000, "AKIA" * 1_250_000, "-----BEGIN A-----\nX: y\n" * 200_000):
+        secret_scan.scan(text)
+    assert time.time() - began < 60
+    kinds = lambda text: [s.split(":")[0] for *_, s in secret_scan.scan(text)[1] if s.split(":")[0] not in ("assign", "access", "hex")]
+    sealed = lambda n: "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "AB" * 16 + "\n\n" + base64.b64encode(b"\x91" * n).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert kinds(sealed(64)) == ["pem_key"] and kinds(sealed(65)) == [] and kinds(sealed(64).replace("\n", "\\n")) == ["pem_key"]
+    encode = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = ".".join([encode({"alg": "none"}), encode({"sub": "1"}), "c2ln"])
+    text = f"v1.{token}.x see www.a.{token}"
+    spans = [s.split(":") for *_, s in secret_scan.scan(text)[1] if s.startswith("signed_token")]
+    assert [text[int(a) : int(b)] for _, a, b in spans] == [token, token]
+
+
 def brute_groups(rows):
     groups = defaultdict(list)
     for doc, text, _ in rows:
@@ -124,6 +144,35 @@ def test_language(spark, docs, rows, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_bundles_against_brute_force(monkeypatch):
+    """Vectors by their definition, also for texts cut into pieces, many letters, and trigrams in blocks."""
+    monkeypatch.setattr(language_id, "_PIECE", 50)
+    monkeypatch.setattr(language_id, "_GRAMS", 7)
+    monkeypatch.setattr(language_id, "_TEXTS", 3)
+    pick = random.Random(4)
+    texts = ["", "a", "Hello, World", "  --  ", "x" * 49 + " " * 60 + "yé z", "".join(pick.choice("abcÉ ,.") for _ in range(333)), "".join(chr(0x4E00 + pick.randrange(3000)) for _ in range(400)), "a" * 50, "b" * 51 + "  "]
+    d = 64
+    group = [pick.randrange(4) for _ in texts]
+    got, letters = language_id.Profiler(d).bundles(texts, group, 4)
+    want = np.zeros((4, d))
+    for text, g in zip(texts, group):
+        symbols = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            v = [language_id.letter_vector(ord(x), d).astype(int) for x in (a, b, c)]
+            want[g] += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    assert (got == want).all() and letters.tolist() == [sum(c.isalpha() for c in t.lower()) for t in texts]
+
+
+def test_language_long_and_lettered_texts(spark):
+    """A text of many pieces and a batch of many different letters in bounded memory."""
+    pick = random.Random(9)
+    cjk = ["".join(chr(0x4E00 + pick.randrange(20_000)) for _ in range(100)) for _ in range(900)]
+    df = spark.createDataFrame([(0, "the cat sat on the mat " * 200_000, "en"), *((i + 1, t, "zh") for i, t in enumerate(cjk)), (5000, "the mat " * 9, "en")], "doc_id long, text string, lang string").coalesce(1)
+    profiles = language_id.learn_profiles(df)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, profiles).collect()}
+    assert got[0] == got[5000] == "en" and sum(got[i + 1] == "zh" for i in range(900)) >= 600  # random letters share little with their sum
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.language_id(docs).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out AND n >= 60").collect()
@@ -155,14 +204,66 @@ def test_rules(spark, docs, empty):
     assert quality_rules.quality_rules(empty, labels, run_dir(spark, "t8")).count() == 0
 
 
+def stored(spark, df, files=1):
+    """The rows as a table of Parquet files, which resharding works on."""
+    path = run_dir(spark, "t9-table")
+    df.repartition(files).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def test_reshard(spark, docs, rows, empty):
-    got = resharding.reshard(docs, F.pmod("doc_id", F.lit(3)), 4, run_dir(spark, "t9")).collect()
-    assert Counter((g.doc_id, g.text) for g in got) == Counter((d, t) for d, t, _ in rows)
+    named = docs.drop("size").withColumn("shard", F.lit("clash"))
+    got = resharding.reshard(stored(spark, named, 3), lambda path: F.length(path) % 3, 4, run_dir(spark, "t9"))
+    assert got.columns == [c for c in named.columns if c != "shard"] + ["size", "shard", "slot", "moved"]
+    got = got.collect()
+    assert Counter((g.doc_id, g.text, g.lang, g.source, g.run) for g in got) == Counter((d, t, k, "src", 1) for d, t, k in rows)
     for shard in {g.shard for g in got}:
         slots = sorted(g.slot for g in got if g.shard == shard)
         assert slots == list(range(len(slots)))
     assert all(g.size == len((g.text or "").encode()) + 16 for g in got)
-    assert resharding.reshard(empty, F.lit(0), 4, run_dir(spark, "t9")).count() == 0
+    assert resharding.reshard(stored(spark, empty), lambda path: F.lit(0), 4, run_dir(spark, "t9")).count() == 0
+
+
+def test_reshard_moves_what_it_must(spark):
+    """Old shards 0 to 2 with 70, 20 and 10 % of the bytes into 3: only what is over a third moves, files with no such block stay."""
+    path = run_dir(spark, "t9-table")
+    for name, n in (("a0", 700), ("b1", 200), ("c2", 100)):
+        spark.range(n).select((F.col("id") * 0).alias("doc_id"), F.lit("same text").alias("text")).coalesce(1).write.parquet(f"{path}/old={name}")
+    docs = spark.read.parquet(path)
+    got = resharding.reshard(docs, lambda p: F.regexp_extract(p, "old=[abc]([0-9])", 1), 3, run_dir(spark, "t9")).collect()
+    load, moved = Counter(), 0
+    for g in got:
+        load[g.shard] += g.size
+        moved += g.size * g.moved
+    total = sum(load.values())
+    assert max(load.values()) - min(load.values()) <= total // 200
+    assert abs(moved - (0.7 * total - total / 3)) <= total // 200 and not any(g.moved for g in got if g.old in ("b1", "c2"))
+
+
+def brute_flow(supply, capacity, cost):
+    """Least cost by trying every split of the first source."""
+    if not supply:
+        return 0
+    best = None
+    for split in itertools.product(*(range(min(supply[0], c) + 1) for c in capacity)):
+        if sum(split) == supply[0]:
+            rest = brute_flow(supply[1:], [c - x for c, x in zip(capacity, split)], cost[1:])
+            if rest is not None:
+                own = rest + sum(x * c for x, c in zip(split, cost[0]))
+                best = own if best is None else min(best, own)
+    return best
+
+
+def test_flow_against_brute_force():
+    pick = random.Random(6)
+    for _ in range(60):
+        supply = [pick.randrange(5) for _ in range(3)]
+        cuts = sorted(pick.randrange(sum(supply) + 1) for _ in range(2))
+        capacity = [cuts[0], cuts[1] - cuts[0], sum(supply) - cuts[1]]
+        cost = [[pick.randrange(4) for _ in range(3)] for _ in range(3)]
+        flow = resharding.min_cost_flow(supply, capacity, lambda i, j: cost[i][j])
+        assert sum(x * cost[i][j] for (i, j), x in flow.items()) == brute_flow(supply, capacity, cost)
+        assert all(sum(x for (i, _), x in flow.items() if i == k) == s for k, s in enumerate(supply))
 
 
 def test_flow_moves_least():
