@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -14,12 +14,8 @@ COORDINATES = 64
 #: Coordinates that must agree. A pair at similarity 0.75 agrees in 48 on average, with a deviation of 3.5.
 MATCHES = 31
 PERCENT = 75
-#: Rounds in which a posting list is counted against one of its classes.
-ROUNDS = 2
-#: Posting lists up to this length are paired by a join, longer ones in tiles of two chunks.
-SHORT, CHUNK = 64, 4096
-#: Confirmations against one class that a task takes in a run.
-RUN = 512
+#: A block of m texts is cut into chunks of about 8 * sqrt(m), LARGEST texts and SHINGLES fingerprints at most.
+LARGEST, SHINGLES = 16_384, 8_000_000
 
 
 def _members(docs: DataFrame, out: str) -> DataFrame:
@@ -81,102 +77,71 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("k") <= F.col("n") - (MATCHES - 1)).select("token", "node", "n_shingles")
 
 
-def _alike_in_size(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def list_edges(lists: DataFrame) -> DataFrame:
+    """(a, b): the least class of each posting list with each of its others, so as many edges as postings."""
+    hubs = lists.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token", "a")
+    return lists.join(hubs, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def merge_lists(sign: np.ndarray):
+    """For each row of signatures the earlier rows that its prefix postings meet.
 
-
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each list's class of the least hash in this turn against the list's others; those joined to it are skipped."""
-    pick = F.min(F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"), F.col("n_shingles"))).alias("hub")
-    hubs = lists.groupBy("token").agg(pick).select("token", F.col("hub.node").alias("a"), F.col("hub.label").alias("la"), F.col("hub.n_shingles").alias("na"))
-    rows = lists.join(hubs, "token").where((F.col("label") != F.col("la")) & _alike_in_size(F.col("n_shingles"), F.col("na")))
-    return rows.select("a", F.col("node").alias("b")).distinct()
-
-
-def _tile(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one list's two chunks that agree in MATCHES postings and aren't joined yet."""
-    node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
-    posts = table.column("postings").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    mine = table.column("chunk").to_numpy() == key[1].as_py()
-    rows = np.flatnonzero(mine)
-    others = rows if key[1].as_py() == key[2].as_py() else np.flatnonzero(~mine)
-    a, b = [], []
-    for i in rows.tolist():
-        open_ = others[(label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= PERCENT * np.maximum(size[others], size[i]))]
-        hit = open_[(posts[open_] == posts[i]).sum(axis=1) >= MATCHES]
-        if len(hit):
-            a.append(np.minimum(node[hit], node[i]))
-            b.append(np.maximum(node[hit], node[i]))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-    return pa.table({"a": join(a), "b": join(b)})
-
-
-def open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list's classes that aren't joined and are alike in size; long lists are counted at once.
-
-    Lists that are joined up whole are skipped. A short list is joined with itself. A long one is cut into chunks,
-    and any two of them meet in one task with their postings, where only pairs that match are given out: its work
-    is quadratic in the list only as far as its classes stay unjoined.
+    The inverted lists of these rows are ordered by length; a row's prefix is all its shared postings but its
+    MATCHES - 1 longest, and rows with fewer than MATCHES shared ones meet nothing.
     """
-    spread = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
-    rows = lists.join(spread, "token")
-    left = rows.where(F.col("m") <= SHORT).select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"))
-    right = left.select("token", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
-    short = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size(F.col("na"), F.col("nb"))).select("a", "b")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("long")
-    long = rows.where(F.col("m") > SHORT).select("token", "node", "label", "n_shingles", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
-    long = long.join(classes.select("node", "postings"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    long = long.select("token", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "node", "label", "n_shingles", "postings")
-    return short.union(long.groupBy("token", "ci", "cj").applyInArrow(_tile, "a long, b long")).distinct()
-
-
-def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, agree) of the pairs that agree in MATCHES postings or more, counted by merging both classes' lists of them."""
-    own = classes.select("node", "postings")
-    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("postings").alias("pa")), "a").join(own.select(F.col("node").alias("b"), F.col("postings").alias("pb")), "b")
-    return rows.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("agree")).where(F.col("agree") >= MATCHES)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar.
-
-    Pairs go to where ``a``'s set is, RUN of them a run, each run led by that set: a task holds one leading set
-    and a batch of others, and a class of very many pairs is spread over as many runs as it takes.
+    n, k = sign.shape
+    token = np.empty((n, k), np.int64)
+    df = np.empty((n, k), np.int64)
+    total = 0
+    for i in range(k):
+        _, back, count = np.unique(sign[:, i], return_inverse=True, return_counts=True)
+        token[:, i], df[:, i], total = back + total, count[back], total + len(count)
+    order = np.lexsort((token, df))
+    token, df = np.take_along_axis(token, order, 1), np.take_along_axis(df, order, 1)
+    shared = (df > 1).sum(axis=1)
+    place = np.arange(k)
+    prefix = (df > 1) & (place[None, :] < k - (MATCHES - 1)) & (shared >= MATCHES)[:, None]
+    own, at = np.nonzero(prefix)
+    posted = token[own, at]
+    by = np.lexsort((own, posted))
+    own, posted = own[by], posted[by]
+    first = np.searchsorted(posted, posted)
+    nth = np.arange(len(posted)) - first  # earlier members of the list
+    by_row = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[by_row], np.arange(n + 1))
+    mark = np.zeros(n, bool)
+    for i in range(n):
+        for p in by_row[ends[i] : ends[i + 1]].tolist():
+            mark[own[first[p] : first[p] + nth[p]]] = True
+        yield np.flatnonzero(mark[:i])
+        mark[:i] = False
+
+
+def link_block(nodes: list[int], sets: list[np.ndarray], sign: np.ndarray, chunks: np.ndarray) -> list[tuple[int, int]]:
+    """Confirmed links within a block that join up all its similar texts, as few as do.
+
+    With two chunks only pairs across them are looked at. Each text is counted against the earlier ones that the
+    merged lists give it, without those that are joined to it already; of any other group the pair that agrees most
+    is confirmed on full sets first, and the group is left as soon as one pair is.
     """
-    many = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    runs = pairs.join(many, "a").withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / RUN).cast("long")))
-    lead = runs.select("a", "run").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "values")
-    rest = runs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "values")
-    rows = lead.union(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
-
-    def check(batches):
-        leading = np.zeros(0, np.int64)
-        for batch in batches:
-            nodes, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            values = batch.column("values")
-            flat, edge = values.values.to_numpy(), values.offsets.to_numpy()
-            a, b = [], []
-            for i, (x, y) in enumerate(zip(nodes, others)):
-                own = flat[edge[i] : edge[i + 1]]
-                if y is None:
-                    leading = own.copy()
-                elif similar(leading, own, PERCENT):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(check, "a long, b long")
-
-
-def shingle_table(docs: DataFrame, classes: DataFrame, lists: DataFrame, out: str) -> DataFrame:
-    """(node, values): the full set of each class on a list, from the text of the row that stands for the class."""
-    asked = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.body")
+    size, group, links = np.array([len(x) for x in sets]), np.arange(len(nodes)), []
+    across = len(set(chunks.tolist())) > 1
+    for i, near in enumerate(merge_lists(sign)):
+        near = near[(group[near] != group[i]) & (100 * np.minimum(size[near], size[i]) >= PERCENT * np.maximum(size[near], size[i])) & ((chunks[near] != chunks[i]) | (not across))]
+        agree = (sign[near] == sign[i]).sum(axis=1)
+        near, agree = near[agree >= MATCHES], agree[agree >= MATCHES]
+        near = near[np.argsort(-agree, kind="stable")]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            if similar(sets[i], sets[j], PERCENT):
+                links.append((nodes[i], nodes[j]))
+                group[group == group[j]] = group[i]
+                near = near[group[near] != group[i]]
+    return links
+
+
+def shingle_table(docs: DataFrame, asked: DataFrame, out: str) -> DataFrame:
+    """(node, values): the full set of each class of ``asked(node, doc_id, body)``, from the text of that row."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).where("text IS NOT NULL")
     # By a shuffle at every size: the texts asked for grow with the table.
     on = F.col("t.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("t.body") == F.col("q.body"))
@@ -197,16 +162,18 @@ def shingle_table(docs: DataFrame, classes: DataFrame, lists: DataFrame, out: st
     return materialize(found.mapInArrow(run, "node long, values array<long>"), out)
 
 
-def near_duplicates(docs: DataFrame, out: str, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Texts with equal shingle sets are one class at once. Classes are posted under their coordinates' values
-    (``prefix_postings``). For ``rounds`` rounds each list is counted against one of its classes; then all pairs
-    that are still not joined are counted, the best one between any two groups first. Counting merges the postings
-    of two classes; pairs with MATCHES or more are confirmed on full sets, and what is joined already is skipped in
-    every step, so a group of alike texts takes about one confirmation a text. A pair at the threshold is missed
-    with a chance of about 1e-6; there is no cap on partners. Sets are fingerprints of 52 bits (two different
-    shingles of two texts of 1,000 words pass for one with odds of 2e-10) and their digests have 64 bits.
+    (``prefix_postings``); lists that have a class in common make a block, so that every pair that can match is in
+    one. A block is dealt out as tiles of two chunks each, where its posting lists are merged, collisions counted
+    and links confirmed on full sets; only links leave a task. What is joined already is skipped, so a group of
+    alike texts takes about one confirmation a text. A block of m texts moves about sqrt(m) / 8 times its sets, m /
+    LARGEST times where it is very large; texts of a block that match but are not similar are counted pair by pair.
+    A pair at the threshold is missed with a chance of about 1e-6; there is no cap on partners. Sets are
+    fingerprints of 52 bits (two different shingles of two texts of 1,000 words pass for one with odds of 2e-10)
+    and their digests have 64 bits.
 
     Null text and text without words link with nothing and have 0 shingles; rows that share a doc_id share a
     component only through their texts; a null doc_id is last in every order.
@@ -216,33 +183,27 @@ def near_duplicates(docs: DataFrame, out: str, rounds: int = ROUNDS) -> DataFram
     classes = members.where("n_shingles > 0").groupBy("node").agg(first, F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.first("postings").alias("postings"))
     classes = materialize(classes, f"{out}/classes")
     lists = materialize(prefix_postings(classes), f"{out}/lists")
-    # A list of one class, or of one that is joined, has nothing to tell.
-    sets = shingle_table(docs, classes, lists, f"{out}/sets")
-    links, labels = None, None
-
-    def link(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        found = materialize(confirmed(pairs, sets), f"{out}/links-{name}")
-        every = found if links is None else links.union(found)
-        return every, components(every, f"{out}/joined-{name}")
-
-    for turn in range(rounds):
-        stars = materialize(matching(star_pairs(_labelled(lists, labels), turn), classes), f"{out}/stars-{turn}")
-        if stars.isEmpty():
-            break
-        links, labels = link(stars, f"stars-{turn}")
-    left = materialize(matching(open_pairs(_labelled(lists, labels), classes), classes), f"{out}/open")
-    for name in ("best", "rest"):
-        sides = left if labels is None else left.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        la, lb = (F.col("a"), F.col("b")) if labels is None else (F.coalesce("la", "a"), F.coalesce("lb", "b"))
-        sides = sides.select("a", "b", "agree", F.least(la, lb).alias("x"), F.greatest(la, lb).alias("y")).where("x <> y")
-        if name == "best":
-            sides = sides.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = materialize(sides.select("a", "b"), f"{out}/pairs-{name}")
-        if pairs.isEmpty():
-            break
-        links, labels = link(pairs, name)
-    if labels is None:
-        labels = classes.select("node", F.col("node").alias("label")).where(F.lit(False))
+    blocks = components(list_edges(lists), f"{out}/blocks")
+    inside = materialize(classes.select("node", "n_shingles", "first.doc_id", "first.body").join(blocks, "node"), f"{out}/inside")
+    sets = shingle_table(docs, inside.select("node", "doc_id", "body"), f"{out}/sets")
+    sizes = inside.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    chunks = F.ceil(F.greatest(F.sqrt(F.col("m")) / 8, F.col("m") / LARGEST, F.col("s") / SHINGLES)).cast("long")
+    placed = inside.select("node", "label").join(sizes.select("label", chunks.alias("chunks")), "label").join(sets, "node")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = placed.select("label", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "node", "values")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        values = table.column("values").combine_chunks()
+        flat, edge = values.flatten().to_numpy().view(np.uint64), values.offsets.to_numpy().astype(np.int64)
+        edge = edge - edge[0]
+        sets_of = [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        sign = (signatures(flat, edge, COORDINATES) >> np.uint64(32)).astype(np.uint32)  # half will do within a tile
+        links = link_block(table.column("node").to_pylist(), sets_of, sign, table.column("chunk").to_numpy())
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links = materialize(dealt.groupBy("label", "ci", "cj").applyInArrow(confirm, "a long, b long"), f"{out}/links")
+    labels = components(links, f"{out}/joined")
     both = classes.where("n > 1").select("node").join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
     both = both.join(classes.select("node", F.struct("first.col1", "first.doc_id").alias("own")), "node")
     heads = both.groupBy("label").agg(F.min("own")["doc_id"].alias("component_id"))

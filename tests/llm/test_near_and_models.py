@@ -63,14 +63,12 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("rounds, short, chunk", [(2, 64, 4096), (0, 64, 4096), (0, 2, 7), (1, 2, 50)])
-def test_near_duplicates(spark, copies, monkeypatch, rounds, short, chunk):
-    """The same groups whether stars, joins of short lists or tiles of long ones find the pairs."""
-    monkeypatch.setattr(near_dedup, "SHORT", short)
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(near_dedup, "RUN", 5)
+@pytest.mark.parametrize("largest", [16_384, 10])
+def test_near_duplicates(spark, copies, monkeypatch, largest):
+    """The same groups whether a block is one tile or many."""
+    monkeypatch.setattr(near_dedup, "LARGEST", largest)
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    got = near_dedup.near_duplicates(df, run_dir(spark, "t6"), rounds).collect()
+    got = near_dedup.near_duplicates(df, run_dir(spark, "t6")).collect()
     want = brute_components(copies)
     text = dict(copies)
     assert len(got) == len(copies)
@@ -78,6 +76,27 @@ def test_near_duplicates(spark, copies, monkeypatch, rounds, short, chunk):
         assert (g.n_shingles, g.component_id, g.kept) == (len(shingles(text[g.doc_id])), want[g.doc_id], want[g.doc_id] == g.doc_id)
 
 
+def test_merged_lists_meet_all_that_match():
+    """Every pair that agrees in enough coordinates is met through the prefixes."""
+    make = np.random.default_rng(3)
+    base = make.integers(0, 1 << 32, (6, 64), dtype=np.uint32)
+    rows = np.concatenate([np.where(make.random((25, 64)) < share, b, make.integers(0, 1 << 32, (25, 64), dtype=np.uint32)) for b in base for share in (0.5, 0.8, 1.0)])
+    met = list(near_dedup.merge_lists(rows))
+    agree = (rows[:, None] == rows[None]).sum(axis=2)
+    for i in range(len(rows)):
+        assert set(np.flatnonzero(agree[i, :i] >= near_dedup.MATCHES)) <= set(met[i].tolist()) <= set(np.flatnonzero(agree[i, :i] > 0))
+
+
+def test_words_alike_to_polynomial_hashes_stay_apart(spark):
+    """Two words of 1,024 letters that polynomial hashes modulo powers of two confuse: no link, counts of their own."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join(x[k] for k in bits) for x in ("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{a} {a} one"), (2, f"{b} {b} one")], "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.near_duplicates(df, run_dir(spark, "t6")).collect())
+    model = kneser_ney.train(df.where("doc_id = 1"), run_dir(spark, "t10"))
+    assert {r.doc_id: r.n_known for r in kneser_ney.score(df, model).collect()} == {1: 4, 2: 2}
+
+
 def test_near_duplicates_edges(spark, docs, rows, empty):
     got = near_dedup.near_duplicates(docs, run_dir(spark, "t6")).collect()
     assert len(got) == len(rows)
