@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,42 +35,69 @@ def area(polygon) -> float:
 
 
 def expand(polygon, distance: float) -> list[tuple[float, float]]:
-    """Every edge moved outwards by ``distance``, corners where moved edges meet; exact for convex polygons."""
-    v = np.asarray(polygon, float)
-    nxt = np.roll(v, -1, axis=0)
-    turn = 1.0 if (v[:, 0] * nxt[:, 1] - nxt[:, 0] * v[:, 1]).sum() > 0 else -1.0
-    d = nxt - v
-    out = turn * np.stack([d[:, 1], -d[:, 0]], axis=1) / np.linalg.norm(d, axis=1, keepdims=True)
-    before = np.roll(out, 1, axis=0)
-    scale = distance / np.maximum(1 + (out * before).sum(axis=1, keepdims=True), 1e-6)
-    return [tuple(p) for p in v + (out + before) * scale]
+    """The polygon whose edges lie ``distance`` outside the given ones: corners are where two moved edge lines meet.
+
+    Orientation doesn't matter; exact for convex polygons. Corners given twice count once. Where neighbouring edges
+    are parallel their lines don't meet, and the corner moves straight out by ``distance``.
+    """
+    corners = [tuple(map(float, p)) for i, p in enumerate(polygon) if not np.allclose(p, polygon[i - 1])]
+    if len(corners) < 3:
+        return [tuple(map(float, p)) for p in polygon]
+    signed = sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]))
+    lines = []  # normal (p, q) and offset c of each edge's moved line p*x + q*y = c
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        size = np.copysign(np.hypot(bx - ax, by - ay), signed)
+        p, q = (by - ay) / size, (ax - bx) / size
+        lines.append((p, q, p * ax + q * ay + distance))
+    moved = []
+    for (x, y), (p, q, c), (r, s, d) in zip(corners, lines[-1:] + lines[:-1], lines):
+        det = p * s - q * r
+        moved.append(((c * s - q * d) / det, (p * d - c * r) / det) if abs(det) > 1e-9 else (x + distance * r, y + distance * s))
+    return moved
+
+
+def holds(polygon, x: Column, y: Column, tol: float = 1e-6) -> Column:
+    """``inside`` as a column expression over a fixed polygon: false for a missing or infinite position."""
+    corners = [tuple(map(float, p)) for p in polygon]
+    xs, ys = sorted({p[0] for p in corners}), sorted({p[1] for p in corners})
+    zero = F.lit(0.0)
+    if len(corners) == 4 and len(xs) == len(ys) == 2 and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(corners, corners[1:] + corners[:1])):
+        away = F.hypot(F.greatest(xs[0] - x, x - xs[1], zero), F.greatest(ys[0] - y, y - ys[1], zero))
+        return F.coalesce(away <= tol, F.lit(False))
+    crossings, border = F.lit(0), F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        dx, dy = bx - ax, by - ay
+        if dy:
+            crossings = crossings + (((F.lit(ay) > y) != (F.lit(by) > y)) & (x < dx / dy * (y - ay) + ax)).cast("int")
+        k = F.least(F.greatest(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), zero), F.lit(1.0)) if dx or dy else zero
+        border = border | (F.hypot(x - (ax + k * dx), y - (ay + k * dy)) <= tol)
+    found = F.abs(x + y) < float("inf")
+    return F.coalesce(found & ((crossings % 2 == 1) | border), F.lit(False))
 
 
 def zone_of(zones: list[dict]):
-    """Vectorised zone of (x, y): interiors first, then the smallest area, then the id; -1 for none or no position."""
+    """Zone of (x, y) as a column: interiors first, then the smallest area, then the id; -1 for none or no position."""
     order = sorted(zones, key=lambda z: (z["type"] != "INTERIOR", area(z["vertices"]), z["zone_id"]))
 
-    @F.pandas_udf("int")
-    def pick(x: pd.Series, y: pd.Series) -> pd.Series:
-        px, py = x.to_numpy(float), y.to_numpy(float)
-        found = np.full(len(px), -1)
-        for z in reversed(order):
-            box = np.asarray(z["vertices"], float)
-            near = np.flatnonzero((px >= box[:, 0].min() - 1e-6) & (px <= box[:, 0].max() + 1e-6) & (py >= box[:, 1].min() - 1e-6) & (py <= box[:, 1].max() + 1e-6))
-            found[near[inside(px[near], py[near], z["vertices"])]] = z["zone_id"]
-        return pd.Series(found)
+    def pick(x, y) -> Column:
+        x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+        chain = None
+        for z in order:
+            here = holds(z["vertices"], x, y)
+            chain = F.when(here, z["zone_id"]) if chain is None else chain.when(here, z["zone_id"])
+        return (F.lit(-1) if chain is None else chain.otherwise(-1)).cast("int")
 
     return pick
 
 
 def contains(polygon, tol: float = 1e-6):
-    """Vectorised test of (x, y) against one polygon."""
+    """Test of (x, y) against one polygon, as a column."""
+    return lambda x, y: holds(polygon, F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y, tol)
 
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(inside(x.to_numpy(float), y.to_numpy(float), polygon, tol))
 
-    return test
+def within(polygon, x: Column, y: Column, margin: float) -> Column:
+    """Whether (x, y) is in the polygon or at most ``margin`` from its border."""
+    return holds(polygon, x, y, max(margin, 1e-6))
 
 
 def projected(u: Column, v: Column, h: list[Column]) -> tuple[Column, Column]:

@@ -70,7 +70,7 @@ def crossing_candidates(pixels: DataFrame, lines: DataFrame, near: float = 0.008
     Points closer than ``near`` to a line do not count; the side before is that of the last counted point, if that
     is at most ``memory`` seconds old. ``lines`` has camera, line_id, ax, ay, bx, by, entry_side; a camera has few.
     """
-    rows = pixels.join(F.broadcast(lines), "camera")
+    rows = pixels.join(F.broadcast(lines.where("hypot(bx - ax, by - ay) >= 0.001")), "camera")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     size = F.hypot(dx, dy)
     signed = (dx * (F.col("v") - F.col("ay")) - dy * (F.col("u") - F.col("ax"))) / size

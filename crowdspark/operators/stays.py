@@ -66,18 +66,18 @@ def merge_runs(pdf: pd.DataFrame, step: float, tolerance: float, interior: set[i
             left[-1][3] += c[3] + b[3]
     i = 0
     while i < len(left) and len(left) > 1:
-        if left[i][0] in interior and left[i][2] - left[i][1] + step < tolerance:
-            short = left.pop(i)
-            k = max(0, i - 1)
-            left[k][1], left[k][2] = min(left[k][1], short[1]), max(left[k][2], short[2])
-            left[k][3] += short[3]
-            while k + 1 < len(left) and left[k + 1][0] == left[k][0]:
-                other = left.pop(k + 1)
-                left[k][2] = other[2]
-                left[k][3] += other[3]
-            i = k + 1
-        else:
+        if left[i][0] not in interior or left[i][2] - left[i][1] + step >= tolerance:
             i += 1
+        elif i == 0:  # the next one takes it and is looked at again
+            short, after = left.pop(0), left[0]
+            after[1], after[3] = short[1], short[3] + after[3]
+        else:
+            taken = left.pop(i)
+            if i < len(left) and left[i][0] == left[i - 1][0]:
+                more = left.pop(i)
+                taken[2], taken[3] = more[2], taken[3] + more[3]
+            left[i - 1][2] = taken[2]
+            left[i - 1][3] += taken[3]
     return left
 
 

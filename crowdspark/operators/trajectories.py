@@ -41,7 +41,8 @@ def speed(pos: DataFrame, half: int = 2) -> DataFrame:
     last = lambda c: F.last(c).over(ahead)
     dt = last("t") - first("t")
     value = F.hypot(last("x") - first("x"), last("y") - first("y")) / F.greatest(dt, F.lit(1e-3))
-    return pos.withColumn("speed", F.when(F.count("*").over(Window.partitionBy("session", "person_id")) > 1, value))
+    alone = F.lag("t").over(by_time()).isNull() & F.lead("t").over(by_time()).isNull()
+    return pos.withColumn("speed", F.when(~alone, value))
 
 
 def unique_confirmed_people(obs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import density, metrics, stays, trajectories
+from ..sources.shared import stored
 from . import adapters as A
 
 QUERIES, ORACLE, _register = A.registry()
@@ -157,9 +158,9 @@ def congestion_episodes(spark, sf):
           round(mean_stay, 3) AS mean_stay, round(median_stay, 3) AS median_stay, round(b.mean_speed, 4) AS mean_speed, round(coalesce(max_occupancy, 0) / area, 4) AS max_density
         FROM (SELECT DISTINCT session FROM e2) CROSS JOIN zones LEFT JOIN f USING (session, zone_id) LEFT JOIN h USING (session, zone_id) LEFT JOIN b USING (session, zone_id) LEFT JOIN w USING (session, zone_id)""")
 def zone_metrics(spark, sf):
-    pos = _zoned(spark, sf)
-    occupancy = metrics.occupancy_per_second(pos)
-    stay = stays.stays(stays.zone_runs(pos))
+    pos = stored(_zoned(spark, sf), "zoned")
+    occupancy = stored(metrics.occupancy_per_second(pos), "occupancy")
+    stay = stored(stays.stays(stays.zone_runs(pos)), "stays")
     zones = A.zones(spark)
     rows = metrics.zone_metrics(_sessions(spark, sf), zones, stay, stays.spatial_events(stay, zones), occupancy, metrics.congestion_episodes(occupancy, zones))
     return rounded(rounded(rows, 3, "mean_stay", "median_stay"), 4, "mean_speed", "max_density")
@@ -175,14 +176,19 @@ def origin_destination(spark, sf):
     return density.origin_destination(density.zone_sequences(_stays(spark, sf)))
 
 
+def _grown(k: int) -> str:
+    """Patterns of k zones, each with its earliest end in a sequence."""
+    return f"p{k} AS (SELECT p.session, p.person_id, list_append(p.p, i.zone) AS p, min(i.k) AS k FROM p{k - 1} p JOIN i ON p.session = i.session AND p.person_id = i.person_id AND i.k > p.k GROUP BY ALL), "
+
+
 @query(_SEQ + """, i AS (SELECT session, person_id, zones[k] AS zone, k FROM (SELECT *, unnest(range(1, len(zones) + 1)) AS k FROM q)), n AS (SELECT session, count(*) AS n, greatest(2, ceil(count(*) * 0.1e0)) AS need FROM q GROUP BY session),
-        p2 AS (SELECT DISTINCT a.session, a.person_id, [a.zone, b.zone] AS p FROM i a JOIN i b ON a.session = b.session AND a.person_id = b.person_id AND a.k < b.k),
-        p3 AS (SELECT DISTINCT a.session, a.person_id, [a.zone, b.zone, c.zone] AS p FROM i a JOIN i b ON a.session = b.session AND a.person_id = b.person_id AND a.k < b.k JOIN i c ON b.session = c.session AND b.person_id = c.person_id AND b.k < c.k),
-        u AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3), v AS (SELECT session, p, count(*) AS support FROM u GROUP BY ALL),
-        x AS (SELECT v.*, n.n, row_number() OVER (PARTITION BY v.session ORDER BY support DESC, len(p) DESC, p) AS k FROM v JOIN n USING (session) WHERE support >= need AND p[1] <> p[2] AND (len(p) < 3 OR p[2] <> p[3]))
+        p1 AS (SELECT session, person_id, [zone] AS p, min(k) AS k FROM i GROUP BY ALL), """ + "".join(map(_grown, range(2, 6))) + """
+        u AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5), v AS (SELECT session, p, count(*) AS support FROM u GROUP BY ALL),
+        x AS (SELECT v.*, n.n, row_number() OVER (PARTITION BY v.session ORDER BY support DESC, len(p) DESC, p) AS k FROM v JOIN n USING (session) WHERE support >= need AND len(list_filter(range(1, len(p)), lambda j: p[j] = p[j + 1])) = 0)
         SELECT session, array_to_string(p, '>') AS pattern, support, round(100e0 * support / n, 4) AS percent FROM x WHERE k <= 15""")
 def frequent_routes(spark, sf):
-    return rounded(density.frequent_routes(density.zone_sequences(_stays(spark, sf)), longest=3), 4, "percent")
+    sequences = stored(density.zone_sequences(_stays(spark, sf)), "sequences")
+    return rounded(density.frequent_routes(sequences), 4, "percent")
 
 
 @query(_JUMPS + """, f0 AS (SELECT session, x, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS dt FROM c3 WINDOW w AS (PARTITION BY session, person_id ORDER BY t)), f1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM f0)
@@ -197,19 +203,19 @@ def _bell(d: str) -> str:
     return f"CASE WHEN abs({d}) <= 4e0 THEN exp(-0.5e0 * ({d}) * ({d})) ELSE 0 END / sqrt(2 * pi())"
 
 
-@query(_JUMPS + f""", w AS (SELECT session, x, y, 0.2e0 AS weight FROM c3 WHERE tick % 25 = 0), cells AS (SELECT r, c FROM range(8) a(r), range(12) b(c)),
+@query(_JUMPS + f""", w AS (SELECT session, x, y, 0.2e0 AS weight FROM c3), cells AS (SELECT r, c FROM range(8) a(r), range(12) b(c)),
         v AS (SELECT session, CAST(r AS INT) AS row, CAST(c AS INT) AS col, sum(weight * ({_bell('x - (c + 0.5e0)')}) * ({_bell('y - (r + 0.5e0)')})) AS value FROM w CROSS JOIN cells GROUP BY ALL)
         SELECT session, row, col, round(value, 6) AS value FROM v WHERE round(value, 6) > 0""")
 def kde_occupancy(spark, sf):
-    pos = trajectories.drop_jumps(trajectories.consolidate(_obs(spark, sf), tick=F.col("tick"))).where("tick % 25 = 0")
+    pos = trajectories.drop_jumps(trajectories.consolidate(_obs(spark, sf), tick=F.col("tick")))
     return rounded(density.kde(pos.withColumn("weight", F.lit(0.2)), 12.0, 8.0, 1.0, 1.0), 6, "value").where("value > 0")
 
 
-@query(_JUMPS + f""", w AS (SELECT session, x, y, 1e0 / count(*) OVER (PARTITION BY session, person_id) AS weight FROM c3 WHERE tick % 25 = 0), cells AS (SELECT r, c FROM range(8) a(r), range(12) b(c)),
+@query(_JUMPS + f""", w AS (SELECT session, x, y, 1e0 / count(*) OVER (PARTITION BY session, person_id) AS weight FROM c3), cells AS (SELECT r, c FROM range(8) a(r), range(12) b(c)),
         v AS (SELECT session, CAST(r AS INT) AS row, CAST(c AS INT) AS col, sum(weight * ({_bell('x - (c + 0.5e0)')}) * ({_bell('y - (r + 0.5e0)')})) AS value FROM w CROSS JOIN cells GROUP BY ALL)
         SELECT session, row, col, round(value, 6) AS value FROM v WHERE round(value, 6) > 0""")
 def kde_visitors(spark, sf):
-    pos = trajectories.drop_jumps(trajectories.consolidate(_obs(spark, sf), tick=F.col("tick"))).where("tick % 25 = 0")
+    pos = trajectories.drop_jumps(trajectories.consolidate(_obs(spark, sf), tick=F.col("tick")))
     pos = pos.withColumn("weight", 1.0 / F.count("*").over(trajectories.Window.partitionBy("session", "person_id")))
     return rounded(density.kde(pos, 12.0, 8.0, 1.0, 1.0), 6, "value").where("value > 0")
 
@@ -222,19 +228,30 @@ def nice_step(spark, sf):
     return _sessions(spark, sf).select("session", metrics.nice_step(F.col("duration")).alias("step"))
 
 
-@query(_EVENTS + _DUR + f""", t0 AS (SELECT session, {_STEP} AS step, CAST(greatest(1, ceil(duration / ({_STEP}))) AS BIGINT) AS n FROM ses), spine AS (SELECT session, step, n, unnest(range(n)) AS bucket FROM t0),
-        pp AS (SELECT session, floor(t) AS second, count(DISTINCT person_id) AS people FROM z GROUP BY ALL), mm AS (SELECT session, least(CAST(floor(second / step) AS BIGINT), n - 1) AS bucket, max(people) AS people FROM pp JOIN t0 USING (session) GROUP BY ALL),
-        cc AS (SELECT session, least(CAST(floor(start_s / step) AS BIGINT), n - 1) AS bucket, count(*) FILTER (event_type = 'ENTER') AS entries, count(*) FILTER (event_type = 'EXPOSURE') AS exposure FROM ev JOIN t0 USING (session) WHERE local_id = 'L1' GROUP BY ALL),
-        f0 AS (SELECT session, person_id, min(start_s) AS t0 FROM ev WHERE local_id = 'L1' AND event_type = 'EXPOSURE' GROUP BY ALL),
-        w0 AS (SELECT session, person_id, min(start_s) AS t1 FROM ev JOIN f0 USING (session, person_id) WHERE local_id = 'L1' AND event_type = 'ENTER' AND start_s >= f0.t0 GROUP BY ALL),
-        f1 AS (SELECT session, least(CAST(floor(f0.t0 / step) AS BIGINT), n - 1) AS bucket, count(*) AS seen FROM f0 JOIN t0 USING (session) GROUP BY ALL), w1 AS (SELECT session, least(CAST(floor(t1 / step) AS BIGINT), n - 1) AS bucket, count(*) AS won FROM w0 JOIN t0 USING (session) GROUP BY ALL),
-        j AS (SELECT session, bucket, step, coalesce(people, 0) AS people, coalesce(entries, 0) AS entries, coalesce(exposure, 0) AS exposure, sum(coalesce(seen, 0)) OVER w AS a, sum(coalesce(won, 0)) OVER w AS b
-          FROM spine LEFT JOIN mm USING (session, bucket) LEFT JOIN cc USING (session, bucket) LEFT JOIN f1 USING (session, bucket) LEFT JOIN w1 USING (session, bucket) WINDOW w AS (PARTITION BY session ORDER BY bucket))
-        SELECT session, bucket, step, people, entries, exposure, round(CASE WHEN a > 0 THEN 100e0 * b / a END, 4) AS capture FROM j""")
+@query(_EVENTS + _OCC[len(_ZONED):] + _DUR + f""", t0 AS (SELECT session, {_STEP} AS step, CAST(greatest(1, ceil(duration / ({_STEP}))) AS BIGINT) AS n FROM ses),
+        sc AS (SELECT concat('zone:', CAST(zone_id AS VARCHAR)) AS scope, area FROM zones UNION ALL SELECT DISTINCT concat('local:', local_id), CAST(NULL AS DOUBLE) FROM zones WHERE local_id IS NOT NULL UNION ALL SELECT 'total', NULL),
+        spine AS (SELECT session, step, n, scope, area, unnest(range(n)) AS bucket FROM t0 CROSS JOIN sc),
+        pp AS (SELECT session, 'total' AS scope, floor(t) AS second, count(DISTINCT person_id) AS people FROM z GROUP BY ALL UNION ALL SELECT session, concat('zone:', CAST(zone_id AS VARCHAR)), second, people FROM o),
+        mm AS (SELECT session, scope, least(CAST(floor(second / step) AS BIGINT), n - 1) AS bucket, max(people) AS people FROM pp JOIN t0 USING (session) GROUP BY ALL),
+        sx AS (SELECT session, unnest(['total', concat('zone:', CAST(zone_id AS VARCHAR))]) AS scope, least(CAST(floor(start_s / step) AS BIGINT), n - 1) AS bucket, end_s - start_s AS d FROM s JOIN t0 USING (session) WHERE zone_id >= 0),
+        ss AS (SELECT session, scope, bucket, count(*) AS entries, avg(d) AS mean_stay FROM sx GROUP BY ALL),
+        cx AS (SELECT session, unnest(['total', concat('zone:', CAST(zone_id AS VARCHAR))]) AS scope, least(CAST(floor(start_s / step) AS BIGINT), n - 1) AS bucket, event_type FROM ev JOIN t0 USING (session)),
+        cc AS (SELECT session, scope, bucket, count(*) FILTER (event_type = 'ENTER') AS visits, count(*) FILTER (event_type = 'EXPOSURE') AS exposure FROM cx GROUP BY ALL),
+        f0 AS (SELECT session, local_id, person_id, min(start_s) AS t0 FROM ev WHERE local_id IS NOT NULL AND event_type = 'EXPOSURE' GROUP BY ALL),
+        w0 AS (SELECT session, local_id, person_id, min(start_s) AS t0 FROM ev JOIN (SELECT session, local_id, person_id, t0 AS ts FROM f0) USING (session, local_id, person_id) WHERE event_type = 'ENTER' AND start_s >= ts GROUP BY ALL),
+        f1 AS (SELECT session, unnest(['total', concat('local:', local_id)]) AS scope, least(CAST(floor(f0.t0 / step) AS BIGINT), n - 1) AS bucket FROM f0 JOIN t0 USING (session)), f2 AS (SELECT session, scope, bucket, count(*) AS seen FROM f1 GROUP BY ALL),
+        w1 AS (SELECT session, unnest(['total', concat('local:', local_id)]) AS scope, least(CAST(floor(w0.t0 / step) AS BIGINT), n - 1) AS bucket FROM w0 JOIN t0 USING (session)), w2 AS (SELECT session, scope, bucket, count(*) AS won FROM w1 GROUP BY ALL),
+        j AS (SELECT session, scope, bucket, step, area, scope LIKE 'local:%' AS shop, coalesce(people, 0) AS people, coalesce(entries, 0) AS entries, coalesce(visits, 0) AS visits, coalesce(exposure, 0) AS exposure, mean_stay, sum(coalesce(seen, 0)) OVER w AS a, sum(coalesce(won, 0)) OVER w AS b,
+                max(CASE WHEN scope LIKE 'zone:%' THEN coalesce(people, 0) / area END) OVER (PARTITION BY session, bucket) AS densest
+          FROM spine LEFT JOIN mm USING (session, scope, bucket) LEFT JOIN ss USING (session, scope, bucket) LEFT JOIN cc USING (session, scope, bucket) LEFT JOIN f2 USING (session, scope, bucket) LEFT JOIN w2 USING (session, scope, bucket) WINDOW w AS (PARTITION BY session, scope ORDER BY bucket))
+        SELECT session, scope, bucket, step, CASE WHEN NOT shop THEN people END AS people, CASE WHEN NOT shop THEN entries END AS entries, CASE WHEN NOT shop THEN visits END AS visits, CASE WHEN NOT shop THEN exposure END AS exposure,
+          round(CASE WHEN scope = 'total' THEN densest WHEN NOT shop THEN people / area END, 4) AS density, round(mean_stay, 3) AS mean_stay, round(CASE WHEN scope NOT LIKE 'zone:%' AND a > 0 THEN 100e0 * b / a END, 4) AS capture FROM j""")
 def time_series(spark, sf):
-    pos = _zoned(spark, sf)
-    events = stays.spatial_events(stays.stays(stays.zone_runs(pos)), A.zones(spark))
-    return rounded(metrics.time_series(_sessions(spark, sf), pos, events, "L1"), 4, "capture")
+    pos = stored(_zoned(spark, sf), "zoned")
+    zones = A.zones(spark)
+    stay = stored(stays.stays(stays.zone_runs(pos)), "stays")
+    rows = metrics.time_series(_sessions(spark, sf), zones, metrics.people_per_second(pos), metrics.occupancy_per_second(pos), stay, stays.spatial_events(stay, zones))
+    return rounded(rounded(rows, 4, "capture", "density"), 3, "mean_stay")
 
 
 @query(_EVENTS + _DUR + """, k0 AS (SELECT session, duration, floor(epoch(origin_ts)) - 18000 AS o FROM ses), k1 AS (SELECT *, unnest(range(CAST(floor(o / 3600) AS BIGINT), CAST(floor((o + duration) / 3600) AS BIGINT) + 1)) AS h FROM k0),
@@ -245,12 +262,15 @@ def hourly_by_business(spark, sf):
     return rounded(metrics.hourly_by_business(_sessions(spark, sf), _events(spark, sf), A.zones(spark).where("local_id IS NOT NULL")), 3, "coverage_s")
 
 
-@query(_ZONED + " SELECT session, count(DISTINCT person_id) AS people, count(*) AS positions, count(*) FILTER (zone_id >= 0) AS in_zone FROM z GROUP BY ALL")
+@query(_EVENTS + """, ic AS (SELECT session, count(*) AS events FROM ev GROUP BY session) SELECT z.session, count(DISTINCT person_id) AS people, count(*) AS positions, count(*) FILTER (zone_id >= 0) AS in_zone, count(*) FILTER (x < 1) AS moved,
+        CAST(4 AS BIGINT) AS zones, CAST(1 AS BIGINT) AS businesses, CAST(2 AS INT) AS obstacles, coalesce(any_value(events), 0) AS events FROM z LEFT JOIN ic USING (session) GROUP BY z.session""")
 def insights_summary(spark, sf):
-    return metrics.insights_summary(_zoned(spark, sf))
+    pos = stored(_zoned(spark, sf), "zoned").withColumn("moved", F.col("x") < 1)
+    zones = A.zones(spark)
+    return metrics.insights_summary(pos, zones, stays.spatial_events(stays.stays(stays.zone_runs(pos)), zones), 2)
 
 
 @query(_EVENTS + """, m AS (SELECT session, local_id, person_id, min(start_s) FILTER (event_type = 'EXPOSURE') AS seen, max(start_s) FILTER (event_type = 'ENTER') AS entered FROM ev WHERE local_id IS NOT NULL GROUP BY ALL)
-        SELECT local_id, count(seen) AS exposed, count(entered) AS visits, round(100e0 * count(*) FILTER (entered >= seen) / nullif(count(seen), 0), 4) AS capture FROM m GROUP BY ALL""")
+        SELECT count(seen) AS exposed, count(entered) AS visits, round(100e0 * count(*) FILTER (entered >= seen) / nullif(count(seen), 0), 4) AS capture FROM m""")
 def insights_totals(spark, sf):
     return rounded(metrics.insights_totals(metrics.capture_rate(_events(spark, sf))), 4, "capture")

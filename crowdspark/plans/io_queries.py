@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import counters as K
 from ..operators import reports as R
 from ..sources import recordings as S
 from ..sources import sales as V
+from ..sources.shared import shared_folder
 from . import adapters as A
 from .flow_queries import rounded
 from .tracking_queries import _CNT, _counts
@@ -24,9 +21,7 @@ def query(sql=None, kind="none", dates=()):
 
 
 def _folder(spark) -> str:
-    """A new folder under the shared one, or under a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"recordings-{uuid.uuid4().hex[:12]}")
+    return shared_folder(spark, "files")
 
 
 def _recorded(spark, sf):
@@ -147,11 +142,11 @@ def report_flow(spark, sf):
     return rounded(R.report_flow(_counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count"))), 4, "mean")
 
 
-_ZN = ", zn AS (SELECT session, camera AS zone_id, CAST(count(*) AS DOUBLE) AS seconds, count(DISTINCT person_id) AS visits FROM pos WHERE tick % 5 = 0 GROUP BY ALL)"
+_ZN = ", zn AS (SELECT session, camera AS zone_id, CAST(count(*) AS DOUBLE) AS seconds, count(DISTINCT person_id) AS visits FROM pos GROUP BY ALL)"
 
 
 def _zones(spark, sf):
-    return A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0").groupBy("session", F.col("camera").alias("zone_id")).agg(F.count("*").cast("double").alias("seconds"), F.count_distinct("person_id").alias("visits"))
+    return A.derive(spark, sf, "legs", "pos").groupBy("session", F.col("camera").alias("zone_id")).agg(F.count("*").cast("double").alias("seconds"), F.count_distinct("person_id").alias("visits"))
 
 
 @query(_ZN + """, m AS (SELECT *, median(seconds) OVER (PARTITION BY session) AS ms, median(visits) OVER (PARTITION BY session) AS mv FROM zn) SELECT session, zone_id, seconds, visits, round(seconds / visits, 4) AS mean_stay,
@@ -170,15 +165,15 @@ def report_sectors(spark, sf):
     return R.report_sectors(_zones(spark, sf).select("session", F.col("visits").cast("int").alias("cx"), F.col("seconds").cast("int").alias("cy"), "seconds"))
 
 
-@query(_CNT + ", cr AS (SELECT session, camera, count(*) FILTER (event_id % 2 = 0) AS entries, count(*) FILTER (event_id % 2 = 1) AS exits FROM pos WHERE tick % 50 = 0 GROUP BY ALL) SELECT session, camera, max_by(n, t) AS count, max(n) AS peak, entries, exits FROM cnt LEFT JOIN cr USING (session, camera) GROUP BY ALL", "legs")
+@query(_CNT + ", cr AS (SELECT session, camera, count(*) FILTER (event_id % 2 = 0) AS entries, count(*) FILTER (event_id % 2 = 1) AS exits FROM pos GROUP BY ALL) SELECT session, camera, max_by(n, t) AS count, max(n) AS peak, entries, exits FROM cnt LEFT JOIN cr USING (session, camera) GROUP BY ALL", "legs")
 def report_cameras(spark, sf):
-    crossings = A.derive(spark, sf, "legs", "pos").where("tick % 50 = 0").select("session", "camera", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"))
-    return R.report_cameras(K.camera_counting(_counts(spark, sf), 1.0), crossings).select("session", "camera", "count", "peak", "entries", "exits")
+    crossings = A.derive(spark, sf, "legs", "pos").select("session", "camera", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"))
+    return R.report_cameras(K.camera_counting(_counts(spark, sf), 0.2), crossings).select("session", "camera", "count", "peak", "entries", "exits")
 
 
-@query(" SELECT session, camera, event_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, row_number() OVER (PARTITION BY session ORDER BY tick, event_id, person_id) AS nth FROM pos WHERE tick % 50 = 0", "legs")
+@query(" SELECT session, camera, event_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, row_number() OVER (PARTITION BY session ORDER BY tick, event_id, person_id) AS nth FROM pos", "legs")
 def report_access_events(spark, sf):
-    rows = A.derive(spark, sf, "legs", "pos").where("tick % 50 = 0").withColumn("direction", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit"))
+    rows = A.derive(spark, sf, "legs", "pos").withColumn("direction", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit"))
     return R.report_access_events(rows, ["tick", "event_id", "person_id"]).select("session", "camera", "event_id", "direction", "nth")
 
 
@@ -189,8 +184,8 @@ def session_report(spark, sf):
     return rounded(R.session_report(sessions, series), 3, "last_t")
 
 
-@query(", he AS (SELECT session, CAST(floor(x) AS INT) AS cx, CAST(floor(y) AS INT) AS cy, count(*) AS samples FROM pos WHERE tick % 5 = 0 AND right(session, 1) IN ('1', '2') GROUP BY ALL) SELECT * FROM he", "legs")
+@query(", he AS (SELECT session, CAST(floor(x) AS INT) AS cx, CAST(floor(y) AS INT) AS cy, count(*) AS samples FROM pos WHERE right(session, 1) IN ('1', '2') GROUP BY ALL) SELECT * FROM he", "legs")
 def rebuild_maps(spark, sf):
-    pos = A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0")
+    pos = A.derive(spark, sf, "legs", "pos")
     sessions = pos.select("session").distinct().select("session", F.when(F.col("session").endswith("2"), "error").otherwise("done").alias("status"), F.when(F.col("session").rlike("[12]$"), 1).otherwise(2).alias("version"))
     return R.stale_observations(sessions, pos).groupBy("session", F.floor("x").cast("int").alias("cx"), F.floor("y").cast("int").alias("cy")).agg(F.count("*").alias("samples"))

@@ -21,7 +21,7 @@ def query(sql=None, kind="none", dates=()):
 
 
 def _pos(spark, sf):
-    return A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0")
+    return A.derive(spark, sf, "legs", "pos")
 
 
 #: Parts as drawn zones: rectangles, five kinds, ten plans.
@@ -75,10 +75,10 @@ def snap_to_floor(spark, sf):
 
 @query()
 def snap_trajectories(spark, sf):
-    return P.snap_trajectories(A.derive(spark, sf, "obs", "obs").where("tick % 5 = 0").select("session", "person_id", "tick", "camera", "x", "y"), _FLOOR)
+    return P.snap_trajectories(A.derive(spark, sf, "obs", "obs").select("session", "person_id", "tick", "camera", "x", "y"), _FLOOR)
 
 
-@query(" SELECT session, person_id, tick, x / 12 BETWEEN 0.1e0 - 1e-6 AND 0.9e0 + 1e-6 AND y / 8 BETWEEN 0.2e0 - 1e-6 AND 1e0 + 1e-6 AND sqrt(pow(greatest(2 - x, 0, x - 9), 2) + pow(greatest(1 - y, 0, y - 6), 2)) <= 0.5e0 AS accepted FROM pos WHERE tick % 5 = 0", "legs")
+@query(" SELECT session, person_id, tick, x / 12 BETWEEN 0.1e0 - 1e-6 AND 0.9e0 + 1e-6 AND y / 8 BETWEEN 0.2e0 - 1e-6 AND 1e0 + 1e-6 AND sqrt(pow(greatest(2 - x, 0, x - 9), 2) + pow(greatest(1 - y, 0, y - 6), 2)) <= 0.5e0 AS accepted FROM pos", "legs")
 def accept_mask(spark, sf):
     rows = _pos(spark, sf).select("session", "person_id", "tick", "x", "y", (F.col("x") / 12).alias("u"), (F.col("y") / 8).alias("v"))
     return P.accept_mask(rows, [(0.1, 0.2), (0.9, 0.2), (0.9, 1.0), (0.1, 1.0)], [(2.0, 1.0), (9.0, 1.0), (9.0, 6.0), (2.0, 6.0)], 0.5).select("session", "person_id", "tick", "accepted")
@@ -94,7 +94,7 @@ def estimate_height(spark, sf):
 _CAMS = [("click", "a", "a", "1", "1"), ("view", "b", "old", "1", "1"), ("error", "c", None, "1", "2"), ("purchase", "d", "d", None, "2")]
 
 
-@query(", cm(camera, source, recorded_source, recorded_pairs, pairs) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in c) + ")" for c in _CAMS) + """), j AS (SELECT p.*, cm.* EXCLUDE (camera), coalesce(recorded_pairs <> pairs, false) AS ch FROM pos p JOIN cm USING (camera) WHERE source = coalesce(recorded_source, source) AND tick % 5 = 0)
+@query(", cm(camera, source, recorded_source, recorded_pairs, pairs) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in c) + ")" for c in _CAMS) + """), j AS (SELECT p.*, cm.* EXCLUDE (camera), coalesce(recorded_pairs <> pairs, false) AS ch FROM pos p JOIN cm USING (camera) WHERE source = coalesce(recorded_source, source))
     SELECT session, camera, round(t, 3) AS t, CASE WHEN ch THEN concat(camera, ':', CAST(person_id AS VARCHAR)) ELSE CAST(person_id AS VARCHAR) END AS person_id, CASE WHEN ch THEN 'local' ELSE 'global' END AS association, round(2 * x / 12 + 1, 3) AS x, round(3 * y / 8 - 1, 3) AS y FROM j""", "legs")
 def reproject_recordings(spark, sf):
     cams = spark.createDataFrame(_CAMS, "camera string, source string, recorded_source string, recorded_pairs string, pairs string")
@@ -114,7 +114,7 @@ def session_origin(spark, sf):
 
 @query()
 def suggest_zones(spark, sf):
-    return P.suggest_zones(K.heat_cells(A.derive(spark, sf, "obs", "obs").where("tick % 5 = 0"), 1.0))
+    return P.suggest_zones(K.heat_cells(A.derive(spark, sf, "obs", "obs"), 1.0))
 
 
 @query()
@@ -183,7 +183,7 @@ def mutual_best_matches(spark, sf):
     return rounded(M.mutual_best_matches(_handoffs(spark, sf), _tracklets(spark, sf), 0.3), 4, "score")
 
 
-@query(""", sr AS (SELECT session, camera, person_id AS uid, tick, x, y FROM pos WHERE tick % 5 = 0), pr AS (SELECT a.session, a.uid AS a, b.uid AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM sr a JOIN sr b ON a.session = b.session AND a.tick = b.tick AND a.uid < b.uid AND a.camera <> b.camera),
+@query(""", sr AS (SELECT session, camera, person_id AS uid, tick, x, y FROM pos), pr AS (SELECT a.session, a.uid AS a, b.uid AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM sr a JOIN sr b ON a.session = b.session AND a.tick = b.tick AND a.uid < b.uid AND a.camera <> b.camera),
     g AS (SELECT session, a, b, count(*) AS ticks, median(d) AS median, avg(CASE WHEN d <= 0.67e0 * 4 THEN 1e0 ELSE 0e0 END) AS near FROM pr GROUP BY ALL HAVING count(*) >= 5)
     SELECT session, a, b, ticks, round(median, 4) AS median, round(near, 4) AS near, CASE WHEN median > 1.33e0 * 4 THEN 'conflict' WHEN ticks >= 10 AND median <= 0.47e0 * 4 AND near >= 0.9e0 THEN 'together' ELSE 'unclear' END AS kind FROM g""", "legs")
 def regroup_pairs(spark, sf):
@@ -209,7 +209,7 @@ def identity_metrics(spark, sf):
 
 @query()
 def duplicate_points(spark, sf):
-    rows = A.derive(spark, sf, "obs", "obs").where("tick % 5 = 0").withColumn("confirmed", F.col("person_id") % 3 != 0).withColumn("size", F.col("confidence"))
+    rows = A.derive(spark, sf, "obs", "obs").withColumn("confirmed", F.col("person_id") % 3 != 0).withColumn("size", F.col("confidence"))
     return M.duplicate_points(rows.select("session", "t", "camera", "person_id", "x", "y", "confirmed", "size"), 0.3)
 
 

@@ -26,21 +26,21 @@ def _clean(spark, sf):
     return trajectories.drop_jumps(trajectories.consolidate(_obs(spark, sf), tick=F.col("tick")))
 
 
-#: Counts by camera of every fifth tick; two people at once are a crowd here.
-_CNT = ", cnt AS (SELECT session, camera, tick * 0.2e0 AS t, count(DISTINCT person_id) AS n FROM pos WHERE tick % 5 = 0 GROUP BY session, camera, tick)"
+#: Counts by camera and tick; two people at once are a crowd here.
+_CNT = ", cnt AS (SELECT session, camera, tick * 0.2e0 AS t, count(DISTINCT person_id) AS n FROM pos GROUP BY session, camera, tick)"
 
 
 def _counts(spark, sf):
-    rows = A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0").groupBy("session", "camera", "tick").agg(F.count_distinct("person_id").alias("n"))
+    rows = A.derive(spark, sf, "legs", "pos").groupBy("session", "camera", "tick").agg(F.count_distinct("person_id").alias("n"))
     return rows.select("session", "camera", (F.col("tick") * 0.2).alias("t"), "n")
 
 
-@query(""", la AS (SELECT session, t, person_id, max({'camera': camera, 'x': x, 'y': y}) AS p FROM obs WHERE tick % 5 = 0 GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM la)),
+@query(""", la AS (SELECT session, t, person_id, max({'camera': camera, 'x': x, 'y': y}) AS p FROM obs GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM la)),
     pc AS (SELECT session, t, person_id, CAST(floor(p.x / 1e0) AS INT) AS cx, CAST(floor(p.y / 1e0) AS INT) AS cy FROM la), cn AS (SELECT session, cx, cy, t, count(*) AS n FROM pc GROUP BY ALL), vi AS (SELECT session, cx, cy, count(DISTINCT person_id) AS visits FROM pc GROUP BY ALL),
     ce AS (SELECT session, cx, cy, sum(n * dt) AS seconds, max(n) AS peak FROM cn JOIN sm USING (session, t) GROUP BY ALL)
     SELECT session, cx, cy, round(seconds, 3) AS seconds, peak, visits FROM ce JOIN vi USING (session, cx, cy) QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(seconds, 3) DESC, cx, cy) <= 80""")
 def heat_cells(spark, sf):
-    return rounded(K.heat_cells(_obs(spark, sf).where("tick % 5 = 0"), 1.0), 3, "seconds")
+    return rounded(K.heat_cells(_obs(spark, sf), 1.0), 3, "seconds")
 
 
 @query(_CNT + """, i0 AS (SELECT *, n >= 2 AS on FROM cnt), i1 AS (SELECT *, CASE WHEN "on" AND NOT coalesce(lag("on") OVER w, false) THEN 1 ELSE 0 END AS st FROM i0 WINDOW w AS (PARTITION BY session, camera ORDER BY t)), i2 AS (SELECT *, sum(st) OVER (PARTITION BY session, camera ORDER BY t) AS run FROM i1),
@@ -49,19 +49,19 @@ def zone_occupancy(spark, sf):
     return rounded(K.zone_occupancy(_counts(spark, sf).withColumnRenamed("camera", "zone_id"), 2, 2.0), 3, "t", "duration")
 
 
-@query(_CNT + """, l AS (SELECT *, lead(t) OVER (PARTITION BY session, camera ORDER BY t) - t AS ahead FROM cnt), d AS (SELECT *, CASE WHEN ahead <= 1.5e0 THEN ahead ELSE 0 END AS dt FROM l)
+@query(_CNT + """, l AS (SELECT *, lead(t) OVER (PARTITION BY session, camera ORDER BY t) - t AS ahead FROM cnt), d AS (SELECT *, CASE WHEN ahead <= 0.3e0 THEN ahead ELSE 0 END AS dt FROM l)
     SELECT session, camera, max_by(n, t) AS count, max(n) AS peak, round(min_by(t, {'a': -n, 'b': t}), 3) AS peak_at, round(sum(n * dt), 3) AS person_seconds, round(sum(dt), 3) AS observed_s, round(sum(n * dt) / nullif(sum(dt), 0), 4) AS mean FROM d GROUP BY ALL""", "legs")
 def camera_counting(spark, sf):
-    return rounded(rounded(K.camera_counting(_counts(spark, sf), 1.0), 3, "peak_at", "person_seconds", "observed_s"), 4, "mean")
+    return rounded(rounded(K.camera_counting(_counts(spark, sf), 0.2), 3, "peak_at", "person_seconds", "observed_s"), 4, "mean")
 
 
-@query(_CNT + """, a AS (SELECT *, n >= 2 AS o, coalesce(t - lag(t) OVER w > 1.5e0, true) AS gap, lead(t) OVER w AS nt FROM cnt WINDOW w AS (PARTITION BY session, camera ORDER BY t)),
+@query(_CNT + """, a AS (SELECT *, n >= 2 AS o, coalesce(t - lag(t) OVER w > 0.3e0, true) AS gap, lead(t) OVER w AS nt FROM cnt WINDOW w AS (PARTITION BY session, camera ORDER BY t)),
     b AS (SELECT *, CASE WHEN o AND (gap OR NOT coalesce(lag(o) OVER w, false)) THEN 1 ELSE 0 END AS st FROM a WINDOW w AS (PARTITION BY session, camera ORDER BY t)), c AS (SELECT *, sum(st) OVER (PARTITION BY session, camera ORDER BY t) AS run FROM b),
     d AS (SELECT *, min(t) OVER (PARTITION BY session, camera, run) AS since FROM c WHERE o), e AS (SELECT session, camera, run, min(t) AS start, min(t) FILTER (t - since >= 2) AS confirmed, max(t) AS last, max_by(coalesce(nt, 1e18), t) AS nt, max(n) AS peak FROM d GROUP BY ALL),
-    f AS (SELECT *, CASE WHEN nt = 1e18 THEN 'fin' WHEN nt - last > 1.5e0 THEN 'interrupción' ELSE 'umbral despejado' END AS reason FROM e WHERE confirmed IS NOT NULL)
+    f AS (SELECT *, CASE WHEN nt = 1e18 THEN 'fin' WHEN nt - last > 0.3e0 THEN 'interrupción' ELSE 'umbral despejado' END AS reason FROM e WHERE confirmed IS NOT NULL)
     SELECT session, camera, round(start, 3) AS start, round(confirmed, 3) AS confirmed, round(CASE WHEN reason = 'umbral despejado' THEN nt ELSE last END, 3) AS "end", peak, round(CASE WHEN reason = 'umbral despejado' THEN nt ELSE last END - start, 3) AS duration, reason FROM f""", "legs")
 def crowd_episodes(spark, sf):
-    return rounded(K.crowd_episodes(_counts(spark, sf), 2, 2.0, 1.0), 3, "start", "confirmed", "end", "duration")
+    return rounded(K.crowd_episodes(_counts(spark, sf), 2, 2.0, 0.2), 3, "start", "confirmed", "end", "duration")
 
 
 def _lines(spark, cameras):
@@ -120,11 +120,11 @@ def zone_flow(spark, sf):
 
 
 #: Boxes of 40 x 100 pixels at 100 pixels a metre.
-_BOX = ", bx AS (SELECT session, 'c' AS camera, t, person_id, x, y, x * 100 - 20 AS x1, y * 100 - 50 AS y1, x * 100 + 20 AS x2, y * 100 + 50 AS y2 FROM pos WHERE tick % 5 = 0)"
+_BOX = ", bx AS (SELECT session, 'c' AS camera, t, person_id, x, y, x * 100 - 20 AS x1, y * 100 - 50 AS y1, x * 100 + 20 AS x2, y * 100 + 50 AS y2 FROM pos)"
 
 
 def _boxes(spark, sf):
-    rows = A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0")
+    rows = A.derive(spark, sf, "legs", "pos")
     return rows.select("session", F.lit("c").alias("camera"), "t", "person_id", "x", "y", *((F.col(c) * 100 + d).alias(n) for n, c, d in (("x1", "x", -20), ("y1", "y", -50), ("x2", "x", 20), ("y2", "y", 50))))
 
 
@@ -243,11 +243,11 @@ def expand_labels(spark, sf):
     return I.expand_labels(labels, rows.select("camera", "local", F.col("start_s").alias("t")).distinct())
 
 
-_MARKS = ", m AS (SELECT camera AS base, CAST((gid + 1) % 3 AS VARCHAR) AS target, start_s AS ta, start_s + (gid - 4) * 0.1e0 + CASE WHEN uid % 9 = 0 THEN 0.05e0 ELSE 0 END AS tb FROM tracklets WHERE uid % 2 = 0)"
+_MARKS = ", m AS (SELECT camera AS base, CAST((gid + 1) % 3 AS VARCHAR) AS target, start_s AS ta, start_s + (gid - 4) * 0.1e0 + CASE WHEN uid % 9 = 0 THEN 0.05e0 ELSE 0 END AS tb FROM tracklets)"
 
 
 def _marks(spark, sf):
-    rows = _tracklets(spark, sf).where("uid % 2 = 0")
+    rows = _tracklets(spark, sf)
     return rows.select(F.col("camera").alias("base"), ((F.col("gid") + 1) % 3).cast("string").alias("target"), F.col("start_s").alias("ta"), (F.col("start_s") + (F.col("gid") - 4) * 0.1 + F.when(F.col("uid") % 9 == 0, 0.05).otherwise(0)).alias("tb"))
 
 
@@ -286,8 +286,8 @@ def report_series(spark, sf):
     return rounded(trajectories.report_series(_counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count")), 60), 3, "t")
 
 
-@query(" SELECT session, round(t, 3) AS t, count(DISTINCT person_id) FILTER (event_id % 7 <> 0) + count(*) FILTER (event_id % 7 = 0) AS count FROM pos WHERE event_id % 11 <> 0 AND tick % 5 = 0 GROUP BY session, t", "legs")
+@query(" SELECT session, round(t, 3) AS t, count(DISTINCT person_id) FILTER (event_id % 7 <> 0) + count(*) FILTER (event_id % 7 = 0) AS count FROM pos WHERE event_id % 11 <> 0 GROUP BY session, t", "legs")
 def unique_confirmed_people(spark, sf):
-    rows = A.derive(spark, sf, "legs", "pos").where("tick % 5 = 0")
+    rows = A.derive(spark, sf, "legs", "pos")
     named = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("P"), "person_id"))
     return rounded(trajectories.unique_confirmed_people(rows.select("session", "t", named.alias("person_id"), F.lit(None).cast("boolean").alias("confirmed"), (F.col("event_id") % 11 == 0).alias("duplicate"), F.lit(False).alias("predicted"))), 3, "t")
