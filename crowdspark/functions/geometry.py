@@ -75,6 +75,18 @@ def holds(polygon, x: Column, y: Column, tol: float = 1e-6) -> Column:
     return F.coalesce(found & ((crossings % 2 == 1) | border), F.lit(False))
 
 
+def quad_holds(corners: list[tuple[Column, Column]], x: Column, y: Column, tol: float = 1e-6) -> Column:
+    """``holds`` for a polygon whose corners are columns."""
+    crossings, border = F.lit(0), F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        at = F.try_divide((bx - ax) * (y - ay), by - ay) + ax
+        crossings = crossings + F.when(((ay > y) != (by > y)) & (x < at), 1).otherwise(0)
+        k = F.coalesce(F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), (bx - ax) * (bx - ax) + (by - ay) * (by - ay)), F.lit(0.0))
+        k = F.least(F.greatest(k, F.lit(0.0)), F.lit(1.0))
+        border = border | (F.hypot(x - (ax + k * (bx - ax)), y - (ay + k * (by - ay))) <= tol)
+    return F.coalesce((crossings % 2 == 1) | border, F.lit(False))
+
+
 def zone_of(zones: list[dict]):
     """Zone of (x, y) as a column: interiors first, then the smallest area, then the id; -1 for none or no position."""
     order = sorted(zones, key=lambda z: (z["type"] != "INTERIOR", area(z["vertices"]), z["zone_id"]))

@@ -60,15 +60,52 @@ def next_hour_forecast(targets: DataFrame, traffic: DataFrame, sales: DataFrame)
     later = F.expr("timestampadd(HOUR, hour + 1, CAST(date AS TIMESTAMP))")
     following = targets.select("dataset", "business_id", F.to_date(later).alias("date"), F.hour(later).alias("hour")).distinct()
     past = _history(following, traffic.where(F.col("coverage") >= COVERED).select(*KEY, "entries"))
-    expected = past.groupBy(*KEY).agg(F.bround(F.percentile("entries", F.lit(0.5))).cast("long").alias("entries"), F.count_distinct("past").alias("seen")).where("seen >= 3").drop("seen")
+    expected = past.groupBy(*KEY).agg(F.bround(F.percentile("entries", F.lit(0.5))).cast("long").alias("entries"))
     found = forecast(following.join(expected, KEY, "left"), traffic, sales)
     return found.withColumnRenamed("entries", "expected_entries").withColumn("label", confidence_label(F.col("days")))
 
 
-def commercial_summary(targets: DataFrame, traffic: DataFrame, sales: DataFrame) -> DataFrame:
-    """Entries, sales, transactions and conversion of each (dataset, business, date, hour) asked for."""
+def commercial_summary(targets: DataFrame, traffic: DataFrame, sales: DataFrame, bags: DataFrame | None = None) -> DataFrame:
+    """By (dataset, business, date, hour) asked for: entries, sales, conversion, forecast, the next hour's, bags of the day."""
     rows = targets.select(*KEY).distinct().join(best_hours(traffic).select(*KEY, "entries"), KEY, "left").join(sales.select(*KEY, "amount", "transactions"), KEY, "left")
-    return rows.withColumn("conversion", F.when(F.col("entries") > 0, 100.0 * F.col("transactions") / F.col("entries")))
+    rows = rows.withColumn("conversion", F.when(F.col("entries") > 0, 100.0 * F.col("transactions") / F.col("entries")))
+    now = forecast(rows.select(*KEY, "entries"), traffic, sales).select(*KEY, "days", "estimate", "low", "high", confidence_label(F.col("days")).alias("label"))
+    rows = rows.join(now, KEY)
+    later = F.expr("timestampadd(HOUR, hour + 1, CAST(date AS TIMESTAMP))")
+    following = next_hour_forecast(targets, traffic, sales).select("dataset", "business_id", F.col("date").alias("next_date"), F.col("hour").alias("next_hour"), F.col("expected_entries").alias("next_entries"), F.col("estimate").alias("next_estimate"), F.col("label").alias("next_label"))
+    rows = rows.withColumn("next_date", F.to_date(later)).withColumn("next_hour", F.hour(later)).join(following, ["dataset", "business_id", "next_date", "next_hour"], "left").drop("next_date", "next_hour")
+    if bags is None:
+        return rows
+    return rows.join(bags_of_day(bags, traffic), ["dataset", "business_id", "date"], "left").fillna(0, ["bag_exits", "bag_matched", "bag_changed", "bag_unmatched"])
+
+
+def bags_of_day(bags: DataFrame, traffic: DataFrame) -> DataFrame:
+    """Bag matches (dataset, business_id, session, matched, changed) of the sessions that a business had traffic from on a day."""
+    count = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c)
+    key = ["dataset", "business_id", "session"]
+    summed = bags.groupBy(*key).agg(F.count("*").alias("exits"), count("matched"), count("changed"))
+    rows = traffic.select(*key, "date").distinct().join(summed, key).groupBy("dataset", "business_id", "date")
+    found = rows.agg(*(F.sum(c).alias(f"bag_{c}") for c in ("exits", "matched", "changed")))
+    return found.withColumn("bag_unmatched", F.col("bag_exits") - F.col("bag_matched")).withColumn("bag_coverage", F.try_divide(100.0 * F.col("bag_matched"), F.col("bag_exits")))
+
+
+def hourly_table(traffic: DataFrame, sales: DataFrame) -> DataFrame:
+    """Every session row of a day's hours with its sales and the forecast for its own entries."""
+    rates = forecast(traffic.select(*KEY).distinct().withColumn("entries", F.lit(1)), traffic, sales).select(*KEY, "per_entry", "days")
+    rows = traffic.join(sales.select(*KEY, "amount", "transactions"), KEY, "left").join(rates, KEY, "left")
+    return rows.select(*KEY, "session", "entries", "exits", F.round("coverage").cast("long").alias("coverage"), "amount", "transactions", (F.col("entries") * F.col("per_entry")).alias("estimate"), confidence_label(F.col("days")).alias("label"))
+
+
+def commercial_export(summary: DataFrame) -> DataFrame:
+    """The summary under the headings of its CSV file, for ``report_csv_sink``. The headings."""
+    headings = {"Negocio": "business_id", "Fecha": "date", "Hora": "hour", "Origen": "dataset", "Entradas": "entries", "Ventas PEN": "amount", "Proyección PEN": "estimate", "Días históricos": "days", "Salidas emparejadas": "bag_matched", "Objetos nuevos": "bag_changed", "Salidas sin emparejar": "bag_unmatched"}
+    return summary.select(*(F.col(c).alias(h) for h, c in headings.items()))
+
+
+def incident_export(impact: DataFrame) -> DataFrame:
+    """Incidents with their hour's sales under the headings of their CSV file. The headings."""
+    headings = {"Negocio": "business_id", "Origen": "dataset", "Inicio": "start", "Duración segundos": "duration", "Ventas de la hora PEN": "amount", "Referencia histórica PEN": "usual", "Días comparables": "days", "Diferencia descriptiva %": "impact"}
+    return impact.select(*(F.col(c).alias(h) for h, c in headings.items()))
 
 
 def company_rollup(summary: DataFrame, companies: DataFrame) -> DataFrame:
@@ -93,11 +130,23 @@ def spearman_ordinal(rows: DataFrame, keys: list[str], a: str, b: str, order: li
     return found.select(*keys, "n", F.when((F.col("n") >= 3) & ~F.col("flat_a") & ~F.col("flat_b"), F.round("rho", 3)).alias("rho"))
 
 
-def sales_relation(traffic: DataFrame, sales: DataFrame) -> DataFrame:
-    """Hours with enough coverage against their sales: conversion and sales per entry, one row a session and hour."""
-    rows = traffic.where(F.col("coverage") >= COVERED).join(sales.select(*KEY, "amount", "transactions"), KEY)
-    some = F.col("entries") > 0
-    return rows.select(*KEY, "session", "entries", "amount", F.when(some, 100.0 * F.col("transactions") / F.col("entries")).alias("conversion"), F.when(some, F.col("amount") / F.col("entries")).alias("per_visit"))
+def sales_relation(hourly: DataFrame, sales: DataFrame) -> DataFrame:
+    """Hours (dataset, business_id, date, hour, session, exposure, visits, coverage) with enough coverage against their sales.
+
+    Capture is visits by exposed people, conversion transactions by visits, both in percent, and sales by visit.
+    """
+    rows = hourly.where(F.col("coverage") >= COVERED).join(sales.select(*KEY, "amount", "transactions"), KEY)
+    per = lambda top, below: F.when(F.col(below) > 0, top / F.col(below))
+    return rows.select(*KEY, "session", "exposure", "visits", "amount", per(100.0 * F.col("visits"), "exposure").alias("capture"), per(100.0 * F.col("transactions"), "visits").alias("conversion"), per(F.col("amount"), "visits").alias("per_visit"))
+
+
+def sales_correlation(relation: DataFrame, least: int = 6) -> DataFrame:
+    """By business: hours, and from ``least`` of them on the median capture and the rank correlations of exposure and visits with sales."""
+    keys, order = ["dataset", "business_id"], ["date", "hour", "session"]
+    rows = relation.groupBy(*keys).agg(F.count("*").alias("hours"), F.percentile("capture", F.lit(0.5)).alias("capture_median"))
+    for name in ("exposure", "visits"):
+        rows = rows.join(spearman_ordinal(relation, keys, name, "amount", order).select(*keys, F.col("rho").alias(f"{name}_sales")), keys)
+    return rows.select(*keys, "hours", *(F.when(F.col("hours") >= least, F.col(c)).alias(c) for c in ("capture_median", "exposure_sales", "visits_sales")))
 
 
 def incident_sales_impact(incidents: DataFrame, sales: DataFrame, top: int = 100) -> DataFrame:
@@ -112,7 +161,7 @@ def incident_sales_impact(incidents: DataFrame, sales: DataFrame, top: int = 100
     found = rows.join(sales.select(*KEY, "amount"), KEY, "left").join(usual, KEY, "left")
     rank = Window.partitionBy("dataset").orderBy(F.desc("start"), "incident_id")
     found = found.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= top)
-    return found.select("incident_id", "dataset", "business_id", "date", "hour", F.when(F.col("whole") & (F.col("usual") > 0), 100.0 * (F.col("amount") / F.col("usual") - 1)).alias("impact"))
+    return found.select("incident_id", "dataset", "business_id", "start", "duration", "date", "hour", "amount", "usual", F.coalesce("days", F.lit(0)).alias("days"), F.when(F.col("whole") & (F.col("usual") > 0), 100.0 * (F.col("amount") / F.col("usual") - 1)).alias("impact"))
 
 
 def bag_totals(visits: DataFrame) -> DataFrame:

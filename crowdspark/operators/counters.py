@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 
 def heat_cells(obs: DataFrame, grid: float, top: int = 80) -> DataFrame:
     """Person-seconds (this sample's people times the time since the last, 2 s at most), peak and visitors by cell; ``top`` a session."""
-    own = Window.partitionBy("session").orderBy("t")
-    samples = obs.select("session", "t").distinct()
-    samples = samples.withColumn("dt", F.coalesce(F.least(F.greatest(F.col("t") - F.lag("t").over(own), F.lit(0.0)), F.lit(2.0)), F.lit(0.0)))
+    samples = sample_steps(obs)
     cell = [F.floor(F.col(c) / grid).cast("int").alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
     people = obs.groupBy("session", "t", "person_id").agg(F.max(F.struct("camera", "x", "y")).alias("p")).select("session", "t", "person_id", "p.x", "p.y").select("session", "t", "person_id", *cell)
     counts = people.groupBy("session", "cx", "cy", "t").agg(F.count("*").alias("n")).join(samples, ["session", "t"])
@@ -28,12 +28,36 @@ def islands(rows: DataFrame, keys: list[str], on: Column, order: str = "t") -> D
     return marked.withColumn("run", F.sum(F.col("_start").cast("int")).over(own)).where("_on").drop("_on", "_start")
 
 
-def zone_occupancy(counts: DataFrame, least: int, dwell: float) -> DataFrame:
-    """Counts (session, zone_id, t, n) with how long ``least`` people were there without a break, and whether that is ``dwell``."""
-    runs = islands(counts, ["session", "zone_id"], F.col("n") >= least)
-    since = runs.withColumn("duration", F.col("t") - F.min("t").over(Window.partitionBy("session", "zone_id", "run"))).select("session", "zone_id", "t", "duration")
-    rows = counts.join(since, ["session", "zone_id", "t"], "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
-    return rows.withColumn("alert", (F.col("n") >= least) & (F.col("duration") >= dwell))
+def sample_steps(obs: DataFrame) -> DataFrame:
+    """Each sample of a session with the time since the one before: 0 for the first, 2 s at most."""
+    own = Window.partitionBy("session").orderBy("t")
+    step = F.least(F.greatest(F.col("t") - F.lag("t").over(own), F.lit(0.0)), F.lit(2.0))
+    return obs.select("session", "t").distinct().withColumn("dt", F.coalesce(step, F.lit(0.0)))
+
+
+def zone_occupancy(people: DataFrame, zones: list[dict], rules: dict[int, tuple[int, float]]) -> DataFrame:
+    """By session, zone and sample of (session, t, person_id, x, y): people, and so far person-seconds, peak and visitors.
+
+    A person counts in every zone that holds the position. ``rules`` has the number of people and the seconds after
+    which a zone's crowd is an alert; ``duration`` starts anew when fewer are there. A plan's zones are a hundred at
+    most; people are reduced to one row a zone and sample before anything is put in order.
+    """
+    x, y = F.col("x"), F.col("y")
+    at = F.array_compact(F.array(*(F.when(G.holds(z["vertices"], x, y), F.lit(z["zone_id"])) for z in zones)))
+    inside = people.select("session", "t", "person_id", F.explode(at).alias("zone_id")).distinct()
+    counts = inside.groupBy("session", "zone_id", "t").agg(F.count("*").alias("n"))
+    first = inside.groupBy("session", "zone_id", "person_id").agg(F.min("t").alias("t")).groupBy("session", "zone_id", "t").agg(F.count("*").alias("new"))
+    spine = sample_steps(people).withColumn("zone_id", F.explode(F.array(*(F.lit(z["zone_id"]) for z in zones))))
+    key = ["session", "zone_id", "t"]
+    rows = spine.join(counts, key, "left").join(first, key, "left").fillna(0, ["n", "new"])
+    least, dwell = (F.coalesce(*(F.when(F.col("zone_id") == k, F.lit(r[i])) for k, r in rules.items()), F.lit(None)) for i in (0, 1))
+    hit = F.coalesce(F.col("n") >= least, F.lit(False))
+    so_far = Window.partitionBy("session", "zone_id").orderBy("t")
+    rows = rows.withColumn("hit", hit).withColumn("below", F.max(F.when(~F.col("hit"), F.col("t"))).over(so_far))
+    rows = rows.withColumns({"seconds": F.sum(F.col("n") * F.col("dt")).over(so_far), "peak": F.max("n").over(so_far), "visits": F.sum("new").over(so_far)})
+    since = F.min(F.when(F.col("hit"), F.col("t"))).over(Window.partitionBy("session", "zone_id", "below"))
+    rows = rows.withColumn("duration", F.when(F.col("hit"), F.col("t") - since).otherwise(0.0))
+    return rows.select(*key, F.col("n").alias("count"), "seconds", "peak", "visits", "duration", (F.col("hit") & (F.col("duration") >= dwell)).alias("alert"))
 
 
 def camera_counting(counts: DataFrame, interval: float) -> DataFrame:
@@ -46,6 +70,20 @@ def camera_counting(counts: DataFrame, interval: float) -> DataFrame:
     return found.withColumn("mean", F.col("person_seconds") / F.nullif(F.col("observed_s"), F.lit(0.0)))
 
 
+def camera_heat(points: DataFrame, interval: float, rows: int = 24, cols: int = 40) -> DataFrame:
+    """Person-seconds by camera and cell of a ``rows`` x ``cols`` grid over the image, of (session, camera, t, u, v) in 0..1.
+
+    A sample's people count up to the next sample of the camera, not over a gap of 1.5 intervals.
+    """
+    own = Window.partitionBy("session", "camera").orderBy("t")
+    ahead = F.lead("t").over(own) - F.col("t")
+    steps = points.select("session", "camera", "t").distinct().withColumn("dt", F.when(ahead <= 1.5 * interval, ahead).otherwise(0.0))
+    seen = points.where("u >= 0 AND u < 1 AND v >= 0 AND v < 1")
+    cells = seen.groupBy("session", "camera", "t", F.floor(F.col("v") * rows).cast("int").alias("row"), F.floor(F.col("u") * cols).cast("int").alias("col")).agg(F.count("*").alias("n"))
+    found = cells.join(steps, ["session", "camera", "t"]).groupBy("session", "camera", "row", "col").agg(F.sum(F.col("n") * F.col("dt")).alias("seconds"))
+    return found.where("seconds > 0")
+
+
 def crowd_episodes(counts: DataFrame, threshold: int, dwell: float, interval: float, reason: str = "fin") -> DataFrame:
     """Runs of samples with ``threshold`` people; confirmed at the first that is ``dwell`` after the start.
 
@@ -69,12 +107,18 @@ def crossing_candidates(pixels: DataFrame, lines: DataFrame, near: float = 0.008
 
     Points closer than ``near`` to a line do not count; the side before is that of the last counted point, if that
     is at most ``memory`` seconds old. ``lines`` has camera, line_id, ax, ay, bx, by, entry_side; a camera has few.
+    Where it has ``positive`` and ``negative`` (arrays of two points, or null), points on a side count only within the
+    band between the line and those points. Lines shorter than 0.001 are left out.
     """
     rows = pixels.join(F.broadcast(lines.where("hypot(bx - ax, by - ay) >= 0.001")), "camera")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     size = F.hypot(dx, dy)
     signed = (dx * (F.col("v") - F.col("ay")) - dy * (F.col("u") - F.col("ax"))) / size
     rows = rows.withColumn("d", signed).where(F.abs("d") >= near).withColumn("side", F.signum("d").cast("int"))
+    if {"positive", "negative"} <= set(lines.columns):
+        band = F.when(F.col("side") > 0, F.col("positive")).otherwise(F.col("negative"))
+        corners = [(F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), *((band[i]["x"], band[i]["y"]) for i in (1, 0))]
+        rows = rows.where(band.isNull() | G.quad_holds(corners, F.col("u"), F.col("v")))
     own = Window.partitionBy("session", "camera", "line_id", "person_id").orderBy("t")
     before = {c: F.lag(c).over(own) for c in ("side", "t", "u", "v", "d")}
     rows = rows.select("*", *(c.alias(f"{k}0") for k, c in before.items())).where((F.col("side0") != F.col("side")) & (F.col("t") - F.col("t0") <= memory))
@@ -111,6 +155,13 @@ def line_crossings(pixels: DataFrame, lines: DataFrame, pause: float = 1.0) -> D
     return keep_spaced(crossing_candidates(pixels, lines), ["session", "camera", "line_id", "person_id"], pause)
 
 
+def line_totals(crossings: DataFrame, hour: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+    """(entries, exits and last crossing by line; entries and exits by line and hour since the session began)."""
+    key = ["session", "camera", "line_id"]
+    ways = [F.sum((F.col("direction") == d).cast("long")).alias(n) for d, n in (("entry", "entries"), ("exit", "exits"))]
+    return crossings.groupBy(*key).agg(*ways, F.max("t").alias("last_crossing")), crossings.groupBy(*key, F.floor(F.col("t") / hour).alias("hour")).agg(*ways)
+
+
 def alert_cooldown(alerts: DataFrame, seconds: float = 120.0) -> DataFrame:
     """Alerts (key, t, ...) with ``send``: false within ``seconds`` of the last sent one of the key."""
     return keep_spaced(alerts, ["key"], seconds, "send")
@@ -142,14 +193,12 @@ def collapsed_pairs(obs: DataFrame, radius: float = 0.15, most: float = 0.1) ->
 
     People are bucketed by cells of ``radius``, so each meets those of the nine cells around only.
     """
-    from ..functions.geometry import box_iou
-
     cell = obs.withColumn("gx", F.floor(F.col("x") / radius)).withColumn("gy", F.floor(F.col("y") / radius))
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     left = cell.select("*", F.inline(near)).withColumn("gx", F.col("gx") + F.col("i")).withColumn("gy", F.col("gy") + F.col("j")).drop("i", "j")
     right = cell.select("session", "camera", "t", "gx", "gy", *(F.col(c).alias(f"{c}_b") for c in ("person_id", "x", "y", "x1", "y1", "x2", "y2")))
     rows = left.join(right, ["session", "camera", "t", "gx", "gy"]).where("person_id < person_id_b")
     box = ("x1", "y1", "x2", "y2")
-    rows = rows.withColumn("iou", box_iou([F.col(c) for c in box], [F.col(f"{c}_b") for c in box]))
+    rows = rows.withColumn("iou", G.box_iou([F.col(c) for c in box], [F.col(f"{c}_b") for c in box]))
     close = F.hypot(F.col("x") - F.col("x_b"), F.col("y") - F.col("y_b")) < radius
     return rows.where(close & (F.col("iou") <= most)).select("session", "camera", "t", "person_id", "person_id_b", "iou")

@@ -56,18 +56,44 @@ def unique_confirmed_people(obs: DataFrame) -> DataFrame:
     return rows.groupBy("session", "t").agg((F.count_distinct(F.when(named, F.col("person_id"))) + F.sum(F.when(named, 0).otherwise(1))).alias("count"))
 
 
+def ranked(rows: DataFrame, order: list[str], blocks: int = 64) -> DataFrame:
+    """Add i, the place of a row in its session from 0, and n, the session's rows.
+
+    A session is cut into ``blocks`` stretches of its first order column, so that none is put in order in one piece:
+    places are counted within stretches and the stretches' sizes added up (at most ``blocks`` numbers a session).
+    """
+    lead = F.col(order[0]).cast("double")
+    span = rows.groupBy("session").agg(F.min(lead).alias("_lo"), F.max(lead).alias("_hi"), F.count("*").alias("n"))
+    at = F.coalesce(F.floor(F.try_divide((lead - F.col("_lo")) * blocks, F.col("_hi") - F.col("_lo"))), F.lit(0))
+    cut = rows.join(span, "session").withColumn("_block", F.least(at, F.lit(blocks - 1)).cast("int"))
+    sizes = cut.groupBy("session", "_block").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("session").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.join(sizes.select("session", "_block", before.alias("_before")), ["session", "_block"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("session", "_block").orderBy(*order)) - 1
+    return cut.withColumn("i", place).drop("_lo", "_hi", "_block", "_before")
+
+
 def report_series(counts: DataFrame, cap: int = 3600) -> DataFrame:
     """Every 2^k-th row of a session's series, with the least k that leaves at most ``cap`` rows."""
-    own = Window.partitionBy("session")
-    rows = counts.withColumn("i", F.row_number().over(own.orderBy("t")) - 1).withColumn("n", F.count("*").over(own))
     step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / cap)))).cast("long")
-    return rows.where(F.col("i") % step == 0).select("session", "t", "count")
+    return ranked(counts, ["t"]).where(F.col("i") % step == 0).select("session", "t", "count")
 
 
-def session_metrics(samples: DataFrame) -> DataFrame:
-    """From samples (session, t, people, alerts): person-seconds with steps of 2 s at most, their mean, rising alerts."""
+def session_metrics(samples: DataFrame, obs: DataFrame) -> DataFrame:
+    """From samples (session, t, people, alerts) and ``obs`` (session, person_id): person-seconds with steps of 2 s at
+    most, observed seconds, rising alerts, identities, and the mean of the person-seconds over them."""
     own = Window.partitionBy("session").orderBy("t")
     dt = F.coalesce(F.least(F.greatest(F.col("t") - F.lag("t").over(own), F.lit(0.0)), F.lit(2.0)), F.lit(0.0))
     rise = F.greatest(F.lit(0), F.col("alerts") - F.lag("alerts", 1, 0).over(own))
     rows = samples.select("session", (dt * F.col("people")).alias("ps"), dt.alias("dt"), rise.alias("rise"))
-    return rows.groupBy("session").agg(F.sum("ps").alias("person_seconds"), F.sum("dt").alias("observed_s"), F.sum("rise").alias("alerts"))
+    found = rows.groupBy("session").agg(F.sum("ps").alias("person_seconds"), F.sum("dt").alias("observed_s"), F.sum("rise").alias("alerts"))
+    ids = obs.select("session", "person_id").distinct().groupBy("session").agg(F.count("*").alias("identities"))
+    found = found.join(ids, "session", "left").withColumn("identities", F.coalesce("identities", F.lit(0)))
+    return found.withColumn("mean_observed", F.col("person_seconds") / F.greatest(F.lit(1), F.col("identities")))
+
+
+def metric_series(samples: DataFrame, cap: int = 3600) -> DataFrame:
+    """The first sample of each second of a session, the last ``cap`` of them."""
+    first = samples.groupBy("session", F.floor("t").alias("second")).agg(F.min_by(F.struct("t", "people", "alerts"), "t").alias("s"))
+    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("second")))
+    return first.withColumn("k", rank).where(F.col("k") <= cap).select("session", "s.*")

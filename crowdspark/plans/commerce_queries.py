@@ -34,10 +34,10 @@ _B = """, sal AS (SELECT dataset, business_id, date, hour, sum(amount) AS amount
 _GOOD = _B + """, good AS (SELECT best.dataset, best.business_id, best.date, best.hour, amount / entries AS ratio FROM best JOIN sal USING (dataset, business_id, date, hour) WHERE coverage >= 3300 AND entries > 0)"""
 
 
-def _forecast(targets: str) -> str:
-    return f"""ra AS (SELECT t.dataset, t.business_id, t.date, t.hour, median(g.ratio) AS per_entry, count(*) AS days, min(g.ratio) AS lo, max(g.ratio) AS hi
+def _forecast(targets: str, p: str = "") -> str:
+    return f"""ra{p} AS (SELECT t.dataset, t.business_id, t.date, t.hour, median(g.ratio) AS per_entry, count(*) AS days, min(g.ratio) AS lo, max(g.ratio) AS hi
         FROM {targets} t JOIN good g ON t.dataset = g.dataset AND t.business_id = g.business_id AND t.hour = g.hour AND dayofweek(t.date) = dayofweek(g.date) AND g.date < t.date GROUP BY ALL HAVING count(*) >= 3),
-        fo AS (SELECT t.dataset, t.business_id, t.date, t.hour, t.entries, per_entry, coalesce(days, 0) AS days, entries * per_entry AS estimate, entries * lo AS low, entries * hi AS high FROM {targets} t LEFT JOIN ra USING (dataset, business_id, date, hour))"""
+        fo{p} AS (SELECT t.dataset, t.business_id, t.date, t.hour, t.entries, per_entry, coalesce(days, 0) AS days, entries * per_entry AS estimate, entries * lo AS low, entries * hi AS high FROM {targets} t LEFT JOIN ra{p} USING (dataset, business_id, date, hour))"""
 
 
 _ROUND = ", ".join(f"round({c}, 3) AS {c}" for c in ("per_entry", "estimate", "low", "high"))
@@ -49,13 +49,23 @@ def forecast(spark, sf):
     return rounded(C.forecast(_targets(spark, sf), _traffic(spark, sf), _sales(spark, sf)), 3, *_MONEY)
 
 
-@query(_GOOD + """, nx AS (SELECT DISTINCT dataset, business_id, CAST(date + to_hours(hour + 1) AS DATE) AS date, CAST((hour + 1) % 24 AS INT) AS hour FROM best),
+_NEXT = """, nx AS (SELECT DISTINCT dataset, business_id, CAST(date + to_hours(hour + 1) AS DATE) AS date, CAST((hour + 1) % 24 AS INT) AS hour FROM best),
     ex AS (SELECT n.dataset, n.business_id, n.date, n.hour, CAST(round_even(median(t.entries), 0) AS BIGINT) AS entries FROM nx n JOIN traffic t ON n.dataset = t.dataset AND n.business_id = t.business_id AND n.hour = t.hour AND dayofweek(n.date) = dayofweek(t.date) AND t.date < n.date
-      WHERE t.coverage >= 3300 GROUP BY ALL HAVING count(DISTINCT t.date) >= 3), tg AS (SELECT nx.*, ex.entries FROM nx LEFT JOIN ex USING (dataset, business_id, date, hour)), """ + _forecast("tg") + f" SELECT dataset, business_id, date, hour, entries AS expected_entries, days, {_ROUND}, CASE WHEN days >= 7 THEN 'alta' WHEN days >= 3 THEN 'media' ELSE 'baja' END AS label FROM fo", dates=("date",))
+      WHERE t.coverage >= 3300 GROUP BY ALL), tg AS (SELECT nx.*, ex.entries FROM nx LEFT JOIN ex USING (dataset, business_id, date, hour)), """ + _forecast("tg", "n")
+_LABEL = "CASE WHEN {0} >= 7 THEN 'alta' WHEN {0} >= 3 THEN 'media' ELSE 'baja' END"
+
+
+@query(_GOOD + _NEXT + f" SELECT dataset, business_id, date, hour, entries AS expected_entries, days, {_ROUND}, {_LABEL.format('days')} AS label FROM fon", dates=("date",))
 def next_hour_forecast(spark, sf):
     return rounded(C.next_hour_forecast(_targets(spark, sf), _traffic(spark, sf), _sales(spark, sf)), 3, *_MONEY)
 
 
+@query(_GOOD + ", " + _forecast("best") + f" SELECT days, {_LABEL.format('days')} AS label, count(*) AS hours FROM fo GROUP BY ALL")
+def confidence_label(spark, sf):
+    told = C.forecast(_targets(spark, sf), _traffic(spark, sf), _sales(spark, sf))
+    return told.groupBy("days", C.confidence_label(F.col("days")).alias("label")).agg(F.count("*").alias("hours"))
+
+
 _SUM = _B + """, su AS (SELECT best.dataset, best.business_id, best.date, best.hour, entries, amount, sal.transactions, CASE WHEN entries > 0 THEN 100e0 * sal.transactions / entries END AS conversion FROM best LEFT JOIN sal USING (dataset, business_id, date, hour))"""
 
 
@@ -63,9 +73,37 @@ def _summary(spark, sf):
     return C.commercial_summary(_targets(spark, sf), _traffic(spark, sf), _sales(spark, sf))
 
 
-@query(_SUM + " SELECT dataset, business_id, date, hour, entries, round(amount, 2) AS amount, transactions, round(conversion, 3) AS conversion FROM su", dates=("date",))
+def _bags(spark, sf):
+    e, k, u = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id"), F.col("user_id")
+    return e.select(F.when(u % 7 == 0, "demo").otherwise("real").alias("dataset"), F.concat(F.lit("b"), u % 5).alias("business_id"), F.concat(F.lit("s"), k % 4).alias("session"), (k % 3 == 0).alias("matched"), (k % 6 == 0).alias("changed"))
+
+
+_WHOLE = _SUM + _GOOD[len(_B):] + ", " + _forecast("best") + _NEXT + """, bg AS (SELECT CASE WHEN user_id % 7 = 0 THEN 'demo' ELSE 'real' END AS dataset, concat('b', CAST(user_id % 5 AS VARCHAR)) AS business_id, concat('s', CAST(event_id % 4 AS VARCHAR)) AS session, count(*) AS exits, count(*) FILTER (event_id % 3 = 0) AS matched, count(*) FILTER (event_id % 6 = 0) AS changed FROM events GROUP BY ALL),
+    bd AS (SELECT dataset, business_id, date, CAST(sum(exits) AS BIGINT) AS bag_exits, CAST(sum(matched) AS BIGINT) AS bag_matched, CAST(sum(changed) AS BIGINT) AS bag_changed FROM (SELECT DISTINCT dataset, business_id, session, date FROM traffic) JOIN bg USING (dataset, business_id, session) GROUP BY ALL),
+    wh AS (SELECT su.*, fo.days, fo.estimate, fo.low, fo.high, fon.entries AS next_entries, fon.estimate AS next_estimate, fon.days AS nd, coalesce(bag_exits, 0) AS bag_exits, coalesce(bag_matched, 0) AS bag_matched, coalesce(bag_changed, 0) AS bag_changed
+      FROM su JOIN fo ON su.dataset = fo.dataset AND su.business_id = fo.business_id AND su.date = fo.date AND su.hour = fo.hour
+      LEFT JOIN fon ON fon.dataset = su.dataset AND fon.business_id = su.business_id AND fon.date = CAST(su.date + to_hours(su.hour + 1) AS DATE) AND fon.hour = (su.hour + 1) % 24 LEFT JOIN bd ON bd.dataset = su.dataset AND bd.business_id = su.business_id AND bd.date = su.date)"""
+SUMMARY_SQL = A.oracle("sales", _WHOLE + " SELECT business_id, date, hour, dataset, entries, round(amount, 2) AS amount, round(estimate, 3) AS estimate, days, bag_matched, bag_changed, bag_exits - bag_matched AS bag_unmatched FROM wh")
+
+
+def _whole(spark, sf):
+    return C.commercial_summary(_targets(spark, sf), _traffic(spark, sf), _sales(spark, sf), _bags(spark, sf))
+
+
+def exported(spark, sf):
+    return C.commercial_export(rounded(rounded(_whole(spark, sf), 2, "amount"), 3, "estimate"))
+
+
+@query(_WHOLE + f""" SELECT dataset, business_id, date, hour, entries, round(amount, 2) AS amount, transactions, round(conversion, 3) AS conversion, days, round(estimate, 3) AS estimate, round(low, 3) AS low, round(high, 3) AS high, {_LABEL.format('days')} AS label, next_entries, round(next_estimate, 3) AS next_estimate, {_LABEL.format('nd')} AS next_label,
+    bag_exits, bag_matched, bag_changed, bag_exits - bag_matched AS bag_unmatched, round(100e0 * bag_matched / nullif(bag_exits, 0), 4) AS bag_coverage FROM wh""", dates=("date",))
 def commercial_summary(spark, sf):
-    return rounded(rounded(_summary(spark, sf), 2, "amount"), 3, "conversion")
+    return rounded(rounded(rounded(_whole(spark, sf), 2, "amount"), 3, "conversion", "estimate", "low", "high", "next_estimate"), 4, "bag_coverage")
+
+
+@query(_GOOD + ", tk AS (SELECT DISTINCT dataset, business_id, date, hour, 1 AS entries FROM traffic), " + _forecast("tk") + f""" SELECT t.dataset, t.business_id, t.date, t.hour, t.session, t.entries, t.exits, CAST(round(t.coverage) AS BIGINT) AS coverage, round(amount, 2) AS amount, transactions, round(t.entries * per_entry, 3) AS estimate, {_LABEL.format('days')} AS label
+    FROM traffic t LEFT JOIN sal USING (dataset, business_id, date, hour) LEFT JOIN fo USING (dataset, business_id, date, hour)""", dates=("date",))
+def hourly_table(spark, sf):
+    return rounded(rounded(C.hourly_table(_traffic(spark, sf), _sales(spark, sf)), 2, "amount"), 3, "estimate")
 
 
 @query(_SUM + """, co AS (SELECT dataset, concat('c', CAST(CAST(substr(business_id, 2) AS INT) % 5 AS VARCHAR)) AS company, date, hour, coalesce(CAST(sum(entries) AS BIGINT), 0) AS entries, sum(amount) AS amount, CAST(sum(transactions) AS BIGINT) AS transactions FROM su GROUP BY ALL)
@@ -81,19 +119,33 @@ def dashboard_totals(spark, sf):
     return rounded(rounded(C.dashboard_totals(_summary(spark, sf)), 2, "amount"), 3, "best_conversion")
 
 
-_REL = _B + """, re AS (SELECT dataset, business_id, date, hour, session, entries, amount, CASE WHEN entries > 0 THEN 100e0 * transactions / entries END AS conversion, CASE WHEN entries > 0 THEN amount / entries END AS per_visit FROM traffic JOIN sal USING (dataset, business_id, date, hour) WHERE coverage >= 3300)"""
+#: Line items as people exposed (all passages) and visits (those in); a session covers an hour or half of it.
+_REL = _B + """, re AS (SELECT dataset, business_id, date, hour, session, entries + exits AS exposure, entries AS visits, round(amount, 2) AS amount, 100e0 * entries / nullif(entries + exits, 0) AS capture, 100e0 * transactions / nullif(entries, 0) AS conversion, round(amount, 2) / nullif(entries, 0) AS per_visit FROM traffic JOIN sal USING (dataset, business_id, date, hour) WHERE coverage >= 3300)"""
+
 
+def _relation(spark, sf):
+    hourly = _traffic(spark, sf).withColumnsRenamed({"entries": "visits"}).withColumn("exposure", F.col("visits") + F.col("exits"))
+    return C.sales_relation(hourly, rounded(_sales(spark, sf), 2, "amount"))
 
-@query(_REL + " SELECT dataset, business_id, date, hour, session, entries, round(amount, 2) AS amount, round(conversion, 3) AS conversion FROM re", dates=("date",))
+
+@query(_REL + " SELECT dataset, business_id, date, hour, session, exposure, visits, amount, round(capture, 3) AS capture, round(conversion, 3) AS conversion, round(per_visit, 3) AS per_visit FROM re", dates=("date",))
 def sales_relation(spark, sf):
-    return rounded(rounded(C.sales_relation(_traffic(spark, sf), _sales(spark, sf)), 2, "amount"), 3, "conversion").drop("per_visit")
+    return rounded(_relation(spark, sf), 3, "capture", "conversion", "per_visit")
+
+
+def _rank_sql(name: str) -> str:
+    return f"rk_{name} AS (SELECT dataset, business_id, count(*) AS n, CASE WHEN count(*) >= 3 AND min({name}) <> max({name}) AND min(amount) <> max(amount) THEN round(corr(a, b), 3) END AS rho FROM (SELECT *, row_number() OVER (PARTITION BY dataset, business_id ORDER BY {name}, date, hour, session) AS a, row_number() OVER (PARTITION BY dataset, business_id ORDER BY amount, date, hour, session) AS b FROM re) GROUP BY ALL)"
 
 
-@query(_REL + """, rk AS (SELECT dataset, business_id, entries, amount, row_number() OVER (PARTITION BY dataset, business_id ORDER BY entries, date, hour, session) AS a, row_number() OVER (PARTITION BY dataset, business_id ORDER BY round(amount, 2), date, hour, session) AS b FROM re)
-    SELECT dataset, business_id, count(*) AS n, CASE WHEN count(*) >= 3 AND min(entries) <> max(entries) AND min(amount) <> max(amount) THEN round(corr(a, b), 3) END AS rho FROM rk GROUP BY ALL""")
+@query(_REL + ", " + _rank_sql("visits") + " SELECT * FROM rk_visits")
 def spearman_ordinal(spark, sf):
-    rows = rounded(C.sales_relation(_traffic(spark, sf), _sales(spark, sf)), 2, "amount")
-    return C.spearman_ordinal(rows, ["dataset", "business_id"], "entries", "amount", ["date", "hour", "session"])
+    return C.spearman_ordinal(_relation(spark, sf), ["dataset", "business_id"], "visits", "amount", ["date", "hour", "session"])
+
+
+@query(_REL + ", " + _rank_sql("visits") + ", " + _rank_sql("exposure") + """, md AS (SELECT dataset, business_id, count(*) AS hours, median(capture) AS m FROM re GROUP BY ALL)
+    SELECT dataset, business_id, hours, CASE WHEN hours >= 6 THEN round(m, 3) END AS capture_median, CASE WHEN hours >= 6 THEN e.rho END AS exposure_sales, CASE WHEN hours >= 6 THEN v.rho END AS visits_sales FROM md JOIN rk_visits v USING (dataset, business_id) JOIN rk_exposure e USING (dataset, business_id)""")
+def sales_correlation(spark, sf):
+    return rounded(C.sales_correlation(_relation(spark, sf)), 3, "capture_median")
 
 
 @query(" SELECT business_id, date, hour, round(sum(amount), 2) AS amount FROM sales WHERE hour BETWEEN 0 AND 23 AND amount >= 0 GROUP BY ALL HAVING (business_id, date, hour) NOT IN (SELECT (business_id, date, hour) FROM traffic WHERE dataset = 'demo')", dates=("date",))
@@ -119,11 +171,11 @@ def _incidents(spark, sf):
 
 @query(_B + _INC + """, i2 AS (SELECT *, CAST(start AS DATE) AS date, CAST(hour(start) AS INT) AS hour, CAST(epoch(start) AS BIGINT) % 3600 AS off FROM inc),
     sh AS (SELECT dataset, business_id, date, hour, amount FROM sal),
-    us AS (SELECT i.dataset, i.business_id, i.date, i.hour, median(s.amount) AS usual FROM (SELECT DISTINCT dataset, business_id, date, hour FROM i2) i JOIN sh s ON i.dataset = s.dataset AND i.business_id = s.business_id AND i.hour = s.hour AND dayofweek(i.date) = dayofweek(s.date) AND s.date < i.date GROUP BY ALL HAVING count(*) >= 3)
-    SELECT incident_id, dataset, business_id, date, hour, round(CASE WHEN duration < 3600 AND off + duration <= 3600 AND usual > 0 THEN 100e0 * (amount / usual - 1) END, 2) AS impact FROM i2 LEFT JOIN sh USING (dataset, business_id, date, hour) LEFT JOIN us USING (dataset, business_id, date, hour)
+    us AS (SELECT i.dataset, i.business_id, i.date, i.hour, median(s.amount) AS usual, count(*) AS days FROM (SELECT DISTINCT dataset, business_id, date, hour FROM i2) i JOIN sh s ON i.dataset = s.dataset AND i.business_id = s.business_id AND i.hour = s.hour AND dayofweek(i.date) = dayofweek(s.date) AND s.date < i.date GROUP BY ALL HAVING count(*) >= 3)
+    SELECT incident_id, dataset, business_id, CAST(start AS VARCHAR) AS start, duration, date, hour, round(amount, 2) AS amount, round(usual, 2) AS usual, coalesce(days, 0) AS days, round(CASE WHEN duration < 3600 AND off + duration <= 3600 AND usual > 0 THEN 100e0 * (amount / usual - 1) END, 2) AS impact FROM i2 LEFT JOIN sh USING (dataset, business_id, date, hour) LEFT JOIN us USING (dataset, business_id, date, hour)
     QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY start DESC, incident_id) <= 100""", dates=("date",))
 def incident_sales_impact(spark, sf):
-    return rounded(C.incident_sales_impact(_incidents(spark, sf), _sales(spark, sf)), 2, "impact")
+    return rounded(C.incident_sales_impact(_incidents(spark, sf), _sales(spark, sf)), 2, "impact", "amount", "usual").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(_INC + ", up AS (SELECT incident_id, CASE WHEN incident_id % 5 = 0 THEN 'descartado' ELSE 'nada' END AS new FROM inc WHERE incident_id % 2 = 0) SELECT incident_id, zone, 'pendiente' AS state FROM inc LEFT JOIN up USING (incident_id) WHERE coalesce(CASE WHEN new = 'descartado' THEN new END, state) = 'pendiente' ORDER BY start DESC, incident_id LIMIT 200")
@@ -188,6 +240,13 @@ def annotation_totals(spark, sf):
     return N.annotation_totals(_tables(spark, sf)[1])
 
 
+@query(_DIST + " SELECT split, image, round(x, 3) AS x, round(y, 3) AS y, round(distance, 3) AS distance FROM di", "points")
+def oob_distance(spark, sf):
+    images, points, _ = _tables(spark, sf)
+    rows = points.join(images.select("split", "image", "width", "height"), ["split", "image"])
+    return rounded(rows.select("split", "image", "x", "y", N.oob_distance(*map(F.col, ("x", "y", "width", "height"))).alias("distance")), 3, "x", "y", "distance")
+
+
 @query(_DIST + f" SELECT split, {_SEV} AS severity, count(*) AS points, count(DISTINCT image) AS images FROM di WHERE distance > 0 GROUP BY ALL", "points")
 def oob_severity(spark, sf):
     images, points, _ = _tables(spark, sf)

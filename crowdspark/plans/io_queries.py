@@ -10,8 +10,9 @@ from ..sources import recordings as S
 from ..sources import sales as V
 from ..sources.shared import shared_folder
 from . import adapters as A
+from . import commerce_queries as C
 from .flow_queries import rounded
-from .tracking_queries import _CNT, _counts
+from .tracking_queries import CAMERAS, _CAMERAS, _CNT, _OCCUPIED, _SESSION, _counts, _heat, _occupied, _session_metrics
 
 QUERIES, ORACLE, _register = A.registry()
 
@@ -142,27 +143,56 @@ def report_flow(spark, sf):
     return rounded(R.report_flow(_counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count"))), 4, "mean")
 
 
-_ZN = ", zn AS (SELECT session, camera AS zone_id, CAST(count(*) AS DOUBLE) AS seconds, count(DISTINCT person_id) AS visits FROM pos GROUP BY ALL)"
+_TABLE = _OCCUPIED + ", zt AS (SELECT * FROM zo QUALIFY row_number() OVER (PARTITION BY session, zone_id ORDER BY t DESC) = 1)"
 
 
 def _zones(spark, sf):
-    return A.derive(spark, sf, "legs", "pos").groupBy("session", F.col("camera").alias("zone_id")).agg(F.count("*").cast("double").alias("seconds"), F.count_distinct("person_id").alias("visits"))
+    return R.report_occupancy(_occupied(spark, sf).fillna(False, ["alert"]))
 
 
-@query(_ZN + """, m AS (SELECT *, median(seconds) OVER (PARTITION BY session) AS ms, median(visits) OVER (PARTITION BY session) AS mv FROM zn) SELECT session, zone_id, seconds, visits, round(seconds / visits, 4) AS mean_stay,
-    CASE WHEN seconds >= ms AND visits >= mv THEN 'strong' WHEN seconds >= ms THEN 'long stays' WHEN visits >= mv THEN 'passing' ELSE 'weak' END AS verdict, row_number() OVER (PARTITION BY session ORDER BY seconds DESC, zone_id) AS rank FROM m""", "legs")
+@query(_TABLE + " SELECT session, zone_id, count, round(seconds, 3) AS seconds, peak, visits, round(duration, 3) AS duration, alert FROM zt", "legs")
+def report_occupancy(spark, sf):
+    return rounded(_zones(spark, sf), 3, "seconds", "duration")
+
+
+_RANKED = _TABLE + """, bm AS (SELECT *, median(round(seconds, 3)) OVER (PARTITION BY session) AS ms, median(visits) OVER (PARTITION BY session) AS mv FROM zt), br AS (SELECT session, zone_id, round(seconds, 3) AS seconds, visits, peak, alert, round(round(seconds, 3) / nullif(visits, 0), 4) AS mean_stay,
+    CASE WHEN alert THEN '{alert}' WHEN round(seconds, 3) >= ms AND visits >= mv THEN '{both}' WHEN visits >= mv THEN '{traffic}' WHEN round(seconds, 3) >= ms THEN '{dwell}' ELSE '{none}' END AS verdict, row_number() OVER (PARTITION BY session ORDER BY round(seconds, 3) DESC, zone_id) AS rank, visits >= mv AND round(seconds, 3) < ms AS pass FROM bm)""".format(**R.VERDICTS)
+
+
+def _ranking(spark, sf):
+    return R.business_report(rounded(_zones(spark, sf), 3, "seconds"))
+
+
+@query(_RANKED + " SELECT * EXCLUDE (pass), pass AND rank > 1 AS passing FROM br", "legs")
 def business_report(spark, sf):
-    return rounded(R.business_report(_zones(spark, sf)), 4, "mean_stay")
+    return rounded(_ranking(spark, sf), 4, "mean_stay").drop("count", "duration")
+
+
+@query(_RANKED + _SESSION + """, kx AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS c FROM cnt GROUP BY session, t), kp AS (SELECT session, max(c) AS peak, min_by(t, {'a': -c, 'b': t}) AS peak_t FROM kx GROUP BY session)
+    SELECT se.session, round(person_seconds / greatest(1, identities), 4) AS mean_observed, alerts, peak, round(peak_t, 3) AS peak_t, zone_id AS top_zone, seconds AS top_seconds FROM se LEFT JOIN kp USING (session) LEFT JOIN (SELECT session, zone_id, seconds FROM br WHERE rank = 1) USING (session)""", "legs")
+def business_kpis(spark, sf):
+    series = _counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count"))
+    return rounded(rounded(R.business_kpis(series, _ranking(spark, sf), _session_metrics(spark, sf)), 4, "mean_observed"), 3, "peak_t")
+
 
+@query(_RANKED + """, bc AS (SELECT session, count(DISTINCT camera) AS active, CAST(5 AS BIGINT) AS total FROM pos GROUP BY session),
+    bk AS (SELECT session, 'top' AS kind, CAST(zone_id AS VARCHAR) AS zones, seconds AS number FROM br WHERE rank = 1 AND seconds > 0 UNION ALL SELECT session, 'alert', string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY rank), NULL FROM br WHERE alert GROUP BY session
+      UNION ALL SELECT session, 'passing', string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY rank), NULL FROM br WHERE pass AND rank > 1 GROUP BY session UNION ALL SELECT session, 'coverage', '', CAST(active AS DOUBLE) FROM bc WHERE active < total)
+    SELECT * FROM bk UNION ALL SELECT session, 'none', '', NULL FROM bc WHERE session NOT IN (SELECT session FROM bk)""", "legs")
+def business_recommendations(spark, sf):
+    cameras = A.derive(spark, sf, "legs", "pos").groupBy("session").agg(F.count_distinct("camera").alias("active")).withColumn("total", F.lit(5).cast("long"))
+    return R.business_recommendations(_ranking(spark, sf), cameras)
 
-@query(_ZN + " SELECT session, zone_id, visits, CASE WHEN visits < 5 THEN 'low' WHEN 2 * visits >= max(visits) OVER (PARTITION BY session) THEN 'high' ELSE 'partial' END AS confidence FROM zn", "legs")
+
+@query(_TABLE + " SELECT session, zone_id, visits, CASE WHEN visits < 5 THEN 'low' WHEN 2 * visits >= max(visits) OVER (PARTITION BY session) THEN 'high' ELSE 'partial' END AS confidence FROM zt", "legs")
 def sample_confidence(spark, sf):
     return R.sample_confidence(_zones(spark, sf)).select("session", "zone_id", "visits", "confidence")
 
 
-@query(_ZN + " SELECT session, CAST(visits AS INT) AS cx, CAST(seconds AS INT) AS cy, seconds, row_number() OVER (PARTITION BY session ORDER BY seconds DESC, CAST(visits AS INT), CAST(seconds AS INT)) AS rank FROM zn", "legs")
+@query(_heat("obs") + ", " + _CAMERAS + """, rs AS (SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY seconds DESC, cx, cy) AS INT) AS rank, cx * 1e0 AS x, cy * 1e0 AS y, seconds, peak, visits FROM he)
+    SELECT session, rank, arg_min(camera, {'d': pow(x - ca.cx, 2) + pow(y - ca.cy, 2), 'c': camera}) AS camera, x, y, seconds, peak, visits FROM rs CROSS JOIN ca GROUP BY ALL""", "obs")
 def report_sectors(spark, sf):
-    return R.report_sectors(_zones(spark, sf).select("session", F.col("visits").cast("int").alias("cx"), F.col("seconds").cast("int").alias("cy"), "seconds"))
+    return R.report_sectors(rounded(K.heat_cells(A.derive(spark, sf, "obs", "obs"), 1.0), 3, "seconds"), 1.0, CAMERAS)
 
 
 @query(_CNT + ", cr AS (SELECT session, camera, count(*) FILTER (event_id % 2 = 0) AS entries, count(*) FILTER (event_id % 2 = 1) AS exits FROM pos GROUP BY ALL) SELECT session, camera, max_by(n, t) AS count, max(n) AS peak, entries, exits FROM cnt LEFT JOIN cr USING (session, camera) GROUP BY ALL", "legs")
@@ -177,15 +207,62 @@ def report_access_events(spark, sf):
     return R.report_access_events(rows, ["tick", "event_id", "person_id"]).select("session", "camera", "event_id", "direction", "nth")
 
 
-@query(_CNT + ", x AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS count FROM cnt GROUP BY session, t), f AS (SELECT session, round(max(t), 3) AS last_t, max(count) AS peak, count(*) AS samples FROM x GROUP BY session) SELECT session, CASE WHEN right(session, 1) = '7' THEN 'running' ELSE 'done' END AS status, last_t, peak, samples, CASE WHEN right(session, 1) = '4' THEN 9 ELSE peak END AS people FROM f WHERE right(session, 1) <> '7'", "legs")
-def session_report(spark, sf):
+_MINE = "right(session, 1) <> '7' AND right(session, 1) <> '9'"
+
+
+def _reported(spark, sf):
+    """(sessions, series): those that end in 7 still run, those in 9 are another project's."""
     series = _counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("count"))
-    sessions = series.select("session").distinct().select("session", F.when(F.col("session").endswith("7"), "running").otherwise("done").alias("status"), F.when(F.col("session").endswith("4"), 9).cast("long").alias("final_people"))
-    return rounded(R.session_report(sessions, series), 3, "last_t")
+    ends = lambda k: F.col("session").endswith(k)
+    return series.select("session").distinct().select("session", F.when(ends("7"), "running").otherwise("done").alias("status"), F.when(ends("9"), "q").otherwise("p").alias("project_id"), F.when(ends("4"), 9).cast("long").alias("final_people")), series
 
 
-@query(", he AS (SELECT session, CAST(floor(x) AS INT) AS cx, CAST(floor(y) AS INT) AS cy, count(*) AS samples FROM pos WHERE right(session, 1) IN ('1', '2') GROUP BY ALL) SELECT * FROM he", "legs")
-def rebuild_maps(spark, sf):
-    pos = A.derive(spark, sf, "legs", "pos")
+@query(_CNT + f", x AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS count FROM cnt GROUP BY session, t), f AS (SELECT session, round(max(t), 3) AS last_t, max(count) AS peak, count(*) AS samples FROM x GROUP BY session) SELECT session, 'done' AS status, last_t, peak, samples, CASE WHEN right(session, 1) = '4' THEN 9 ELSE peak END AS people FROM f WHERE {_MINE}", "legs")
+def session_report(spark, sf):
+    return rounded(R.session_report(*_reported(spark, sf), "p"), 3, "last_t")
+
+
+@query(_CNT + f""", x AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS count FROM cnt GROUP BY session, t), i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM x)
+    SELECT session, round(t, 3) AS t, count FROM i WHERE i % CAST(greatest(1, pow(2, ceil(log2(n / 100e0)))) AS BIGINT) = 0 AND {_MINE}""", "legs")
+def session_series(spark, sf):
+    return rounded(R.session_series(*_reported(spark, sf), "p", 100), 3, "t")
+
+
+_SCOPED = ", ob AS (SELECT concat(session, '|', unnest([concat('level:', CAST(person_id % 2 AS VARCHAR)), concat('camera:', camera)])) AS session, camera, t, person_id, x, y FROM pos WHERE right(session, 1) IN ('1', '2'))"
+_SPLIT = "split_part(session, '|', 1) AS session, split_part(session, '|', 2) AS scope"
+
+
+def _maps(spark, sf):
+    pos = A.derive(spark, sf, "legs", "pos").withColumn("plan_id", (F.col("person_id") % 2).cast("string"))
     sessions = pos.select("session").distinct().select("session", F.when(F.col("session").endswith("2"), "error").otherwise("done").alias("status"), F.when(F.col("session").rlike("[12]$"), 1).otherwise(2).alias("version"))
-    return R.stale_observations(sessions, pos).groupBy("session", F.floor("x").cast("int").alias("cx"), F.floor("y").cast("int").alias("cy")).agg(F.count("*").alias("samples"))
+    return R.rebuild_maps(sessions, pos, 1.0)
+
+
+@query(_SCOPED + _heat("ob") + f" SELECT {_SPLIT}, cx, cy, seconds, peak, visits FROM he", "legs")
+def rebuild_maps(spark, sf):
+    return rounded(_maps(spark, sf)[0], 3, "seconds")
+
+
+@query(_SCOPED + """, fp AS (SELECT session, t, person_id, max({'camera': camera, 'x': x, 'y': y}) AS p FROM ob GROUP BY ALL), f0 AS (SELECT session, p.x AS x, p.y AS y, p.x - lag(p.x) OVER w AS dx, p.y - lag(p.y) OVER w AS dy, t - lag(t) OVER w AS dt FROM fp WINDOW w AS (PARTITION BY session, person_id ORDER BY t)), f1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM f0),
+    f2 AS (SELECT session, CAST(floor(x / 1e0) AS INT) AS cx, CAST(floor(y / 1e0) AS INT) AS cy, CAST((round_even(atan2(dy, dx) / (pi() / 4), 0) + 8) % 8 AS INT) AS direction, round(sum(d), 3) AS distance, count(*) AS samples FROM f1 WHERE dt > 0 AND dt <= 2 AND d > 0.02e0 AND d <= 5 * dt GROUP BY 1, 2, 3, 4)
+    SELECT """ + _SPLIT + ", cx, cy, direction, distance, samples FROM f2", "legs")
+def rebuild_flows(spark, sf):
+    return rounded(_maps(spark, sf)[1], 3, "distance")
+
+
+@query(" SELECT CAST(c_custkey AS VARCHAR) AS session, CASE WHEN c_custkey % 4 = 0 THEN 'p1' END AS project_id, 'done' AS status, CAST(c_custkey % 100 AS DOUBLE) AS end_s, c_custkey % 5 = 0 AS test_run, CASE WHEN c_custkey % 3 = 0 THEN 'live' ELSE 'file' END AS source_mode FROM customer WHERE c_custkey % 10 < 2")
+def read_manifests(spark, sf):
+    """A manifest a customer (every tenth and the next, for each is a file), with a key that must not be read."""
+    c, path = F.col("c_custkey"), _folder(spark)
+    config = F.struct((c % 5 == 0).alias("testRun"), F.when(c % 3 == 0, "live").otherwise("file").alias("sourceMode"), F.lit("rtsp://user:pass@host").alias("source"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 10 < 2").select(c.cast("string").alias("folder"), F.to_json(F.struct(c.cast("string").alias("session"), F.when(c % 4 == 0, "p1").alias("projectId"), F.lit("done").alias("status"), (c % 100).cast("double").alias("end"), config.alias("config"))).alias("value"))
+    rows.repartition("folder").write.partitionBy("folder").text(path)
+    return S.read_manifests(spark, path, "folder=*/*").select("session", "project_id", "status", "end_s", "test_run", "source_mode")
+
+
+@query(" SELECT * FROM (" + C.SUMMARY_SQL + ")", "sales", dates=("date",))
+def commercial_export(spark, sf):
+    path = _folder(spark)
+    V.report_csv_sink(C.exported(spark, sf), path)
+    names = "business_id string, date string, hour int, dataset string, entries long, amount double, estimate double, days long, bag_matched long, bag_changed long, bag_unmatched long"
+    return spark.read.schema(names).option("header", True).csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import counters as K
 from ..operators import identity as I
+from ..operators import reports as R
 from ..operators import trajectories
 from . import adapters as A
 from .flow_queries import _JUMPS, rounded
@@ -35,18 +36,45 @@ def _counts(spark, sf):
     return rows.select("session", "camera", (F.col("tick") * 0.2).alias("t"), "n")
 
 
-@query(""", la AS (SELECT session, t, person_id, max({'camera': camera, 'x': x, 'y': y}) AS p FROM obs GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM la)),
+def _heat(source: str, top: int = 80) -> str:
+    return f""", la AS (SELECT session, t, person_id, max({{'camera': camera, 'x': x, 'y': y}}) AS p FROM {source} GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM la)),
     pc AS (SELECT session, t, person_id, CAST(floor(p.x / 1e0) AS INT) AS cx, CAST(floor(p.y / 1e0) AS INT) AS cy FROM la), cn AS (SELECT session, cx, cy, t, count(*) AS n FROM pc GROUP BY ALL), vi AS (SELECT session, cx, cy, count(DISTINCT person_id) AS visits FROM pc GROUP BY ALL),
-    ce AS (SELECT session, cx, cy, sum(n * dt) AS seconds, max(n) AS peak FROM cn JOIN sm USING (session, t) GROUP BY ALL)
-    SELECT session, cx, cy, round(seconds, 3) AS seconds, peak, visits FROM ce JOIN vi USING (session, cx, cy) QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(seconds, 3) DESC, cx, cy) <= 80""")
+    ce AS (SELECT session, cx, cy, sum(n * dt) AS seconds, max(n) AS peak FROM cn JOIN sm USING (session, t) GROUP BY ALL),
+    he AS (SELECT session, cx, cy, round(seconds, 3) AS seconds, peak, visits FROM ce JOIN vi USING (session, cx, cy) QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(seconds, 3) DESC, cx, cy) <= {top})"""
+
+
+@query(_heat("obs") + " SELECT * FROM he")
 def heat_cells(spark, sf):
     return rounded(K.heat_cells(_obs(spark, sf), 1.0), 3, "seconds")
 
 
-@query(_CNT + """, i0 AS (SELECT *, n >= 2 AS on FROM cnt), i1 AS (SELECT *, CASE WHEN "on" AND NOT coalesce(lag("on") OVER w, false) THEN 1 ELSE 0 END AS st FROM i0 WINDOW w AS (PARTITION BY session, camera ORDER BY t)), i2 AS (SELECT *, sum(st) OVER (PARTITION BY session, camera ORDER BY t) AS run FROM i1),
-    i3 AS (SELECT *, CASE WHEN "on" THEN t - min(t) FILTER ("on") OVER (PARTITION BY session, camera, run) ELSE 0 END AS duration FROM i2) SELECT session, camera AS zone_id, round(t, 3) AS t, n, round(duration, 3) AS duration, "on" AND duration >= 2 AS alert FROM i3""".replace("AS on FROM", 'AS "on" FROM'), "legs")
+#: People and seconds that make a zone's crowd an alert.
+_RULES = {1: (2, 2.0), 3: (2, 1.0), 4: (4, 5.0)}
+_ZB = "zb(zone_id, x1, y1, x2, y2, least, dwell) AS (VALUES " + ", ".join("({}, {}e0, {}e0, {}e0, {}e0, {}, {})".format(z["zone_id"], *z["box"], *(_RULES.get(z["zone_id"]) or ("CAST(NULL AS INT)", "CAST(NULL AS DOUBLE)"))) for z in A.ZONES) + ")"
+_OCCUPIED = ", " + _ZB + """, zs AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM pos)),
+    zm AS (SELECT DISTINCT session, t, person_id, zone_id FROM pos JOIN zb ON x >= x1 - 1e-6 AND x <= x2 + 1e-6 AND y >= y1 - 1e-6 AND y <= y2 + 1e-6), zc AS (SELECT session, t, zone_id, count(*) AS n FROM zm GROUP BY ALL),
+    zn AS (SELECT session, zone_id, t, count(*) AS new FROM (SELECT session, zone_id, person_id, min(t) AS t FROM zm GROUP BY ALL) GROUP BY ALL),
+    zr AS (SELECT zs.session, zs.t, dt, zb.zone_id, coalesce(n, 0) AS n, coalesce(new, 0) AS new, coalesce(coalesce(n, 0) >= least, false) AS hit, dwell FROM zs CROSS JOIN zb LEFT JOIN zc USING (session, t, zone_id) LEFT JOIN zn USING (session, t, zone_id)),
+    z1 AS (SELECT *, sum(n * dt) OVER w AS seconds, max(n) OVER w AS peak, CAST(sum(new) OVER w AS BIGINT) AS visits, max(CASE WHEN NOT hit THEN t END) OVER w AS below FROM zr WINDOW w AS (PARTITION BY session, zone_id ORDER BY t)),
+    z2 AS (SELECT *, CASE WHEN hit THEN t - min(CASE WHEN hit THEN t END) OVER (PARTITION BY session, zone_id, below) ELSE 0 END AS duration FROM z1),
+    zo AS (SELECT session, zone_id, t, n AS count, seconds, peak, visits, duration, coalesce(hit AND duration >= dwell, false) AS alert FROM z2)"""
+
+
+def _occupied(spark, sf):
+    return K.zone_occupancy(A.derive(spark, sf, "legs", "pos"), A.ZONES, _RULES)
+
+
+@query(_OCCUPIED + " SELECT session, zone_id, round(t, 3) AS t, count, round(seconds, 3) AS seconds, peak, visits, round(duration, 3) AS duration, alert FROM zo", "legs")
 def zone_occupancy(spark, sf):
-    return rounded(K.zone_occupancy(_counts(spark, sf).withColumnRenamed("camera", "zone_id"), 2, 2.0), 3, "t", "duration")
+    return rounded(_occupied(spark, sf), 3, "t", "seconds", "duration").fillna(False, ["alert"])
+
+
+@query(""", ht AS (SELECT session, camera, t, CASE WHEN lead(t) OVER (PARTITION BY session, camera ORDER BY t) - t <= 0.3e0 THEN lead(t) OVER (PARTITION BY session, camera ORDER BY t) - t ELSE 0 END AS dt FROM (SELECT DISTINCT session, camera, t FROM pos)),
+    hc AS (SELECT session, camera, t, CAST(floor(y / 8 * 24) AS INT) AS row, CAST(floor(x / 12 * 40) AS INT) AS col, count(*) AS n FROM pos WHERE x / 12 < 1 AND y / 8 < 1 AND x >= 0 AND y >= 0 GROUP BY ALL)
+    SELECT session, camera, row, col, round(sum(n * dt), 3) AS seconds FROM hc JOIN ht USING (session, camera, t) GROUP BY ALL HAVING sum(n * dt) > 0""", "legs")
+def camera_heat(spark, sf):
+    points = A.derive(spark, sf, "legs", "pos").select("session", "camera", "t", (F.col("x") / 12).alias("u"), (F.col("y") / 8).alias("v"))
+    return rounded(K.camera_heat(points, 0.2), 3, "seconds")
 
 
 @query(_CNT + """, l AS (SELECT *, lead(t) OVER (PARTITION BY session, camera ORDER BY t) - t AS ahead FROM cnt), d AS (SELECT *, CASE WHEN ahead <= 0.3e0 THEN ahead ELSE 0 END AS dt FROM l)
@@ -85,9 +113,37 @@ def crossing_candidates(spark, sf):
     return rounded(K.crossing_candidates(pixels, _lines(spark, spark.range(1).select(F.lit("c").alias("camera")))), 3, "t")
 
 
+def _crossings(spark, sf):
+    return K.line_crossings(_pixels(spark, sf), _lines(spark, spark.range(1).select(F.lit("c").alias("camera"))))
+
+
 @query()
 def line_crossings(spark, sf):
-    return K.line_crossings(_pixels(spark, sf), _lines(spark, spark.range(1).select(F.lit("c").alias("camera"))))
+    return _crossings(spark, sf)
+
+
+@query(_LINE.replace("SELECT session, 'c' AS camera, line_id, person_id, round(t, 3) AS t, CASE", "SELECT session, person_id, round(t, 3) AS t, CASE").replace("WHERE abs(d) >= 0.008e0", "WHERE abs(d) >= 0.008e0 AND line_id = 1 AND u BETWEEN 0.2e0 - 1e-6 AND 0.8e0 + 1e-6 AND CASE WHEN d > 0 THEN v <= 0.8e0 + 1e-6 ELSE v >= 0.3e0 - 1e-6 END"), "legs")
+def banded_crossings(spark, sf):
+    """Line 1 with a band on either side, out to v = 0.8 and v = 0.3."""
+    at = lambda y: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0.2, 0.8)))
+    lines = _lines(spark, spark.range(1).select(F.lit("c").alias("camera"))).where("line_id = 1").withColumns({"positive": at(0.8), "negative": at(0.3)})
+    return rounded(K.crossing_candidates(_pixels(spark, sf), lines).select("session", "person_id", "t", "direction"), 3, "t")
+
+
+_WAYS = "count(*) FILTER (direction = 'entry') AS entries, count(*) FILTER (direction = 'exit') AS exits"
+
+
+@query(_LINE.replace(" SELECT session, 'c' AS camera", ", lx AS (SELECT session, 'c' AS camera").rstrip() + f") SELECT session, camera, line_id, {_WAYS}, max(t) AS last_crossing FROM lx GROUP BY ALL", "legs")
+def line_totals(spark, sf):
+    lines = _lines(spark, spark.range(1).select(F.lit("c").alias("camera")))
+    return rounded(K.line_totals(K.crossing_candidates(_pixels(spark, sf), lines))[0], 3, "last_crossing")
+
+
+@query(_LINE.replace(" SELECT session, 'c' AS camera", ", lx AS (SELECT session, 'c' AS camera").rstrip() + f") SELECT session, camera, line_id, CAST(floor(t / 60) AS BIGINT) AS hour, {_WAYS} FROM lx GROUP BY ALL", "legs")
+def line_hours(spark, sf):
+    """By minute, for the sessions are short."""
+    lines = _lines(spark, spark.range(1).select(F.lit("c").alias("camera")))
+    return K.line_totals(rounded(K.crossing_candidates(_pixels(spark, sf), lines), 3, "t"), 60.0)[1]
 
 
 _ALERTS = ", al AS (SELECT CAST(user_id % 10 AS VARCHAR) AS key, epoch(ts) AS t, value AS peak, value * 2 AS duration FROM events)"
@@ -169,12 +225,25 @@ def point_in_polygon(spark, sf):
     return A.derive(spark, sf, "legs", "pos").select("session", "person_id", "tick", G.contains(_TRI, 0.0)("x", "y").alias("inside"))
 
 
-@query(""", ca(camera, cx, cy) AS (VALUES ('a', 1e0, 1e0), ('b', 11e0, 1e0), ('c', 6e0, 7e0)), ce AS (SELECT DISTINCT session, CAST(floor(x) AS INT) AS gx, CAST(floor(y) AS INT) AS gy FROM pos)
+CAMERAS = [("a", 1.0, 1.0), ("b", 11.0, 1.0), ("c", 6.0, 7.0)]
+_CAMERAS = "ca(camera, cx, cy) AS (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)" for n, x, y in CAMERAS) + ")"
+
+
+@query(", " + _CAMERAS + """, ce AS (SELECT DISTINCT session, CAST(floor(x) AS INT) AS gx, CAST(floor(y) AS INT) AS gy FROM pos)
     SELECT session, gx, gy, arg_min(camera, {'d': pow(gx + 0.5e0 - cx, 2) + pow(gy + 0.5e0 - cy, 2), 'c': camera}) AS camera FROM ce CROSS JOIN ca GROUP BY ALL""", "legs")
 def nearest_camera(spark, sf):
     cells = A.derive(spark, sf, "legs", "pos").select("session", F.floor("x").cast("int").alias("gx"), F.floor("y").cast("int").alias("gy")).distinct()
-    away = [F.struct((F.pow(F.col("gx") + 0.5 - x, 2) + F.pow(F.col("gy") + 0.5 - y, 2)).alias("d"), F.lit(c).alias("camera")) for c, x, y in (("a", 1.0, 1.0), ("b", 11.0, 1.0), ("c", 6.0, 7.0))]
-    return cells.select("session", "gx", "gy", F.array_min(F.array(*away))["camera"].alias("camera"))
+    return cells.select("session", "gx", "gy", R.nearest_camera(F.col("gx") + 0.5, F.col("gy") + 0.5, CAMERAS).alias("camera"))
+
+
+@query(_BOX + """, bi AS (SELECT a.session, a.t, a.person_id, b.person_id AS person_id_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS w FROM bx a JOIN bx b ON a.session = b.session AND a.t = b.t AND a.person_id + 1 = b.person_id)
+    SELECT session, round(t, 3) AS t, person_id, person_id_b, round(w / (8000e0 - w), 4) AS iou FROM bi""", "legs")
+def box_iou(spark, sf):
+    box = ("x1", "y1", "x2", "y2")
+    rows = _boxes(spark, sf)
+    other = rows.select("session", "t", (F.col("person_id") - 1).alias("person_id"), F.col("person_id").alias("person_id_b"), *(F.col(c).alias(f"{c}_b") for c in box))
+    both = rows.select("session", "t", "person_id", *box).join(other, ["session", "t", "person_id"])
+    return rounded(rounded(both.select("session", "t", "person_id", "person_id_b", G.box_iou([F.col(c) for c in box], [F.col(f"{c}_b") for c in box]).alias("iou")), 4, "iou"), 3, "t")
 
 
 _SEG = """, g0 AS (SELECT session, camera, person_id, t, CASE WHEN t - lag(t) OVER w > 2 THEN 1 WHEN lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM pos WINDOW w AS (PARTITION BY session, camera, person_id ORDER BY t)),
@@ -186,6 +255,11 @@ def tracklet_segments(spark, sf):
     return rounded(I.tracklet_table(I.tracklet_segments(A.derive(spark, sf, "legs", "pos"))), 3, "start_s", "end_s")
 
 
+@query(_SEG + " SELECT session, camera, count(*) AS tracklets, max(n) AS longest FROM (SELECT session, camera, uid, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL", "legs")
+def tracklet_table(spark, sf):
+    return I.tracklet_table(I.tracklet_segments(A.derive(spark, sf, "legs", "pos"))).groupBy("session", "camera").agg(F.count("*").alias("tracklets"), F.max("n").alias("longest"))
+
+
 @query(" SELECT session, camera, person_id, round(min(t), 3) AS t_first, round(max(t), 3) AS t_last, count(*) AS n FROM pos GROUP BY ALL HAVING count(*) >= 100", "legs")
 def annotation_template(spark, sf):
     return rounded(I.annotation_template(A.derive(spark, sf, "legs", "pos"), 100), 3, "t_first", "t_last")
@@ -273,11 +347,29 @@ def plateau_center(spark, sf):
     return I.plateau_center(_tracklets(spark, sf).select(F.col("camera").alias("parameter"), F.col("start_s").alias("value"), (F.col("views") / 10.0).alias("score")))
 
 
-@query(_CNT + """, sa AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS people, CAST(max(n) AS INT) - 1 AS alerts FROM cnt GROUP BY session, t), d AS (SELECT *, coalesce(least(greatest(t - lag(t) OVER w, 0), 2), 0) AS dt, greatest(0, alerts - lag(alerts, 1, 0) OVER w) AS rise FROM sa WINDOW w AS (PARTITION BY session ORDER BY t))
-    SELECT session, round(sum(dt * people), 3) AS person_seconds, round(sum(dt), 3) AS observed_s, CAST(sum(rise) AS BIGINT) AS alerts FROM d GROUP BY ALL""", "legs")
+_SAMPLES = _CNT + ", sa AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS people, CAST(max(n) AS INT) - 1 AS alerts FROM cnt GROUP BY session, t)"
+
+
+def _samples(spark, sf):
+    return _counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("people"), (F.max("n").cast("int") - 1).alias("alerts"))
+
+
+def _session_metrics(spark, sf):
+    return trajectories.session_metrics(_samples(spark, sf), A.derive(spark, sf, "legs", "pos"))
+
+
+_SESSION = _SAMPLES + """, sd AS (SELECT *, coalesce(least(greatest(t - lag(t) OVER w, 0), 2), 0) AS dt, greatest(0, alerts - lag(alerts, 1, 0) OVER w) AS rise FROM sa WINDOW w AS (PARTITION BY session ORDER BY t)), si AS (SELECT session, count(DISTINCT person_id) AS identities FROM pos GROUP BY session),
+    se AS (SELECT session, sum(dt * people) AS person_seconds, sum(dt) AS observed_s, CAST(sum(rise) AS BIGINT) AS alerts, any_value(identities) AS identities FROM sd JOIN si USING (session) GROUP BY session)"""
+
+
+@query(_SESSION + " SELECT session, round(person_seconds, 3) AS person_seconds, round(observed_s, 3) AS observed_s, alerts, identities, round(person_seconds / greatest(1, identities), 4) AS mean_observed FROM se", "legs")
 def session_metrics(spark, sf):
-    samples = _counts(spark, sf).groupBy("session", "t").agg(F.sum("n").alias("people"), (F.max("n").cast("int") - 1).alias("alerts"))
-    return rounded(trajectories.session_metrics(samples), 3, "person_seconds", "observed_s")
+    return rounded(rounded(_session_metrics(spark, sf), 3, "person_seconds", "observed_s"), 4, "mean_observed")
+
+
+@query(_SAMPLES + " SELECT session, round(t, 3) AS t, people, alerts FROM (SELECT * FROM sa QUALIFY row_number() OVER (PARTITION BY session, floor(t) ORDER BY t) = 1) QUALIFY row_number() OVER (PARTITION BY session ORDER BY t DESC) <= 300", "legs")
+def metric_series(spark, sf):
+    return rounded(trajectories.metric_series(_samples(spark, sf), 300), 3, "t")
 
 
 @query(_CNT + """, x AS (SELECT session, t, CAST(sum(n) AS BIGINT) AS count FROM cnt GROUP BY session, t), i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM x)

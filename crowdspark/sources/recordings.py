@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.trajectories import ranked
+
 SAMPLE = "t DOUBLE, cameras ARRAY<STRUCT<id: STRING, t: DOUBLE, people: ARRAY<STRUCT<id: STRING, local: INT, box: ARRAY<DOUBLE>, pixel: ARRAY<DOUBLE>, point: ARRAY<DOUBLE>, association: STRING, confirmed: BOOLEAN, duplicate: BOOLEAN, predicted: BOOLEAN>>>>"
 MANIFEST = "session STRING, status STRING, module STRING, created TIMESTAMP, `end` DOUBLE, projectId STRING, config STRUCT<testRun: BOOLEAN, sourceMode: STRING, recordingStartedAt: STRING, planId: STRING>"
 
@@ -23,8 +25,10 @@ def read_samples(spark: SparkSession, path: str, files: str = "*/samples.jsonl",
 
 def before_first_bad(samples: DataFrame) -> DataFrame:
     """Lines of each session up to its first broken one."""
-    bad = F.min(F.when(F.col("sample").isNull(), F.col("ordinal"))).over(Window.partitionBy("session"))
-    return samples.withColumn("_bad", bad).where("_bad IS NULL OR ordinal < _bad").drop("_bad")
+    # Broken lines are few; no session is put in order in one task.
+    bad = samples.where("sample IS NULL").groupBy(F.col("session").alias("_session")).agg(F.min("ordinal").alias("_bad"))
+    rows = samples.join(bad, samples["session"] == F.col("_session"), "left")
+    return rows.where("_bad IS NULL OR ordinal < _bad").drop("_bad", "_session")
 
 
 def read_recordings(spark: SparkSession, path: str, mode: str = "stop_at_bad", **layout: str) -> DataFrame:
@@ -40,9 +44,9 @@ def read_recordings(spark: SparkSession, path: str, mode: str = "stop_at_bad", *
     return rows.select("session", "camera", "t", F.col("p.id").alias("person_id"), "p.local", at("point", 0).alias("x"), at("point", 1).alias("y"), "p.association", "p.confirmed", "p.duplicate", "p.predicted")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str, files: str = "*/manifest.json") -> DataFrame:
     """One row a session; configuration keys that are not listed (sources, secrets) are never read."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{path}/*/manifest.json")
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{path}/{files}")
     return rows.select("session", F.col("projectId").alias("project_id"), "module", "status", "created", F.col("end").alias("end_s"), F.col("config.testRun").alias("test_run"), F.col("config.sourceMode").alias("source_mode"), F.col("config.recordingStartedAt").alias("recording_started_at"))
 
 
@@ -66,8 +70,7 @@ def last_sample(samples: DataFrame) -> DataFrame:
 
 def thin_samples(samples: DataFrame, full: int = 300, slack: int = 100) -> DataFrame:
     """Index, step and whether a sample keeps its full analysis: all of a short session, else every step-th and the last."""
-    own = Window.partitionBy("session")
-    rows = samples.withColumn("i", F.row_number().over(own.orderBy("t")) - 1).withColumn("n", F.count("*").over(own))
+    rows = ranked(samples, ["t"])
     step = F.when(F.col("n") > full + slack, F.ceil(F.col("n") / full)).otherwise(1).cast("long")
     return rows.withColumn("step", step).withColumn("keep_full", (F.col("i") % F.col("step") == 0) | (F.col("i") == F.col("n") - 1))
 
