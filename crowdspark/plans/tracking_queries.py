@@ -285,7 +285,7 @@ def confirmed_identities(spark, sf):
     return I.confirmed_identities(_tracklets(spark, sf), 30, 20.0)
 
 
-@query(" SELECT session, gid, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(*) AS tracklets, min(start_s) AS start_s, max(end_s) AS end_s, CAST(sum(views) AS BIGINT) AS views, max_by(camera, {'a': end_s, 'b': uid}) AS last_camera FROM tracklets GROUP BY ALL", "tracklets")
+@query(" SELECT session, gid, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(*) AS tracklets, min(start_s) AS start_s, max(end_s) AS end_s, CAST(sum(views) AS BIGINT) AS views, max_by(camera, {'a': end_s, 'b': uid}) AS last_camera, any_value(vc) AS views_by_camera FROM tracklets JOIN (SELECT session, gid, string_agg(k, ',' ORDER BY k) AS vc FROM (SELECT session, gid, concat(camera, ':', CAST(CAST(sum(views) AS BIGINT) AS VARCHAR)) AS k FROM tracklets GROUP BY session, gid, camera) GROUP BY session, gid) USING (session, gid) GROUP BY session, gid", "tracklets")
 def identity_gallery(spark, sf):
     return I.identity_gallery(_tracklets(spark, sf))
 
