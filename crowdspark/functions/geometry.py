@@ -63,7 +63,7 @@ def holds(polygon, x: Column, y: Column, tol: float = 1e-6) -> Column:
     zero = F.lit(0.0)
     if len(corners) == 4 and len(xs) == len(ys) == 2 and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(corners, corners[1:] + corners[:1])):
         away = F.hypot(F.greatest(xs[0] - x, x - xs[1], zero), F.greatest(ys[0] - y, y - ys[1], zero))
-        return F.coalesce(away <= tol, F.lit(False))
+        return x.isNotNull() & y.isNotNull() & F.coalesce(away <= tol, F.lit(False))  # greatest passes over nulls
     crossings, border = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
         dx, dy = bx - ax, by - ay

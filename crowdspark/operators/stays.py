@@ -66,7 +66,7 @@ def merge_runs(pdf: pd.DataFrame, step: float, tolerance: float, interior: set[i
             left[-1][3] += c[3] + b[3]
     i = 0
     while i < len(left) and len(left) > 1:
-        if left[i][0] not in interior or left[i][2] - left[i][1] + step >= tolerance:
+        if left[i][0] not in interior or left[i][2] + step - left[i][1] >= tolerance:
             i += 1
         elif i == 0:  # the next one takes it and is looked at again
             short, after = left.pop(0), left[0]
