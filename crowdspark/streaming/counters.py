@@ -84,18 +84,42 @@ def stream_line_crossings(pixels: DataFrame, lines: DataFrame, near: float = 0.0
     return joined.groupBy("session", "camera", "line_id", "person_id").applyInPandasWithState(step, schema, "seen boolean, t double, u double, v double, d double, crossed double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_alert_log(path: str):
+def upsert_alert_log(path: str, parts: int = 16):
     """``foreachBatch`` function that keeps one row a key: first time, greatest peak, last duration; a replayed batch changes nothing.
 
-    The log is read and written whole, in two folders by turns, so it suits logs of open incidents.
+    The log is cut by the key's hash into ``parts`` folders, and a batch reads and writes those only that its keys
+    fall into: each part's rows go to a folder of the batch's number, of which the newest before the batch counts.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy("key").agg(F.min("t").alias("start"), F.max("peak").alias("peak"), F.max("t").alias("last_t"), F.max_by("duration", "t").alias("duration"))
-        if epoch:
-            old = spark.read.schema(new.schema).parquet(f"{path}/{(epoch - 1) % 2}")
-            new = new.unionByName(old).groupBy("key").agg(F.min("start").alias("start"), F.max("peak").alias("peak"), F.max_by("duration", "last_t").alias("duration"), F.max("last_t").alias("last_t")).select(*new.columns)
-        new.write.mode("overwrite").parquet(f"{path}/{epoch % 2}")
+        new = new.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).persist()
+        touched = sorted(r.part for r in new.select("part").distinct().collect())  # ``parts`` numbers at most
+        for part in touched:
+            own = new.where(F.col("part") == part).drop("part")
+            old = [e for e in _epochs(spark, f"{path}/part={part}") if e < epoch]
+            if old:
+                before = spark.read.schema(own.schema).parquet(f"{path}/part={part}/epoch={max(old)}")
+                own = own.unionByName(before).groupBy("key").agg(F.min("start").alias("start"), F.max("peak").alias("peak"), F.max_by("duration", "last_t").alias("duration"), F.max("last_t").alias("last_t")).select(*own.columns)
+            own.coalesce(1).write.mode("overwrite").parquet(f"{path}/part={part}/epoch={epoch}")
+        new.unpersist()
 
     return put
+
+
+def _epochs(spark, path: str) -> list[int]:
+    """Numbers of the finished ``epoch=`` folders, on any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = [f.getPath() for f in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return [int(p.getName().removeprefix("epoch=")) for p in done]
+
+
+def read_alert_log(spark, path: str, parts: int = 16) -> DataFrame:
+    """The log as ``upsert_alert_log`` keeps it: the newest folder of each part."""
+    found = [(part, epochs) for part in range(parts) if (epochs := _epochs(spark, f"{path}/part={part}"))]
+    return spark.read.parquet(*(f"{path}/part={part}/epoch={max(epochs)}" for part, epochs in found))

@@ -4,16 +4,19 @@ import random
 
 from pyspark.sql import functions as F
 
-from crowdspark.operators import commerce, counters
+from crowdspark.operators import boxes, commerce, counters, plans, trajectories
 from crowdspark.streaming import counters as S
+from crowdspark.streaming import live as L
 
 
 def split_files(df, path, order, n=4):
-    """Files of ascending time, rows within each shuffled."""
+    """Files of ascending time, whole instants each, rows within each shuffled."""
     rows = df.orderBy(order).collect()
     pick = random.Random(1)
+    times = sorted({r[order] for r in rows})
     for k in range(n):
-        part = rows[len(rows) * k // n : len(rows) * (k + 1) // n]
+        own = set(times[len(times) * k // n : len(times) * (k + 1) // n])
+        part = [r for r in rows if r[order] in own]
         pick.shuffle(part)
         df.sparkSession.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(path))
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
@@ -60,5 +63,74 @@ def test_alert_log(spark, tmp_path):
     stream = split_files(df, tmp_path / "a", "t")
     query = stream.writeStream.foreachBatch(S.upsert_alert_log(str(tmp_path / "log"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "log" / "1")).select("key", "start", "peak", "duration").collect()}
+    got = {tuple(r) for r in S.read_alert_log(spark, str(tmp_path / "log")).select("key", "start", "peak", "duration").collect()}
     assert got == {tuple(r) for r in counters.alert_log(df).select("key", "start", "peak", "duration").collect()}
+
+
+def walks(spark, people=6, ticks=80):
+    pick = random.Random(7)
+    at = {p: [pick.uniform(0, 6), pick.uniform(0, 6)] for p in range(people)}
+    data = []
+    for k in range(ticks):
+        for p, xy in at.items():
+            xy[0], xy[1] = (min(6.0, max(0.0, v + pick.uniform(-0.5, 0.5))) for v in xy)
+            if pick.random() < 0.9:
+                data.append(("s", "AB"[p % 2], p, k * 0.5, xy[0], xy[1]))
+    return timed(spark.createDataFrame(data, "session string, camera string, person_id long, t double, x double, y double"))
+
+
+def same(a, b, *columns, digits=6):
+    take = lambda rows: sorted(tuple(round(r[c], digits) if isinstance(r[c], float) else r[c] for c in columns) for r in rows)
+    assert take(a) == take(b) and a
+
+
+def last_rows(rows, *keys):
+    found = {}
+    for r in sorted(rows, key=lambda r: r.t):
+        found[tuple(r[k] for k in keys)] = r
+    return list(found.values())
+
+
+def test_live_heat_and_zones(spark, tmp_path):
+    df = walks(spark)
+    got = last_rows(drain(L.stream_heat_cells(split_files(df, tmp_path / "a", "t"), 1.0), "heat"), "cx", "cy")
+    same(got, counters.heat_cells(df, 1.0).collect(), "cx", "cy", "seconds", "peak", "visits")
+    zones = [{"zone_id": 1, "vertices": [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]}, {"zone_id": 2, "vertices": [(2.0, 2.0), (6.0, 2.0), (4.0, 6.0)]}]
+    got = drain(L.stream_zone_occupancy(split_files(df, tmp_path / "b", "t"), zones, {1: (2, 1.0)}), "zones")
+    same(got, counters.zone_occupancy(df, zones, {1: (2, 1.0)}).fillna(False, ["alert"]).collect(), "zone_id", "t", "count", "seconds", "peak", "visits", "duration", "alert")
+    got = drain(L.stream_crowd_clusters(split_files(df, tmp_path / "c", "t"), 2.0, 3, 1.0), "crowds")
+    same(got, plans.crowd_clusters(df, 2.0, 3, 1.0).collect(), "t", "x", "y", "count", "since", "duration", "alert")
+
+
+def test_live_counts(spark, tmp_path):
+    df = walks(spark).where("NOT (t BETWEEN 12 AND 14)")
+    counts = timed(df.groupBy("session", "camera", "t").agg(F.count("*").alias("n")))
+    got = last_rows(drain(L.stream_camera_counting(split_files(counts, tmp_path / "a", "t"), 0.5), "cameras"), "camera")
+    same(got, counters.camera_counting(counts, 0.5).collect(), "camera", "count", "peak", "peak_at", "person_seconds", "observed_s")
+    got = drain(L.stream_crowd_episodes(split_files(counts, tmp_path / "b", "t"), 3, 1.0, 0.5), "episodes")
+    want = [r for r in counters.crowd_episodes(counts, 3, 1.0, 0.5).collect() if r.reason != "fin"]
+    same(got, want, "camera", "start", "confirmed", "end", "peak", "duration", "reason")
+    samples = timed(counts.groupBy("session", "t").agg(F.sum("n").alias("people"), F.max("n").alias("alerts")))
+    got = last_rows(drain(L.stream_session_metrics(split_files(samples, tmp_path / "c", "t")), "metrics"), "session")
+    same(got, trajectories.session_metrics(samples, df).collect(), "person_seconds", "observed_s", "alerts")
+
+
+def test_live_flow_and_visits(spark, tmp_path):
+    df = walks(spark).withColumn("zone_id", F.lit(1)).withColumn("inside", F.col("x") < 3).select("session", "zone_id", "person_id", "t", "inside", "ts")
+    same(drain(L.stream_zone_flow(split_files(df, tmp_path / "a", "t")), "flow"), counters.zone_flow(df).collect(), "person_id", "t", "direction")
+    pick = random.Random(3)
+    data = []
+    for i in range(60):
+        v, b = [pick.uniform(-1, 1) for _ in range(4)], "xy"[i % 2]
+        data += [("s", b, i * 10.0, "entry", v, i % 3 == 0), ("s", b, i * 10.0 + 95.0, "exit", [a + pick.uniform(-0.1, 0.1) for a in v], True)]
+    visits = timed(spark.createDataFrame(data, "session string, business_id string, t double, kind string, vector array<double>, bag boolean"))
+    got = drain(L.stream_visit_matching(split_files(visits, tmp_path / "b", "t"), 300.0), "visits")
+    same(got, plans.visit_matching(visits.drop("ts"), 300.0).collect(), "business_id", "t", "matched", "changed", "similarity")
+
+
+def test_live_boxes(spark, tmp_path):
+    pick = random.Random(5)
+    data = [("s", "A", k * 0.5, p, 100.0 + p * 50 + (pick.uniform(-30, 30) if p % 2 else 0.5), 50.0, 40.0, pick.uniform(40, 160), pick.choice([0.3, 0.5, 0.7, 0.9]) if p != 2 else 0.4, pick.random() < 0.1) for k in range(40) for p in range(5) if pick.random() < 0.95]
+    df = timed(spark.createDataFrame(data, "session string, camera string, t double, track long, u double, v double, w double, h double, score double, border boolean"))
+    same(drain(L.stream_size_filter(split_files(df, tmp_path / "a", "t")), "sizes"), boxes.size_filter(df).collect(), "t", "track", "keep")
+    same(drain(L.stream_static_clutter(split_files(df, tmp_path / "b", "t")), "clutter"), boxes.static_clutter(df).collect(), "t", "track", "suppressed")
