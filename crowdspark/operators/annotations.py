@@ -45,11 +45,24 @@ def audit_issues(images: DataFrame, points: DataFrame, quarantine: DataFrame) ->
     return rows.select(*KEY, status.alias("issue"), F.when(status == "out_of_bounds", F.col("n")).otherwise(0).alias("count"))
 
 
-def audit_dataset(images: DataFrame, points: DataFrame, quarantine: DataFrame) -> DataFrame:
+def audit_by_issue(images: DataFrame, points: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Images and points of each issue and split."""
     return audit_issues(images, points, quarantine).groupBy("split", "issue").agg(F.count("*").alias("images"), F.sum("count").alias("points"))
 
 
+def audit_dataset(images: DataFrame, points: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """The summary row: images, annotations read, their points, images by what keeps them out, and points outside by degree."""
+    status = audit_issues(images, points, quarantine).select(*KEY, "issue")
+    of = lambda *k: F.col("issue").isin(*k)
+    total = lambda on, name: F.coalesce(F.sum(on.cast("long")), F.lit(0)).alias(name)
+    read = of("ok", "out_of_bounds")
+    kinds = (("quarantined", "quarantined_images"), ("corrupted", "corrupted_images"), ("missing_annotation", "missing_annotations"), ("bad_format", "invalid_annotation_format"), ("out_of_bounds", "images_with_oob_points"))
+    first = status.agg(F.count("*").alias("images"), total(read, "annotation_files"), *(total(of(k), n) for k, n in kinds))
+    d = F.col("distance")
+    second = _located(points, images).join(status.where(read).select(*KEY), KEY, "left_semi").agg(F.count("*").alias("total_points"), total(d > 0, "oob_points"), total((d > 0) & (d <= 5), "oob_le_5px"), total((d > 5) & (d <= 50), "oob_5_to_50px"), total(d > 50, "oob_gt_50px"))
+    return first.crossJoin(second)  # one row each
+
+
 def rank_oob(images: DataFrame, points: DataFrame, quarantine: DataFrame | None = None, beyond: float = 0.0, top: int = 20) -> DataFrame:
     """Images with most points further outside than ``beyond``; quarantined ones left out where a list is given."""
     rows = _located(points, images)

@@ -263,6 +263,13 @@ def audit_issues(spark, sf):
 
 
 @query(_AUD + " SELECT split, issue, count(*) AS images, CAST(sum(CASE WHEN issue = 'out_of_bounds' THEN n ELSE 0 END) AS BIGINT) AS points FROM au GROUP BY ALL", "points")
+def audit_by_issue(spark, sf):
+    return N.audit_by_issue(*_tables(spark, sf))
+
+
+@query(_AUD + """, rd AS (SELECT split, image FROM au WHERE issue IN ('ok', 'out_of_bounds')), ap AS (SELECT count(*) AS total_points, count(*) FILTER (distance > 0) AS oob_points, count(*) FILTER (distance > 0 AND distance <= 5) AS oob_le_5px, count(*) FILTER (distance > 5 AND distance <= 50) AS oob_5_to_50px, count(*) FILTER (distance > 50) AS oob_gt_50px FROM di SEMI JOIN rd USING (split, image))
+    SELECT count(*) AS images, count(*) FILTER (issue IN ('ok', 'out_of_bounds')) AS annotation_files, count(*) FILTER (issue = 'quarantined') AS quarantined_images, count(*) FILTER (issue = 'corrupted') AS corrupted_images, count(*) FILTER (issue = 'missing_annotation') AS missing_annotations, count(*) FILTER (issue = 'bad_format') AS invalid_annotation_format, count(*) FILTER (issue = 'out_of_bounds') AS images_with_oob_points,
+      any_value(total_points) AS total_points, any_value(oob_points) AS oob_points, any_value(oob_le_5px) AS oob_le_5px, any_value(oob_5_to_50px) AS oob_5_to_50px, any_value(oob_gt_50px) AS oob_gt_50px FROM au CROSS JOIN ap""", "points")
 def audit_dataset(spark, sf):
     return N.audit_dataset(*_tables(spark, sf))
 
