@@ -17,6 +17,8 @@ DOMAINS = {"clean": "quality = 1 AND toxic = 0", "rough": "quality = 0 AND toxic
 WEIGHTS = {"clean": 0.9, "rough": 0.1, "toxic": 0.0}
 #: Bound of the classifier's sample: labelled documents a domain.
 SAMPLE_ROWS = 1500
+#: Share of the total that whole rates may add to what domains miss of their targets.
+SNAP_MISS = 0.01
 _BUCKETS, _PICKED, _DENSE = 1 << 16, 2000, 5
 _U = np.uint64
 _TRIM = np.zeros(256, bool)
@@ -123,14 +125,15 @@ def learn_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
 class Mixture:
     """Rates r, from 1 on: r - p.v held between 0 and ``most``, for one step vector v an iteration of the descent.
 
-    A rate within 0.02 of a whole number is taken as that, so that no document is drawn by chance for a trace of
-    another domain. Rates without a bound are divided by ``scale``, which leaves the shares of domains as they are. ``target`` has the tokens that each domain is to have, ``reached`` those that it is expected to have at these rates.
+    With ``snap`` a rate within 0.02 of a whole number is taken as that, so that no document is drawn by chance for a
+    trace of another domain; the fit uses it only where targets are met within SNAP_MISS of the total all the same. Rates without a bound are divided by ``scale``, which leaves the shares of domains as they are. ``target`` has the tokens that each domain is to have, ``reached`` those that it is expected to have at these rates.
     """
 
     classifier: Classifier
     steps: list
     most: float = np.inf
     scale: float = 1.0
+    snap: bool = True
     target: dict = field(default_factory=dict)
     reached: dict = field(default_factory=dict)
 
@@ -143,7 +146,7 @@ class Mixture:
         for v in self.steps:
             r = np.clip(r - p @ v, 0.0, self.most)
         r = r / self.scale
-        return np.where(np.abs(r - np.rint(r)) < 0.02, np.rint(r), r)
+        return np.where(np.abs(r - np.rint(r)) < 0.02, np.rint(r), r) if self.snap else r
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], out: str, max_repeats: float | None = None, iterations: int = 40, tolerance: float = 1e-3) -> Mixture:
@@ -197,9 +200,12 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], o
         own = table.where(p[anchor] > 0.5).agg(F.percentile_approx(rate, 0.5, 10_000)).first()[0]
         scale = own or 1.0
     rate = rate / scale
-    drawn = F.when(F.abs(rate - F.rint(rate)) < 0.02, F.rint(rate)).otherwise(rate)
-    row = table.withColumn("r", drawn).agg(*(F.sum(F.col("r") * F.col("n") * p[k]) for k in range(len(names)))).first()
-    return Mixture(classifier, steps[: best[1]], most, scale, dict(zip(names, (target / scale).tolist())), dict(zip(names, row)))
+    whole = F.when(F.abs(rate - F.rint(rate)) < 0.02, F.rint(rate)).otherwise(rate)
+    row = table.agg(*(F.sum(r * F.col("n") * p[k]).alias(f"{name}{k}") for name, r in (("whole", whole), ("exact", rate)) for k in range(len(names)))).first()
+    reached = {name: np.array([row[f"{name}{k}"] for k in range(len(names))]) for name in ("whole", "exact")}
+    miss = {name: np.abs(x - target / scale).sum() for name, x in reached.items()}
+    snap = bool(miss["whole"] <= miss["exact"] + SNAP_MISS * target.sum() / scale)
+    return Mixture(classifier, steps[: best[1]], most, scale, snap, dict(zip(names, (target / scale).tolist())), dict(zip(names, reached["whole" if snap else "exact"].tolist())))
 
 
 def _draws(batch: pa.RecordBatch, mixture: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -225,6 +225,22 @@ def test_mixing_meets_targets(spark, small):
     assert all(abs(have[k] / sum(have.values()) - w) < 0.02 for k, w in weights.items())
 
 
+def test_mixing_against_least_squares(spark, small):
+    """The fitted rates miss the targets by no more than a long projected gradient over the same posteriors does, and 1 % of the total."""
+    documents, labels = small
+    for weights in ({"clean": 0.6, "rough": 0.25, "toxic": 0.15}, {"clean": 0.1, "rough": 0.8, "toxic": 0.1}, mixing.WEIGHTS):
+        fitted = mixing.fit_mixture(documents, labels, weights, run_dir(spark, "t7"))
+        rows = mixing.mixing_rates(documents, fitted).collect()
+        a = np.array([[r.n_words * r[f"p_{k}"] for r in rows] for k in weights])
+        target = np.array([fitted.target[k] for k in weights])
+        brute, step = np.ones(len(rows)), 1 / np.linalg.norm(a, 2) ** 2
+        for _ in range(20_000):
+            brute = np.maximum(0, brute - step * (a.T @ (a @ brute - target)))
+        miss = lambda r: np.abs(a @ r - target).sum()
+        assert miss(np.array([r.rate for r in rows])) <= miss(brute) + 0.01 * target.sum()
+        assert np.allclose([fitted.reached[k] for k in weights], a @ [r.rate for r in rows], rtol=1e-6, atol=1)
+
+
 def test_mixing_short_domain(spark, small):
     """A domain below its weight repeats until it has it; under a cap the target stays and the shortfall is told."""
     documents, labels = small

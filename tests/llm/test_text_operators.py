@@ -2,9 +2,11 @@ import base64
 import hashlib
 import json
 import itertools
+import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -292,3 +294,31 @@ def test_rules_rare_and_many(spark):
         told = df.select("quality", found.verdict().alias("kept")).groupBy("quality", "kept").count().collect()
         count = {(r.quality, r.kept): r["count"] for r in told}
         assert len(found.rules) >= least and not count.get((0, True)) and not count.get((1, False)), (str(found), count)
+
+
+def test_first_clause_against_brute_force(spark):
+    """The clause that opens the list has the greatest gain of all features, sides and values on the growing rows."""
+    pick = random.Random(12)
+    names = list(quality_rules.FEATURES)
+    for trial in range(3):
+        rows = []
+        for i in range(900):
+            symbols, marks, dup = pick.randrange(8), pick.randrange(8), pick.randrange(5)
+            bad = (symbols >= 6, marks >= 5 and symbols < 2, dup == 0 and marks >= 6)[trial] or pick.random() < 0.02
+            rows.append((i, 100, 400 + 10 * pick.randrange(6), symbols, dup, 0, 10, pick.randrange(4), marks, 0 if bad else 1))
+        schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, quality int"
+        column = {c.split()[0]: k for k, c in enumerate(schema.split(", "))}
+        grow = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3]
+        value = lambda r, n: float(r[column[quality_rules.FEATURES[n][0]]]) / (1 if quality_rules.FEATURES[n][1] is None else r[column[quality_rules.FEATURES[n][1]]])
+        p0 = sum(r[-1] == 0 for r in grow)
+        best = (0.0, None)
+        for n in names:
+            for at in sorted({value(r, n) for r in rows})[1:]:
+                for side in (">=", "<"):
+                    inside = [r for r in grow if (value(r, n) >= at) == (side == ">=")]
+                    p = sum(r[-1] == 0 for r in inside)
+                    if p >= 5:
+                        gain = p * (math.log2(p / len(inside)) - math.log2(p0 / len(grow)))
+                        best = max(best, (gain + 1e-9 * (gain > best[0]), (n, side, at)), key=lambda x: x[0])
+        found = quality_rules.learn_rules(spark.createDataFrame(rows, schema), run_dir(spark, "t8"))
+        assert found.rules and found.rules[0][0] == best[1], (str(found), best)
