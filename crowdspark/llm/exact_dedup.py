@@ -15,6 +15,8 @@ from .common import materialize, text_or_empty
 
 #: What normalising deletes: space and the five ASCII controls 9 to 13.
 SPACES = " \t\n\v\f\r"
+#: Groups over edges of partitions that are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _RUNS = "doc_id long, keep_id long, points long, group_size long, text_sha256 string, run long, head boolean, edge boolean"
 _TYPES = [("doc_id", pa.int64()), ("keep_id", pa.int64()), ("points", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string()), ("run", pa.int64()), ("head", pa.bool_()), ("edge", pa.bool_())]
 
@@ -82,7 +84,9 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
         .where("n > 1")
         .select("text_sha256", F.lit(True).alias("edge"), "total", F.col("best.keep_id").alias("first_id"), F.col("best.run").alias("first_run"))
     )
-    both = found.join(joined, ["text_sha256", "edge"], "left")
+    joined = materialize(joined, f"{out}-edges")
+    few = joined.count() <= BROADCAST_ROWS  # at most one a partition; a hot text's rows stay where they are
+    both = found.join(F.broadcast(joined) if few else joined, ["text_sha256", "edge"], "left")
     split = F.col("total").isNotNull()
     return both.select(
         "doc_id",
