@@ -128,9 +128,11 @@ def _relation(spark, sf):
     return C.sales_relation(hourly, rounded(_sales(spark, sf), 2, "amount"))
 
 
-@query(_REL + " SELECT dataset, business_id, date, hour, session, exposure, visits, amount, round(capture, 3) AS capture, round(conversion, 3) AS conversion, round(per_visit, 3) AS per_visit FROM re", dates=("date",))
+@query(_REL + " SELECT dataset, business_id, date, hour, session, exposure, visits, amount, round(capture, 3) AS capture, round(conversion, 3) AS conversion, CAST(round(per_visit * visits * 100) AS BIGINT) // visits AS per_visit_cents FROM re", dates=("date",))
 def sales_relation(spark, sf):
-    return rounded(_relation(spark, sf), 3, "capture", "conversion", "per_visit")
+    """Sales a visit in whole cents, for quotients of cents often lie half-way between two roundings."""
+    rows = rounded(_relation(spark, sf), 3, "capture", "conversion")
+    return rows.withColumn("per_visit_cents", F.expr("CAST(round(per_visit * visits * 100) AS BIGINT) div visits")).drop("per_visit")
 
 
 def _rank_sql(name: str) -> str:
