@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kneser_ney, language_id, mixing, near_dedup, packing, quality_rules, resharding, secret_scan, token_files
+from . import dual_tree, exact_dedup, kneser_ney, language_id, mixing, near_dedup, packing, pii_scan, quality_rules, resharding, secret_scan, token_files, zone_mining
 from .common import id_bucket, read_table, run_dir, text_or_empty
 
 
@@ -69,6 +69,21 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.vector_codes(read_table(spark, sf_dir, "embeddings"), run_dir(spark, "op11"))
+
+
+def op12_character_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii_scan.scan_personal_data(docs, pii_scan.train(docs, run_dir(spark, "op12")))
+
+
+def op13_zone_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return zone_mining.mine(rows, 50, run_dir(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,9 +97,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decision_list_quality,
         op9_flow_resharding,
         op10_kneser_ney,
+        op11_dual_tree_lloyd,
+        op12_character_tagger,
+        op13_zone_mining,
     )
 }
 
+
+
+def _lloyd_sql(r: int) -> str:
+    """Assignment ``a<r>`` of all parts to codebook ``b<r>``, and the codebook after it."""
+    near = f"""a{r} AS (
+            SELECT c.vec_id, any_value(c.label) AS label, c.p, any_value(c.w) AS w, arg_min(c.e, (c.d, c.e)) AS e, min(c.d) AS d FROM (
+                SELECT x.vec_id, x.label, x.p, x.w, b.e, list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                FROM cut x JOIN b{r} b ON x.p = b.p) c GROUP BY c.vec_id, c.p)"""
+    mean = f"""s{r} AS (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(w) AS x, unnest(range(len(w))) AS i FROM a{r}) GROUP BY ALL),
+        b{r + 1} AS (
+            SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM b{r} b LEFT JOIN (
+                SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM s{r} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+    return near if r == 2 else f"{near}, {mean}"
+
+
 ORACLE_SQL = {
     "op4_content_sort": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -112,4 +145,25 @@ ORACLE_SQL = {
         SELECT s.doc_id, len(g) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id,
                s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
         FROM s LEFT JOIN same ON s.doc_id = same.doc_id LEFT JOIN k ON same.rep = k.a""",
+    "op11_dual_tree_lloyd": f"""
+        WITH i AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS (SELECT vec_id, label, k.p, v[k.p * len(v) // 16 + 1:(k.p + 1) * len(v) // 16] AS w FROM i, (SELECT unnest(range(16)) AS p) k),
+        b0 AS (SELECT p, w, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM cut QUALIFY e < 64),
+        {", ".join(_lloyd_sql(r) for r in range(3))},
+        t AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM t""",
+    "op13_zone_mining": """
+        WITH i AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM i a JOIN i b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 3""",
 }
