@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
+def observed(rows: DataFrame) -> DataFrame:
+    """Rows of people who were seen: those marked ``predicted``, where there is such a column, go."""
+    return rows.where(~F.coalesce("predicted", F.lit(False))) if "predicted" in rows.columns else rows
+
+
 def heat_cells(obs: DataFrame, grid: float, top: int = 80) -> DataFrame:
-    """Person-seconds (this sample's people times the time since the last, 2 s at most), peak and visitors by cell; ``top`` a session."""
+    """Person-seconds (this sample's people times the time since the last, 2 s at most), peak and visitors by cell; ``top`` a session.
+
+    Predicted people don't count, but their samples are samples.
+    """
     samples = sample_steps(obs)
+    obs = observed(obs)
     cell = [F.floor(F.col(c) / grid).cast("int").alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
     people = obs.groupBy("session", "t", "person_id").agg(F.max(F.struct("camera", "x", "y")).alias("p")).select("session", "t", "person_id", "p.x", "p.y").select("session", "t", "person_id", *cell)
     counts = people.groupBy("session", "cx", "cy", "t").agg(F.count("*").alias("n")).join(samples, ["session", "t"])
@@ -42,12 +51,13 @@ def zone_occupancy(people: DataFrame, zones: list[dict], rules: dict[int, tuple[
     which a zone's crowd is an alert; ``duration`` starts anew when fewer are there. A plan's zones are a hundred at
     most; people are reduced to one row a zone and sample before anything is put in order.
     """
+    spine, people = sample_steps(people), observed(people)
     x, y = F.col("x"), F.col("y")
     at = F.array_compact(F.array(*(F.when(G.holds(z["vertices"], x, y), F.lit(z["zone_id"])) for z in zones)))
     inside = people.select("session", "t", "person_id", F.explode(at).alias("zone_id")).distinct()
     counts = inside.groupBy("session", "zone_id", "t").agg(F.count("*").alias("n"))
     first = inside.groupBy("session", "zone_id", "person_id").agg(F.min("t").alias("t")).groupBy("session", "zone_id", "t").agg(F.count("*").alias("new"))
-    spine = sample_steps(people).withColumn("zone_id", F.explode(F.array(*(F.lit(z["zone_id"]) for z in zones))))
+    spine = spine.withColumn("zone_id", F.explode(F.array(*(F.lit(z["zone_id"]) for z in zones))))
     key = ["session", "zone_id", "t"]
     rows = spine.join(counts, key, "left").join(first, key, "left").fillna(0, ["n", "new"])
     least, dwell = (F.coalesce(*(F.when(F.col("zone_id") == k, F.lit(r[i])) for k, r in rules.items()), F.lit(None)) for i in (0, 1))
@@ -175,16 +185,16 @@ def alert_log(alerts: DataFrame) -> DataFrame:
 def zone_flow(pos: DataFrame, gap: float = 1.0) -> DataFrame:
     """Entries and exits of (session, zone_id, person_id, t, inside) that two observations in a row confirm.
 
-    A longer pause than ``gap`` forgets the state; the first confirmed state after it counts as none.
+    The first observation is the state at once; a longer pause than ``gap`` forgets it. Rows that are ``predicted`` go.
     """
     keys = ["session", "zone_id", "person_id"]
     own = Window.partitionBy(*keys).orderBy("t")
-    rows = pos.withColumn("_cut", F.coalesce(F.col("t") - F.lag("t").over(own) > gap, F.lit(True)).cast("int")).withColumn("part", F.sum("_cut").over(own))
+    rows = observed(pos).withColumn("_cut", F.coalesce(F.col("t") - F.lag("t").over(own) > gap, F.lit(True)).cast("int")).withColumn("part", F.sum("_cut").over(own))
     mine = Window.partitionBy(*keys, "part").orderBy("t")
     rows = rows.withColumn("_new", F.coalesce((F.col("inside") != F.lag("inside").over(mine)).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(mine))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "part", "run").orderBy("t"))).where("nth = 2")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "part", "run").orderBy("t"))).where("nth = 2 OR (nth = 1 AND run = 1)")
     before = F.lag("inside").over(Window.partitionBy(*keys, "part").orderBy("t"))
-    found = rows.withColumn("before", before).where("before IS NOT NULL AND before <> inside")
+    found = rows.withColumn("before", before).where("nth = 2 AND before <> inside")
     return found.select(*keys, "t", F.when(F.col("inside"), "entry").otherwise("exit").alias("direction"))
 
 

@@ -76,7 +76,7 @@ def oracle(kind: str, query: str, dates: tuple[str, ...] = ()) -> str:
     body = TEXT[kind].replace("{string}", "VARCHAR").replace("{unroll}", "unnest(range(n))")
     for t in TABLES:
         body = body.replace("{" + t + "}", t)
-    whole = f"WITH {body}{query}"
+    whole = f"WITH RECURSIVE {body}{query}"
     casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
     return f"SELECT * REPLACE ({casts}) FROM ({whole})" if dates else whole
 
@@ -104,6 +104,11 @@ def zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(z["zone_id"], z["name"], z["type"], z["local_id"], z["area"]) for z in ZONES], "zone_id int, name string, type string, local_id string, area double")
 
 
+def mean_seconds_sql(d: str) -> str:
+    """Mean of durations in whole milliseconds, divided once."""
+    return f"CAST(sum(CAST(round(({d}) * 1000) AS BIGINT)) AS DOUBLE) / (1000 * count(*))"
+
+
 #: The plan's zones for DuckDB: a table, and the zone of (x, y).
 ZONES_SQL = "zones(zone_id, type, local_id, area) AS (VALUES " + ", ".join(f"({z['zone_id']}, '{z['type']}', {repr(z['local_id']) if z['local_id'] else 'NULL'}, {z['area']}e0)" for z in ZONES) + ")"
 _ORDER = sorted(ZONES, key=lambda z: (z["type"] != "INTERIOR", z["area"], z["zone_id"]))

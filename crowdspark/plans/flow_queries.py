@@ -133,11 +133,16 @@ def event_counts(spark, sf):
     return stays.event_counts(_events(spark, sf))
 
 
+#: Mean length of the stays inside a business; by one more column of ``s`` and tables to join where given.
+_INSIDE = "inn AS (SELECT session, local_id{0}, " + A.mean_seconds_sql("end_s - start_s") + " AS mean_stay FROM s JOIN zones USING (zone_id){1} WHERE type = 'INTERIOR' GROUP BY ALL)"
+
+
 @query(_EVENTS + """, m AS (SELECT session, local_id, person_id, min(start_s) FILTER (event_type = 'EXPOSURE') AS seen, max(start_s) FILTER (event_type = 'ENTER') AS entered, count(*) FILTER (event_type = 'RETURN') AS returns
-        FROM ev WHERE local_id IS NOT NULL GROUP BY ALL), m2 AS (SELECT session, local_id, count(seen) AS exposed, count(entered) AS visits, count(*) FILTER (entered >= seen) AS captured, CAST(sum(returns) AS BIGINT) AS returns FROM m GROUP BY ALL)
-        SELECT *, round(CASE WHEN exposed > 0 THEN 100e0 * captured / exposed END, 4) AS rate FROM m2""")
+        FROM ev WHERE local_id IS NOT NULL GROUP BY ALL), m2 AS (SELECT session, local_id, count(seen) AS exposed, count(entered) AS visits, count(*) FILTER (entered >= seen) AS captured, CAST(sum(returns) AS BIGINT) AS returns FROM m GROUP BY ALL),
+        """ + _INSIDE.format("", "") + """ SELECT session, local_id, exposed, visits, captured, returns, round(CASE WHEN exposed > 0 THEN 100e0 * captured / exposed END, 4) AS rate, round(mean_stay, 3) AS mean_stay FROM m2 LEFT JOIN inn USING (session, local_id)""")
 def capture_rate(spark, sf):
-    return rounded(metrics.capture_rate(_events(spark, sf)), 4, "rate")
+    stay, zones = stored(_stays(spark, sf), "stays"), A.zones(spark)
+    return rounded(rounded(metrics.capture_rate(stays.spatial_events(stay, zones), stay, zones), 4, "rate"), 3, "mean_stay")
 
 
 @query(_OCC + " SELECT session, zone_id, second, people, round(mean_speed, 4) AS mean_speed FROM o")
@@ -150,7 +155,7 @@ def congestion_episodes(spark, sf):
     return rounded(metrics.congestion_episodes(metrics.occupancy_per_second(_zoned(spark, sf)), A.zones(spark)), 4, "density_max", "mean_speed")
 
 
-@query(_EVENTS + _OCC[len(_ZONED):] + _SLOW + """, f AS (SELECT session, zone_id, count(DISTINCT person_id) AS visitors, avg(end_s - start_s) AS mean_stay, quantile_cont(end_s - start_s, 0.5) AS median_stay FROM s WHERE zone_id >= 0 GROUP BY ALL),
+@query(_EVENTS + _OCC[len(_ZONED):] + _SLOW + ", f AS (SELECT session, zone_id, count(DISTINCT person_id) AS visitors, " + A.mean_seconds_sql("end_s - start_s") + """ AS mean_stay, quantile_cont(end_s - start_s, 0.5) AS median_stay FROM s WHERE zone_id >= 0 GROUP BY ALL),
         h AS (SELECT session, zone_id, count(DISTINCT CASE WHEN event_type = 'ENTER' THEN person_id END) AS visits, count(DISTINCT CASE WHEN event_type = 'EXPOSURE' THEN person_id END) AS exposure, count(*) FILTER (event_type = 'RETURN') AS returns, count(*) FILTER (event_type = 'QUEUE') AS queues FROM ev GROUP BY ALL),
         b AS (SELECT session, zone_id, max(people) AS max_occupancy, avg(mean_speed) AS mean_speed FROM o GROUP BY ALL),
         w AS (SELECT session, zone_id, CAST(sum(end_s - start_s) AS BIGINT) AS congestion_s FROM g GROUP BY ALL)
@@ -234,7 +239,7 @@ def nice_step(spark, sf):
         pp AS (SELECT session, 'total' AS scope, floor(t) AS second, count(DISTINCT person_id) AS people FROM z GROUP BY ALL UNION ALL SELECT session, concat('zone:', CAST(zone_id AS VARCHAR)), second, people FROM o),
         mm AS (SELECT session, scope, least(CAST(floor(second / step) AS BIGINT), n - 1) AS bucket, max(people) AS people FROM pp JOIN t0 USING (session) GROUP BY ALL),
         sx AS (SELECT session, unnest(['total', concat('zone:', CAST(zone_id AS VARCHAR))]) AS scope, least(CAST(floor(start_s / step) AS BIGINT), n - 1) AS bucket, end_s - start_s AS d FROM s JOIN t0 USING (session) WHERE zone_id >= 0),
-        ss AS (SELECT session, scope, bucket, count(*) AS entries, avg(d) AS mean_stay FROM sx GROUP BY ALL),
+        ss AS (SELECT session, scope, bucket, count(*) AS entries, {A.mean_seconds_sql("d")} AS mean_stay FROM sx GROUP BY ALL),
         cx AS (SELECT session, unnest(['total', concat('zone:', CAST(zone_id AS VARCHAR))]) AS scope, least(CAST(floor(start_s / step) AS BIGINT), n - 1) AS bucket, event_type FROM ev JOIN t0 USING (session)),
         cc AS (SELECT session, scope, bucket, count(*) FILTER (event_type = 'ENTER') AS visits, count(*) FILTER (event_type = 'EXPOSURE') AS exposure FROM cx GROUP BY ALL),
         f0 AS (SELECT session, local_id, person_id, min(start_s) AS t0 FROM ev WHERE local_id IS NOT NULL AND event_type = 'EXPOSURE' GROUP BY ALL),
@@ -255,11 +260,12 @@ def time_series(spark, sf):
 
 
 @query(_EVENTS + _DUR + """, k0 AS (SELECT session, duration, floor(epoch(origin_ts)) - 18000 AS o FROM ses), k1 AS (SELECT *, unnest(range(CAST(floor(o / 3600) AS BIGINT), CAST(floor((o + duration) / 3600) AS BIGINT) + 1)) AS h FROM k0),
-        k2 AS (SELECT session, local_id, CAST(floor((o + start_s) / 3600) AS BIGINT) AS h, count(DISTINCT CASE WHEN event_type = 'EXPOSURE' THEN person_id END) AS exposure, count(DISTINCT CASE WHEN event_type = 'ENTER' THEN person_id END) AS visits FROM ev JOIN k0 USING (session) WHERE local_id IS NOT NULL GROUP BY ALL)
-        SELECT k1.session, 'L1' AS local_id, CAST(make_timestamp(k1.h * 3600000000) AS DATE) AS date, CAST(k1.h % 24 AS INT) AS hour, coalesce(exposure, 0) AS exposure, coalesce(visits, 0) AS visits, round(greatest(0, least(k1.o + duration, (k1.h + 1) * 3600) - greatest(k1.o, k1.h * 3600)), 3) AS coverage_s
-        FROM k1 LEFT JOIN k2 ON k1.session = k2.session AND k1.h = k2.h""", dates=("date",))
+        k2 AS (SELECT session, local_id, CAST(floor((o + start_s) / 3600) AS BIGINT) AS h, count(DISTINCT CASE WHEN event_type = 'EXPOSURE' THEN person_id END) AS exposure, count(DISTINCT CASE WHEN event_type = 'ENTER' THEN person_id END) AS visits FROM ev JOIN k0 USING (session) WHERE local_id IS NOT NULL GROUP BY ALL), """ + _INSIDE.format(", CAST(floor((o + start_s) / 3600) AS BIGINT) AS h", " JOIN k0 USING (session)") + """
+        SELECT k1.session, 'L1' AS local_id, CAST(make_timestamp(k1.h * 3600000000) AS DATE) AS date, CAST(k1.h % 24 AS INT) AS hour, coalesce(exposure, 0) AS exposure, coalesce(visits, 0) AS visits, round(mean_stay, 3) AS mean_stay, round(greatest(0, least(k1.o + duration, (k1.h + 1) * 3600) - greatest(k1.o, k1.h * 3600)), 3) AS coverage_s
+        FROM k1 LEFT JOIN k2 ON k1.session = k2.session AND k1.h = k2.h LEFT JOIN inn ON k1.session = inn.session AND k1.h = inn.h""", dates=("date",))
 def hourly_by_business(spark, sf):
-    return rounded(metrics.hourly_by_business(_sessions(spark, sf), _events(spark, sf), A.zones(spark).where("local_id IS NOT NULL")), 3, "coverage_s")
+    stay, zones = stored(_stays(spark, sf), "stays"), A.zones(spark)
+    return rounded(metrics.hourly_by_business(_sessions(spark, sf), stays.spatial_events(stay, zones), zones.where("local_id IS NOT NULL"), stay), 3, "coverage_s", "mean_stay")
 
 
 @query(_EVENTS + """, ic AS (SELECT session, count(*) AS events FROM ev GROUP BY session) SELECT z.session, count(DISTINCT person_id) AS people, count(*) AS positions, count(*) FILTER (zone_id >= 0) AS in_zone, count(*) FILTER (x < 1) AS moved,

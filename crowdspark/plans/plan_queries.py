@@ -12,7 +12,7 @@ from ..operators import reports as R
 from ..sources.shared import stored
 from . import adapters as A
 from .flow_queries import rounded
-from .tracking_queries import _BOX, _MARKS, _boxes, _clean, _lines, _marks, _pixels, _tracklets
+from .tracking_queries import _BOX, _MARKS, _heat, _boxes, _clean, _lines, _marks, _pixels, _tracklets
 
 QUERIES, ORACLE, _register = A.registry()
 
@@ -57,12 +57,13 @@ def zones_from_plan(spark, sf):
     return rounded(P.zones_from_plan(_drawn(spark, sf)), 4, "area").drop("vertices")
 
 
-@query(_DRAWN + """, bu AS (SELECT s_suppkey % 10 AS plan_id, s_suppkey AS ordinal, concat('n', CAST(s_suppkey AS VARCHAR)) AS business_id, s_suppkey * 7 % 50 + 0.5e0 AS x, s_suppkey * 13 % 50 + 0.5e0 AS y, CASE WHEN s_suppkey % 3 = 0 THEN ' RED WIDGET ' ELSE 'other' END AS name FROM supplier),
-    ins AS (SELECT dz.zone, min_by(business_id, bu.ordinal) AS b FROM dz JOIN bu ON dz.plan_id = bu.plan_id AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY dz.zone), nm AS (SELECT lower(trim(name)) AS key, min_by(business_id, ordinal) AS b FROM bu GROUP BY 1)
-    SELECT plan_id, zone, coalesce(ins.b, nm.b, concat('zona:', CAST(zone AS VARCHAR))) AS business_id FROM dz LEFT JOIN ins USING (zone) LEFT JOIN nm ON nm.key = lower(trim(dz.name))""")
+@query(_DRAWN + """, bu AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey % 10 END AS plan_id, s_suppkey AS ordinal, concat('n', CAST(s_suppkey AS VARCHAR)) AS business_id, s_suppkey * 7 % 50 + 0.5e0 AS x, s_suppkey * 13 % 50 + 0.5e0 AS y, CASE WHEN s_suppkey % 3 = 0 THEN ' RED WIDGET ' ELSE 'other' END AS name FROM supplier),
+    ins AS (SELECT dz.zone, min_by(business_id, bu.ordinal) AS b FROM dz JOIN bu ON dz.plan_id = coalesce(bu.plan_id, dz.plan_id) AND x BETWEEN x1 - 1e-6 AND x2 + 1e-6 AND y BETWEEN y1 - 1e-6 AND y2 + 1e-6 GROUP BY dz.zone), nm AS (SELECT dz.zone, min_by(business_id, bu.ordinal) AS b FROM dz JOIN bu ON dz.plan_id = coalesce(bu.plan_id, dz.plan_id) AND lower(trim(bu.name)) = lower(trim(dz.name)) GROUP BY dz.zone)
+    SELECT plan_id, dz.zone, coalesce(ins.b, nm.b, concat('zona:', CAST(dz.zone AS VARCHAR))) AS business_id FROM dz LEFT JOIN ins USING (zone) LEFT JOIN nm USING (zone)""")
 def link_business(spark, sf):
+    """Every ninth business has no plan."""
     s = F.col("s_suppkey")
-    shops = spark.read.parquet(f"{sf}/supplier.parquet").select((s % 10).alias("plan_id"), s.alias("ordinal"), F.concat(F.lit("n"), s).alias("business_id"), (s * 7 % 50 + 0.5).alias("x"), (s * 13 % 50 + 0.5).alias("y"), F.when(s % 3 == 0, " RED WIDGET ").otherwise("other").alias("name"))
+    shops = spark.read.parquet(f"{sf}/supplier.parquet").select(F.when(s % 9 != 0, s % 10).alias("plan_id"), s.alias("ordinal"), F.concat(F.lit("n"), s).alias("business_id"), (s * 7 % 50 + 0.5).alias("x"), (s * 13 % 50 + 0.5).alias("y"), F.when(s % 3 == 0, " RED WIDGET ").otherwise("other").alias("name"))
     return P.link_business(_drawn(spark, sf), shops)
 
 
@@ -86,19 +87,21 @@ def _free(x: str, y: str, margin: str) -> str:
 
 
 def _snapped(source: str, p: str, margin: str = "0.2e0") -> str:
-    """``source`` (i, x, y) moved to the floor as table ``p`` (i, x, y, moved); all points have a free place at the margin here."""
-    return f"""{p}b AS (SELECT * FROM {source} WHERE NOT {_free('x', 'y', margin)}), {p}e AS (SELECT b.*, sd.k, sd.nx, sd.ny, ax + kk * (bx - ax) AS ex, ay + kk * (yb - ay) AS ey FROM (SELECT b.*, sd.*, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / (pow(bx - ax, 2) + pow(yb - ay, 2)), 0), 1) AS kk FROM {p}b b CROSS JOIN sd) q, LATERAL (SELECT q.i, q.x, q.y) b, LATERAL (SELECT q.k, q.nx, q.ny) sd),
-    {p}c AS (SELECT i, x, y, k, ex + nx * {margin} AS cx, ey + ny * {margin} AS cy FROM {p}e), {p}n AS (SELECT i, arg_min({{'x': cx, 'y': cy}}, {{'d': round(pow(cx - x, 2) + pow(cy - y, 2), 9), 'k': k}}) AS n FROM {p}c WHERE {_free('cx', 'cy', margin + ' - 1e-6')} GROUP BY i),
-    {p} AS (SELECT s.i, coalesce(n.n.x, s.x) AS x, coalesce(n.n.y, s.y) AS y, b.i IS NOT NULL AS moved FROM {source} s LEFT JOIN {p}b b USING (i) LEFT JOIN {p}n n USING (i))"""
+    """Table ``p`` (x, y, nx, ny): where the distinct points of ``source`` that are not free go. All have a free place at the margin here."""
+    return f"""{p}b AS MATERIALIZED (SELECT DISTINCT x, y FROM {source} WHERE NOT {_free('x', 'y', margin)}),
+    {p}k AS (SELECT b.x, b.y, sd.*, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / (pow(bx - ax, 2) + pow(yb - ay, 2)), 0), 1) AS kk FROM {p}b b CROSS JOIN sd),
+    {p}c AS (SELECT x, y, k, ax + kk * (bx - ax) + nx * {margin} AS cx, ay + kk * (yb - ay) + ny * {margin} AS cy FROM {p}k),
+    {p} AS MATERIALIZED (SELECT x, y, n.x AS nx, n.y AS ny FROM (SELECT x, y, arg_min({{'x': cx, 'y': cy}}, {{'d': round(pow(cx - x, 2) + pow(cy - y, 2), 9), 'k': k}}) AS n FROM {p}c WHERE {_free('cx', 'cy', margin + ' - 1e-6')} GROUP BY x, y))"""
 
 
-@query(f", {_SIDES_SQL}, s0 AS (SELECT row_number() OVER () AS i, session, person_id, tick, x, y FROM pos), " + _snapped("s0", "sn") + " SELECT session, person_id, tick, round(sn.x, 4) AS x, round(sn.y, 4) AS y, moved FROM s0 JOIN sn USING (i)", "legs")
+@query(f", {_SIDES_SQL}, " + _snapped("pos", "sn") + " SELECT session, person_id, tick, round(coalesce(nx, x), 4) AS x, round(coalesce(ny, y), 4) AS y, nx IS NOT NULL AS moved FROM pos LEFT JOIN sn USING (x, y)", "legs")
 def snap_to_floor(spark, sf):
     return rounded(P.snap_to_floor(_pos(spark, sf).select("session", "person_id", "tick", "x", "y"), _FLOOR), 4, "x", "y")
 
 
-@query(f", {_SIDES_SQL}, s0 AS (SELECT row_number() OVER () AS i, session, person_id, tick, camera, x, y FROM obs), " + _snapped("s0", "sn") + """, mn AS (SELECT row_number() OVER () AS i, session, person_id, tick, x, y FROM (SELECT session, person_id, tick, avg(sn.x) AS x, avg(sn.y) AS y FROM s0 JOIN sn USING (i) GROUP BY ALL)), """ + _snapped("mn", "ms") + """, mv AS (SELECT session, person_id, tick, ms.x AS mx, ms.y AS my FROM mn JOIN ms USING (i) WHERE moved)
-    SELECT session, person_id, tick, camera, round(coalesce(mx, sn.x), 4) AS x, round(coalesce(my, sn.y), 4) AS y, moved OR mx IS NOT NULL AS moved FROM s0 JOIN sn USING (i) LEFT JOIN mv USING (session, person_id, tick)""", "obs")
+@query(f", {_SIDES_SQL}, " + _snapped("obs", "sn") + """, st AS MATERIALIZED (SELECT session, person_id, tick, camera, coalesce(nx, x) AS x, coalesce(ny, y) AS y, nx IS NOT NULL AS moved FROM obs LEFT JOIN sn USING (x, y)),
+    mn AS MATERIALIZED (SELECT session, person_id, tick, avg(x) AS x, avg(y) AS y FROM st GROUP BY ALL), """ + _snapped("mn", "ms") + """, mv AS (SELECT session, person_id, tick, nx AS mx, ny AS my FROM mn JOIN ms USING (x, y))
+    SELECT session, person_id, tick, camera, round(coalesce(mx, x), 4) AS x, round(coalesce(my, y), 4) AS y, moved OR mx IS NOT NULL AS moved FROM st LEFT JOIN mv USING (session, person_id, tick)""", "obs")
 def snap_trajectories(spark, sf):
     return rounded(P.snap_trajectories(A.derive(spark, sf, "obs", "obs").select("session", "person_id", "tick", "camera", "x", "y"), _FLOOR), 4, "x", "y")
 
@@ -138,9 +141,15 @@ def session_origin(spark, sf):
     return P.session_origin(rows).select("session", "dataset", F.unix_timestamp("origin_ts").alias("origin_s"))
 
 
-@query()
+@query(_heat("obs") + _DRAWN + """, hp AS (SELECT *, CAST(right(session, 1) AS INT) AS plan_id, seconds + 4 * visits + 2 * peak AS score FROM he),
+    hk AS (SELECT * FROM hp WHERE NOT EXISTS (SELECT 1 FROM dz WHERE dz.plan_id = hp.plan_id AND kind = 'commercial' AND cx + 0.5e0 BETWEEN x1 - 1e-6 AND x2 + 1e-6 AND cy + 0.5e0 BETWEEN y1 - 1e-6 AND y2 + 1e-6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(score, 6) DESC, cx, cy) <= 40),
+    re(session, cx, cy, lx, ly) AS (SELECT session, cx, cy, cx, cy FROM hk UNION SELECT re.session, b.cx, b.cy, lx, ly FROM re JOIN hk b ON re.session = b.session AND abs(re.cx - b.cx) <= 1 AND abs(re.cy - b.cy) <= 1),
+    lb AS (SELECT session, cx, cy, min(lx * 1000 + ly) AS label FROM re GROUP BY ALL), gr AS (SELECT session, label, min(cx) * 1e0 AS x1, min(cy) * 1e0 AS y1, max(cx) + 1e0 AS x2, max(cy) + 1e0 AS y2, count(*) AS cells, sum(seconds) AS seconds, max(visits) AS visits, max(peak) AS peak FROM hk JOIN lb USING (session, cx, cy) GROUP BY session, label)
+    SELECT session, x1, y1, x2, y2, cells, round(seconds, 3) AS seconds, visits, peak, (x2 - x1) * (y2 - y1) AS area, round(seconds + 4 * visits + 2 * peak, 3) AS score FROM gr QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(seconds + 4 * visits + 2 * peak, 6) DESC, x1, y1) <= 5""", "obs")
 def suggest_zones(spark, sf):
-    return P.suggest_zones(K.heat_cells(A.derive(spark, sf, "obs", "obs"), 1.0))
+    """A session's plan is the last digit of its day; drawn commercial zones are left out."""
+    cells = rounded(K.heat_cells(A.derive(spark, sf, "obs", "obs"), 1.0), 3, "seconds").withColumn("plan_id", F.substring("session", -1, 1).cast("int"))
+    return rounded(P.suggest_zones(cells, _drawn(spark, sf), 1.0), 3, "seconds", "score")
 
 
 @query()
@@ -171,7 +180,8 @@ def reliable_views(spark, sf):
 _WIN = "WINDOW w AS (PARTITION BY session, person_id ORDER BY tick RANGE BETWEEN {0} PRECEDING AND CURRENT ROW)"
 
 
-@query(""", o AS (SELECT *, (x - first_value(x) OVER w) / 1.7e0 AS du, (y - first_value(y) OVER w) / 1.7e0 AS dv, t - first_value(t) OVER w AS dt FROM pos """ + _WIN.format(4) + """) SELECT session, person_id, tick, CASE WHEN dt >= 0.3e0 AND sqrt(du * du + dv * dv) >= 0.15e0 THEN CASE WHEN abs(du) > abs(dv) THEN 'C' WHEN dv > 0 THEN 'F' ELSE 'E' END ELSE '?' END AS orientation FROM o""", "legs")
+@query(""", o AS (SELECT *, round(t - first_value(t) OVER w, 6) AS dt, (x - first_value(x) OVER w) / 1.7e0 AS su, (y - first_value(y) OVER w) / 1.7e0 AS sv FROM pos """ + _WIN.format(4) + """), o2 AS (SELECT session, person_id, tick, dt, su / nullif(dt, 0) AS du, sv / nullif(dt, 0) AS dv FROM o)
+    SELECT session, person_id, tick, CASE WHEN dt >= 0.3e0 AND round(sqrt(du * du + dv * dv), 9) >= 0.15e0 THEN CASE WHEN round(abs(dv) - 0.7e0 * abs(du), 9) < 0 THEN 'C' WHEN dv > 0 THEN 'F' ELSE 'E' END ELSE '?' END AS orientation FROM o2""" , "legs")
 def orientation(spark, sf):
     feet = A.derive(spark, sf, "legs", "pos").select("session", F.lit("c").alias("camera"), "person_id", "tick", "t", F.col("x").alias("u"), F.col("y").alias("v"), F.lit(1.7).alias("h"))
     return M.orientation(feet).select("session", "person_id", "tick", "orientation")
@@ -221,7 +231,7 @@ def mutual_best_matches(spark, sf):
 
 
 @query(""", sr AS (SELECT session, camera, person_id AS uid, tick, x, y FROM pos), pr AS (SELECT a.session, a.uid AS a, b.uid AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM sr a JOIN sr b ON a.session = b.session AND a.tick = b.tick AND a.uid < b.uid AND a.camera <> b.camera),
-    g AS (SELECT session, a, b, count(*) AS ticks, median(d) AS median, avg(CASE WHEN d <= 0.67e0 * 4 THEN 1e0 ELSE 0e0 END) AS near FROM pr GROUP BY ALL HAVING count(*) >= 5)
+    g AS (SELECT session, a, b, count(*) AS ticks, median(d) AS median, avg(CASE WHEN d < 0.67e0 * 4 THEN 1e0 ELSE 0e0 END) AS near FROM pr GROUP BY ALL HAVING count(*) >= 5)
     SELECT session, a, b, ticks, round(median, 4) AS median, round(near, 4) AS near, CASE WHEN median > 1.33e0 * 4 THEN 'conflict' WHEN ticks >= 10 AND median <= 0.47e0 * 4 AND near >= 0.9e0 THEN 'together' ELSE 'unclear' END AS kind FROM g""", "legs")
 def regroup_pairs(spark, sf):
     return rounded(M.regroup_pairs(_pos(spark, sf).withColumnRenamed("person_id", "uid"), 4.0), 4, "median", "near")

@@ -36,16 +36,17 @@ def _counts(spark, sf):
     return rows.select("session", "camera", (F.col("tick") * 0.2).alias("t"), "n")
 
 
-def _heat(source: str, top: int = 80) -> str:
-    return f""", la AS (SELECT session, t, person_id, max({{'camera': camera, 'x': x, 'y': y}}) AS p FROM {source} GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM la)),
+def _heat(source: str, top: int = 80, where: str = "true") -> str:
+    return f""", la AS (SELECT session, t, person_id, max({{'camera': camera, 'x': x, 'y': y}}) AS p FROM {source} WHERE {where} GROUP BY ALL), sm AS (SELECT session, t, coalesce(least(greatest(t - lag(t) OVER (PARTITION BY session ORDER BY t), 0), 2), 0) AS dt FROM (SELECT DISTINCT session, t FROM {source})),
     pc AS (SELECT session, t, person_id, CAST(floor(p.x / 1e0) AS INT) AS cx, CAST(floor(p.y / 1e0) AS INT) AS cy FROM la), cn AS (SELECT session, cx, cy, t, count(*) AS n FROM pc GROUP BY ALL), vi AS (SELECT session, cx, cy, count(DISTINCT person_id) AS visits FROM pc GROUP BY ALL),
     ce AS (SELECT session, cx, cy, sum(n * dt) AS seconds, max(n) AS peak FROM cn JOIN sm USING (session, t) GROUP BY ALL),
     he AS (SELECT session, cx, cy, round(seconds, 3) AS seconds, peak, visits FROM ce JOIN vi USING (session, cx, cy) QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(seconds, 3) DESC, cx, cy) <= {top})"""
 
 
-@query(_heat("obs") + " SELECT * FROM he")
+@query(_heat("obs", where="tick % 10 <> 4") + " SELECT * FROM he")
 def heat_cells(spark, sf):
-    return rounded(K.heat_cells(_obs(spark, sf), 1.0), 3, "seconds")
+    """Every tenth tick's people are predicted ones."""
+    return rounded(K.heat_cells(_obs(spark, sf).withColumn("predicted", F.col("tick") % 10 == 4), 1.0), 3, "seconds")
 
 
 #: People and seconds that make a zone's crowd an alert.
@@ -165,8 +166,8 @@ def alert_log(spark, sf):
 
 _FLOW = """, zi AS (SELECT session, 1 AS zone_id, person_id, t, x >= 2 AND x <= 6 AND y >= 4 AND y <= 8 AS inside FROM c3), zc AS (SELECT *, CASE WHEN t - lag(t) OVER w > 1 THEN 1 WHEN lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM zi WINDOW w AS (PARTITION BY session, person_id ORDER BY t)),
     zp AS (SELECT *, sum(cut) OVER (PARTITION BY session, person_id ORDER BY t) AS part FROM zc), zn AS (SELECT *, CASE WHEN inside = lag(inside) OVER (PARTITION BY session, person_id, part ORDER BY t) THEN 0 ELSE 1 END AS new FROM zp),
-    zr AS (SELECT *, sum(new) OVER (PARTITION BY session, person_id, part ORDER BY t) AS run FROM zn), z2 AS (SELECT * FROM zr QUALIFY row_number() OVER (PARTITION BY session, person_id, part, run ORDER BY t) = 2),
-    z3 AS (SELECT *, lag(inside) OVER (PARTITION BY session, person_id, part ORDER BY t) AS b FROM z2) SELECT session, zone_id, person_id, round(t, 3) AS t, CASE WHEN inside THEN 'entry' ELSE 'exit' END AS direction FROM z3 WHERE b <> inside"""
+    zr AS (SELECT *, sum(new) OVER (PARTITION BY session, person_id, part ORDER BY t) AS run FROM zn), z1 AS (SELECT *, row_number() OVER (PARTITION BY session, person_id, part, run ORDER BY t) AS nth, row_number() OVER (PARTITION BY session, person_id, part ORDER BY t) AS k FROM zr), z2 AS (SELECT * FROM z1 WHERE nth = 2 OR k = 1),
+    z3 AS (SELECT *, lag(inside) OVER (PARTITION BY session, person_id, part ORDER BY t) AS b FROM z2) SELECT session, zone_id, person_id, round(t, 3) AS t, CASE WHEN inside THEN 'entry' ELSE 'exit' END AS direction FROM z3 WHERE nth = 2 AND b <> inside"""
 
 
 @query(_JUMPS + _FLOW)
@@ -325,10 +326,12 @@ def _marks(spark, sf):
     return rows.select(F.col("camera").alias("base"), ((F.col("gid") + 1) % 3).cast("string").alias("target"), F.col("start_s").alias("ta"), (F.col("start_s") + (F.col("gid") - 4) * 0.1 + F.when(F.col("uid") % 9 == 0, 0.05).otherwise(0)).alias("tb"))
 
 
-@query(_MARKS + """, o AS (SELECT base, target, median(tb - ta) AS off, count(*) AS n FROM m GROUP BY ALL), d AS (SELECT base, target, off, n, 1.4826e0 * median(abs(tb - ta - off)) AS dispersion FROM m JOIN o USING (base, target) GROUP BY ALL), r AS (SELECT *, n >= 4 AND round(dispersion, 6) <= 0.25e0 AS reliable FROM d), w AS (SELECT *, reliable AND abs(round(off, 6)) >= 0.15e0 AS needs FROM r)
-    SELECT base, target, round(off, 4) AS "offset", n, round(dispersion, 4) AS dispersion, reliable, needs, round(CASE WHEN needs THEN greatest(-off, 0) ELSE 0 END, 4) AS sync_base, round(CASE WHEN needs THEN greatest(off, 0) ELSE 0 END, 4) AS sync_target FROM w""", "tracklets")
+@query(_MARKS + """, o AS (SELECT base, target, median(tb - ta) AS off, count(*) AS n FROM m GROUP BY ALL), d AS (SELECT base, target, off, n, 1.4826e0 * median(abs(tb - ta - off)) AS dispersion FROM m JOIN o USING (base, target) GROUP BY ALL), cu(camera, o, s) AS (VALUES ('0', 0.5e0, 0.2e0), ('2', 0e0, 1e0)), r AS (SELECT d.*, n >= 4 AND round(dispersion, 6) <= 0.25e0 AS reliable, coalesce(x.o, 0) AS bo, coalesce(x.s, 0) AS bs, coalesce(y.o, 0) AS yo, coalesce(y.s, 0) AS ys FROM d LEFT JOIN cu x ON x.camera = base LEFT JOIN cu y ON y.camera = target),
+    w AS (SELECT *, reliable AND round(abs(off - (yo + ys - bo - bs)), 6) >= 0.15e0 AS needs FROM r)
+    SELECT base, target, round(off, 4) AS "offset", n, round(dispersion, 4) AS dispersion, reliable, needs, round(CASE WHEN needs THEN greatest(bo + bs, -off) - bo ELSE bs END, 4) AS sync_base, round(CASE WHEN needs THEN greatest(bo + bs + off, 0) - yo ELSE ys END, 4) AS sync_target FROM w""", "tracklets")
 def clock_offset(spark, sf):
-    return rounded(I.clock_offset(_marks(spark, sf)), 4, "offset", "dispersion", "sync_base", "sync_target")
+    now = spark.createDataFrame([("0", 0.5, 0.2), ("2", 0.0, 1.0)], "camera string, file_offset double, sync double")
+    return rounded(I.clock_offset(_marks(spark, sf), now), 4, "offset", "dispersion", "sync_base", "sync_target")
 
 
 @query(_MARKS + """, e AS (SELECT least(base, target) AS a, greatest(base, target) AS b FROM m WHERE base <> target GROUP BY ALL HAVING count(*) >= 4 UNION SELECT '0', '2') SELECT a AS camera, b AS related FROM e UNION ALL SELECT b, a FROM e""", "tracklets")

@@ -160,13 +160,13 @@ def stream_zone_flow(pos: DataFrame, gap: float = 1.0, **options) -> DataFrame:
     def step(key, state, t, rows):
         inside = bool(rows["inside"].iloc[0])
         if "last_t" not in state or t - state["last_t"] > gap:
-            state.update(value=None, run=0, known=None)
+            state.update(value=None, run=0, known=inside)
         state["run"] = state["run"] + 1 if state["value"] == inside else 1
         state["value"] = inside
         if state["run"] != 2:
             return []
         before, state["known"] = state["known"], inside
-        return [(*key, t, "entry" if inside else "exit")] if before is not None and before != inside else []
+        return [(*key, t, "entry" if inside else "exit")] if before != inside else []
 
     return by_sample(pos, ["session", "zone_id", "person_id"], step, "session string, zone_id int, person_id long, t double, direction string", **options)
 
