@@ -108,17 +108,32 @@ def incident_export(impact: DataFrame) -> DataFrame:
     return impact.select(*(F.col(c).alias(h) for h, c in headings.items()))
 
 
-def company_rollup(summary: DataFrame, companies: DataFrame) -> DataFrame:
-    """Sums by company; sales and transactions stay null where all are, entries become 0."""
-    rows = summary.join(F.broadcast(companies), "business_id").groupBy("dataset", "company", "date", "hour")
-    found = rows.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.sum("amount").alias("amount"), F.sum("transactions").alias("transactions"))
+#: What is added up over businesses: null only where all of them are.
+ADDED = ("amount", "estimate", "transactions")
+
+
+def _totals(rows, extra=()):
+    found = rows.agg(*extra, F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), *(F.sum(c).alias(c) for c in ADDED))
     return found.withColumn("conversion", F.when(F.col("entries") > 0, 100.0 * F.col("transactions") / F.col("entries")))
 
 
+def company_rollup(summary: DataFrame, companies: DataFrame) -> DataFrame:
+    """Sums by hour over all companies, by company and by business (``level`` 3, 1 and 0), with the number of businesses.
+
+    ``summary`` is that of ``commercial_summary``; businesses without a company go under "Sin empresa". Entries become 0 where none are known.
+    """
+    key = ["dataset", "date", "hour"]
+    rows = summary.select(*key, "business_id", "entries", *ADDED).join(companies.select("business_id", "company"), "business_id", "left").fillna("Sin empresa", ["company"])
+    by = [[*key], [*key, "company"], [*key, "company", "business_id"]]
+    sets = rows.groupingSets([[F.col(c) for c in g] for g in by], *key, "company", "business_id")
+    found = _totals(sets, [F.grouping_id().cast("int").alias("level"), F.count_distinct(F.col("business_id")).alias("businesses")])
+    return found.withColumn("businesses", F.when(F.col("level") == 0, 1).otherwise(F.col("businesses")).cast("long"))
+
+
 def dashboard_totals(summary: DataFrame) -> DataFrame:
-    """Per hour of a day over all businesses, and whether it is the day's busiest."""
-    rows = summary.groupBy("dataset", "date", "hour").agg(F.sum("entries").alias("entries"), F.sum("amount").alias("amount"), F.max("conversion").alias("best_conversion"))
-    rank = Window.partitionBy("dataset", "date").orderBy(F.desc_nulls_last("entries"), "hour")
+    """Per hour of a day over all businesses: entries, sales, estimate, transactions, conversion, the best conversion of one, and whether it is the day's busiest."""
+    rows = _totals(summary.groupBy("dataset", "date", "hour"), [F.max("conversion").alias("best_conversion")])
+    rank = Window.partitionBy("dataset", "date").orderBy(F.desc("entries"), "hour")
     return rows.withColumn("peak", F.row_number().over(rank) == 1)
 
 
@@ -196,8 +211,45 @@ def traffic_baseline(history: DataFrame, exclude=None) -> DataFrame:
     return rows.groupBy("zone", "hour", "weekday").agg((F.sum("total") / F.nullif(F.sum("samples"), F.lit(0))).alias("mean"), F.max("peak").alias("peak"), F.count_distinct("date").alias("days"))
 
 
-def business_traffic(crossings: DataFrame, doors: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Entries and exits by business through the doors (camera, line) it owns; null where nothing was measured."""
-    counted = crossings.groupBy("session", "camera", "line_id").agg(F.sum((F.col("direction") == "entry").cast("long")).alias("entries"), F.sum((F.col("direction") == "exit").cast("long")).alias("exits"))
-    owned = counted.join(F.broadcast(doors), ["camera", "line_id"]).groupBy("business_id").agg(F.sum("entries").alias("entries"), F.sum("exits").alias("exits"), F.count("*").alias("accesses"))
-    return businesses.select("business_id").join(owned, "business_id", "left")
+#: What a line is measured by; where any of it differs from the current line, doors of today say nothing about the session.
+MEASURED = ("ax", "ay", "bx", "by", "entry_side", "bands")
+
+
+def line_owners(observed: DataFrame, current: DataFrame, doors: DataFrame) -> DataFrame:
+    """(session, camera, line_id, business_id): whose line it was in each session.
+
+    ``observed`` are the lines as a session had them (session, camera, line_id, MEASURED, place_id), ``current`` those of today, ``doors``
+    (camera, line_id, business_id) today's owners. A line with the same measures belongs to today's owner, or else, like a changed
+    or removed line, to the place that was recorded with it.
+    """
+    line = ["camera", "line_id"]
+    now = current.select(*line, *(F.col(c).alias(f"{c}_now") for c in MEASURED), F.lit(True).alias("_known"))
+    rows = observed.join(now, line, "left").join(doors.select(*line, F.col("business_id").alias("_door")), line, "left")
+    same = F.coalesce("_known", F.lit(False))
+    for c in MEASURED:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_now"))
+    return rows.select("session", *line, F.coalesce(F.when(same, F.col("_door")), "place_id").alias("business_id"))
+
+
+def business_events(crossings: DataFrame, owners: DataFrame) -> DataFrame:
+    """Crossings (session, camera, line_id, t, direction) of businesses, each with the business whose line it was."""
+    return crossings.join(owners.where("business_id IS NOT NULL"), ["session", "camera", "line_id"])
+
+
+def business_traffic(crossings: DataFrame, owners: DataFrame, businesses: DataFrame, hour: float = 3600.0) -> DataFrame:
+    """By business: entries and exits, accesses (camera, line_id, entries, exits), and a map of hours since the sessions' begin.
+
+    A business without a measured line has null entries and exits; a line that nobody crossed counts with 0. Counts are reduced by session, line and hour before they
+    are gathered.
+    """
+    line = ["session", "camera", "line_id"]
+    ways = [F.sum((F.col("direction") == d).cast("long")).alias(n) for d, n in (("entry", "entries"), ("exit", "exits"))]
+    owned = owners.where("business_id IS NOT NULL")
+    counts = crossings.groupBy(*line, F.floor(F.col("t") / hour).alias("hour")).agg(*ways)
+    rows = owned.join(counts, line, "left").fillna(0, ["entries", "exits"])
+    sums = [F.sum(c).alias(c) for c in ("entries", "exits")]
+    access = rows.groupBy("business_id", "camera", "line_id").agg(*sums)
+    listed = access.groupBy("business_id").agg(*sums, F.array_sort(F.collect_list(F.struct("camera", "line_id", "entries", "exits"))).alias("accesses"))  # a business's doors
+    hours = rows.where("hour IS NOT NULL").groupBy("business_id", "hour").agg(*sums)
+    hours = hours.groupBy("business_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", F.struct("entries", "exits"))))).alias("hours"))
+    return businesses.select("business_id").join(listed, "business_id", "left").join(hours, "business_id", "left")

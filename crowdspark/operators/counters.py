@@ -76,7 +76,7 @@ def camera_counting(counts: DataFrame, interval: float) -> DataFrame:
     ahead = F.lead("t").over(own) - F.col("t")
     dt = F.when(ahead <= 1.5 * interval, ahead).otherwise(0.0)
     rows = counts.select("session", "camera", "t", "n", dt.alias("dt"))
-    found = rows.groupBy("session", "camera").agg(F.max_by("n", "t").alias("count"), F.max("n").alias("peak"), F.min_by("t", F.struct(-F.col("n"), "t")).alias("peak_at"), F.sum(F.col("n") * F.col("dt")).alias("person_seconds"), F.sum("dt").alias("observed_s"))
+    found = rows.groupBy("session", "camera").agg(F.max("t").alias("last_t"), F.max_by("n", "t").alias("count"), F.max("n").alias("peak"), F.min_by("t", F.struct(-F.col("n"), "t")).alias("peak_at"), F.sum(F.col("n") * F.col("dt")).alias("person_seconds"), F.sum("dt").alias("observed_s"))
     return found.withColumn("mean", F.col("person_seconds") / F.nullif(F.col("observed_s"), F.lit(0.0)))
 
 
@@ -177,9 +177,24 @@ def alert_cooldown(alerts: DataFrame, seconds: float = 120.0) -> DataFrame:
     return keep_spaced(alerts, ["key"], seconds, "send")
 
 
-def alert_log(alerts: DataFrame) -> DataFrame:
-    """One row a key of alerts (key, t, peak, duration): first time, greatest peak, last duration."""
-    return alerts.groupBy("key").agg(F.min("t").alias("start"), F.max("peak").alias("peak"), F.max_by("duration", "t").alias("duration"))
+#: The states of an alert; a new one is the first.
+STATES = ("pendiente", "en_proceso", "resuelto", "descartado")
+
+
+def alert_log(alerts: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """One row a key of alerts (key, t, peak, duration): first time, greatest peak, last duration, state, and the time of the last alert.
+
+    With the ``log`` so far (of the same columns) unknown keys are put in as pending, pending ones follow their alerts, and ones that someone
+    has looked at stay as they are. Alerts up to the last one of a key change nothing, so a replayed batch gives the same log.
+    """
+    new = alerts.groupBy("key").agg(F.min("t").alias("start"), F.max("peak").alias("peak"), F.max_by("duration", "t").alias("duration"), F.max("t").alias("last_t"))
+    if log is None:
+        return new.select("key", "start", "peak", "duration", F.lit(STATES[0]).alias("state"), "last_t")
+    both = log.join(new.toDF("key", *(f"_{c}" for c in new.columns[1:])), "key", "full")
+    fresh, open_ = F.col("state").isNull(), F.col("state") == STATES[0]
+    later = open_ & (F.col("_last_t") > F.col("last_t"))
+    pick = lambda c, joined: F.when(fresh, F.col(f"_{c}")).when(later, joined).otherwise(F.col(c)).alias(c)
+    return both.select("key", pick("start", F.col("start")), pick("peak", F.greatest("peak", "_peak")), pick("duration", F.col("_duration")), F.coalesce("state", F.lit(STATES[0])).alias("state"), pick("last_t", F.col("_last_t")))
 
 
 def zone_flow(pos: DataFrame, gap: float = 1.0) -> DataFrame:

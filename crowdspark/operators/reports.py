@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .counters import heat_cells
 from .density import flow_field
-from .trajectories import report_series
+from .trajectories import ranked, report_series
 
 
 def report_cameras(counting: DataFrame, crossings: DataFrame) -> DataFrame:
-    """Camera table: last count, peak, mean, entries and exits."""
+    """Camera table: last time and count, peak and its time, mean, entries and exits (0 where nothing crossed)."""
     sums = crossings.groupBy("session", "camera").agg(*(F.sum((F.col("direction") == d).cast("long")).alias(n) for d, n in (("entry", "entries"), ("exit", "exits"))))
-    return counting.join(sums, ["session", "camera"], "left")
+    return counting.join(sums, ["session", "camera"], "left").fillna(0, ["entries", "exits"]).select("session", "camera", "last_t", "count", "peak", "peak_at", "mean", "entries", "exits")
 
 
 def nearest_camera(x: Column, y: Column, cameras: list[tuple[str, float, float]]) -> Column:
@@ -35,12 +35,23 @@ def report_occupancy(occupancy: DataFrame) -> DataFrame:
     return last.select("session", "zone_id", "z.*")
 
 
-def report_crossings(flows: DataFrame, lines: DataFrame) -> DataFrame:
+def crossing_list(flows: DataFrame, lines: DataFrame) -> DataFrame:
     """Zone flows and line crossings as one list."""
     a = flows.select("session", F.col("zone_id").cast("string").alias("place"), "person_id", "t", "direction", F.lit("zone").alias("kind"))
     return a.unionByName(lines.select("session", F.concat_ws("/", "camera", "line_id").alias("place"), "person_id", "t", "direction", F.lit("line").alias("kind")))
 
 
+def report_crossings(flows: DataFrame, lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """By place (a zone, or camera/line): entries, exits and the last crossing.
+
+    With ``places`` (session, place, kind) those that nothing crossed are there too, with 0, 0 and null.
+    """
+    ways = [F.sum((F.col("direction") == d).cast("long")).alias(n) for d, n in (("entry", "entries"), ("exit", "exits"))]
+    key = ["session", "place", "kind"]
+    found = crossing_list(flows, lines).groupBy(*key).agg(*ways, F.max("t").alias("last_crossing"))
+    return found if places is None else places.select(*key).distinct().join(found, key, "full").fillna(0, ["entries", "exits"]).select(*found.columns)
+
+
 def report_flow(series: DataFrame) -> DataFrame:
     """Mean, peak and samples of a count series by hour since the session began."""
     return series.groupBy("session", F.floor(F.col("t") / 3600).alias("hour")).agg(F.avg("count").alias("mean"), F.max("count").alias("peak"), F.count("*").alias("samples"))
@@ -89,8 +100,8 @@ def sample_confidence(zones: DataFrame) -> DataFrame:
 
 
 def report_access_events(crossings: DataFrame, order: list[str]) -> DataFrame:
-    """Crossing log of each session, numbered in order."""
-    return crossings.withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy(*order)))
+    """Crossing log of each session, numbered in order; places are counted in stretches of a session."""
+    return ranked(crossings, order).withColumn("nth", F.col("i") + 1).drop("i", "n")
 
 
 def session_report(sessions: DataFrame, series: DataFrame, project: str | None = None) -> DataFrame:

@@ -64,21 +64,25 @@ def merge_runs(pdf: pd.DataFrame, step: float, tolerance: float, interior: set[i
             b, c = left.pop(), left.pop()
             left[-1][2] = b[2]
             left[-1][3] += c[3] + b[3]
-    i = 0
-    while i < len(left) and len(left) > 1:
-        if left[i][0] not in interior or left[i][2] + step - left[i][1] >= tolerance:
-            i += 1
-        elif i == 0:  # the next one takes it and is looked at again
-            short, after = left.pop(0), left[0]
-            after[1], after[3] = short[1], short[3] + after[3]
+    done: list[list] = []
+    for stay in left:
+        if done and done[-1][0] == stay[0]:  # parted by a short interior run that went to the one before
+            done[-1][2] = stay[2]
+            done[-1][3] += stay[3]
+        elif done and _brief(done[0], step, tolerance, interior) and len(done) == 1:  # only the first can still be short: this one takes it
+            stay[1], stay[3] = done[0][1], done[0][3] + stay[3]
+            done = [stay]
+        elif done and _brief(stay, step, tolerance, interior):
+            done[-1][2] = stay[2]
+            done[-1][3] += stay[3]
         else:
-            taken = left.pop(i)
-            if i < len(left) and left[i][0] == left[i - 1][0]:
-                more = left.pop(i)
-                taken[2], taken[3] = more[2], taken[3] + more[3]
-            left[i - 1][2] = taken[2]
-            left[i - 1][3] += taken[3]
-    return left
+            done.append(stay)
+    return done
+
+
+def _brief(stay: list, step: float, tolerance: float, interior: set[int]) -> bool:
+    """Whether a stay is inside a business and shorter than ``tolerance``."""
+    return stay[0] in interior and stay[2] + step - stay[1] < tolerance
 
 
 def merge_stays(runs: DataFrame, zones: list[dict], p: Params = Params()) -> DataFrame:

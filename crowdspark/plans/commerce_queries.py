@@ -106,17 +106,22 @@ def hourly_table(spark, sf):
     return rounded(rounded(C.hourly_table(_traffic(spark, sf), _sales(spark, sf)), 2, "amount"), 3, "estimate")
 
 
-@query(_SUM + """, co AS (SELECT dataset, concat('c', CAST(CAST(substr(business_id, 2) AS INT) % 5 AS VARCHAR)) AS company, date, hour, coalesce(CAST(sum(entries) AS BIGINT), 0) AS entries, sum(amount) AS amount, CAST(sum(transactions) AS BIGINT) AS transactions FROM su GROUP BY ALL)
-    SELECT dataset, company, date, hour, entries, transactions, round(amount, 2) AS amount, round(CASE WHEN entries > 0 THEN 100e0 * transactions / entries END, 3) AS conversion FROM co""", dates=("date",))
+_ESTIMATED = _SUM + _GOOD[len(_B):] + ", " + _forecast("best") + ", sx AS (SELECT su.*, fo.estimate FROM su JOIN fo USING (dataset, business_id, date, hour))"
+_ADDED = "coalesce(CAST(sum(entries) AS BIGINT), 0) AS entries, sum(amount) AS amount, sum(estimate) AS estimate, CAST(sum(transactions) AS BIGINT) AS transactions"
+_TOTALS = "entries, transactions, round(amount, 2) AS amount, round(estimate, 5) AS estimate, round(CASE WHEN entries > 0 THEN 100e0 * transactions / entries END, 3) AS conversion"
+
+
+@query(_ESTIMATED + """, co AS (SELECT *, coalesce(CASE WHEN business_id <> 'b4' THEN concat('c', CAST(CAST(substr(business_id, 2) AS INT) % 2 AS VARCHAR)) END, 'Sin empresa') AS company FROM sx),
+    cr AS (SELECT dataset, date, hour, company, business_id, CAST(GROUPING(company, business_id) AS INT) AS level, count(DISTINCT business_id) AS businesses, """ + _ADDED + f" FROM co GROUP BY GROUPING SETS ((dataset, date, hour), (dataset, date, hour, company), (dataset, date, hour, company, business_id))) SELECT dataset, date, hour, company, business_id, level, businesses, {_TOTALS} FROM cr", dates=("date",))
 def company_rollup(spark, sf):
-    companies = spark.range(20).select(F.concat(F.lit("b"), "id").alias("business_id"), F.concat(F.lit("c"), F.col("id") % 5).alias("company"))
-    return rounded(rounded(C.company_rollup(_summary(spark, sf), companies), 2, "amount"), 3, "conversion")
+    companies = spark.range(4).select(F.concat(F.lit("b"), "id").alias("business_id"), F.concat(F.lit("c"), F.col("id") % 2).alias("company"))
+    return rounded(rounded(rounded(C.company_rollup(_summary(spark, sf), companies), 2, "amount"), 5, "estimate"), 3, "conversion")
 
 
-@query(_SUM + """, dt AS (SELECT dataset, date, hour, CAST(sum(entries) AS BIGINT) AS entries, sum(amount) AS amount, max(conversion) AS best_conversion FROM su GROUP BY ALL)
-    SELECT dataset, date, hour, entries, round(amount, 2) AS amount, round(best_conversion, 3) AS best_conversion, row_number() OVER (PARTITION BY dataset, date ORDER BY entries DESC NULLS LAST, hour) = 1 AS peak FROM dt""", dates=("date",))
+@query(_ESTIMATED + ", dt AS (SELECT dataset, date, hour, max(conversion) AS best_conversion, " + _ADDED + f""" FROM sx GROUP BY ALL)
+    SELECT dataset, date, hour, {_TOTALS}, round(best_conversion, 3) AS best_conversion, row_number() OVER (PARTITION BY dataset, date ORDER BY entries DESC, hour) = 1 AS peak FROM dt""", dates=("date",))
 def dashboard_totals(spark, sf):
-    return rounded(rounded(C.dashboard_totals(_summary(spark, sf)), 2, "amount"), 3, "best_conversion")
+    return rounded(rounded(rounded(C.dashboard_totals(_summary(spark, sf)), 2, "amount"), 5, "estimate"), 3, "conversion", "best_conversion")
 
 
 #: Line items as people exposed (all passages) and visits (those in); a session covers an hour or half of it.
@@ -219,14 +224,41 @@ def bag_totals(spark, sf):
     return rounded(C.bag_totals(visits), 4, "coverage")
 
 
-@query(""", cr AS (SELECT event_type AS camera, user_id % 4 AS line_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, CAST(ts AS DATE) AS session FROM events), ow AS (SELECT DISTINCT camera, line_id, concat('b', CAST(line_id AS VARCHAR)) AS business_id FROM cr WHERE line_id < 3),
-    k AS (SELECT business_id, count(*) FILTER (direction = 'entry') AS entries, count(*) FILTER (direction = 'exit') AS exits, count(DISTINCT (session, camera, line_id)) AS accesses FROM cr JOIN ow USING (camera, line_id) GROUP BY ALL)
-    SELECT concat('b', CAST(b AS VARCHAR)) AS business_id, entries, exits, accesses FROM range(6) r(b) LEFT JOIN k ON k.business_id = concat('b', CAST(b AS VARCHAR))""")
-def business_traffic(spark, sf):
+#: Events as crossings of four lines a camera; the lines of "click" were moved in the middle of the month, line 1 has a recorded place, and line 3 no door.
+_OWNERS = """, cr AS (SELECT event_type AS camera, CAST(user_id % 4 AS INT) AS line_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, CAST(CAST(ts AS DATE) AS VARCHAR) AS session, epoch(ts) - epoch(CAST(ts AS DATE)) AS t, event_id FROM events),
+    lo AS (SELECT DISTINCT session, camera, line_id, CASE WHEN camera = 'click' AND session < '2024-01-15' THEN 0.7e0 ELSE 0.8e0 END AS bx, CASE WHEN line_id = 1 THEN 'b5' END AS place FROM cr),
+    ow AS (SELECT session, camera, line_id, CASE WHEN bx = 0.8e0 AND camera <> 'error' AND line_id < 3 THEN concat('b', CAST(line_id AS VARCHAR)) ELSE place END AS business_id FROM lo)"""
+
+
+def _doors(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    crossings = e.select(F.to_date("ts").alias("session"), F.col("event_type").alias("camera"), (F.col("user_id") % 4).alias("line_id"), F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"))
-    doors = crossings.where("line_id < 3").select("camera", "line_id", F.concat(F.lit("b"), "line_id").alias("business_id")).distinct()
-    return C.business_traffic(crossings, doors, spark.range(6).select(F.concat(F.lit("b"), "id").alias("business_id")))
+    crossings = e.select(F.to_date("ts").cast("string").alias("session"), F.col("event_type").alias("camera"), (F.col("user_id") % 4).cast("int").alias("line_id"), F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"), ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_date("ts").cast("timestamp"))) / 1e6).alias("t"), "event_id")
+    drawn = lambda bx: {"ax": F.lit(0.2), "ay": F.lit(0.5), "bx": bx, "by": F.lit(0.5), "entry_side": F.lit(1), "bands": F.lit(None).cast("string")}
+    old = (F.col("camera") == "click") & (F.col("session") < "2024-01-15")
+    lines = crossings.select("session", "camera", "line_id").distinct()
+    observed = lines.withColumns(drawn(F.when(old, 0.7).otherwise(0.8)) | {"place_id": F.when(F.col("line_id") == 1, "b5")})
+    current = lines.select("camera", "line_id").distinct().where("camera <> 'error'").withColumns(drawn(F.lit(0.8)))  # the lines of "error" are gone
+    doors = current.where("line_id < 3").select("camera", "line_id", F.concat(F.lit("b"), "line_id").alias("business_id"))
+    return crossings, C.line_owners(observed, current, doors)
+
+
+@query(_OWNERS + """, k AS (SELECT business_id, camera, line_id, count(*) FILTER (direction = 'entry') AS n, count(*) FILTER (direction = 'exit') AS m FROM cr JOIN ow USING (session, camera, line_id) WHERE business_id IS NOT NULL GROUP BY ALL),
+    h AS (SELECT business_id, string_agg(concat(CAST(hour AS VARCHAR), ':', CAST(n AS VARCHAR), ':', CAST(m AS VARCHAR)), ' ' ORDER BY hour) AS hours FROM (SELECT business_id, CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) FILTER (direction = 'entry') AS n, count(*) FILTER (direction = 'exit') AS m FROM cr JOIN ow USING (session, camera, line_id) WHERE business_id IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+    a AS (SELECT business_id, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(m) AS BIGINT) AS exits, string_agg(concat(camera, '/', CAST(line_id AS VARCHAR), ':', CAST(n AS VARCHAR), ':', CAST(m AS VARCHAR)), ' ' ORDER BY camera, line_id) AS accesses FROM k GROUP BY ALL)
+    SELECT b.business_id, entries, exits, accesses, hours FROM (SELECT concat('b', CAST(b AS VARCHAR)) AS business_id FROM range(7) r(b)) b LEFT JOIN a USING (business_id) LEFT JOIN h USING (business_id)""", "none")
+def business_traffic(spark, sf):
+    crossings, owners = _doors(spark, sf)
+    rows = C.business_traffic(crossings, owners, spark.range(7).select(F.concat(F.lit("b"), "id").alias("business_id")))
+    told = lambda *c: F.concat_ws(":", *(x.cast("string") for x in c))
+    accesses = F.array_join(F.transform("accesses", lambda a: told(F.concat_ws("/", a["camera"], a["line_id"].cast("string")), a["entries"], a["exits"])), " ")
+    hours = F.array_join(F.transform(F.map_entries("hours"), lambda h: told(h["key"], h["value"]["entries"], h["value"]["exits"])), " ")
+    return rows.select("business_id", "entries", "exits", accesses.alias("accesses"), hours.alias("hours"))
+
+
+@query(_OWNERS + " SELECT event_id, session, camera, line_id, direction, business_id FROM cr JOIN ow USING (session, camera, line_id) WHERE business_id IS NOT NULL", "none")
+def business_events(spark, sf):
+    crossings, owners = _doors(spark, sf)
+    return C.business_events(crossings, owners).select("event_id", "session", "camera", "line_id", "direction", "business_id")
 
 
 def _tables(spark, sf):

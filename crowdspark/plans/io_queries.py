@@ -195,10 +195,10 @@ def report_sectors(spark, sf):
     return R.report_sectors(rounded(K.heat_cells(A.derive(spark, sf, "obs", "obs"), 1.0), 3, "seconds"), 1.0, CAMERAS)
 
 
-@query(_CNT + ", cr AS (SELECT session, camera, count(*) FILTER (event_id % 2 = 0) AS entries, count(*) FILTER (event_id % 2 = 1) AS exits FROM pos GROUP BY ALL) SELECT session, camera, max_by(n, t) AS count, max(n) AS peak, entries, exits FROM cnt LEFT JOIN cr USING (session, camera) GROUP BY ALL", "legs")
+@query(_CNT + ", cr AS (SELECT session, camera, count(*) FILTER (event_id % 2 = 0) AS entries, count(*) FILTER (event_id % 2 = 1) AS exits FROM pos GROUP BY ALL) SELECT session, camera, round(last_t, 3) AS last_t, count, peak, round(peak_at, 3) AS peak_at, round(mean, 4) AS mean, coalesce(entries, 0) AS entries, coalesce(exits, 0) AS exits FROM (SELECT session, camera, max(t) AS last_t, max_by(n, t) AS count, max(n) AS peak, min_by(t, {'a': -n, 'b': t}) AS peak_at, sum(n * dt) / nullif(sum(dt), 0) AS mean FROM (SELECT *, CASE WHEN lead(t) OVER w - t <= 0.3e0 THEN lead(t) OVER w - t ELSE 0 END AS dt FROM cnt WINDOW w AS (PARTITION BY session, camera ORDER BY t)) GROUP BY ALL) LEFT JOIN cr USING (session, camera)", "legs")
 def report_cameras(spark, sf):
     crossings = A.derive(spark, sf, "legs", "pos").select("session", "camera", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit").alias("direction"))
-    return R.report_cameras(K.camera_counting(_counts(spark, sf), 0.2), crossings).select("session", "camera", "count", "peak", "entries", "exits")
+    return rounded(rounded(R.report_cameras(K.camera_counting(_counts(spark, sf), 0.2), crossings), 3, "last_t", "peak_at"), 4, "mean")
 
 
 @query(" SELECT session, camera, event_id, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS direction, row_number() OVER (PARTITION BY session ORDER BY tick, event_id, person_id) AS nth FROM pos", "legs")

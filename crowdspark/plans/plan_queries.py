@@ -11,8 +11,8 @@ from ..operators import plans as P
 from ..operators import reports as R
 from ..sources.shared import stored
 from . import adapters as A
-from .flow_queries import rounded
-from .tracking_queries import _BOX, _MARKS, _heat, _boxes, _clean, _lines, _marks, _pixels, _tracklets
+from .flow_queries import _JUMPS, rounded
+from .tracking_queries import _BOX, _FLOW, _KEPT, _MARKS, _heat, _boxes, _clean, _lines, _marks, _pixels, _tracklets
 
 QUERIES, ORACLE, _register = A.registry()
 
@@ -255,15 +255,25 @@ def identity_metrics(spark, sf):
     return M.identity_metrics(stored(M.match_frames(truth, system), "matches"), system)
 
 
-@query()
+_KINDS = ("click", "view", "error", "purchase", "signup")
+_OVER = [(c, f"{c}-b") for c in _KINDS] + list(zip(_KINDS, _KINDS[1:]))
+
+
+@query(", ol(a, b) AS (VALUES " + ", ".join(f"('{min(o)}', '{max(o)}')" for o in _OVER) + """), dp AS MATERIALIZED (SELECT *, person_id % 3 <> 0 AS confirmed FROM obs), de AS MATERIALIZED (SELECT p.session, p.tick, p.camera, p.person_id, q.camera AS cb, q.person_id AS pb, q.confirmed AS fb FROM dp p JOIN dp q ON p.session = q.session AND p.tick = q.tick AND p.camera <> q.camera AND NOT p.confirmed
+      AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 0.3e0 AND (NOT q.confirmed, -q.confidence, q.camera, q.person_id) < (NOT p.confirmed, -p.confidence, p.camera, p.person_id) JOIN ol ON least(p.camera, q.camera) = a AND greatest(p.camera, q.camera) = b),
+    o0 AS MATERIALIZED (SELECT row_number() OVER (PARTITION BY session, tick ORDER BY confidence DESC, camera, person_id) AS k, session, tick, camera, person_id, list_distinct(list({'c': cb, 'p': pb})) AS better, bool_or(fb) AS hit FROM de JOIN dp USING (session, tick, camera, person_id) GROUP BY session, tick, camera, person_id, confidence),
+    gr(session, tick, k, dup) AS (SELECT session, tick, 0, [{'c': '', 'p': CAST(-1 AS BIGINT)}] FROM o0 GROUP BY ALL UNION ALL SELECT g.session, g.tick, g.k + 1, CASE WHEN o.hit OR len(list_filter(o.better, lambda z: NOT list_contains(g.dup, z))) > 0 THEN list_append(g.dup, {'c': o.camera, 'p': o.person_id}) ELSE g.dup END FROM gr g JOIN o0 o ON g.session = o.session AND g.tick = o.tick AND o.k = g.k + 1),
+    gd AS (SELECT session, tick, unnest(arg_max(dup, k)) AS d FROM gr GROUP BY session, tick) SELECT dp.session, dp.tick, dp.camera, dp.person_id, gd.d IS NOT NULL AS duplicate FROM dp LEFT JOIN gd ON dp.session = gd.session AND dp.tick = gd.tick AND dp.camera = gd.d.c AND dp.person_id = gd.d.p""", "obs")
 def duplicate_points(spark, sf):
     rows = A.derive(spark, sf, "obs", "obs").withColumn("confirmed", F.col("person_id") % 3 != 0).withColumn("size", F.col("confidence"))
-    kinds = ("click", "view", "error", "purchase", "signup")
-    overlaps = [(c, f"{c}-b") for c in kinds] + list(zip(kinds, kinds[1:]))
-    return M.duplicate_points(rows.select("session", "t", "camera", "person_id", "x", "y", "confirmed", "size"), 0.3, overlaps)
+    return M.duplicate_points(rows.select("session", "t", "camera", "person_id", "x", "y", "confirmed", "size", "tick"), 0.3, _OVER).select("session", "tick", "camera", "person_id", "duplicate")
 
 
-@query()
+_FLOWN = _FLOW[:_FLOW.index(" SELECT session, zone_id, person_id, round(t, 3)")] + ", fl AS (SELECT session, t, CASE WHEN inside THEN 'entry' ELSE 'exit' END AS direction FROM z3 WHERE nth = 2 AND b <> inside)"
+
+
+@query(_JUMPS + _FLOWN + _KEPT + """, al AS (SELECT session, '1' AS place, 'zone' AS kind, t, direction FROM fl UNION ALL SELECT session, concat(camera, '/', CAST(line_id AS VARCHAR)), 'line', t, direction FROM kx JOIN lx USING (session, camera, line_id, person_id, t))
+    SELECT session, place, kind, count(*) FILTER (direction = 'entry') AS entries, count(*) FILTER (direction = 'exit') AS exits, round(max(t), 3) AS last_crossing FROM al GROUP BY ALL""", "obs")
 def report_crossings(spark, sf):
     pos = _clean(spark, sf).select("session", F.lit(1).alias("zone_id"), "person_id", "t", ((F.col("x") >= 2) & (F.col("x") <= 6) & (F.col("y") >= 4) & (F.col("y") <= 8)).alias("inside"))
-    return R.report_crossings(K.zone_flow(pos), K.line_crossings(_pixels(spark, sf), _lines(spark, spark.range(1).select(F.lit("c").alias("camera")))))
+    return rounded(R.report_crossings(K.zone_flow(pos), K.line_crossings(_pixels(spark, sf), _lines(spark, spark.range(1).select(F.lit("c").alias("camera"))))), 3, "last_crossing")

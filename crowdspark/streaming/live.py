@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geometry as G
+from ..operators.plans import best_entry, unit
 
 Step = Callable[[tuple, dict, float, pd.DataFrame], list]
 
@@ -222,15 +223,14 @@ def stream_visit_matching(visits: DataFrame, ttl: float = 3600.0, threshold: flo
     def step(key, state, t, rows):
         held, out = [e for e in state.get("open", []) if t - e[0] <= ttl], []
         for kind, vector, bag in sorted(zip(rows["kind"], rows["vector"], rows["bag"]), key=lambda r: r[0]):
-            v = np.asarray(vector, float)
-            v = v / max(np.linalg.norm(v), 1e-12)
+            v = unit(vector)
             if kind == "entry":
                 held.append([t, v.tolist(), bool(bag)])
                 continue
-            scores = sorted(((float(v @ np.array(e[1])), i) for i, e in enumerate(held) if t - e[0] >= 2), reverse=True)
-            ok = bool(scores) and scores[0][0] >= threshold and (len(scores) < 2 or scores[0][0] - scores[1][0] >= margin)
-            entry = held.pop(scores[0][1]) if ok else None
-            out.append((*key, t, ok, bool(ok and bag and not entry[2]), scores[0][0] if scores else None))
+            told, used = best_entry(v, t, bag, held, threshold, margin)
+            if used is not None:
+                del held[used]
+            out.append((*key, t, *told))
         state["open"] = held
         return out
 

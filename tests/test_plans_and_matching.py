@@ -59,37 +59,32 @@ def test_snap_trajectories_uses_adjusted_views(spark):
     assert got == [(1, 0, 6.2, 2.0, True), (1, 0, 6.2, 2.0, True), (1, 1, 0.2, 4.0, True), (1, 1, 1.0, 2.0, False), (2, 0, None, 1.0, False)]
 
 
-def brute_merge(runs, step, tolerance, interior):
-    """The rules read off one after the other on lists."""
-    left = [list(r) for r in runs]
-    again = True
-    while again:
-        again = False
-        for i in range(1, len(left) - 1):
-            if left[i - 1][0] == left[i + 1][0] and left[i + 1][1] - left[i - 1][2] - step < tolerance:
-                left[i - 1 : i + 2] = [[left[i - 1][0], left[i - 1][1], left[i + 1][2]]]
-                again = True
-                break
-    i = 0
-    while len(left) > 1 and i < len(left):
-        z, a, b = left[i]
-        if z not in interior or b + step - a >= tolerance:
-            i += 1
-        elif i == 0:
-            left[:2] = [[left[1][0], a, left[1][2]]]
-        else:
-            left[i - 1][2] = b
-            left.pop(i)
-            if i < len(left) and left[i][0] == left[i - 1][0]:
-                left[i - 1][2] = left.pop(i)[2]
-    return [tuple(x) for x in left]
-
-
-def test_merge_runs_against_brute_force():
+def merged(case, interior=frozenset({1, 2})):
     import pandas as pd
 
+    pdf = pd.DataFrame([(*r, i) for i, r in enumerate(case, 1)], columns=["zone_id", "first_t", "last_t", "run"])
+    return stays.merge_runs(pdf, 0.2, 1.0, interior)
+
+
+@pytest.mark.parametrize(
+    "case,want",
+    [
+        ([(1, 0.0, 0.0), (2, 0.2, 0.4), (3, 0.6, 9.0)], [(3, 0.0, 9.0)]),  # short interiors at the start go on
+        ([(3, 0.0, 4.0), (1, 4.2, 4.6), (-1, 4.8, 9.0)], [(3, 0.0, 4.6), (-1, 4.8, 9.0)]),  # a short interior goes back
+        ([(3, 0.0, 4.0), (1, 4.2, 4.6), (3, 4.8, 9.0)], [(3, 0.0, 9.0)]),  # a short break is bridged
+        ([(1, 0.0, 4.0), (3, 4.2, 6.0), (1, 6.2, 9.0)], [(1, 0.0, 4.0), (3, 4.2, 6.0), (1, 6.2, 9.0)]),  # a long one is not
+        ([(3, 0.0, 1.0), (1, 1.2, 2.4)], [(3, 0.0, 1.0), (1, 1.2, 2.4)]),  # long enough inside
+        ([(1, 0.0, 0.2)], [(1, 0.0, 0.2)]),  # the only stay remains
+        ([(3, 0.0, 2.0), (1, 2.2, 2.4), (2, 2.6, 2.8), (3, 3.8, 5.0)], [(3, 0.0, 5.0)]),  # what short interiors parted joins up
+    ],
+)
+def test_merge_runs_known_answers(case, want):
+    assert [tuple(g[:3]) for g in merged(case)] == want
+
+
+def test_merge_runs_properties():
+    """Stays are stretches of runs in order; neighbours differ; none is a short interior unless alone; each has the zone of one of its runs; long runs stay as they are."""
     pick = random.Random(1)
-    cases = [[(1, 0.0, 0.0), (2, 0.2, 0.4), (3, 0.6, 9.0)]]  # two short interiors at the start, then a corridor: one stay
     for _ in range(400):
         t, case, zone = 0.0, [], None
         for _ in range(pick.randrange(1, 9)):
@@ -97,12 +92,14 @@ def test_merge_runs_against_brute_force():
             end = t + pick.choice([0, 0.2, 0.4, 1.2, 3.0])
             case.append((zone, round(t, 3), round(end, 3)))
             t = end + pick.choice([0.2, 0.2, 0.8])
-        cases.append(case)
-    for case in cases:
-        pdf = pd.DataFrame([(*r, i) for i, r in enumerate(case, 1)], columns=["zone_id", "first_t", "last_t", "run"])
-        got = stays.merge_runs(pdf, 0.2, 1.0, {1, 2})
-        assert [tuple(g[:3]) for g in got] == brute_merge(case, 0.2, 1.0, {1, 2}) and sorted(r for g in got for r in g[3]) == list(range(1, len(case) + 1))
-    assert brute_merge(cases[0], 0.2, 1.0, {1, 2}) == [(3, 0.0, 9.0)]
+        got = merged(case)
+        held = [sorted(g[3]) for g in got]
+        assert [r for h in held for r in h] == list(range(1, len(case) + 1))
+        assert all((g[1], g[2]) == (case[h[0] - 1][1], case[h[-1] - 1][2]) and g[0] in {case[r - 1][0] for r in h} for g, h in zip(got, held))
+        assert all(a[0] != b[0] for a, b in zip(got, got[1:]))
+        assert len(got) == 1 or not any(g[0] in (1, 2) and g[2] + 0.2 - g[1] < 1.0 for g in got)
+        if all(b + 0.2 - a >= 1.0 for _, a, b in case):
+            assert len(got) == len(case)
 
 
 def test_crowds_against_brute_force(spark):
@@ -246,23 +243,98 @@ def test_duplicates_need_an_overlap(spark):
     assert flags([("A", "B")]) == {1: False, 2: True, 3: False, 4: False} and flags([]) == {1: False, 2: False, 3: False, 4: False}
 
 
-def test_visible_fraction(spark):
-    df = spark.createDataFrame([("s", "A", 0.0, 1, 0.0, 0.0, 10.0, 20.0), ("s", "A", 0.0, 2, 5.0, 5.0, 15.0, 30.0), ("s", "A", 0.0, 3, 50.0, 0.0, 60.0, 20.0)], "session string, camera string, t double, person_id long, x1 double, y1 double, x2 double, y2 double")
-    got = {r.person_id: r.visible for r in boxes.visible_fraction(df).collect()}
-    rows = sum((k + 0.5) / 24 * 20 >= 5 for k in range(24))
-    assert math.isclose(got[1], 1 - rows * 6 / (24 * 12)) and got[2] == got[3] == 1.0
+def test_suggested_zones(spark):
+    """Cells are one group over corners too; visits and peak are the greatest; what lies in commercial or system zones goes."""
+    data = [("s", 1, 0, 0, 9.0, 1, 1), ("s", 1, 1, 0, 5.0, 3, 1), ("s", 1, 2, 1, 1.0, 1, 4), ("s", 1, 5, 5, 50.0, 0, 0), ("s", 1, 8, 8, 99.0, 1, 1), ("s", 1, 9, 9, 98.0, 1, 1), ("s", 1, 7, 1, 2.0, 0, 0)]
+    cells = spark.createDataFrame(data, "session string, plan_id int, cx int, cy int, seconds double, visits long, peak long")
+    box = lambda a, b, c, d: [{"x": float(x), "y": float(y)} for x, y in ((a, b), (c, b), (c, d), (a, d))]
+    zones = [(1, "commercial", None, box(8, 8, 9, 9)), (1, "corridor", "system", [*box(9, 9, 10, 10)]), (1, "corridor", None, box(0, 0, 9, 9)), (2, "commercial", None, box(0, 0, 20, 20)), (1, "commercial", None, box(7, 0, 7.4, 2))]
+    drawn = spark.createDataFrame(zones, "plan_id int, kind string, source string, vertices array<struct<x: double, y: double>>")
+    got = [(r.x1, r.y1, r.x2, r.y2, r.cells, r.visits, r.peak, r.area, r.score) for r in plans.suggest_zones(cells, drawn, 1.0).orderBy(F.desc("score")).collect()]
+    assert got == [(5.0, 5.0, 6.0, 6.0, 1, 0, 0, 1.0, 50.0), (0.0, 0.0, 3.0, 2.0, 3, 3, 4, 6.0, 15.0 + 12 + 8), (7.0, 1.0, 8.0, 2.0, 1, 0, 0, 1.0, 2.0)]
 
 
-def test_suggested_zones(spark):
-    cells = spark.createDataFrame([("s", 0, 0, 9.0, 1, 1), ("s", 1, 0, 5.0, 1, 1), ("s", 5, 5, 50.0, 0, 0), ("s", 6, 6, 1.0, 0, 0)], "session string, cx int, cy int, seconds double, visits long, peak long")
-    got = [(r.x1, r.y1, r.x2, r.y2, r.cells, r.score) for r in plans.suggest_zones(cells).collect()]
-    assert got == [(5, 5, 6, 6, 1, 50.0), (0, 0, 2, 1, 2, 26.0), (6, 6, 7, 7, 1, 1.0)]
+def test_polygons_in_a_column_as_fixed_ones(spark):
+    pick = np.random.default_rng(3)
+    for corners in ([(1, 1), (11, 2), (5, 7.5)], [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)], [(2, 2), (2, 2), (4, 4)]):
+        points = [(float(x), float(y)) for x, y in pick.uniform(-1, 12, (200, 2))] + [(float(x), float(y)) for x, y in corners] + [(math.nan, 1.0), (math.inf, 1.0)]
+        df = spark.createDataFrame(points, "x double, y double").withColumn("vertices", F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in corners)))
+        got = df.select("x", "y", plans.holds_point(F.col("vertices"), F.col("x"), F.col("y")).alias("h")).collect()
+        assert [r.h for r in got] == G.inside(np.array([r.x for r in got]), np.array([r.y for r in got]), corners).tolist()
+
+
+def test_businesses_of_the_plan_or_of_none(spark):
+    box = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))]
+    zones = spark.createDataFrame([(1, 10, "Alpha", box), (2, 20, " beta ", box), (3, 30, "gamma", box)], "plan_id int, zone int, name string, vertices array<struct<x: double, y: double>>")
+    shops = spark.createDataFrame([(2, 1, "inside-2", "x", 1.0, 1.0), (None, 2, "anywhere", "y", 2.0, 2.0), (1, 3, "beta-of-1", "beta", 9.0, 9.0), (2, 4, "beta-of-2", "BETA", None, None), (3, 0, "out", "gamma", 9.0, 9.0)], "plan_id int, ordinal int, business_id string, name string, x double, y double")
+    assert {r.zone: r.business_id for r in plans.link_business(zones, shops).collect()} == {10: "anywhere", 20: "inside-2", 30: "anywhere"}
+    assert {r.zone: r.business_id for r in plans.link_business(zones, shops.where("ordinal > 2 OR ordinal = 0")).collect()} == {10: "zona:10", 20: "beta-of-2", 30: "out"}
 
 
-def test_crossings_as_one_list(spark):
-    flows = spark.createDataFrame([("s", 1, 7, 2.0, "entry")], "session string, zone_id int, person_id long, t double, direction string")
+def test_first_observation_is_the_state(spark):
+    data = [("s", 1, 7, float(t), bool(i)) for t, i in zip((0, 0.2, 0.4, 0.6, 0.8, 1.0, 5.0, 5.2), (1, 0, 0, 1, 0, 0, 1, 1))]
+    df = spark.createDataFrame(data, "session string, zone_id int, person_id long, t double, inside boolean")
+    assert [(r.t, r.direction) for r in counters.zone_flow(df).orderBy("t").collect()] == [(0.4, "exit")]
+    seen = df.withColumn("predicted", F.col("t").isin(0.4, 1.0))
+    assert [(r.t, r.direction) for r in counters.zone_flow(seen).orderBy("t").collect()] == []
+
+
+def test_orientation_by_speed(spark):
+    steps = {1: (0.1, 0.0), 2: (0.5, 0.4), 3: (0.05, 0.0), 4: (0.1, -0.09)}
+    data = [("s", "c", p, t, 100 + 10 * (dx if t else 0.0), 50 + 10 * (dy if t else 0.0), 10.0) for p, (dx, dy) in steps.items() for t in (0.0, 0.4)]
+    df = spark.createDataFrame(data, "session string, camera string, person_id long, t double, u double, v double, h double")
+    assert {r.person_id: r.orientation for r in matching.orientation(df).where("t = 0.4").collect()} == {1: "C", 2: "F", 3: "?", 4: "E"}
+
+
+def test_predicted_people_add_no_heat(spark):
+    df = spark.createDataFrame([("s", "c", float(t), p, 0.5, 0.5, p == 2) for t in (0, 1, 2) for p in (1, 2)], "session string, camera string, t double, person_id long, x double, y double, predicted boolean")
+    assert [(r.seconds, r.peak, r.visits) for r in counters.heat_cells(df, 1.0).collect()] == [(2.0, 1, 1)]
+
+
+def test_visible_share_counts_touched_cells(spark):
+    boxes_ = [(1, 0.0, 0.0, 12.0, 24.0), (2, 3.5, 4.2, 6.1, 30.0), (3, 0.0, 20.0, 12.0, 23.0), (4, 0.5, 0.5, 12.5, 24.5), (5, 40.0, 0.0, 40.5, 0.5)]
+    df = spark.createDataFrame([("s", "A", 0.0, *b) for b in boxes_], "session string, camera string, t double, person_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.person_id: r.visible for r in boxes.visible_fraction(df).collect()}
+    cells = {(r, c) for r in range(4, 24) for c in range(3, 7)} | {(r, c) for r in range(20, 23) for c in range(12)}  # 3 is as low within 6 %, 4 is the same box
+    assert math.isclose(got[1], 1 - len(cells) / 288) and got[5] == 1.0
+    assert boxes.visible_fraction(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_index_against_all_people(spark, exact):
+    pick = np.random.default_rng(9)
+    centre = pick.normal(size=(9, 12))
+    rows = [(i, (centre[i % 9] + pick.normal(scale=0.3, size=12)).tolist()) for i in range(400)] + [(1000, (3 * centre[0]).tolist()), (1001, centre[0].tolist()), (1002, [0.0] * 12)]
+    people = spark.createDataFrame(rows, "person_id long, vector array<double>")
+    queries = people.where("person_id % 20 = 0").withColumnRenamed("person_id", "query_id")
+    got = {}
+    for r in boxes.nearest_people(queries, people, 8, probes=2, exact=exact).collect():
+        got.setdefault(r.query_id, {})[r.k] = r.person_id
+    v = np.array([x for _, x in rows])
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    ids, hit, all_ = np.array([i for i, _ in rows]), 0, 0
+    for q, own in got.items():
+        s = np.round(v @ v[ids.tolist().index(q)], 12)
+        want = ids[np.lexsort((ids, -s))][:8].tolist()
+        mine = [own[k] for k in sorted(own)]
+        hit, all_ = hit + len(set(want) & set(mine)), all_ + 8
+        assert not exact or mine == want
+    assert len(got) == queries.count() and hit >= 0.9 * all_
+    assert boxes.nearest_people(queries, people.limit(0)).count() == 0 and boxes.nearest_people(queries.limit(0), people).count() == 0
+
+
+def test_points_in_chains(spark):
+    """A duplicate hides nothing: the third of a chain is drawn again."""
+    df = spark.createDataFrame([("s", 0.0, c, p, x, 0.0, False, 9.0 - p) for p, (c, x) in enumerate((("A", 0.0), ("B", 0.2), ("A", 0.4), ("B", 0.6), ("A", 0.8), ("A", 5.0)))], "session string, t double, camera string, person_id long, x double, y double, confirmed boolean, size double")
+    assert {r.person_id: r.duplicate for r in matching.duplicate_points(df, 0.25).collect()} == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False}
+    assert matching.duplicate_points(df.limit(0), 0.25).count() == 0
+
+
+def test_crossings_by_place(spark):
+    flows = spark.createDataFrame([("s", 1, 7, 2.0, "entry"), ("s", 1, 7, 9.0, "exit"), ("s", 1, 8, 4.0, "entry")], "session string, zone_id int, person_id long, t double, direction string")
     lines = spark.createDataFrame([("s", "A", 2, 7, 3.0, "exit")], "session string, camera string, line_id int, person_id long, t double, direction string")
-    assert sorted(tuple(r) for r in reports.report_crossings(flows, lines).collect()) == [("s", "1", 7, 2.0, "entry", "zone"), ("s", "A/2", 7, 3.0, "exit", "line")]
+    places = spark.createDataFrame([("s", "5", "zone"), ("s", "1", "zone")], "session string, place string, kind string")
+    assert sorted(tuple(r) for r in reports.report_crossings(flows, lines, places).collect()) == [("s", "1", "zone", 2, 1, 9.0), ("s", "5", "zone", 0, 0, None), ("s", "A/2", "line", 0, 1, 3.0)]
 
 
 def test_handoffs_with_positions(spark):
@@ -274,18 +346,19 @@ def test_handoffs_with_positions(spark):
     assert set(got) == {(1, 2)} and math.isclose(got[1, 2], 1 - 1 / 1.5)
 
 
-def test_regroup_components_against_one_call(spark):
-    """Groups by components are those of the whole session in one call, on vectors with many near pairs."""
+@pytest.mark.parametrize("kind", ["plain", "live", "together"])
+def test_regroup_in_rounds_against_one_call(spark, kind):
+    """Groups of large sessions (here: of more than 8 tracklets) are those of the whole session in one call, on vectors with many near pairs."""
     make = np.random.default_rng(5)
     centres = make.normal(size=(6, 8))
-    rows = [("s", int(i), "AB"[i % 2], float(i * 3 % 50), float(i * 3 % 50 + 1 + i % 4), int(1 + i % 7), (centres[i % 6] + make.normal(scale=0.45, size=8)).tolist()) for i in range(60)]
-    df = spark.createDataFrame(rows, "session string, uid long, camera string, start_s double, end_s double, views int, prototype array<double>")
+    rows = [(f"s{i % 2}", int(i), "AB"[i // 2 % 2], float(i * 3 % 50), float(i * 3 % 50 + 1 + i % 4), int(i % 9 // 2), int(1 + i % 7), (centres[i % 6] + make.normal(scale=0.45, size=8)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "session string, uid long, camera string, start_s double, end_s double, gid long, views int, prototype array<double>")
+    df = df if kind == "live" else df.drop("gid")
     conflicts = identity.conflict_pairs(df)
-    got = {r.uid: r.public_id for r in identity.regroup_people(df, conflicts).collect()}
-    whole = identity.regroup_session(df.toPandas(), {(r.uid, r.uid_b) for r in conflicts.collect()}, 0.6)
-    people = sorted({(r.start_s, r.group) for r in whole.itertuples() if r.counted})
-    number = {g: k for k, (_, g) in enumerate(people, 1)}
-    assert got == {r.uid: number.get(r.group) if r.counted else None for r in whole.itertuples()} and len(number) > 3
+    pairs = spark.createDataFrame([("s0", 2 * i, 2 * j, 12 + i, 0.3 + j / 99, "conflict" if (i + j) % 5 == 0 else "together") for i in range(12) for j in range(i + 1, 12, 3)], "session string, a long, b long, ticks long, median double, kind string") if kind == "together" else None
+    got = {(r.session, r.uid): r.public_id for r in identity.regroup_people(df, conflicts, pairs=pairs, one_call=8).collect()}
+    whole = {(r.session, r.uid): r.public_id for r in identity.regroup_people(df, conflicts, pairs=pairs).collect()}
+    assert got == whole and len({(s, p) for (s, _), p in got.items()}) > 6
 
 
 def test_components(spark):
