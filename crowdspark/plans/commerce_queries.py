@@ -108,20 +108,20 @@ def hourly_table(spark, sf):
 
 _ESTIMATED = _SUM + _GOOD[len(_B):] + ", " + _forecast("best") + ", sx AS (SELECT su.*, fo.estimate FROM su JOIN fo USING (dataset, business_id, date, hour))"
 _ADDED = "coalesce(CAST(sum(entries) AS BIGINT), 0) AS entries, sum(amount) AS amount, sum(estimate) AS estimate, CAST(sum(transactions) AS BIGINT) AS transactions"
-_TOTALS = "entries, transactions, round(amount, 2) AS amount, round(estimate, 5) AS estimate, round(CASE WHEN entries > 0 THEN 100e0 * transactions / entries END, 3) AS conversion"
+_TOTALS = "entries, transactions, round(amount, 2) AS amount, round(estimate) AS estimate, round(CASE WHEN entries > 0 THEN 100e0 * transactions / entries END, 3) AS conversion"
 
 
 @query(_ESTIMATED + """, co AS (SELECT *, coalesce(CASE WHEN business_id <> 'b4' THEN concat('c', CAST(CAST(substr(business_id, 2) AS INT) % 2 AS VARCHAR)) END, 'Sin empresa') AS company FROM sx),
     cr AS (SELECT dataset, date, hour, company, business_id, CAST(GROUPING(company, business_id) AS INT) AS level, count(DISTINCT business_id) AS businesses, """ + _ADDED + f" FROM co GROUP BY GROUPING SETS ((dataset, date, hour), (dataset, date, hour, company), (dataset, date, hour, company, business_id))) SELECT dataset, date, hour, company, business_id, level, businesses, {_TOTALS} FROM cr", dates=("date",))
 def company_rollup(spark, sf):
     companies = spark.range(4).select(F.concat(F.lit("b"), "id").alias("business_id"), F.concat(F.lit("c"), F.col("id") % 2).alias("company"))
-    return rounded(rounded(rounded(C.company_rollup(_summary(spark, sf), companies), 2, "amount"), 5, "estimate"), 3, "conversion")
+    return rounded(rounded(rounded(C.company_rollup(_summary(spark, sf), companies), 2, "amount"), 0, "estimate"), 3, "conversion")
 
 
 @query(_ESTIMATED + ", dt AS (SELECT dataset, date, hour, max(conversion) AS best_conversion, " + _ADDED + f""" FROM sx GROUP BY ALL)
     SELECT dataset, date, hour, {_TOTALS}, round(best_conversion, 3) AS best_conversion, row_number() OVER (PARTITION BY dataset, date ORDER BY entries DESC, hour) = 1 AS peak FROM dt""", dates=("date",))
 def dashboard_totals(spark, sf):
-    return rounded(rounded(rounded(C.dashboard_totals(_summary(spark, sf)), 2, "amount"), 5, "estimate"), 3, "conversion", "best_conversion")
+    return rounded(rounded(rounded(C.dashboard_totals(_summary(spark, sf)), 2, "amount"), 0, "estimate"), 3, "conversion", "best_conversion")
 
 
 #: Line items as people exposed (all passages) and visits (those in); a session covers an hour or half of it.
