@@ -126,11 +126,45 @@ def is_signed_token(head: str, claims: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
 
 
-def signed_tokens(text: str):
-    """(start, end) of the signed tokens: runs of the token alphabet are cut at dots, so the text is read once.
+def last_object(data: bytes) -> int:
+    """Where the object that ends ``data`` begins, read backwards: braces outside of strings are counted; -1 if it is not closed so."""
+    at = len(data.rstrip()) - 1
+    if at < 0 or data[at] != 0x7D:
+        return -1
+    depth, quoted = 0, False
+    while at >= 0:
+        c = data[at]
+        if c == 0x22:
+            slashes = at
+            while slashes and data[slashes - 1] == 0x5C:
+                slashes -= 1
+            if (at - slashes) % 2 == 0:
+                quoted = not quoted
+            at = slashes
+        elif not quoted and c in b"{}":
+            depth += 1 if c == 0x7D else -1
+            if depth == 0:
+                return at
+        at -= 1
+    return -1
+
+
+def header_starts(part: str) -> list[int]:
+    """Places of ``eyJ`` from which on a part can be a whole JSON object: one a remainder of four at most, as an object's end tells its begin."""
+    found, seen, at = [], set(), part.find("eyJ")
+    while at >= 0 and len(seen) < 4:
+        if at % 4 not in seen:
+            seen.add(at % 4)
+            data = decode_base64(part[at:])
+            begin = last_object(data) if data else -1
+            if begin >= 0 and begin % 3 == 0:
+                found.append(at + begin // 3 * 4)
+        at = part.find("eyJ", at + 1)
+    return sorted(found)
 
-    A header starts at the first or the last ``eyJ`` between two dots; claims and, if it has one, signature follow.
-    """
+
+def signed_tokens(text: str):
+    """(start, end) of the signed tokens: runs of the token alphabet are cut at dots, so the text is read once; claims and, if it has one, signature follow a header."""
     for run in _DOTTED.finditer(text) if "eyJ" in text else ():
         if "eyJ" not in run[0]:
             continue
@@ -140,31 +174,60 @@ def signed_tokens(text: str):
             starts.append(starts[-1] + len(p) + 1)
         i = 0
         while i + 2 < len(parts):
-            found = next((k for k in dict.fromkeys((parts[i].find("eyJ"), parts[i].rfind("eyJ"))) if k >= 0 and parts[i + 1] and is_signed_token(parts[i][k:], parts[i + 1])), None)
+            found = next((k for k in header_starts(parts[i]) if parts[i + 1] and is_signed_token(parts[i][k:], parts[i + 1])), None) if "eyJ" in parts[i] else None
             if found is not None:
                 yield starts[i] + found, starts[i + 3] - 1
                 i += 2
             i += 1
 
 
+class _Headers:
+    """Header lines of PEM blocks, each read once: where the lines from a place on end, and the last Proc-Type and DEK-Info among them."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def after(self, at: int) -> tuple[int, str, str]:
+        walked = []
+        while at not in self.known:
+            h = _PEM_HEADER.match(self.text, at)
+            if not h:
+                self.known[at] = (at, None, None)
+                break
+            walked.append((at, h))
+            at = h.end()
+        for start, h in reversed(walked):
+            end, proc, sealed = self.known[h.end()]
+            value = h[2].strip()
+            self.known[start] = (end, value if proc is None and h[1] == "Proc-Type" else proc, value if sealed is None and h[1] == "DEK-Info" else sealed)
+        return self.known[walked[0][0] if walked else at]
+
+
+def _pem_body(text: str, at: int) -> tuple[int, bytes | None, bool]:
+    """(end of the body at a place, its bytes, whether these are a key)."""
+    body = _PEM_BODY.match(text, at)
+    data = decode_base64(body[0]) if body else None
+    return body.end() if body else at, data, is_der_key(data) or is_ssh_blob(data)
+
+
 def pem_keys(text: str):
-    """(start, end) of the PEM blocks whose body decodes to a key, or, where headers tell how it is sealed, to whole cipher blocks."""
-    for m in _PEM_BEGIN.finditer(text) if "-----BEGIN " in text else ():
-        at, headers = m.end(), {}
-        while h := _PEM_HEADER.match(text, at):
-            headers[h[1]], at = h[2].strip(), h.end()
-        body = _PEM_BODY.match(text, at)
+    """(start, end) of the PEM blocks whose body decodes to a key, or, where headers tell how it is sealed, to whole cipher blocks. Headers and bodies are read once."""
+    if "-----BEGIN " not in text:
+        return
+    headers, bodies = _Headers(text), {}
+    for m in _PEM_BEGIN.finditer(text):
+        at, proc, sealed = headers.after(m.end())
+        if at not in bodies:
+            bodies[at] = _pem_body(text, at)
+        end, data, key = bodies[at]
         close = f"-----END {m[1]}-----"
-        if not body or not text.startswith(close, body.end()):
+        if end == at or not text.startswith(close, end):
             continue
-        data = decode_base64(body[0])
-        sealed = headers.get("DEK-Info", "").partition(",")[2]
-        if headers.get("Proc-Type", "").endswith("ENCRYPTED"):
-            good = bool(data) and re.fullmatch(r"[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32}", sealed) is not None and len(data) % (len(sealed) // 2) == 0
-        else:
-            good = is_der_key(data) or is_ssh_blob(data)
-        if good:
-            yield m.start(), body.end() + len(close)
+        if (proc or "").endswith("ENCRYPTED"):
+            vector = (sealed or "").partition(",")[2]
+            key = bool(data) and re.fullmatch(r"[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32}", vector) is not None and len(data) % (len(vector) // 2) == 0
+        if key:
+            yield m.start(), end + len(close)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
