@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 
@@ -55,8 +56,8 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Words:
     """Words of a text buffer as numbers: their first eight bytes, length, further bytes in blocks of eight, and hash.
 
-    The hash has no structure that equal-looking words could share: every block is mixed with its place before
-    blocks are added up. ``equal`` compares the bytes themselves.
+    The hash mixes every block with its place before blocks are added up. It is fast and meant for grouping: unequal words can be made to share
+    one. ``equal`` compares the bytes themselves.
     """
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True):
@@ -109,11 +110,6 @@ class Words:
         return both.take(order)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word; with ``lower`` A-Z count as a-z. Any two of n distinct words share one with odds of n * n / 2**65."""
-    return Words(raw, starts, ends, lower).hashes
-
-
 def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each distinct word, number of every word among them), told apart by their bytes."""
     _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -129,6 +125,21 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each word; with ``lower`` A-Z count as a-z. Any two of n distinct words share one with odds of n * n / 2**65.
+
+    It is a keyed BLAKE2 digest, taken once a distinct word, so words can't be made to share one; the fast hash of ``Words``
+    only groups equal ones, which are told apart by their bytes.
+    """
+    words = Words(raw, starts, ends, lower)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    first, inverse = distinct(words)
+    text = (_LOWER[raw] if lower else raw).tobytes()
+    digest = lambda a, b: hashlib.blake2b(text[a:b], digest_size=8, key=b"words").digest()
+    return np.frombuffer(b"".join(map(digest, starts[first].tolist(), ends[first].tolist())), np.uint64)[inverse]
+
+
 #: Single pieces for the splitter: letters, then punctuation that can only be one piece of its own.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%$#&]*)")
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
