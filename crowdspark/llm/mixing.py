@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .words import mix, text_bytes, word_bounds, word_hashes
+from .words import Words, mix, text_bytes, word_bounds
 
 #: Domains, in the order of posteriors, and the condition on ``labels`` that makes a row an example of each.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "rough": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
@@ -39,7 +39,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for _ in range(3):
         cut = (ends - starts > 1) & _TRIM[raw[ends - 1]] if len(ends) else np.zeros(0, bool)
         ends = ends - cut
-    key = word_hashes(raw, starts, ends) % _U(_BUCKETS)
+    key = Words(raw, starts, ends).hashes % _U(_BUCKETS)  # buckets are shared anyway
     owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     once = np.unique(owner * _U(_BUCKETS) + key)
     owner, key = (once // _U(_BUCKETS)).astype(np.int64), (once % _U(_BUCKETS)).astype(np.int64)
@@ -69,7 +69,7 @@ class Classifier:
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Fit on at most SAMPLE_ROWS labelled documents a domain, taken by the hash of their doc_id, ties by text."""
+    """Fit on at most SAMPLE_ROWS labelled documents a domain, taken by the hash of their doc_id; of rows that share an id the least text."""
     columns, weights = np.full(_BUCKETS, -1), np.zeros((_DENSE + 1, len(DOMAINS)))
     domain = F.coalesce(*(F.when(F.expr(c), F.lit(i)) for i, c in enumerate(DOMAINS.values())))
     named = labels.select("doc_id", domain.alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -78,6 +78,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
         own = named.where(F.col("domain") == i).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         picked = own if picked is None else picked.union(own)
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain"))  # one row an id before anything leaves the tasks
 
     def show(batches):
         for batch in batches:
@@ -87,9 +88,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, _DENSE, dtype=np.int32)), pa.array(dense.ravel())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int32)))], names=["doc_id", "domain", "dense", "words"])
 
     shown = rows.mapInArrow(show, "doc_id long, domain int, dense array<double>, words array<int>")
-    # Rows that share a doc_id count once.
-    seen = {r.doc_id: r for r in shown.select("doc_id", "domain", "dense", "words").collect()}
-    sample = [seen[k] for k in sorted(seen)]
+    sample = sorted(shown.collect(), key=lambda r: r.doc_id)
     if not sample:
         return Classifier(columns, weights)
     y = np.array([r.domain for r in sample])

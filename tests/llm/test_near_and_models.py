@@ -273,3 +273,24 @@ def test_mixing_edges(spark, docs, empty, rows):
     assert mixing.mix_documents(empty, fitted).count() == 0
     n, dense, key, owner = mixing.features(pa.array(["Bad, bad word!", None, ""]))
     assert n.tolist() == [3, 0, 0] and dense.shape == (3, 5) and sorted(Counter(owner.tolist()).items()) == [(0, 2)]
+
+
+#: Words of which a sum of mixed blocks makes one number.
+ALIKE = ("abcdefghijklmnopqrstuvwx", "abcdefghwy$2m.2t@{(\\!>,6")
+
+
+def test_words_made_to_hash_alike_stay_apart(spark):
+    rest = " one two three four five six"
+    df = spark.createDataFrame([(1, ALIKE[0] + rest), (2, ALIKE[1] + rest), (3, ALIKE[0]), (4, ALIKE[1])], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in near_dedup.near_duplicates(df, run_dir(spark, "t6")).collect()} == {1: True, 2: True, 3: True, 4: True}
+    model = kneser_ney.train(df.where("doc_id = 3"), run_dir(spark, "t10"))
+    got = {r.doc_id: r for r in kneser_ney.score(df, model).collect()}
+    assert (got[3].n_known, got[4].n_known) == (2, 1) and got[3].score > got[4].score
+
+
+def test_mixing_repeated_labelled_ids(spark):
+    """Rows that share a labelled id teach once, by their least text, in whatever order they come."""
+    rows = [(i, f"plain words number {i} of the day") for i in range(40)] + [(7, f"!!! ### {i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    fitted = [mixing.learn_domains(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels) for step, n in ((1, 2), (-1, 5))]
+    assert np.array_equal(fitted[0].column, fitted[1].column) and np.allclose(fitted[0].weight, fitted[1].weight, atol=1e-6)
