@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import counters as K
 from ..operators import reports as R
+from ..operators.trajectories import ranked
 from ..sources import recordings as S
 from ..sources import sales as V
 from ..sources.shared import shared_folder
@@ -28,7 +29,7 @@ def _folder(spark) -> str:
 def _recorded(spark, sf):
     """Sample lines by session, derived from events: every 41st line is broken."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    person = F.struct(F.concat(F.when(F.col("event_id") % 13 == 0, "T").otherwise("P"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("id"), F.col("user_id").cast("int").alias("local"), F.array(F.col("value") % 12, F.col("value") % 8).alias("point"), (F.col("event_id") % 13 != 0).alias("confirmed"))
+    person = F.struct(F.concat(F.when(F.col("event_id") % 13 == 0, "T").otherwise("P"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("id"), F.col("user_id").cast("int").alias("local"), F.array(F.col("value") % 12, F.col("value") % 8).alias("point"), F.when(F.col("event_id") % 3 != 0, F.array(F.col("value"), F.col("value") * 2)).alias("pixel"), F.array(F.col("value") - 20, F.col("value") * 2 - 100, F.col("value") + 20, F.col("value") * 2).alias("box"), (F.col("event_id") % 13 != 0).alias("confirmed"))
     rows = e.select(F.to_date("ts").cast("string").alias("session"), "event_id", F.struct(F.col("event_id").cast("double").alias("t"), F.array(F.struct(F.col("event_type").alias("id"), F.col("event_id").cast("double").alias("t"), F.array(person).alias("people"))).alias("cameras")).alias("s"))
     text = F.when(F.col("event_id") % 41 == 40, F.lit('{"t": 1, "cam')).otherwise(F.to_json("s"))
     path = _folder(spark)
@@ -46,9 +47,11 @@ def _samples(spark, sf):
 _EV = ", ev AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session, event_id, event_type AS camera, user_id, value, event_id % 41 = 40 AS bad FROM events), fb AS (SELECT session, min(event_id) FILTER (bad) AS first_bad FROM ev GROUP BY session)"
 
 
-@query(_EV + " SELECT session, camera, CAST(event_id AS DOUBLE) AS t, concat('P', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS person_id, round(value % 12e0, 3) AS x, round(value % 8e0, 3) AS y FROM ev JOIN fb USING (session) WHERE event_id < coalesce(first_bad, 1e18) AND event_id % 13 <> 0")
+@query(_EV + " SELECT session, camera, CAST(event_id AS DOUBLE) AS t, concat('P', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS person_id, round(value % 12e0, 3) AS x, round(value % 8e0, 3) AS y, CASE WHEN event_id % 3 <> 0 THEN round(value, 3) END AS u, CASE WHEN event_id % 3 <> 0 THEN round(value * 2, 3) END AS v, round(value - 20, 3) AS x1, round(value * 2 - 100, 3) AS y1, round(value + 20, 3) AS x2, round(value * 2, 3) AS y2, row_number() OVER (PARTITION BY session ORDER BY event_id) AS nth FROM ev JOIN fb USING (session) WHERE event_id < coalesce(first_bad, 1e18) AND event_id % 13 <> 0")
 def read_recordings(spark, sf):
-    return rounded(S.read_recordings(spark, _recorded(spark, sf), **_LAYOUT).select("session", "camera", "t", "person_id", "x", "y"), 3, "x", "y")
+    rows = ranked(S.read_recordings(spark, _recorded(spark, sf), **_LAYOUT), ["t", "ordinal"]).withColumn("nth", F.col("i") + 1)
+    numbers = ("x", "y", "u", "v", "x1", "y1", "x2", "y2")
+    return rounded(rows.select("session", "camera", "t", "person_id", *numbers, "nth"), 3, *numbers)
 
 
 @query(_EV + " SELECT session, count(*) AS n FROM ev WHERE NOT bad AND event_id % 13 <> 0 GROUP BY session")
@@ -250,14 +253,19 @@ def rebuild_flows(spark, sf):
     return rounded(_maps(spark, sf)[1], 3, "distance")
 
 
-@query(" SELECT CAST(c_custkey AS VARCHAR) AS session, CASE WHEN c_custkey % 4 = 0 THEN 'p1' END AS project_id, 'done' AS status, CAST(c_custkey % 100 AS DOUBLE) AS end_s, c_custkey % 5 = 0 AS test_run, CASE WHEN c_custkey % 3 = 0 THEN 'live' ELSE 'file' END AS source_mode FROM customer WHERE c_custkey % 10 < 2")
+@query(" SELECT CAST(c_custkey AS VARCHAR) AS session, CASE WHEN c_custkey % 4 = 0 THEN 'p1' END AS project_id, 'done' AS status, CAST(c_custkey % 100 AS DOUBLE) AS end_s, c_custkey % 5 = 0 AS test_run, CASE WHEN c_custkey % 3 = 0 THEN 'live' ELSE 'file' END AS source_mode, CAST(c_custkey % 7 AS INT) AS radius, concat('cam', CAST(c_custkey % 9 AS VARCHAR)) AS camera, false AS leaks, CAST(c_custkey % 50 AS BIGINT) AS people FROM customer")
 def read_manifests(spark, sf):
-    """A manifest a customer (every tenth and the next, for each is a file), with a key that must not be read."""
+    """A manifest a customer, in folders by hash, with keys that must not come out."""
     c, path = F.col("c_custkey"), _folder(spark)
-    config = F.struct((c % 5 == 0).alias("testRun"), F.when(c % 3 == 0, "live").otherwise("file").alias("sourceMode"), F.lit("rtsp://user:pass@host").alias("source"))
-    rows = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 10 < 2").select(c.cast("string").alias("folder"), F.to_json(F.struct(c.cast("string").alias("session"), F.when(c % 4 == 0, "p1").alias("projectId"), F.lit("done").alias("status"), (c % 100).cast("double").alias("end"), config.alias("config"))).alias("value"))
-    rows.repartition("folder").write.partitionBy("folder").text(path)
-    return S.read_manifests(spark, path, "folder=*/*").select("session", "project_id", "status", "end_s", "test_run", "source_mode")
+    camera = F.struct(F.concat(F.lit("cam"), c % 9).alias("id"), F.lit("rtsp://user:pass@host").alias("source"), F.lit("pw").alias("password"))
+    config = F.struct((c % 5 == 0).alias("testRun"), F.when(c % 3 == 0, "live").otherwise("file").alias("sourceMode"), F.lit("rtsp://user:pass@host").alias("source"), (c % 7).alias("radius"), F.array(camera).alias("cameras"))
+    value = F.to_json(F.struct(c.cast("string").alias("session"), F.when(c % 4 == 0, "p1").alias("projectId"), F.lit("done").alias("status"), (c % 100).cast("double").alias("end"), config.alias("config"), F.struct((c % 50).alias("people")).alias("identity")))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(value.alias("value"))
+    rows.repartition(16).write.option("maxRecordsPerFile", 1).text(path)  # a file each
+    found = S.read_manifests(spark, path, "part-*")
+    get = lambda column, at, kind: F.expr(f"variant_get({column}, '{at}', '{kind}')")
+    leaks = F.to_json("config").rlike("rtsp|password")
+    return found.select("session", "project_id", "status", "end_s", "test_run", "source_mode", get("config", "$.radius", "int").alias("radius"), get("config", "$.cameras[0].id", "string").alias("camera"), leaks.alias("leaks"), get("identity", "$.people", "long").alias("people"))
 
 
 @query(" SELECT * FROM (" + C.SUMMARY_SQL + ")", "sales", dates=("date",))

@@ -193,10 +193,12 @@ def tracklet_motion(spark, sf):
 
 
 @query(_MARKS + """, o AS (SELECT base, target, median(tb - ta) AS off, count(*) AS n FROM m GROUP BY ALL), d AS (SELECT base, target, off, n, 1.4826e0 * median(abs(tb - ta - off)) AS dispersion FROM m JOIN o USING (base, target) GROUP BY ALL)
-    SELECT base, target, ta, round(tb, 4) AS tb, n >= 4 AND abs(tb - ta - off) > greatest(0.12e0, 2 * dispersion) + 1e-9 AS out_of_time FROM m JOIN d USING (base, target)""", "tracklets")
+    , pc AS (SELECT base, target, ta, tb, n >= 4 AND abs(tb - ta - off) > greatest(0.12e0, 2 * dispersion) + 1e-9 AS out_of_time FROM m JOIN d USING (base, target)), pd AS (SELECT *, CASE WHEN NOT out_of_time THEN sqrt(pow(ta % 7 - tb % 5, 2) + pow(ta % 3 - 1, 2)) END AS distance FROM pc),
+    pm AS (SELECT base, target, median(distance) AS md, max(distance) AS xd FROM pd GROUP BY ALL) SELECT base, target, ta, round(tb, 4) AS tb, out_of_time, round(distance, 4) AS distance, round(md, 4) AS median_distance, round(xd, 4) AS max_distance, md <= 3 AS agree FROM pd JOIN pm USING (base, target)""", "tracklets")
 def person_pairs_check(spark, sf):
-    pairs = _marks(spark, sf)
-    return rounded(M.person_pairs_check(pairs, I.clock_offset(pairs)).select("base", "target", "ta", "tb", "out_of_time"), 4, "tb")
+    pairs = _marks(spark, sf).withColumns({"xa": F.col("ta") % 7, "ya": F.col("ta") % 3, "xb": F.col("tb") % 5, "yb": F.lit(1.0)})
+    found = M.person_pairs_check(pairs, I.clock_offset(pairs), 3.0)
+    return rounded(found.select("base", "target", "ta", "tb", "out_of_time", "distance", "median_distance", "max_distance", "agree"), 4, "tb", "distance", "median_distance", "max_distance")
 
 
 _WAYS = [("0", "1", 1.0, 15.0, 6.0), ("1", "2", 0.0, 10.0, None), ("2", "0", 2.0, 30.0, 9.0)]

@@ -352,15 +352,18 @@ def clock_offset(spark, sf):
     return rounded(I.clock_offset(_marks(spark, sf), now), 4, "offset", "dispersion", "sync_base", "sync_target")
 
 
-@query(_MARKS + """, e AS (SELECT least(base, target) AS a, greatest(base, target) AS b FROM m WHERE base <> target GROUP BY ALL HAVING count(*) >= 4 UNION SELECT '0', '2') SELECT a AS camera, b AS related FROM e UNION ALL SELECT b, a FROM e""", "tracklets")
+@query(_MARKS + """, e AS (SELECT least(base, target) AS a, greatest(base, target) AS b FROM m WHERE base <> target GROUP BY ALL HAVING count(*) >= 4 UNION SELECT '0', '2' UNION SELECT '0', '9') SELECT a AS camera, b AS related FROM e WHERE b <> '9' UNION ALL SELECT b, a FROM e WHERE b <> '9'""", "tracklets")
 def camera_relations(spark, sf):
     pairs = _marks(spark, sf).select(F.col("base").alias("a"), F.col("target").alias("b"))
-    return I.camera_relations(pairs, spark.createDataFrame([("2", "0")], "a string, b string"))
+    links = spark.createDataFrame([("2", "0"), ("0", "9")], "a string, b string")  # camera 9 is not active
+    return I.camera_relations(pairs, links, active=_tracklets(spark, sf).select("camera").distinct())
 
 
-@query(" SELECT uid % 20 AS person_id, uid, end_s AS seen_h FROM tracklets WHERE uid % 20 IN (SELECT uid % 20 FROM tracklets GROUP BY 1 HAVING max(end_s) >= 95)", "tracklets")
+@query(" SELECT uid % 20 AS person_id, uid, end_s AS seen_h FROM tracklets WHERE uid % 7 <> 0 AND uid % 20 IN (SELECT uid % 20 FROM tracklets WHERE uid % 7 <> 0 GROUP BY 1 HAVING max(end_s) >= 95)", "tracklets")
 def appearance_retention(spark, sf):
-    return I.appearance_retention(_tracklets(spark, sf).select((F.col("uid") % 20).alias("person_id"), "uid", F.col("end_s").alias("seen_h")), 24.0, 119.0)
+    """Every seventh view is of another encoder."""
+    views = _tracklets(spark, sf).select((F.col("uid") % 20).alias("person_id"), "uid", F.col("end_s").alias("seen_h"), F.when(F.col("uid") % 7 == 0, "old").otherwise("osnet").alias("encoder"), F.size("prototype").alias("dimension"))
+    return I.appearance_retention(views, 24.0, 119.0, "osnet", 64).select("person_id", "uid", "seen_h")
 
 
 @query(""", sw AS (SELECT camera AS parameter, start_s AS value, views / 10e0 AS score FROM tracklets), b AS (SELECT *, max(score) OVER (PARTITION BY parameter) AS best FROM sw) SELECT parameter, median(value) AS center, count(*) AS n FROM b WHERE score >= best - 0.02e0 GROUP BY ALL""", "tracklets")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.trajectories import ranked
@@ -32,7 +32,9 @@ def before_first_bad(samples: DataFrame) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, path: str, mode: str = "stop_at_bad", **layout: str) -> DataFrame:
-    """Observations: one row a person and sample that has a plan point and is not marked unconfirmed.
+    """Observations: one row a person and sample that has a plan point and is not marked unconfirmed, with box, pixel and the line's place.
+
+    ``ordinal`` puts the lines of a session in order; u and v are the pixel, x1 to y2 the box, null where a recording has none.
 
     ``stop_at_bad`` ends a file at its first broken line, ``skip_bad`` leaves broken lines out.
     """
@@ -41,13 +43,31 @@ def read_recordings(spark: SparkSession, path: str, mode: str = "stop_at_bad", *
     people = samples.select("session", "ordinal", "sample.t", F.explode("sample.cameras").alias("c")).select("session", "ordinal", "t", F.col("c.id").alias("camera"), F.explode("c.people").alias("p"))
     rows = people.where("p.point IS NOT NULL AND coalesce(p.confirmed, true)")
     at = lambda c, i: F.get(f"p.{c}", F.lit(i))
-    return rows.select("session", "camera", "t", F.col("p.id").alias("person_id"), "p.local", at("point", 0).alias("x"), at("point", 1).alias("y"), "p.association", "p.confirmed", "p.duplicate", "p.predicted")
+    return rows.select("session", "camera", "t", F.col("p.id").alias("person_id"), "p.local", at("point", 0).alias("x"), at("point", 1).alias("y"), at("pixel", 0).alias("u"), at("pixel", 1).alias("v"), *(at("box", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), "ordinal", "p.association", "p.confirmed", "p.duplicate", "p.predicted")
+
+
+#: What tells where a camera's pictures come from or opens it; such keys leave a configuration at its top and in each camera.
+SECRETS = ("source", "sourcePath", "url", "rtsp", "user", "username", "password", "token", "secret")
+
+
+def _public(config: Column) -> Column:
+    """A configuration (map of VARIANT) without secrets, as one VARIANT."""
+    open_ = lambda m: F.map_filter(m, lambda k, _: ~k.isin(*SECRETS))
+    cameras = F.transform(F.from_json(F.to_json(config["cameras"]), "array<map<string, variant>>"), open_)
+    rest = F.map_filter(open_(config), lambda k, _: k != "cameras")
+    whole = F.when(cameras.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit("cameras"), F.parse_json(F.to_json(cameras)))))
+    return F.parse_json(F.to_json(whole))
 
 
 def read_manifests(spark: SparkSession, path: str, files: str = "*/manifest.json") -> DataFrame:
-    """One row a session; configuration keys that are not listed (sources, secrets) are never read."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{path}/{files}")
-    return rows.select("session", F.col("projectId").alias("project_id"), "module", "status", "created", F.col("end").alias("end_s"), F.col("config.testRun").alias("test_run"), F.col("config.sourceMode").alias("source_mode"), F.col("config.recordingStartedAt").alias("recording_started_at"))
+    """One row a session, with its ``config`` and ``identity`` as VARIANT columns, to be asked by path with ``variant_get``.
+
+    Sources and secrets (SECRETS) are cut out of the configuration and of its cameras. A file that is no JSON object gives no row.
+    """
+    text = spark.read.option("wholetext", True).text(f"{path}/{files}")
+    loose = F.from_json("value", "config map<string, variant>, identity variant")
+    rows = text.select(F.from_json("value", MANIFEST).alias("m"), loose.alias("o")).where("m.session IS NOT NULL").select("m.*", _public(F.col("o.config")).alias("_config"), F.col("o.identity").alias("_identity"))
+    return rows.select("session", F.col("projectId").alias("project_id"), "module", "status", "created", F.col("end").alias("end_s"), F.col("config.testRun").alias("test_run"), F.col("config.sourceMode").alias("source_mode"), F.col("config.recordingStartedAt").alias("recording_started_at"), F.col("_config").alias("config"), F.col("_identity").alias("identity"))
 
 
 def session_history(sessions: DataFrame, project_id: str | None, n: int = 50) -> DataFrame:

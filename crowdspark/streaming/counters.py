@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.geometry import quad_holds
+
 
 def stream_traffic_minutes(counts: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Rounded mean of each zone and minute of a stream (zone, ts, n); a minute is given out when the watermark has passed it."""
@@ -48,12 +50,24 @@ def stream_alert_cooldown(alerts: DataFrame, seconds: float = 120.0, late: str =
     return stream_keep_spaced(alerts, ["key"], seconds, late)
 
 
+def in_band(rows: DataFrame, near: float) -> DataFrame:
+    """Points at a line (ax, ay, bx, by) that count: ``near`` or further away, and within the band of their side where the line has one."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    d = (dx * (F.col("v") - F.col("ay")) - dy * (F.col("u") - F.col("ax"))) / F.hypot(dx, dy)
+    rows = rows.where(F.abs(d) >= near)
+    if not {"positive", "negative"} <= set(rows.columns):
+        return rows
+    band = F.when(d > 0, F.col("positive")).otherwise(F.col("negative"))
+    corners = [(F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), *((band[i]["x"], band[i]["y"]) for i in (1, 0))]
+    return rows.where(band.isNull() | quad_holds(corners, F.col("u"), F.col("v"))).drop("positive", "negative")
+
+
 def stream_line_crossings(pixels: DataFrame, lines: DataFrame, near: float = 0.008, memory: float = 2.0, pause: float = 1.0, late: str = "10 minutes") -> DataFrame:
     """Crossings of a stream (session, camera, person_id, ts, t, u, v); state is a person's last counted point at a line.
 
-    The rules are those of the batch form. State goes when the watermark is past what a later point could use.
+    The rules are those of the batch form, bands and lines that are too short among them. State goes when the watermark is past what a later point could use.
     """
-    joined = pixels.join(F.broadcast(lines), "camera").withWatermark("ts", late)
+    joined = in_band(pixels.join(F.broadcast(lines.where("hypot(bx - ax, by - ay) >= 0.001")), "camera"), near).withWatermark("ts", late)  # a plan's lines
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

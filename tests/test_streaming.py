@@ -134,3 +134,16 @@ def test_live_boxes(spark, tmp_path):
     df = timed(spark.createDataFrame(data, "session string, camera string, t double, track long, u double, v double, w double, h double, score double, border boolean"))
     same(drain(L.stream_size_filter(split_files(df, tmp_path / "a", "t")), "sizes"), boxes.size_filter(df).collect(), "t", "track", "keep")
     same(drain(L.stream_static_clutter(split_files(df, tmp_path / "b", "t")), "clutter"), boxes.static_clutter(df).collect(), "t", "track", "suppressed")
+
+
+def test_line_crossings_in_bands(spark, tmp_path):
+    pick = random.Random(6)
+    data = [("s", "A", p, k * 0.2, 0.5 + pick.uniform(-0.3, 0.3), 0.5 + pick.uniform(-0.4, 0.4)) for p in range(4) for k in range(60)]
+    df = timed(spark.createDataFrame(data, "session string, camera string, person_id long, t double, u double, v double"))
+    at = lambda y: [{"x": x, "y": y} for x in (0.2, 0.8)]
+    band = "array<struct<x: double, y: double>>"
+    lines = spark.createDataFrame([("A", 1, 0.2, 0.5, 0.8, 0.5, 1, at(0.7), at(0.3)), ("A", 2, 0.5, 0.45, 0.5, 0.9, -1, None, None), ("A", 3, 0.5, 0.5, 0.5, 0.5, 1, None, None)], f"camera string, line_id int, ax double, ay double, bx double, by double, entry_side int, positive {band}, negative {band}")
+    got = drain(S.stream_line_crossings(split_files(df, tmp_path / "a", "t"), lines), "bands")
+    want = counters.line_crossings(df.drop("ts"), lines).collect()
+    key = lambda r: (r.line_id, r.person_id, round(r.t, 6), r.direction)
+    assert len(want) > 10 and sorted(map(key, got)) == sorted(map(key, want))
