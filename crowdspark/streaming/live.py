@@ -3,7 +3,8 @@
 Every function takes a stream with ``ts`` (event time, for the watermark) beside the columns of its batch form and gives
 out rows as samples come in. Rows of a micro-batch are put in order of ``t`` first; a sample has to come whole in one
 micro-batch, and rows older than what a key has seen are left out, as is what the watermark has passed. State is a JSON
-text by key and goes once the watermark is ``keep`` past its last row.
+text by key and goes once the watermark is ``keep`` past its last row. Counters whose state grows with cells, visitors or entries
+are in ``states``.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import geometry as G
-from ..operators.plans import best_entry, unit
-
 Step = Callable[[tuple, dict, float, pd.DataFrame], list]
 
 
@@ -55,47 +53,6 @@ def _step(state: dict, t: float) -> float:
     return min(max(t - state["last_t"], 0.0), 2.0) if "last_t" in state else 0.0
 
 
-def stream_heat_cells(obs: DataFrame, grid: float, **options) -> DataFrame:
-    """Cells that a sample touches, with their seconds, peak and visitors so far; the last row of a cell is its total."""
-
-    def step(key, state, t, rows):
-        dt, cells = _step(state, t), state.setdefault("cells", {})
-        people = rows.sort_values(["person_id", "camera", "x", "y"]).drop_duplicates("person_id", keep="last")
-        here: dict[str, list] = {}
-        for p, x, y in zip(people["person_id"].tolist(), people["x"], people["y"]):
-            here.setdefault(f"{int(x // grid)},{int(y // grid)}", []).append(p)
-        out = []
-        for name, ids in here.items():
-            cell = cells.setdefault(name, [0.0, 0, []])
-            cell[0], cell[1], cell[2] = cell[0] + len(ids) * dt, max(cell[1], len(ids)), sorted({*cell[2], *ids})
-            out.append((*key, t, *map(int, name.split(",")), cell[0], cell[1], len(cell[2])))
-        return out
-
-    return by_sample(obs, ["session"], step, "session string, t double, cx int, cy int, seconds double, peak long, visits long", **options)
-
-
-def stream_zone_occupancy(people: DataFrame, zones: list[dict], rules: dict[int, tuple[int, float]], **options) -> DataFrame:
-    """Zones at each sample: people, and so far person-seconds, peak, visitors, how long the crowd of the rule lasts, alert."""
-
-    def step(key, state, t, rows):
-        dt, out, held = _step(state, t), [], state.setdefault("zones", {})
-        x, y, ids = rows["x"].to_numpy(float), rows["y"].to_numpy(float), rows["person_id"].to_numpy()
-        for z in zones:
-            zone = held.setdefault(str(z["zone_id"]), {"seconds": 0.0, "peak": 0, "since": None, "visitors": []})
-            inside = sorted({i.item() if hasattr(i, "item") else i for i in ids[G.inside(x, y, z["vertices"])]})
-            n, (least, dwell) = len(inside), rules.get(z["zone_id"], (None, None))
-            zone["seconds"] += n * dt
-            zone["peak"] = max(zone["peak"], n)
-            zone["visitors"] = sorted({*zone["visitors"], *inside})
-            hit = least is not None and n >= least
-            zone["since"] = (t if zone["since"] is None else zone["since"]) if hit else None
-            duration = t - zone["since"] if hit else 0.0
-            out.append((*key, z["zone_id"], t, n, zone["seconds"], zone["peak"], len(zone["visitors"]), duration, bool(hit and duration >= dwell)))
-        return out
-
-    return by_sample(people, ["session"], step, "session string, zone_id int, t double, count long, seconds double, peak long, visits long, duration double, alert boolean", **options)
-
-
 def stream_crowd_clusters(obs: DataFrame, radius: float, least: int, dwell: float = 10.0, **options) -> DataFrame:
     """Crowds of each sample, carried on from those of the sample before."""
 
@@ -215,23 +172,3 @@ def stream_static_clutter(tracks: DataFrame, age: float = 2.0, still: float = 8.
         return out
 
     return by_sample(tracks, ["session", "camera"], step, "session string, camera string, t double, track long, suppressed boolean", **options)
-
-
-def stream_visit_matching(visits: DataFrame, ttl: float = 3600.0, threshold: float = 0.94, margin: float = 0.08, **options) -> DataFrame:
-    """Exits matched to earlier entries of their business, which a match uses up; state are the entries of the last ``ttl``."""
-
-    def step(key, state, t, rows):
-        held, out = [e for e in state.get("open", []) if t - e[0] <= ttl], []
-        for kind, vector, bag in sorted(zip(rows["kind"], rows["vector"], rows["bag"]), key=lambda r: r[0]):
-            v = unit(vector)
-            if kind == "entry":
-                held.append([t, v.tolist(), bool(bag)])
-                continue
-            told, used = best_entry(v, t, bag, held, threshold, margin)
-            if used is not None:
-                del held[used]
-            out.append((*key, t, *told))
-        state["open"] = held
-        return out
-
-    return by_sample(visits, ["session", "business_id"], step, "session string, business_id string, t double, matched boolean, changed boolean, similarity double", **options)

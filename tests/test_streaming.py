@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crowdspark.operators import boxes, commerce, counters, plans, trajectories
 from crowdspark.streaming import counters as S
 from crowdspark.streaming import live as L
+from crowdspark.streaming import states as T
 
 
 def split_files(df, path, order, n=4):
@@ -93,10 +94,10 @@ def last_rows(rows, *keys):
 
 def test_live_heat_and_zones(spark, tmp_path):
     df = walks(spark)
-    got = last_rows(drain(L.stream_heat_cells(split_files(df, tmp_path / "a", "t"), 1.0), "heat"), "cx", "cy")
+    got = last_rows(drain(T.stream_heat_cells(split_files(df, tmp_path / "a", "t"), 1.0), "heat"), "cx", "cy")
     same(got, counters.heat_cells(df, 1.0).collect(), "cx", "cy", "seconds", "peak", "visits")
     zones = [{"zone_id": 1, "vertices": [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]}, {"zone_id": 2, "vertices": [(2.0, 2.0), (6.0, 2.0), (4.0, 6.0)]}]
-    got = drain(L.stream_zone_occupancy(split_files(df, tmp_path / "b", "t"), zones, {1: (2, 1.0)}), "zones")
+    got = drain(T.stream_zone_occupancy(split_files(df, tmp_path / "b", "t"), zones, {1: (2, 1.0)}), "zones")
     same(got, counters.zone_occupancy(df, zones, {1: (2, 1.0)}).fillna(False, ["alert"]).collect(), "zone_id", "t", "count", "seconds", "peak", "visits", "duration", "alert")
     got = drain(L.stream_crowd_clusters(split_files(df, tmp_path / "c", "t"), 2.0, 3, 1.0), "crowds")
     same(got, plans.crowd_clusters(df, 2.0, 3, 1.0).collect(), "t", "x", "y", "count", "since", "duration", "alert")
@@ -124,7 +125,7 @@ def test_live_flow_and_visits(spark, tmp_path):
         v, b = [pick.uniform(-1, 1) for _ in range(4)], "xy"[i % 2]
         data += [("s", b, i * 10.0, "entry", v, i % 3 == 0), ("s", b, i * 10.0 + 95.0, "exit", [a + pick.uniform(-0.1, 0.1) for a in v], True)]
     visits = timed(spark.createDataFrame(data, "session string, business_id string, t double, kind string, vector array<double>, bag boolean"))
-    got = drain(L.stream_visit_matching(split_files(visits, tmp_path / "b", "t"), 300.0), "visits")
+    got = drain(T.stream_visit_matching(split_files(visits, tmp_path / "b", "t"), 300.0), "visits")
     same(got, plans.visit_matching(visits.drop("ts"), 300.0).collect(), "business_id", "t", "matched", "changed", "similarity")
 
 
@@ -147,3 +148,21 @@ def test_line_crossings_in_bands(spark, tmp_path):
     want = counters.line_crossings(df.drop("ts"), lines).collect()
     key = lambda r: (r.line_id, r.person_id, round(r.t, 6), r.direction)
     assert len(want) > 10 and sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_state_by_what_is_touched(spark, tmp_path):
+    """A micro-batch that touches one cell writes as much after 900 cells as after none; predicted people and rows without a place don't count."""
+    schema = "session string, camera string, person_id long, t double, x double, y double, predicted boolean"
+    path = str(tmp_path / "a")
+    data = [[("s", "A", k, 0.0, k % 30 + 0.5, k // 30 + 0.5, False) for k in range(900)]]
+    data += [[("s", "A", 1, 1.0 * i, 0.5, 0.5, False), ("s", "A", 2, 1.0 * i, 0.5, 0.5, True), ("s", "A", 3, 1.0 * i, None, 0.5, None)] for i in range(1, 4)]
+    for part in data:
+        timed(spark.createDataFrame(part, schema)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(timed(spark.createDataFrame([], schema)).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = T.stream_heat_cells(stream, 1.0).writeStream.format("memory").queryName("touched").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    puts = [p.stateOperators[0].customMetrics["rocksdbPutCount"] for p in query.recentProgress if p.numInputRows]
+    assert len(puts) == 4 and puts[0] >= 1800 and max(puts[1:]) < 20
+    last = spark.table("touched").orderBy("t").collect()[-1]
+    assert (last.cx, last.cy, last.seconds, last.peak, last.visits) == (0, 0, 3.0, 1, 2)
+    assert spark.table("touched").count() == 903
