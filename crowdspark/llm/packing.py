@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 from .common import slices
 from .words import encoder
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean, cut boolean"
 #: Windows that a packer may hold open; bytes of text that a packer gets at least, where the table has them.
-OPEN_WINDOWS, PACKER_BYTES = 64, 8 << 20
+OPEN_WINDOWS, PACKER_BYTES = 4096, 8 << 20
 
 
 @dataclass
 class Window:
-    """A sequence: its pieces (doc_id, start, ids, doc_tokens) in order, and how many of them the closing added."""
+    """A sequence: its pieces (doc_id, start, ids, doc_tokens) in order, how many of them the closing added, and the places of those cut at the bound."""
 
     pieces: list = field(default_factory=list)
     added: int = 0
+    cut: list = field(default_factory=list)
 
 
 class SquarePacker:
@@ -34,7 +35,8 @@ class SquarePacker:
     changes the sum by 1-2*counts[h] (nothing for a new window) plus 1+2*counts[h+size] (nothing if that fills
     it). Ties go to the fullest level. Full windows are given out at once. Once ``most`` windows are open and an
     item would open one more, the item is cut instead: its first ids fill up a window, by the same measure, and
-    the rest is placed as an item of its own. So the windows held are bounded.
+    the rest is placed as an item of its own. So the windows held are bounded; by itself the rule holds a few
+    hundred of 2,048 ids, well under the default, where nothing is cut (a test).
     """
 
     def __init__(self, length: int, most: int = OPEN_WINDOWS):
@@ -70,15 +72,19 @@ class SquarePacker:
         """Place a piece of fewer than ``length`` ids; the windows that this filled."""
         full: list[Window] = []
         doc, start, ids, tokens = piece
+        own = start
         while True:
             h = self.level(len(ids))
             if h or self.held < self.most or not (c := self.cut(len(ids))):
                 break
             window, room = self._take(c), self.length - c
+            window.cut.append(len(window.pieces))
             window.pieces.append((doc, start, ids[:room], tokens))
             full.append(window)
             start, ids = start + room, ids[room:]
         window = self._take(h) if h else Window()
+        if start > own:
+            window.cut.append(len(window.pieces))
         window.pieces.append((doc, start, ids, tokens))
         h += len(ids)
         if h == self.length:
@@ -136,7 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     Each partition packs its own documents, without a shuffle: full stretches of long documents become
     sequences at once, remainders are placed by the sum-of-squares rule, and at the partition's end the windows
     still open are filled up from the emptiest of them, with a tail of power-of-two lengths. ``placed`` tells the
-    pieces that lie where the rule put them from those that this closing cut anew. A small table's partitions are
+    pieces that lie where the rule put them from those that this closing cut anew, and ``cut`` those that were cut because
+    OPEN_WINDOWS windows were open. A small table's partitions are
     put together until a packer gets ``packer_bytes`` of text, for few documents leave most windows open.
     Null text counts as empty; a document without any id (empty, and no end id) has no piece; rows that share a
     doc_id are packed each for itself; other columns are ignored.
@@ -154,16 +161,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
 
         def close(window: Window) -> None:
             nonlocal serial
-            offset, own = 0, len(window.pieces) - window.added
+            offset, own, cut = 0, len(window.pieces) - window.added, set(window.cut)
             for k, (doc, start, ids, tokens) in enumerate(window.pieces):
-                out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, serial, offset, k < own))
+                out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, serial, offset, k < own, k in cut and k < own))
                 offset += len(ids)
             serial += 1
 
         def flush() -> pa.RecordBatch:
             names = [c.split()[0] for c in PIECES.split(", ")]
-            types = [pa.int64()] * 7 + [pa.bool_()]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], names=names)
+            types = [pa.int64()] * 7 + [pa.bool_()] * 2
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, types)], names=names)
             out.clear()
             return made
 
@@ -177,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
                         close(Window([(doc, at, own[at : at + length], tokens)]))
                         at += length
                     if at < tokens:
-                        for full in packer.put((doc, at, own[at:], tokens)):
+                        for full in packer.put((doc, at, own[at:].copy() if at else own, tokens)):  # an open window does not hold on to a long document
                             close(full)
                 if len(out) >= 20_000:
                     yield flush()

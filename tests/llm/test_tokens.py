@@ -159,5 +159,20 @@ def test_the_rule_places_nearly_all(spark, sf, parts):
     assert padded < 0.02 * total and sum(p.length for p in short if p.placed) >= 0.9 * sum(p.length for p in short)
 
 
+def test_packing_holds_what_the_rule_opens():
+    """Lengths of all kinds at the default bound: the rule itself holds fewer windows, so no item is cut."""
+    pick = random.Random(5)
+    packer, full = packing.SquarePacker(2048), []
+    for i in range(20_000):
+        size = min(2047, 1 + int(pick.lognormvariate(6, 1.2))) if i % 3 else pick.randrange(1, 2048)
+        full += packer.put((i, 0, np.zeros(size, np.uint16), size))
+        assert packer.held < packing.OPEN_WINDOWS // 2
+    assert full and not any(w.cut for w in full)
+    few, cut = packing.SquarePacker(2048, 4), []
+    for i in range(200):
+        cut += few.put((i, 0, np.zeros(pick.randrange(1, 2048), np.uint16), 0))
+    assert any(w.cut for w in cut) and few.held <= 4
+
+
 def test_packing_empty(empty):
     assert packing.pack_documents(empty, PATH).count() == 0
