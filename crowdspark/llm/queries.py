@@ -56,7 +56,8 @@ def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    moved = resharding.reshard(docs, lambda path: F.pmod(F.xxhash64(F.element_at(F.split(path, "/"), -1)), F.lit(32)), 40, run_dir(spark, "op9"))
+    old_shard = lambda path, stretch: F.pmod(F.xxhash64(F.element_at(F.split(path, "/"), -1)) + stretch, F.lit(32))
+    moved = resharding.reshard(docs, old_shard, 40, run_dir(spark, "op9"), stretches=32)
     crc = F.crc32(text_or_empty().cast("binary"))
     return moved.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     return {k: x for k, x in flow.items() if x}
 
 
-def plan_blocks(blocks: list[tuple[int, int, int]], n_new: int) -> dict[tuple[int, int], int]:
-    """New shard of each block (old shard, block, bytes): near-equal shards that keep as many bytes as they can.
+def plan_blocks(blocks: list[tuple[int, int | tuple, int]], n_new: int) -> dict[tuple[int, int | tuple], int]:
+    """New shard of each block (old shard, number or place, bytes): near-equal shards that keep as many bytes as they can.
 
     The flow says how many bytes each old shard sends where; an old shard's home is the new shard of the same
     number. Blocks then fill those amounts in order, so that what stays fills whole files, and single blocks move
@@ -87,7 +89,7 @@ def plan_blocks(blocks: list[tuple[int, int, int]], n_new: int) -> dict[tuple[in
         placed[o, b] = j
         load[j] += size
         held[j].append((size, o, b))
-    for _ in range(min(4 * len(blocks), 20_000)):
+    while True:  # each move or exchange lessens the sum of squared loads, so this ends
         high, low = max(range(n_new), key=lambda j: load[j]), min(range(n_new), key=lambda j: load[j])
         gap = load[high] - load[low]
         best = None
@@ -127,41 +129,55 @@ def _own_names(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot", "moved")]
 
 
-def reshard(docs: DataFrame, old_shard: Callable[[Column], Column], n_new: int, out: str, blocks_per_shard: int = 128) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Callable[[Column, Column], Column], n_new: int, out: str, blocks_per_shard: int = 128, stretches: int = 1) -> DataFrame:
     """Move a table of Parquet files, ``docs`` as read from them, from its shards to ``n_new`` of near-equal bytes.
 
-    ``old_shard`` makes of the path of a row's file the number of its shard, so a file is of one shard. A block is a stretch of rows of one
-    file, about 1/``blocks_per_shard`` of a new shard or a whole small file; the plan works on block sizes (about
-    ``n_new * blocks_per_shard`` numbers and one more a file, however large the table) and moves the fewest bytes
-    that even the shards out. Files of which no block leaves its shard stay as they are; of the others the rows are
+    Each file is cut into ceil(``stretches`` / number of files) stretches of rows, so into one where there are as many files.
+    ``old_shard`` makes of the path of a row's file and the number of its stretch (from 0) the number of its shard. A block is a
+    run of rows of one stretch, about 1/``blocks_per_shard`` of a new shard or a whole small stretch; the plan works on block sizes
+    (about ``n_new * blocks_per_shard`` numbers and one more a stretch, however large the table) and moves the fewest bytes
+    that even the shards out. Stretches of which no block leaves its shard stay as they are; of the others the rows are
     written anew under ``out``, in their shard's folder. A row's slot follows from its block's base and its place in
-    the file, so nothing is sorted or shuffled, and equal rows are told apart.
+    the file, so nothing is sorted or shuffled, and equal rows are told apart. Old shards are sources of the flow, which takes
+    (old + new) * old * new steps on the driver: some hundreds of each.
 
     Returns all columns of ``docs`` (but for those named like the new ones) with ``size`` (bytes of ``text`` and 16
     for the row), ``shard``, ``slot`` (gapless from 0) and ``moved``. Null text has no bytes; null doc_ids and
-    repeated rows stay; a null old shard counts as one of its own; an empty table gives none.
+    repeated rows stay; a null old shard counts as one of its own; an empty table gives none; a table that is no scan of files
+    is a ValueError.
     """
-    spark, meta = docs.sparkSession, docs.metadataColumn("_metadata")
-    size = (F.octet_length(text_or_empty()) + 16).cast("long")
-    named = docs.select(F.struct(*_own_names(docs)).alias("row"), size.alias("size"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"), F.coalesce(old_shard(meta["file_path"]).cast("int"), F.lit(-1)).alias("old_shard"))
-    sizes = materialize(named.select("file", "at", "size", "old_shard"), f"{out}/sizes")
-    files = sizes.groupBy("file", "old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    total = files.agg(F.sum("bytes")).first()[0] or 0
+    spark = docs.sparkSession
+    try:
+        meta = docs.metadataColumn("_metadata")
+        named = docs.select(F.struct(*_own_names(docs)).alias("row"), (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"), meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+    except AnalysisException as error:
+        raise ValueError("resharding works on a table as read from its files") from error
+    sizes = materialize(named.select("file", "at", "size"), f"{out}/sizes")
+    files = materialize(sizes.groupBy("file").agg(F.count("*").alias("n")), f"{out}/files")
+    pieces = max(1, math.ceil(stretches / max(1, files.count())))
+    long = F.ceil(F.col("n") / pieces).cast("long")
+    files = files.select("file", long.alias("long"))
+    stretch = F.floor(F.col("at") / F.col("long")).cast("long").alias("stretch")
+    own = sizes.join(files, "file").select("file", stretch, "long", "at", "size")
+    units = own.groupBy("file", "stretch", "long").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    total = units.agg(F.sum("bytes")).first()[0] or 0
     share = F.greatest(F.lit(1), F.ceil(F.col("bytes") * n_new * blocks_per_shard / F.lit(max(total, 1)))).cast("long")
-    files = materialize(files.select("file", "old_shard", F.ceil(F.col("n") / share).cast("long").alias("rows")), f"{out}/files")
-    block = F.floor(F.col("at") / F.col("rows")).cast("long").alias("block")
-    blocks = sizes.join(files.drop("old_shard"), "file").groupBy("old_shard", "file", block).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    shard = F.coalesce(old_shard(F.col("file"), F.col("stretch")).cast("int"), F.lit(-1)).alias("old_shard")
+    units = materialize(units.select("file", "stretch", "long", shard, F.ceil(F.col("n") / share).cast("long").alias("rows")), f"{out}/stretches")
+    block = F.floor((F.col("at") - F.col("stretch") * F.col("long")) / F.col("rows")).cast("long").alias("block")
+    blocks = own.join(units.drop("long"), ["file", "stretch"]).groupBy("old_shard", "file", "stretch", block).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     blocks = materialize(blocks, f"{out}/blocks")
-    listed = blocks.select("old_shard", "file", "block", "bytes").collect()
-    placed = plan_blocks([(b.old_shard, (b.file, b.block), b.bytes) for b in listed], n_new) if listed else {}
-    plan = spark.createDataFrame([(key[0], key[1], j) for (_, key), j in placed.items()], "file long, block long, shard int")
-    before = Window.partitionBy("shard").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    placement = blocks.join(plan, ["file", "block"]).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placement = placement.withColumn("affected", F.max(F.col("shard") != F.col("old_shard")).over(Window.partitionBy("file")))
-    placement = materialize(placement.select("file", "block", "shard", "base", "affected"), f"{out}/placement")
-    slot = F.col("base") + F.col("at") - F.col("block") * F.col("rows")
+    listed = blocks.select("old_shard", "file", "stretch", "block", "bytes").collect()
+    placed = plan_blocks([(b.old_shard, (b.file, b.stretch, b.block), b.bytes) for b in listed], n_new) if listed else {}
+    plan = spark.createDataFrame([(*key, j) for (_, key), j in placed.items()], "file string, stretch long, block long, shard int")
+    before = Window.partitionBy("shard").orderBy("file", "stretch", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placement = blocks.join(plan, ["file", "stretch", "block"]).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placement = placement.withColumn("affected", F.max(F.col("shard") != F.col("old_shard")).over(Window.partitionBy("file", "stretch")))
+    placement = materialize(placement.select("file", "stretch", "block", "old_shard", "shard", "base", "affected"), f"{out}/placement")
+    slot = F.col("base") + F.col("at") - F.col("stretch") * F.col("long") - F.col("block") * F.col("rows")
     moved = F.col("shard") != F.col("old_shard")
-    rows = named.join(files.drop("old_shard"), "file").withColumn("block", block).join(placement, ["file", "block"])
+    rows = named.join(files, "file").withColumn("stretch", stretch).join(units.drop("long", "old_shard"), ["file", "stretch"])
+    rows = rows.withColumn("block", block).join(placement, ["file", "stretch", "block"])
     final = lambda df: df.select("row.*", "size", "shard", slot.alias("slot"), moved.alias("moved"))
     anew = final(rows.where("affected"))
     anew.write.partitionBy("shard").parquet(f"{out}/shards")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from crowdspark.llm import exact_dedup, language_id, quality_rules, resharding, secret_scan
@@ -215,7 +216,7 @@ def stored(spark, df, files=1):
 
 def test_reshard(spark, docs, rows, empty):
     named = docs.drop("size").withColumn("shard", F.lit("clash"))
-    got = resharding.reshard(stored(spark, named, 3), lambda path: F.length(path) % 3, 4, run_dir(spark, "t9"))
+    got = resharding.reshard(stored(spark, named, 3), lambda path, stretch: (F.length(path) + stretch) % 3, 4, run_dir(spark, "t9"))
     assert got.columns == [c for c in named.columns if c != "shard"] + ["size", "shard", "slot", "moved"]
     got = got.collect()
     assert Counter((g.doc_id, g.text, g.lang, g.source, g.run) for g in got) == Counter((d, t, k, "src", 1) for d, t, k in rows)
@@ -223,7 +224,7 @@ def test_reshard(spark, docs, rows, empty):
         slots = sorted(g.slot for g in got if g.shard == shard)
         assert slots == list(range(len(slots)))
     assert all(g.size == len((g.text or "").encode()) + 16 for g in got)
-    assert resharding.reshard(stored(spark, empty), lambda path: F.lit(0), 4, run_dir(spark, "t9")).count() == 0
+    assert resharding.reshard(stored(spark, empty), lambda path, stretch: F.lit(0), 4, run_dir(spark, "t9")).count() == 0
 
 
 def test_reshard_moves_what_it_must(spark):
@@ -232,7 +233,7 @@ def test_reshard_moves_what_it_must(spark):
     for name, n in (("a0", 700), ("b1", 200), ("c2", 100)):
         spark.range(n).select((F.col("id") * 0).alias("doc_id"), F.lit("same text").alias("text")).coalesce(1).write.parquet(f"{path}/old={name}")
     docs = spark.read.parquet(path)
-    got = resharding.reshard(docs, lambda p: F.regexp_extract(p, "old=[abc]([0-9])", 1), 3, run_dir(spark, "t9")).collect()
+    got = resharding.reshard(docs, lambda p, _: F.regexp_extract(p, "old=[abc]([0-9])", 1), 3, run_dir(spark, "t9")).collect()
     load, moved = Counter(), 0
     for g in got:
         load[g.shard] += g.size
@@ -279,6 +280,43 @@ def test_flow_moves_least():
     assert len(load) == 8 and max(load.values()) - min(load.values()) <= 2
 
 
+def test_plan_against_all_placements():
+    """Of all placements that are as even as the plan's, none moves fewer bytes by more than a block."""
+    pick = random.Random(9)
+    for _ in range(60):
+        n_new = pick.choice([2, 3])
+        blocks = [(pick.randrange(4), b, pick.randrange(1, 30)) for b in range(6)]
+        placed = resharding.plan_blocks(blocks, n_new)
+
+        def told(shards):
+            load = [sum(b[2] for b, j in zip(blocks, shards) if j == k) for k in range(n_new)]
+            return max(load) - min(load), sum(b[2] for b, j in zip(blocks, shards) if j != b[0])
+
+        spread, moved = told([placed[o, b] for o, b, _ in blocks])
+        largest = max(b[2] for b in blocks)
+        least = min(m for g, m in map(told, itertools.product(range(n_new), repeat=6)) if g <= spread)
+        assert spread <= 2 * largest and moved <= least + 2 * largest
+
+
+def test_reshard_stretches_of_one_file(spark):
+    """One file of eight stretches, uneven in bytes: eight old shards, even new ones, slots gapless, and some of it stays."""
+    rows = spark.range(4000).select("id", F.expr("repeat('x', cast(id * id % 97 + IF(id < 1000, 300, 0) as int))").alias("text"), F.col("id").alias("doc_id"))
+    docs = stored(spark, rows, 1)
+    got = resharding.reshard(docs, lambda path, stretch: stretch, 5, run_dir(spark, "t9"), stretches=8).collect()
+    load, moved = Counter(), 0
+    for g in got:
+        load[g.shard] += g.size
+        moved += g.size * g.moved
+    total = sum(load.values())
+    assert sorted(g.doc_id for g in got) == list(range(4000)) and len(load) == 5
+    assert max(load.values()) - min(load.values()) <= total // 200
+    for k in load:
+        assert sorted(g.slot for g in got if g.shard == k) == list(range(sum(g.shard == k for g in got)))
+    assert 0 < moved < total
+    with pytest.raises(ValueError):
+        resharding.reshard(spark.createDataFrame([(1, "a")], "doc_id long, text string"), lambda path, stretch: stretch, 2, run_dir(spark, "t9"))
+
+
 def test_rules_rare_and_many(spark):
     """Junk in 1% of rows gets a threshold, in a feature that is mostly 0 and at an end, and covering goes on past eight rules."""
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, quality int"
