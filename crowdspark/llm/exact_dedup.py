@@ -24,7 +24,7 @@ _TYPES = [("doc_id", pa.int64()), ("keep_id", pa.int64()), ("points", pa.int64()
 def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows are dealt out by sampled splitters over (first bytes and digest of the normalised text, longest
+    Rows are dealt out by sampled splitters over (first bytes and SHA-256 of the normalised text, longest
     original, doc_id) and sorted there, so that equal texts are neighbours and a large group is spread over as
     many partitions as it fills. Neighbours are compared in full; the first of a run is the one that stays. Runs
     at the edges of partitions are joined up by their SHA-256, two of them a partition at most. ``out`` gets the
@@ -33,7 +33,7 @@ def exact_duplicates(docs: DataFrame, out: str) -> DataFrame:
     """
     norm = F.translate(text_or_empty(), SPACES, "")
     rows = docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("points"), norm.cast("binary").alias("norm"))
-    rows = rows.select("*", F.substring("norm", 1, 32).alias("lead"), F.xxhash64("norm").alias("digest"))
+    rows = rows.select("*", F.substring("norm", 1, 32).alias("lead"), F.unhex(F.sha2("norm", 256)).alias("digest"))
     tail = [F.desc("points"), F.asc_nulls_last("doc_id")]
     rows = rows.repartitionByRange("lead", "digest", *tail).sortWithinPartitions("lead", "digest", "norm", *tail)
 
