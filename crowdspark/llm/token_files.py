@@ -25,10 +25,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     integers, the number of documents n, n+1 offsets into the ids, the n doc_ids, and n flags that are 1 where
     the doc_id was null. A file's ``base`` is the number of ids in all files before it, a prefix sum over the
     list (one entry a file). Null text counts as empty; a null doc_id comes first; rows that share a doc_id are
-    ordered by text; an empty table gives no file; other columns are ignored. A retried task writes the same
+    ordered by a hash of their text, then by text, so many of them (or of null) fill several ranges; an empty table gives no file; other columns are ignored. A retried task writes the same
     bytes under the same name.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    ordered = named.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
 
     def write(batches):
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()

@@ -145,6 +145,24 @@ def test_bounded_windows_lose_nothing():
         assert all(sorted(seen[i]) == list(range(n)) for i, n in enumerate(sizes))
 
 
+def test_token_files_of_one_id(spark, plain):
+    """Rows without an id, and with one: they fill several files, in the same order each time."""
+    texts = [f"row {i} of many" for i in range(3000)]
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges would become one
+    before = spark.conf.get(merge)
+    for key in ("CAST(NULL AS long)", "CAST(7 AS long)"):
+        df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(f"{key} AS doc_id", "text").repartition(4)
+        out = run_dir(spark, "t1")
+        spark.conf.set(merge, False)
+        try:
+            files = token_files.write_token_files(df, out, PATH, 2)
+        finally:
+            spark.conf.set(merge, before)
+        got = token_files.read_token_files(spark, out, files).orderBy("start").collect()
+        assert len(files) > 1 and sorted(g.ids_crc32 for g in got) == sorted(crc(plain(t) + [2]) for t in texts)
+        assert [g.start for g in got] == np.cumsum([0] + [g.n_tokens for g in got])[:-1].tolist()
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("parts", [1, 8])
 def test_the_rule_places_nearly_all(spark, sf, parts):
