@@ -22,6 +22,8 @@ _FACTOR = _U(0xC2B2AE3D27D4EB4F)
 GATHER, BUCKET = 4_000_000, 4_000_000
 #: A context with more than 1/HEAVY of all tokens may be told apart and spread over buckets.
 HEAVY = 16384
+#: Counts from this on are kept apart, with 64 bits.
+_LONG = 0xFFFFFFFF
 
 
 def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def train(docs: DataFrame, out: str, bucket_size: int = BUCKET) -> Model:
         keys, first, back = np.unique(gram_key(context, token), return_index=True, return_inverse=True)
         count = np.bincount(back, count, len(keys)).astype(np.int64)
         context, token = context[first], token[first]
-        write_atomic(f"{out}/grams-{key[0].as_py()}.bin", (np.array([len(keys)], "<i8").tobytes(), keys.tobytes(), np.minimum(count, 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        write_grams(f"{out}/grams-{key[0].as_py()}.bin", keys, count)
         words, back = np.unique(context, return_inverse=True)
         table_of = lambda w: np.bincount(back, w, len(words)).astype(np.int64)
         after, seen = np.unique(token, return_counts=True)
@@ -217,10 +219,29 @@ def train(docs: DataFrame, out: str, bucket_size: int = BUCKET) -> Model:
     return model
 
 
+def write_grams(uri: str, keys: np.ndarray, count: np.ndarray) -> None:
+    """Ascending keys and their counts of 32 bits; then the places and the counts of those that need 64 bits."""
+    long = np.flatnonzero(count >= _LONG)
+    write_atomic(uri, (np.array([len(keys)], "<i8").tobytes(), keys.tobytes(), np.minimum(count, _LONG).astype(np.uint32).tobytes(), long.astype("<i8").tobytes(), count[long].astype("<i8").tobytes()))
+
+
 @functools.lru_cache(maxsize=256)
-def _gram_file(path: str) -> tuple[np.ndarray, np.ndarray]:
+def _gram_file(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.fromfile(path, "<i8", 1)[0])
-    return np.memmap(path, np.uint64, "r", 8, (n,)), np.memmap(path, np.uint32, "r", 8 + 8 * n, (n,))
+    end = 8 + 12 * n
+    long, large = np.fromfile(path, "<i8", offset=end).reshape(2, -1)
+    return np.memmap(path, np.uint64, "r", 8, (n,)), np.memmap(path, np.uint32, "r", 8 + 8 * n, (n,)), long, large
+
+
+def gram_counts(path: str, wanted: np.ndarray) -> np.ndarray:
+    """Counts of ``wanted`` keys in a file, 0 where it has none."""
+    keys, counts, long, large = _gram_file(path)
+    at, ok = _find(keys, wanted)
+    found = np.where(ok, counts[at], 0).astype(np.int64)
+    over = found == _LONG
+    if over.any():
+        found[over] = large[np.searchsorted(long, at[over])]
+    return found
 
 
 @functools.lru_cache(maxsize=256)
@@ -258,9 +279,7 @@ def look_up_pairs(model: Model, context: np.ndarray, token: np.ndarray) -> np.nd
     for a, b in zip(edges, edges[1:]):
         path = local_path(f"{model.out}/grams-{sorted_bucket[a]}.bin")
         if path:  # a bucket that no bigram fell into has no file
-            keys, counts = _gram_file(path)
-            at, ok = _find(keys, key[order[a:b]])
-            count[order[a:b][ok]] = counts[at[ok]]
+            count[order[a:b]] = gram_counts(path, key[order[a:b]])
     return count
 
 

@@ -202,6 +202,13 @@ def small(spark):
     return tuple(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    keys, count = np.array([3, 5, 8, 13, 21], np.uint64), np.array([1, 2**32 - 2, 2**32 - 1, 7, 2**40], np.int64)
+    kneser_ney.write_grams(f"file://{tmp_path}/grams.bin", keys, count)
+    wanted = np.array([2, 3, 5, 8, 9, 21, 13, 8, 30], np.uint64)
+    assert kneser_ney.gram_counts(f"{tmp_path}/grams.bin", wanted).tolist() == [0, 1, 2**32 - 2, 2**32 - 1, 0, 2**40, 7, 2**32 - 1, 0]
+
+
 def test_mixing(spark, small):
     documents, labels = small
     fitted = mixing.fit_mixture(documents, labels, mixing.WEIGHTS, run_dir(spark, "t7"))
