@@ -283,6 +283,21 @@ def test_suggested_zones(spark):
     assert got == [(5.0, 5.0, 6.0, 6.0, 1, 0, 0, 1.0, 50.0), (0.0, 0.0, 3.0, 2.0, 3, 3, 4, 6.0, 15.0 + 12 + 8), (7.0, 1.0, 8.0, 2.0, 1, 0, 0, 1.0, 2.0)]
 
 
+def test_polygon_without_tolerance_is_its_crossings_in_the_order_of_the_sql(spark):
+    """A point on an edge but for rounding, one exactly on a corner, and a rectangle."""
+    triangle = [(1.0, 1.0), (11.0, 2.0), (5.0, 7.5)]
+    points = [(x, 1.0 + (x - 1.0) / 10.0) for x in np.arange(1.1, 11.0, 0.07)] + [(5.0 - 4.0 * k / 97, 7.5 - 6.5 * k / 97) for k in range(98)] + triangle
+
+    def crossed(x, y):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(triangle, triangle[1:] + triangle[:1])) % 2 == 1
+
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in points], "x double, y double")
+    got = df.select("x", "y", G.contains(triangle, 0.0)("x", "y").alias("c")).collect()
+    assert [r.c for r in got] == [crossed(r.x, r.y) for r in got]
+    square = spark.createDataFrame([(0.0, 0.5), (1.0, 0.5), (0.5, 0.5)], "x double, y double")
+    assert [r.c for r in square.select(G.contains([(0, 0), (1, 0), (1, 1), (0, 1)], 0.0)("x", "y").alias("c")).collect()] == [True, False, True]
+
+
 def test_polygons_in_a_column_as_fixed_ones(spark):
     pick = np.random.default_rng(3)
     for corners in ([(1, 1), (11, 2), (5, 7.5)], [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)], [(2, 2), (2, 2), (4, 4)]):
