@@ -298,6 +298,22 @@ def test_polygon_without_tolerance_is_its_crossings_in_the_order_of_the_sql(spar
     assert [r.c for r in square.select(G.contains([(0, 0), (1, 0), (1, 1), (0, 1)], 0.0)("x", "y").alias("c")).collect()] == [True, False, True]
 
 
+def test_events_are_dealt_out_before_they_are_unrolled(spark, monkeypatch):
+    """Tasks are as many as events demand, whatever Spark makes of the bytes read, and no position is shuffled."""
+    from crowdspark.plans import adapters, flow_queries
+
+    monkeypatch.setattr(adapters, "EVENTS_A_TASK", 20, raising=False)
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").count()
+    zoned = flow_queries.QUERIES["assign_zone"](spark, folder)
+    assert zoned.rdd.getNumPartitions() >= events // 20 > 4
+    assert zoned._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # the plan, and once more as it is run
+    views = adapters.derive(spark, folder, "obs", "obs")
+    union = spark.sql(f"WITH {adapters.TEXT['obs'].replace('{string}', 'STRING').replace('{unroll}', 'explode(sequence(0, n - 1))')} SELECT * FROM obs", events=spark.read.parquet(f"{folder}/events.parquet"))
+    assert views.schema.names == union.schema.names and views.count() == union.count()
+    assert views.exceptAll(union).isEmpty() and union.exceptAll(views).isEmpty()
+
+
 def test_polygons_in_a_column_as_fixed_ones(spark):
     pick = np.random.default_rng(3)
     for corners in ([(1, 1), (11, 2), (5, 7.5)], [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)], [(2, 2), (2, 2), (4, 4)]):
