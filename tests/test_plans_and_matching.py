@@ -314,6 +314,15 @@ def test_events_are_dealt_out_before_they_are_unrolled(spark, monkeypatch):
     assert views.exceptAll(union).isEmpty() and union.exceptAll(views).isEmpty()
 
 
+def test_unrolled_positions_are_never_broadcast(spark):
+    from crowdspark.plans import box_queries, plan_queries, tracking_queries
+
+    for queries, names in ((tracking_queries, ("box_iou", "occluded_tracks")), (plan_queries, ("regroup_pairs", "match_frames", "reliable_views")), (box_queries, ("size_filter", "visible_fraction"))):
+        for name in names:
+            plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan, name
+
+
 def test_polygons_in_a_column_as_fixed_ones(spark):
     pick = np.random.default_rng(3)
     for corners in ([(1, 1), (11, 2), (5, 7.5)], [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)], [(2, 2), (2, 2), (4, 4)]):
