@@ -26,7 +26,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
-#: What personal data of these kinds can't do without; windows are laid around it, REACH characters to both sides.
+#: What numbers and marks that are no personal data are found by for training, with REACH characters to both sides.
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 REACH, WINDOW, STEP, WINDOWS_AT_ONCE = 24, 64, 32, 1024
 #: The tagger learns from spans of that many documents (least hashes of their ids), that many of a kind, each rewritten in FORMS ways.
@@ -107,36 +107,89 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [tuple(s) for s in found]
 
 
-def _windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping windows of a stretch, and where each begins; symbols beside the stretch are 0."""
-    begins = np.arange(-(WINDOW - STEP) // 2, max(1, len(codes) - STEP // 2), STEP)
-    padded = np.concatenate([np.zeros(WINDOW, np.int64), codes, np.zeros(2 * WINDOW, np.int64)])
-    return padded[begins[:, None] + WINDOW + np.arange(WINDOW)], begins
+# Where a span that ``confirmed`` takes can lie at all: the mark of an address, what may follow it, and digits with what may part them.
+_MARK = re.compile(r"@|[(\[]at[)\]]| at(?= )", re.IGNORECASE)
+_AFTER = re.compile(rf"\x20?[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.IGNORECASE)
+_NUMBERS = re.compile(r"[0-9](?:(?:[0-9+()\x20./_\[\]-]|dot)*[0-9])?")
+_GROUP = re.compile("[0-9]+")
+_LEAD = 4  # characters that can stand before a span's first digit: a plus, two that part, a bracket
+
+
+def possible(text: str) -> list[tuple[int, int]]:
+    """Stretches outside of which no part of a span lies that ``confirmed`` would take, in order and apart. Linear in the text.
+
+    An address needs a mark with a local part before it and a dotted name after it; the other kinds need four groups of digits or ten digits,
+    with nothing but their marks between.
+    """
+    found, end = [], 0
+    for m in _MARK.finditer(text):
+        before = text[end : m.start()]
+        bare = before[:-1] if before[-1:] == " " and m[0] != "@" and m[0][0] != " " else before
+        size = len(bare) - len(bare.rstrip(_LOCAL + "\u0130\u0131\u017f\u212a"))  # the last four are letters of a to z but for their case
+        after = _AFTER.match(text, m.end()) if size else None
+        if after:
+            found.append((end + len(bare) - size, after.end()))
+        end = m.start() + 1 if m[0][0] == " " else m.end()  # the word ``at`` can be a local part too
+    for m in _NUMBERS.finditer(text):
+        groups = _GROUP.findall(m[0])
+        if len(groups) >= 4 or sum(map(len, groups)) >= 10:
+            found.append((max(0, m.start() - _LEAD), m.end()))
+    joined: list[list[int]] = []
+    for a, b in sorted(found):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    return [tuple(s) for s in joined]
+
+
+def _begin(k: int) -> int:
+    """Where a text's ``k``-th window begins; windows overlap by half, the first begins before the text."""
+    return k * STEP - (WINDOW - STEP) // 2
+
+
+def _holding(a: int, b: int, length: int) -> range:
+    """Numbers of the windows that hold a place from ``a`` to ``b`` of a text."""
+    last = max(1, -(-(max(1, length - STEP // 2) - _begin(0)) // STEP))
+    return range(max(0, (a - WINDOW - _begin(0)) // STEP + 1), min(last, -(-(b - _begin(0)) // STEP)))
 
 
 #: Share of a window's opinion on a place: it grows with the distance from the window's edges.
 _WEIGHT = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32) ** 2
 
 
-def blended(tagger: Tagger, pieces: list[str]):
-    """Tag chances of each piece (length x tags): every window is decoded on its own, then all that hold a place are weighed."""
-    made = [_windows(symbols(p)) for p in pieces]
-    heaps = [np.zeros((len(p), TAGS + 1), np.float32) for p in pieces]
-    owner = np.repeat(np.arange(len(made)), [len(w) for w, _ in made])
-    every, begins = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64))
-    for at in range(0, len(every), WINDOWS_AT_ONCE):
-        chances = tagger.chances(every[at : at + WINDOWS_AT_ONCE])
-        for k, c in enumerate(chances, at):
-            heap, begin = heaps[owner[k]], int(begins[k])
-            inside = slice(max(0, -begin), min(WINDOW, len(heap) - begin))
-            heap[begin + inside.start : begin + inside.stop, :-1] += c[inside] * _WEIGHT[inside, None]
-            heap[begin + inside.start : begin + inside.stop, -1] += _WEIGHT[inside]
-    return [h[:, :-1] / h[:, -1:] for h in heaps]
+def blended(made: dict[int, np.ndarray], a: int, b: int, length: int) -> np.ndarray:
+    """Tag chances of the places from ``a`` to ``b`` of a text: every window is decoded on its own (``made``), then all that hold a place are weighed."""
+    heap = np.zeros((b - a, TAGS + 1), np.float32)
+    for k in _holding(a, b, length):
+        begin = _begin(k)
+        lo, hi = max(a, begin), min(b, begin + WINDOW)
+        heap[lo - a : hi - a, :-1] += made[k][lo - begin : hi - begin] * _WEIGHT[lo - begin : hi - begin, None]
+        heap[lo - a : hi - a, -1] += _WEIGHT[lo - begin : hi - begin]
+    return heap[:, :-1] / heap[:, -1:]
+
+
+def _decode(tagger: Tagger, texts: dict[int, str], wanted: list[tuple[int, int]], made: dict[int, dict[int, np.ndarray]]) -> None:
+    """Add the chances of windows (text, number) to ``made``, many windows at once; symbols beside a text are 0."""
+    codes = []
+    for i, k in wanted:
+        begin, text = _begin(k), texts[i]
+        part = symbols(text[max(0, begin) : begin + WINDOW])
+        row = np.zeros(WINDOW, np.int64)
+        row[max(0, -begin) : max(0, -begin) + len(part)] = part
+        codes.append(row)
+    for at in range(0, len(wanted), WINDOWS_AT_ONCE):
+        for (i, k), c in zip(wanted[at : at + WINDOWS_AT_ONCE], tagger.chances(np.stack(codes[at : at + WINDOWS_AT_ONCE]))):
+            made[i][k] = c
+
+
+#: Chance of no tag from which on a place is in no doubt; best paths are found between such places.
+CLEAR = 0.995
 
 
 def tagged(chances: np.ndarray, sure: float = SURE) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the spans on the one best path over a whole stretch whose characters all reach ``sure``."""
-    loose = np.flatnonzero(np.diff(np.concatenate([[0], (chances[:, 0] < 0.995).astype(np.int8), [0]])))  # between them nothing is in doubt
+    loose = np.flatnonzero(np.diff(np.concatenate([[0], (chances[:, 0] < CLEAR).astype(np.int8), [0]])))  # between them nothing is in doubt
     found = []
     for a, b in loose.reshape(-1, 2):
         path = best_path(chances[a:b], ALLOWED)
@@ -150,18 +203,35 @@ def tagged(chances: np.ndarray, sure: float = SURE) -> list[tuple[int, int, int]
 
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """Spans of the tagger in each text that are built as their kind demands and meet no base span; kinds follow the base ones."""
-    places = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
+    """Spans of the tagger in each text that are built as their kind demands and meet no base span; kinds follow the base ones.
+
+    The result is that of looking at every window of every text: windows lie on one grid over the whole text, and only those are left out
+    that no span built so can touch, or a base span has taken. From what is ``possible``, windows are added on both sides until a place without doubt or the text's end is met, for the best path goes that far.
+    """
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    at = 0
-    while at < len(places):
-        to, size = at, 0
-        while to < len(places) and (to == at or size + places[to][2] - places[to][1] <= WINDOWS_AT_ONCE * STEP):
-            size += places[to][2] - places[to][1]
-            to += 1
-        for (i, a, _), chances in zip(places[at:to], blended(tagger, [texts[i][a:b] for i, a, b in places[at:to]])):
-            found[i] += [(k + len(BASE), a + s, a + e) for k, s, e in tagged(chances) if confirmed(k, texts[i][a + s : a + e])]
-        at = to
+    open_: list[list[int]] = []
+    for i, text in enumerate(texts):
+        starts, ends = zip(*sorted((a, b) for _, a, b in base[i])) if base[i] else ((), ())
+        for a, b in possible(text):
+            k = bisect_right(starts, a)
+            if not k or ends[k - 1] < b:
+                open_.append([i, max(0, a - 1), min(len(text), b + 1)])
+    made: dict[int, dict[int, np.ndarray]] = {i: {} for i, _, _ in open_}
+    spans: dict[int, set] = {i: set() for i in made}
+    held = {i: texts[i] for i in made}
+    while open_:
+        _decode(tagger, held, sorted({(i, k) for i, a, b in open_ for k in _holding(a, b, len(texts[i])) if k not in made[i]}), made)
+        wider = []
+        for i, a, b in open_:
+            chances, size = blended(made[i], a, b, len(texts[i])), len(texts[i])
+            left, right = a > 0 and chances[0, 0] < CLEAR, b < size and chances[-1, 0] < CLEAR
+            if left or right:
+                wider.append([i, max(0, a - STEP) if left else a, min(size, b + STEP) if right else b])
+            else:
+                spans[i].update((k + len(BASE), a + s, a + e) for k, s, e in tagged(chances) if confirmed(k, texts[i][a + s : a + e]))
+        open_ = wider
+    for i, new in spans.items():
+        found[i] = sorted(new)
     for i, spans in enumerate(found):
         held = sorted((a, b) for _, a, b in base[i])
         starts, ends = [a for a, _ in held], np.maximum.accumulate([b for _, b in held]) if held else []
@@ -272,7 +342,7 @@ def scan_personal_data(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     Offsets are in code points, ends exclusive; spans come in the order of KINDS, then by start. Base spans are those of the patterns; the tagger adds
     ``<kind>_like`` spans in spellings that the patterns miss, where it is sure, the span is built as the kind demands, and no base span is met. Texts are read
-    whole and in linear time; those around no digit, ``@``, ``(at)`` or ``[at]`` have no window. Null text counts as empty; repeated rows give repeated
+    whole and in linear time; windows that no such span can touch are not decoded (``possible``). Null text counts as empty; repeated rows give repeated
     rows; a null id stays null; other columns are ignored; an empty table gives no rows.
     """
 

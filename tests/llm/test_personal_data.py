@@ -128,6 +128,42 @@ def test_added_spans_do_not_depend_on_the_cut(model, monkeypatch):
     assert P.added_spans(model, [text, "", text], [[]] * 3) == whole and whole[0] == whole[2] and len(whole[0]) > 20
 
 
+def test_added_spans_are_those_of_all_windows(model):
+    """No window is left out that could tell: the same as every window of the whole text, decoded along one path."""
+    make = random.Random(4)
+    said = ["(184) 555-7766", "10[.]0[.]0[.]1", "17", "ann.lee (at) mail.example.com", "ann.lee at mail.example dot com", "a.very.long.local.part.of.an.address [at] mail4.example [dot] com", "4111.1111.1111.1111", "look at it", "ann@mail.example.com"]
+    texts = [" ".join(make.choice([*PLAIN, *said]) for _ in range(make.randint(1, 40))) for _ in range(60)] + ["ann.lee at mail.example dot com", "", "@"]
+    base = [P.base_spans(t) for t in texts]
+    want = []
+    for text, held in zip(texts, base):
+        begins = range(-(P.WINDOW - P.STEP) // 2, max(1, len(text) - P.STEP // 2), P.STEP)
+        codes = np.concatenate([np.zeros(P.WINDOW, np.int64), G.symbols(text), np.zeros(2 * P.WINDOW, np.int64)])
+        heap = np.zeros((len(text) + 4 * P.WINDOW, P.TAGS + 1))
+        for b, c in zip(begins, model.chances(np.stack([codes[b + P.WINDOW :][: P.WINDOW] for b in begins]))):
+            heap[b + P.WINDOW : b + 2 * P.WINDOW] += np.concatenate([c, np.ones((P.WINDOW, 1))], 1) * P._WEIGHT[:, None]
+        heap = heap[P.WINDOW : P.WINDOW + len(text)]
+        spans = P.tagged(heap[:, :-1] / heap[:, -1:]) if text else []
+        want.append(sorted((k + 4, a, b) for k, a, b in spans if P.confirmed(k, text[a:b]) and not any(x < b and a < y for _, x, y in held)))
+    assert P.added_spans(model, texts, base) == want
+    assert any(text[a:b] == "ann.lee at mail.example dot com" for text, spans in zip(texts, want) for _, a, b in spans)
+
+
+def test_possible_leaves_out_no_span():
+    make = random.Random(6)
+    for _ in range(3000):
+        text = "".join(make.choice(["a", "B-", "1", "22", "345", " at ", "(at)", "[AT] ", "@", ".", " dot ", "(dot)", "[.]", " ", "+", "(", ")", "-", "/", "\u017f", "\u212a"]) for _ in range(make.randrange(1, 26)))
+        kept = P.possible(text)
+        assert all(b < c for (_, b), (c, _) in zip(kept, kept[1:]))
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                if any(P._SHAPES[k].fullmatch(text, a, b) and P.confirmed(k, text[a:b]) for k in range(4)):
+                    assert any(x <= a and b <= y for x, y in kept), (text, text[a:b], kept)
+    began = time.time()
+    for text in ("a at " * 300_000, "1." * 500_000, "a@" * 500_000, "a" * 1_000_000 + "(at)", "dot" * 300_000):
+        P.possible(text)
+    assert time.time() - began < 20
+
+
 def test_confirmed_shapes():
     good = [(0, "a (at) b.c"), (0, "a@b dot c"), (1, "1[.]2[.]3[.]255"), (2, "4111/1111/1111/1111"), (3, "(184) 555-7766"), (3, "0044 184 555 7766"), (3, "184.555.7766")]
     bad = [(0, "a at b"), (1, "1[.]2[.]3[.]256"), (1, "1.2.3"), (2, "4111/1111/1111/1112"), (2, "4111111111111111"), (3, "1845557766"), (3, "184-555"), (3, "1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6")]
