@@ -59,12 +59,18 @@ def _public(config: Column) -> Column:
     return F.parse_json(F.to_json(whole))
 
 
-def read_manifests(spark: SparkSession, path: str, files: str = "*/manifest.json") -> DataFrame:
+#: Ends a manifest in a file of many (the record separator of JSON text sequences); JSON text can't hold it.
+RECORD_END = "\x1e"
+
+
+def read_manifests(spark: SparkSession, path: str, files: str = "*/manifest.json", record_end: str | None = None) -> DataFrame:
     """One row a session, with its ``config`` and ``identity`` as VARIANT columns, to be asked by path with ``variant_get``.
 
+    A file is one manifest, or many, each ended by ``record_end``: with very many sessions, opening a file each takes most of the time.
+
     Sources and secrets (SECRETS) are cut out of the configuration and of its cameras. A file that is no JSON object gives no row.
     """
-    text = spark.read.option("wholetext", True).text(f"{path}/{files}")
+    text = spark.read.text(f"{path}/{files}", wholetext=record_end is None, lineSep=record_end)
     loose = F.from_json("value", "config map<string, variant>, identity variant")
     rows = text.select(F.from_json("value", MANIFEST).alias("m"), loose.alias("o")).where("m.session IS NOT NULL").select("m.*", _public(F.col("o.config")).alias("_config"), F.col("o.identity").alias("_identity"))
     return rows.select("session", F.col("projectId").alias("project_id"), "module", "status", "created", F.col("end").alias("end_s"), F.col("config.testRun").alias("test_run"), F.col("config.sourceMode").alias("source_mode"), F.col("config.recordingStartedAt").alias("recording_started_at"), F.col("_config").alias("config"), F.col("_identity").alias("identity"))

@@ -31,3 +31,10 @@ def test_link_business_joins_answers_not_pairs(spark, monkeypatch):
     assert sum(df.count() for df in met) <= 6  # pairs of plan, place and shape; it was a row for every business in every zone of its plan
     apart = {r.zone: r.business_id for r in plans.link_business(zones, shops.where("plan_id IS NOT NULL")).collect()}
     assert apart == {z: ("n3", "n1", "n2")[z % 3] for z in range(300)}
+
+
+def test_manifests_many_to_a_file(spark, tmp_path):
+    one, two = '{"session": "a",\n "config": {"password": "x", "radius": 2}}', '{"session": "b", "config": {}}'
+    (tmp_path / "all.json").write_text(recordings.RECORD_END.join((one, "broken", two)) + recordings.RECORD_END)
+    rows = recordings.read_manifests(spark, str(tmp_path), "all.json", recordings.RECORD_END)
+    assert {r.session: r.c for r in rows.select("session", F.to_json("config").alias("c")).collect()} == {"a": '{"radius":2}', "b": "{}"}
