@@ -38,3 +38,13 @@ def test_manifests_many_to_a_file(spark, tmp_path):
     (tmp_path / "all.json").write_text(recordings.RECORD_END.join((one, "broken", two)) + recordings.RECORD_END)
     rows = recordings.read_manifests(spark, str(tmp_path), "all.json", recordings.RECORD_END)
     assert {r.session: r.c for r in rows.select("session", F.to_json("config").alias("c")).collect()} == {"a": '{"radius":2}', "b": "{}"}
+
+
+def test_static_clutter_moves_no_positions(spark):
+    rows = [("s", "c", float(t), k, 5.0, 5.0, 10.0, 0.3, False) for t in range(8) for k in (1, 2) if (t, k) != (4, 2)]
+    tracks = dealt(spark.createDataFrame(rows, "session string, camera string, t double, track long, u double, v double, w double, score double, border boolean"))
+    found = boxes.static_clutter(tracks)
+    told = {(r.track, r.t): r.suppressed for r in found.collect()}
+    assert [told[1, float(t)] for t in range(8)] == [t >= 2 for t in range(8)]
+    assert [told[2, float(t)] for t in (3, 5, 6, 7)] == [True, False, False, True]  # it misses a sample and starts anew
+    assert "hashpartitioning" not in plan(found)  # dealt by track once; a camera's session was put in order by one task
