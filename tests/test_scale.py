@@ -48,3 +48,16 @@ def test_static_clutter_moves_no_positions(spark):
     assert [told[1, float(t)] for t in range(8)] == [t >= 2 for t in range(8)]
     assert [told[2, float(t)] for t in (3, 5, 6, 7)] == [True, False, False, True]  # it misses a sample and starts anew
     assert "hashpartitioning" not in plan(found)  # dealt by track once; a camera's session was put in order by one task
+
+
+def test_band_of_a_line_is_tested_by_numbers(spark):
+    at = lambda *ps: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ps))
+    lines = spark.createDataFrame([("c", 1, 0.2, 0.5, 0.8, 0.5, 1)], "camera string, line_id int, ax double, ay double, bx double, by double, entry_side int")
+    banded = lines.withColumns({"positive": at((0.2, 0.8), (0.8, 0.8)), "negative": at((0.2, 0.3), (0.8, 0.3))})
+    steps = [(1, 0.4, 0.6), (2, 0.2, 0.6), (3, 0.4, 0.9), (4, 0.31, 0.79)]  # the second and third begin or end beyond the band
+    pixels = spark.createDataFrame([("s", "c", p, float(k), 0.5, v) for p, *vs in steps for k, v in enumerate(vs)], "session string, camera string, person_id long, t double, u double, v double")
+    found = counters.crossing_candidates(pixels, banded)
+    assert sorted(r.person_id for r in found.collect()) == [1, 4]
+    half = counters.crossing_candidates(pixels, banded.withColumn("negative", F.when(F.lit(False), F.col("negative"))))
+    assert sorted(r.person_id for r in half.collect()) == [1, 2, 4]
+    assert "[1].y" not in plan(found)  # no array is looked into for a point
