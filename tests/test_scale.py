@@ -61,3 +61,18 @@ def test_band_of_a_line_is_tested_by_numbers(spark):
     half = counters.crossing_candidates(pixels, banded.withColumn("negative", F.when(F.lit(False), F.col("negative"))))
     assert sorted(r.person_id for r in half.collect()) == [1, 2, 4]
     assert "[1].y" not in plan(found)  # no array is looked into for a point
+
+
+def test_snap_trajectories_moves_no_positions(spark):
+    floor = plans.Floor([(0.0, 0.0), (12.0, 0.0), (12.0, 8.0), (0.0, 8.0)], [[(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)]])
+    rows = [("s", 1, 1, "a", 3.0, 5.0), ("s", 1, 1, "b", 7.0, 5.0), ("s", 1, 2, "a", 4.1, 5.0), ("s", 2, 1, "a", 1.0, 1.0), ("s", 2, 1, "b", None, 1.0), (None, 2, 1, "a", 3.0, 5.0), (None, 2, 1, "b", 7.0, 5.0)]
+    df = spark.createDataFrame(rows, "session string, person_id long, tick long, camera string, x double, y double").repartitionByRange(3, "session", "person_id")
+    found = plans.snap_trajectories(df, floor)
+    got = {(r.session, r.person_id, r.tick, r.camera): (None if r.x is None or r.x != r.x else round(r.x, 4), round(r.y, 4), r.moved) for r in found.collect()}
+    assert found.columns == [*df.columns, "moved"] and len(got) == 7
+    a, b = got["s", 1, 1, "a"], got["s", 1, 1, "b"]  # both are free, their mean is in the obstacle
+    assert a == b and a[2] and (round(abs(a[0] - 5), 4), round(abs(a[1] - 5), 4)) in {(1.2, 0.0), (0.0, 1.2)}
+    assert got["s", 1, 2, "a"] == (3.8, 5.0, True)
+    assert got["s", 2, 1, "a"] == (1.0, 1.0, False) and got["s", 2, 1, "b"][0] is None
+    assert got[None, 2, 1, "a"] == (3.0, 5.0, False) and got[None, 2, 1, "b"] == (7.0, 5.0, False)
+    assert "hashpartitioning" not in plan(found)  # it was dealt out anew for the means, and again, with all rows, for their join
