@@ -1,11 +1,13 @@
 """That steps which grew faster than their input no longer do: what is joined, moved or written."""
 
 import io
+import math
 from contextlib import redirect_stdout
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from crowdspark.operators import boxes, counters, plans
+from crowdspark.operators import boxes, counters, matching, near, plans
 from crowdspark.sources import recordings
 
 
@@ -76,3 +78,48 @@ def test_snap_trajectories_moves_no_positions(spark):
     assert got["s", 2, 1, "a"] == (1.0, 1.0, False) and got["s", 2, 1, "b"][0] is None
     assert got[None, 2, 1, "a"] == (3.0, 5.0, False) and got[None, 2, 1, "b"] == (7.0, 5.0, False)
     assert "hashpartitioning" not in plan(found)  # it was dealt out anew for the means, and again, with all rows, for their join
+
+
+def test_people_of_an_instant_are_moved_once(spark):
+    """Pairs, duplicates and crowds: no row is copied to the cells around before it is moved."""
+    rng = np.random.default_rng(5)
+    rows = [("s", "c" if k % 2 else "d", float(t), k, *map(float, rng.uniform(0, 3, 2)), bool(k % 3), float(k % 4)) for t in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "session string, camera string, t double, person_id long, x double, y double, confirmed boolean, size double")
+    whole = df.withColumns({"x1": F.col("x") * 10, "y1": F.col("y") * 10, "x2": F.col("x") * 10 + 4, "y2": F.col("y") * 10 + 10})
+    at = {(r[1], r[2], r[3]): r[4:6] for r in rows}
+    apart = lambda a, b: math.dist(a, b)
+
+    def iou(a, b):
+        over = max(0.0, 4 - abs(a[0] - b[0]) * 10) * max(0.0, 10 - abs(a[1] - b[1]) * 10)
+        return over / (80 - over)
+
+    found = counters.collapsed_pairs(whole, 0.5, 0.3)
+    want = {(c, t, p, q) for (c, t, p), a in at.items() for (d, u, q), b in at.items() if (c, t) == (d, u) and p < q and apart(a, b) < 0.5 and iou(a, b) <= 0.3}
+    assert {(r.camera, r.t, r.person_id, r.person_id_b) for r in found.collect()} == want and want
+    crowds = plans.crowd_clusters(df, 0.5, 4).collect()
+    for t in range(3):
+        here = [a for (_, u, _), a in at.items() if u == t]
+        full = sorted(((-sum(apart(a, b) <= 0.5 for b in here), -a[0], -a[1]) for a in here))
+        chosen = []
+        for n, x, y in full:
+            if n <= -4 and all(apart((-x, -y), c) >= 0.5 for c in chosen):
+                chosen.append((-x, -y))
+        assert {(r.x, r.y) for r in crowds if r.t == t} == set(chosen)
+    twice = {(r.camera, r.t, r.person_id) for r in matching.duplicate_points(df, 0.4).where("duplicate").collect()}
+    place = {(r[1], r[2], r[3]): (not r[6], -r[7], r[1], r[3]) for r in rows}
+    drawn, gone = [], set()
+    for me in sorted(at, key=lambda k: (k[1], place[k])):
+        hit = place[me][0] and any(o[1] == me[1] and o[0] != me[0] and apart(at[o], at[me]) <= 0.4 for o in drawn)
+        (gone.add if hit else drawn.append)(me)
+    assert twice == gone and gone
+    assert "Join" not in plan(found)  # people went out once for each of nine cells, and were joined
+
+
+def test_close_in_pieces(monkeypatch):
+    monkeypatch.setattr(near, "PIECE", 7)
+    rng = np.random.default_rng(1)
+    g, x, y = rng.integers(0, 3, 200), rng.uniform(-2, 2, 200), rng.uniform(-2, 2, 200)
+    x[5], y[9] = np.nan, np.inf
+    got = [tuple(sorted(p)) for a, b in near.close(g, x, y, 0.3) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in range(200) for j in range(i + 1, 200) if g[i] == g[j] and np.hypot(x[i] - x[j], y[i] - y[j]) < 0.3}
