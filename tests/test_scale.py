@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from crowdspark.operators import boxes, counters, matching, near, plans
+from crowdspark.plans import adapters
 from crowdspark.sources import recordings
 
 
@@ -123,3 +124,34 @@ def test_close_in_pieces(monkeypatch):
     got = [tuple(sorted(p)) for a, b in near.close(g, x, y, 0.3) for p in zip(a.tolist(), b.tolist())]
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i in range(200) for j in range(i + 1, 200) if g[i] == g[j] and np.hypot(x[i] - x[j], y[i] - y[j]) < 0.3}
+
+
+def test_heat_of_instants_stays_in_its_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("s", c, 0.2 * tick + (7 if tick > 40 else 0), p, *map(float, rng.uniform(0, 3, 2)), tick % 10 == 4) for tick in range(60) if tick % 7 for p in range(9) for c in "ab" if rng.random() < 0.4]
+    obs = spark.createDataFrame(rows, "session string, camera string, t double, person_id long, x double, y double, predicted boolean")
+    instants = obs.withColumn("block", F.floor(F.col("t") / 1.6)).repartitionByRange(3, "session", "block")
+    kept, write = [], counters.stored
+    monkeypatch.setattr(counters, "stored", lambda df, name: kept.append(df) or write(df, name))
+    at = sorted({r[2] for r in rows})
+    step = {b: min(b - a, 2.0) for a, b in zip(at, at[1:])} | {at[0]: 0.0}
+    place = {}
+    for _, c, t, p, x, y, guess in rows:
+        if not guess:
+            place[t, p] = max(place.get((t, p), ("",)), (c, x, y))
+    want = {}
+    for (t, p), (_, x, y) in place.items():
+        want.setdefault((math.floor(x), math.floor(y)), []).append((t, p))
+    for given in (instants, None):
+        got = {(r.cx, r.cy): (round(r.seconds, 6), r.peak, r.visits) for r in counters.heat_cells(obs, 1.0, instants=given).collect()}
+        assert got == {c: (round(sum(step[t] for t, _ in v), 6), max(sum(u == t for u, _ in v) for t, _ in v), len({p for _, p in v})) for c, v in want.items()}
+    assert "hashpartitioning" not in plan(kept[0])  # counts by cell and instant were moved twice: as many as there are positions, where walks are long
+
+
+def test_positions_by_instant_are_those_by_person(spark):
+    sf = "/root/testdata/sf0.001"
+    own, other = (adapters.derive(spark, sf, "obs", "obs", by) for by in ("person", "instant"))
+    assert own.count() == other.count() and own.exceptAll(other.drop("block")).isEmpty()
+    assert other.where(f"block <> tick div {adapters.BLOCK_TICKS}").isEmpty()
+    steps = [line for line in plan(other).splitlines() if "Exchange" in line or "Generate" in line]
+    assert "Exchange" not in "".join(steps[:2]) and "Exchange" in "".join(steps)  # events are moved, before they become positions
