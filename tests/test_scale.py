@@ -176,3 +176,26 @@ def test_occupancy_counts_stay_in_their_task(spark):
     assert found.exceptAll(counters.zone_occupancy(people, zones, {1: (3, 0.4)})).isEmpty()
     moved = [line for line in plan(found).splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not any("block" in line for line in moved)  # counts by zone and instant were moved: as many as there are positions, where walks are long
+
+
+def test_pairs_are_scored_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    vectors = {g: [float(x) for x in rng.normal(size=5)] for g in range(30)}
+    vectors[7] = vectors[3]
+    vectors[9] = [0.0] * 5
+    group = spark.createDataFrame([("s", g, v, 1 + g % 3, "c" if g % 2 else "d", "c" if g % 5 else "d") for g, v in vectors.items()], "session string, g long, sum array<double>, n long, lo string, hi string")
+    told = [(a, b) for a in range(32) for b in range(30) if a != b and rng.random() < 0.5]  # two are unknown
+    pairs = spark.createDataFrame([("s", a, b) for a, b in told + told[:40]], "session string, a long, b long")
+    found = matching.scored_pairs(pairs, group, 0.1, 0.0, 0.5, 8)
+    got = {(r.a, r.b): r.score for r in found.collect()}
+    assert found.count() == len(got)
+    want, cam = {}, lambda g: ("c" if g % 2 else "d", "c" if g % 5 else "d")
+    for a, b in told:
+        if a < 30 and 9 not in (a, b):
+            dot = np.dot(vectors[a], vectors[b])
+            cos = dot / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])
+            need = 0.5 if min(cam(a)[0], cam(b)[0]) == max(cam(a)[1], cam(b)[1]) else 0.1
+            if cos >= need and dot / ((1 + a % 3) * (1 + b % 3)) >= need - 0.1:
+                want[a, b] = cos
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert all(got[3, b] == got[7, b] for b in range(30) if (3, b) in got and (7, b) in got)
