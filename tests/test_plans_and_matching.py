@@ -417,6 +417,19 @@ def test_handoffs_with_positions(spark):
     assert set(got) == {(1, 2)} and math.isclose(got[1, 2], 1 - 1 / 1.5)
 
 
+def test_tiled_join(spark):
+    """Two keys hold all rows: each pair comes once, and tasks go by pairs, none with more than a few tiles."""
+    from crowdspark.operators.tiles import tiled_join
+
+    rows = spark.range(600).select((F.col("id") % 2).alias("key"), "id")
+    found = tiled_join(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), ["key"], "a", "b", tile=50, pairs=5000)
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 2 * 300 * 300 and found.distinct().count() == 2 * 300 * 300
+    assert len(parts) > 20 and max(parts) < 25_000
+    lone = rows.where("key = 1").withColumnRenamed("id", "b")
+    assert tiled_join(rows.limit(0).withColumnRenamed("id", "a"), lone, ["key"], "a", "b").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["plain", "live", "together"])
 def test_regroup_in_rounds_against_one_call(spark, kind):
     """Groups of large sessions (here: of more than 8 tracklets) are those of the whole session in one call, on vectors with many near pairs."""
