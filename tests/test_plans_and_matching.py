@@ -500,3 +500,14 @@ def test_business_report(spark):
     cameras = spark.createDataFrame([("s", 1, 2), ("none", 2, 2)], "session string, active long, total long")
     got = sorted((r.session, r.kind, r.zones) for r in reports.business_recommendations(ranking, cameras).collect())
     assert got == [("none", "none", ""), ("s", "alert", "3"), ("s", "coverage", ""), ("s", "passing", "2"), ("s", "top", "1")]
+
+
+def test_a_border_is_part_of_the_polygon(spark, tmp_path):
+    """(3, 1.2) is on the lowest edge, where crossings alone say no."""
+    from crowdspark.plans import tracking_queries
+
+    events = [(0, "2024-01-01 00:00:00", 0, "view", 3.0, '{"k": 15}'), (1, "2024-01-01 00:00:01", 120, "view", 3.0, '{"k": 14}')]
+    rows = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = tracking_queries.QUERIES["point_in_polygon"](spark, str(tmp_path)).groupBy("person_id").agg(F.min("inside").alias("a"), F.max("inside").alias("b")).collect()
+    assert {r.person_id: (r.a, r.b) for r in got} == {0: (True, True), 120: (False, False)}
