@@ -511,3 +511,17 @@ def test_a_border_is_part_of_the_polygon(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "events.parquet"))
     got = tracking_queries.QUERIES["point_in_polygon"](spark, str(tmp_path)).groupBy("person_id").agg(F.min("inside").alias("a"), F.max("inside").alias("b")).collect()
     assert {r.person_id: (r.a, r.b) for r in got} == {0: (True, True), 120: (False, False)}
+
+
+def test_overlaps_are_held_against_positions(spark):
+    """Two cameras see a person at once in one place: the query's overlapping tracklets are near each other at every second they share."""
+    from crowdspark.plans import plan_queries
+
+    rows = plan_queries.QUERIES["handoff_candidates"](spark, "/root/testdata/sf0.001").where("kind = 'overlap'").collect()
+    assert rows and all(r.pos is not None and 0 <= r.pos <= 1 for r in rows)
+    place = lambda u, k, n: tuple(f + (t - f) * k / n for f, t in ((u % 13, u * 3 % 13), (u % 7, u * 5 % 7)))
+    for r in rows:
+        starts = [u % 97 for u in (r.a, r.b)]
+        ends = [u % 97 + 1 + u % 11 for u in (r.a, r.b)]
+        away = [math.dist(*(place(u, t - s, e - s) for u, s, e in zip((r.a, r.b), starts, ends))) for t in range(max(starts), min(ends) + 1)]
+        assert max(away) <= 1.5 + 1e-9 and math.isclose(r.pos, 1 - sum(away) / len(away) / 1.5, abs_tol=1e-4)
