@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 import numpy as np
 from pyspark.sql import functions as F
 
-from crowdspark.operators import boxes, counters, matching, near, plans
+from crowdspark.operators import boxes, counters, identity, matching, near, plans
 from crowdspark.plans import adapters
 from crowdspark.sources import recordings
 
@@ -199,3 +199,28 @@ def test_pairs_are_scored_in_tiles(spark):
                 want[a, b] = cos
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert all(got[3, b] == got[7, b] for b in range(30) if (3, b) in got and (7, b) in got)
+
+
+def boxes_in_blocks(spark, seed=7, people=40):
+    """Boxes of several sizes in instants, as rows and as a frame whose tasks have one block of instants after the other."""
+    rng = np.random.default_rng(seed)
+    rows = [("s", t // 2, float(t), "c" if k % 5 else "d", k, *map(float, rng.uniform(10, 90, 2)), *map(float, rng.uniform(8, 50, 2))) for t in range(6) for k in range(people)]
+    rows = [(s, b, t, c, k, x, y, x - w / 2, y - h / 2, x + w / 2, y + h / 2) for s, b, t, c, k, x, y, w, h in rows]
+    df = spark.createDataFrame(rows, "session string, block int, t double, camera string, person_id long, x double, y double, x1 double, y1 double, x2 double, y2 double")
+    return rows, df.repartitionByRange(3, "session", "block").sortWithinPartitions("session", "block")
+
+
+def area_and_iou(a, b):
+    over = max(0.0, min(a[9], b[9]) - max(a[7], b[7])) * max(0.0, min(a[10], b[10]) - max(a[8], b[8]))
+    return over, over / ((a[9] - a[7]) * (a[10] - a[8]) + (b[9] - b[7]) * (b[10] - b[8]) - over)
+
+
+def test_occluded_tracks_join_nothing(spark, monkeypatch):
+    """Boxes meet those of the cells around; blocks that come dealt out are not moved, and many rows go to the work in parts."""
+    rows, df = boxes_in_blocks(spark)
+    want = {(a[2], a[4], b[4]) for a in rows for b in rows if (a[2], a[3]) == (b[2], b[3]) and a[4] < b[4] and area_and_iou(a, b)[1] > 0.2}
+    monkeypatch.setattr(near, "ROWS", 50)
+    for found, moved in ((identity.occluded_tracks(df.drop("block")), 1), (identity.occluded_tracks(df, dealt=["session", "block"]), 0)):
+        assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == moved  # each pair of an instant was joined
+        got = [(r.t, r.person_id, r.person_id_b) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 50
