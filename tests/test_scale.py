@@ -224,3 +224,14 @@ def test_occluded_tracks_join_nothing(spark, monkeypatch):
         assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == moved  # each pair of an instant was joined
         got = [(r.t, r.person_id, r.person_id_b) for r in found.collect()]
         assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_collapsed_pairs_of_the_query_move_events_only(spark):
+    from crowdspark.plans import tracking_queries
+
+    found = tracking_queries.QUERIES["collapsed_pairs"](spark, "/root/testdata/sf0.001")
+    moved = plan(found)
+    assert "hashpartitioning" not in moved[: moved.index("Generate explode(sequence(lo")]  # positions were dealt out by instant
+    rows, df = boxes_in_blocks(spark)
+    want = {(a[2], a[4], b[4]) for a in rows for b in rows if (a[2], a[3]) == (b[2], b[3]) and a[4] < b[4] and math.dist(a[5:7], b[5:7]) < 20 and area_and_iou(a, b)[1] <= 0.3}
+    assert {(r.t, r.person_id, r.person_id_b) for r in counters.collapsed_pairs(df, 20.0, 0.3, ["session", "block"]).collect()} == want and want
