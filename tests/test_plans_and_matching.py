@@ -525,3 +525,35 @@ def test_overlaps_are_held_against_positions(spark):
         ends = [u % 97 + 1 + u % 11 for u in (r.a, r.b)]
         away = [math.dist(*(place(u, t - s, e - s) for u, s, e in zip((r.a, r.b), starts, ends))) for t in range(max(starts), min(ends) + 1)]
         assert max(away) <= 1.5 + 1e-9 and math.isclose(r.pos, 1 - sum(away) / len(away) / 1.5, abs_tol=1e-4)
+
+
+def test_best_pairs_as_the_whole_assignment():
+    """Of given pairs only, with equal weights or not: as much in total as over all pairs."""
+    rng = np.random.default_rng(0)
+    for trial in range(400):
+        n, m = rng.integers(1, 9, 2)
+        w = np.where(rng.random((n, m)) < rng.uniform(0.1, 1), rng.integers(1, 6, (n, m)) if trial % 2 else rng.random((n, m)), 0).astype(float)
+        a, b = np.nonzero(w)
+        k = matching.best_pairs(a, b, w[a, b])
+        assert len(set(a[k])) == len(k) == len(set(b[k]))
+        assert math.isclose(w[a[k], b[k]].sum(), sum(w[i, j] for i, j in matching.assignment(-w)), abs_tol=1e-9)
+    even = matching.best_pairs(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.ones(4))
+    assert sorted(even.tolist()) == [0, 3]
+    assert len(matching.best_pairs(a[:0], b[:0], w[a, b][:0])) == 0
+
+
+def test_matched_frames_move_boxes_once(spark):
+    """The nearest instant of the system in another block, of two as near the earlier; nothing is joined."""
+    from crowdspark.plans import plan_queries
+
+    at = lambda x: (x, 0.0, x + 4.0, 10.0)
+    truth = [("s", "c", t, f"p{k}", *at(3.0 * k)) for t in (59.95, 70.0, 80.0) for k in range(3)] + [(None, "c", 1.0, "p9", *at(0.0))]
+    system = [("s", "c", t, f"{n}{k}", *at(3.0 * k + 0.5)) for t, n in ((60.02, "a"), (69.9, "b"), (70.1, "c"), (80.2, "d")) for k in range(2)]
+    schema = "session string, camera string, t double, id string, x1 double, y1 double, x2 double, y2 double"
+    found = matching.match_frames(spark.createDataFrame(truth, schema), spark.createDataFrame(system, schema))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # boxes were joined with the instants, and dealt out after that
+    got = {(r.t, r.id): r.found for r in found.collect()}
+    assert got == {**{(t, f"p{k}"): None for t in (59.95, 70.0, 80.0) for k in range(3)}, (1.0, "p9"): None, (59.95, "p0"): "a0", (59.95, "p1"): "a1", (70.0, "p0"): "b0", (70.0, "p1"): "b1"}
+    truth, system = plan_queries._labelled(spark, "/root/testdata/sf0.001")
+    whole = matching.match_frames(truth, system).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, plan_queries.QUERIES["match_frames"](spark, "/root/testdata/sf0.001").collect()))
