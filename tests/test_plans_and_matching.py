@@ -557,3 +557,20 @@ def test_matched_frames_move_boxes_once(spark):
     truth, system = plan_queries._labelled(spark, "/root/testdata/sf0.001")
     whole = matching.match_frames(truth, system).collect()
     assert sorted(map(str, whole)) == sorted(map(str, plan_queries.QUERIES["match_frames"](spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_identity_metrics_put_matches_in_order_once(spark):
+    from crowdspark.operators import matching as M
+
+    rows = [("s", "c", float(t), i, f) for i, found in (("p", "a.ab.b"), ("q", "bb..a.")) for t, f in enumerate(x if x != "." else None for x in found)]
+    matches = spark.createDataFrame(rows, "session string, camera string, t double, id string, found string")
+    system = spark.createDataFrame([("s", "a")] * 4 + [("s", "b")] * 4, "session string, id string")
+    read = []
+    whole = M.stored
+    try:
+        M.stored = lambda df, name: read.append(df) or whole(df, name)
+        m = M.identity_metrics(matches, system, 2).first()
+    finally:
+        M.stored = whole
+    assert (m.people, m.ids, m.counted, m.switches, m.fragments) == (2, 2, 2, 2, 3) and math.isclose(m.idf1, 2 * 4 / 20) and math.isclose(m.recall, 7 / 12)
+    assert len(read) == 1  # one pass over matches; all else reads the counts
