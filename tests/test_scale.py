@@ -235,3 +235,32 @@ def test_collapsed_pairs_of_the_query_move_events_only(spark):
     rows, df = boxes_in_blocks(spark)
     want = {(a[2], a[4], b[4]) for a in rows for b in rows if (a[2], a[3]) == (b[2], b[3]) and a[4] < b[4] and math.dist(a[5:7], b[5:7]) < 20 and area_and_iou(a, b)[1] <= 0.3}
     assert {(r.t, r.person_id, r.person_id_b) for r in counters.collapsed_pairs(df, 20.0, 0.3, ["session", "block"]).collect()} == want and want
+
+
+def test_covered_views_of_blocks(spark, monkeypatch):
+    """Reliable views and visible shares join nothing, and move nothing of blocks that come dealt out."""
+    rows, df = boxes_in_blocks(spark)
+    monkeypatch.setattr(near, "ROWS", 50)
+    df = df.withColumn("confidence", F.lit(0.9))
+    cover = lambda a, b: area_and_iou(a, b)[0] / ((a[9] - a[7]) * (a[10] - a[8]))
+    near_by = {a[2:5]: [b for b in rows if a[2:4] == b[2:4] and a[4] != b[4]] for a in rows}
+    fit = lambda r: r[10] - r[8] >= 40 and r[9] - r[7] >= 8 and min(r[7:9]) >= 4 and max(r[9:11]) <= 96
+    want = {r[2:5] for r in rows if fit(r) and not any(cover(r, b) > 0.2 or area_and_iou(r, b)[1] > 0.2 for b in near_by[r[2:5]])}
+    found = matching.reliable_views(df, 100, 100, ["session", "block"])
+    assert "hashpartitioning" not in plan(found) and "Join" not in plan(found)
+    assert {(r.t, r.camera, r.person_id) for r in found.collect()} == want and want
+
+    def visible(a):
+        seen = np.ones((24, 12), bool)
+        high, wide = max(a[10] - a[8], 1.0), max(a[9] - a[7], 1.0)
+        for b in near_by[a[2:5]]:
+            if area_and_iou(a, b)[0] > 0 and b[10] >= a[10] - 0.06 * high and any(abs(a[k] - b[k]) > 1 + 1e-5 * abs(b[k]) for k in range(7, 11)):
+                r = [f((g(a[k], b[k]) - a[8]) / high * 24) for f, g, k in ((math.floor, max, 8), (math.ceil, min, 10))]
+                c = [f((g(a[k], b[k]) - a[7]) / wide * 12) for f, g, k in ((math.floor, max, 7), (math.ceil, min, 9))]
+                seen[r[0] : r[1], c[0] : c[1]] = False
+        return seen.sum() / 288
+
+    found = boxes.visible_fraction(df, dealt=["session", "block"])
+    assert "hashpartitioning" not in plan(found) and "Join" not in plan(found)
+    got = {(r.t, r.camera, r.person_id): r.visible for r in found.collect()}
+    assert len(got) == len(rows) and all(math.isclose(got[r[2:5]], visible(r), abs_tol=1e-12) for r in rows)
