@@ -264,3 +264,16 @@ def test_covered_views_of_blocks(spark, monkeypatch):
     assert "hashpartitioning" not in plan(found) and "Join" not in plan(found)
     got = {(r.t, r.camera, r.person_id): r.visible for r in found.collect()}
     assert len(got) == len(rows) and all(math.isclose(got[r[2:5]], visible(r), abs_tol=1e-12) for r in rows)
+
+
+def test_duplicates_are_settled_in_the_task(spark, monkeypatch):
+    """No table of neighbours is written and no round is a join; rows that miss something stay."""
+    written = []
+    monkeypatch.setattr(matching, "stored", lambda *a: written.append(a))
+    chain = [("s", 0, 0.0, "AB"[k % 2], k, 0.2 * k, False, 9.0 - k) for k in range(7)]
+    odd = [("s", 0, 0.0, None, 7, 0.0, False, 1.0), (None, 0, 0.0, "A", 8, 0.0, False, 1.0), ("s", 0, 0.0, "B", 9, None, False, 1.0), ("s", 1, 9.0, "A", 0, 0.0, True, 1.0), ("s", 1, 9.0, "B", 1, 0.1, False, 5.0)]
+    df = spark.createDataFrame(chain + odd, "session string, block int, t double, camera string, person_id long, x double, confirmed boolean, size double").withColumn("y", F.lit(0.0))
+    for found in (matching.duplicate_points(df, 0.25), matching.duplicate_points(df.repartition(2, "session", "block").sortWithinPartitions("session", "block"), 0.25, dealt=["session", "block"])):
+        got = {(r.t, r.person_id): r.duplicate for r in found.collect()}
+        assert got == {**{(0.0, k): k in (1, 3, 5) for k in range(10)}, (9.0, 0): False, (9.0, 1): True}
+    assert not written
