@@ -277,3 +277,23 @@ def test_duplicates_are_settled_in_the_task(spark, monkeypatch):
         got = {(r.t, r.person_id): r.duplicate for r in found.collect()}
         assert got == {**{(0.0, k): k in (1, 3, 5) for k in range(10)}, (9.0, 0): False, (9.0, 1): True}
     assert not written
+
+
+def test_regroup_pairs_in_tiles(spark):
+    """Two blocks of tracklets are a tile; several rows of a tracklet and tick all count, and no pair of an instant is moved."""
+    rng = np.random.default_rng(2)
+    rows = [("s", "ABC"[k % 3], k, t, *map(float, rng.uniform(0, 6, 2))) for k in range(30) for t in range(k % 7, k % 7 + 12)] + [("s", "B", 0, 5, 1.0, 1.0), ("s", "C", 1, 6, None, 1.0), (None, "C", 1, 6, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "session string, camera string, uid long, tick long, x double, y double")
+    found = matching.regroup_pairs(df, 3.0, block=8)
+    assert "percentile" not in plan(found)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] and b[0] and a[2] < b[2] and a[3] == b[3] and a[1] != b[1]:
+                want.setdefault((a[2], b[2]), []).append(None if None in (a[4], b[4]) else math.dist(a[4:], b[4:]))
+    got = {(r.a, r.b): r for r in found.collect()}
+    assert set(got) == {k for k, d in want.items() if len(d) >= 5} and len(got) > 100
+    for k, r in got.items():
+        d = [x for x in want[k] if x is not None]
+        assert r.ticks == len(want[k]) and math.isclose(r.median, float(np.median(d)), abs_tol=1e-12) and math.isclose(r.near, np.mean(np.array(d) < 0.67 * 3), abs_tol=1e-12)
+        assert r.kind == ("conflict" if r.median > 1.33 * 3 else "together" if r.ticks >= 10 and r.median <= 0.47 * 3 and r.near >= 0.9 else "unclear")
