@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 import numpy as np
 from pyspark.sql import functions as F
 
-from crowdspark.operators import boxes, counters, identity, matching, near, plans
+from crowdspark.operators import boxes, counters, identity, matching, near, plans, stays
 from crowdspark.plans import adapters
 from crowdspark.sources import recordings
 
@@ -297,3 +297,26 @@ def test_regroup_pairs_in_tiles(spark):
         d = [x for x in want[k] if x is not None]
         assert r.ticks == len(want[k]) and math.isclose(r.median, float(np.median(d)), abs_tol=1e-12) and math.isclose(r.near, np.mean(np.array(d) < 0.67 * 3), abs_tol=1e-12)
         assert r.kind == ("conflict" if r.median > 1.33 * 3 else "together" if r.ticks >= 10 and r.median <= 0.47 * 3 and r.near >= 0.9 else "unclear")
+
+
+def test_runs_of_many_people_are_merged_at_once(spark):
+    """No call a person, and merged stays read their positions once."""
+    rng = np.random.default_rng(4)
+    zones = [{"zone_id": 1, "type": "INTERIOR"}, {"zone_id": 2, "type": "ZONA"}]
+    pos = []
+    for who in range(12):
+        zone = 1
+        for t in range(60):
+            zone = int(rng.integers(-1, 3)) if rng.random() < 0.25 else zone
+            pos.append(("s", who, 0.2 * t, zone, float(rng.uniform()), None if t % 7 == 0 else float(rng.uniform())))
+    df = spark.createDataFrame(pos, "session string, person_id long, t double, zone_id int, confidence double, speed double").repartition(3, "session", "person_id")
+    runs = stays.zone_runs(df)
+    merged = stays.merge_stays(runs, zones)
+    assert "FlatMapGroups" not in plan(merged)
+    table = stays.run_table(runs).toPandas().sort_values(["person_id", "run"])
+    want = {(who, run, k, zone) for who, one in table.groupby("person_id") for k, (zone, _, _, held) in enumerate(stays.merge_runs(one, 0.2, 1.0, {1}), 1) for run in held}
+    assert {(r.person_id, r.run, r.stay, r.zone_id) for r in merged.collect()} == want
+    once = stays.merged_stays(runs, zones)
+    assert "Join" not in plan(once) and plan(once).count("Scan ") == 1  # positions were made twice and joined
+    number = lambda rows: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in (r.person_id, r.stay, r.zone_id, r.start_s, r.end_s, r.confidence, r.median_speed)) for r in rows)
+    assert number(once.collect()) == number(stays.stays(runs, merged).collect())
